@@ -17,8 +17,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.media import store_texts
+
+    stored = store_texts(table(spark, sf_dir, "documents"))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.concat(F.col("declared"), F.lit("->"), F.col("kind")), "samples").alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op9_media": op9_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
