@@ -17,6 +17,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.resampling import classify
+
+    sampled = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return sampled.select("doc_id", "n_features", "log_weight", "key", "selected")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.toxicity import classify
+
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.media import store_texts
 
@@ -35,6 +49,8 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
+    "op6_toxicity": op6_toxicity,
     "op9_media": op9_media,
 }
 
