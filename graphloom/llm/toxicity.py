@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_text import _power_table, flat_text, lower_ascii, slices
 
-LENGTHS = (3, 4, 5, 6)
+LENGTHS = (4, 6, 8)
 BITS = 19
 #: Labelled rows used for the fit, at most, of each class.
-CLASS_ROWS = 3000
-MIN_DOCS = 4
-MIN_RATIO = 0.7
+CLASS_ROWS = 4000
+MIN_DOCS = 8
+MIN_RATIO = 1.6
 
 
 def ngram_ids(data: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
