@@ -54,20 +54,20 @@ class Model:
 def _train(x: list[np.ndarray], y: np.ndarray, share: float, steps: int = 300, ridge: float = 1e-3) -> Model:
     """Log-count ratios, then logistic regression on the scaled features."""
     width = 1 << BITS
-    flat = np.concatenate(x) if x else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(x)), [len(v) for v in x])
     if not len(y) or y.min() == y.max():
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(width, np.float32), float(np.log(p / (1 - p))))
-    p = np.bincount(flat, weights=y[rows], minlength=width)
-    q = np.bincount(flat, weights=1.0 - y[rows], minlength=width)
+    p, q = np.zeros(width), np.zeros(width)
+    for own, label in zip(x, y):  # ids are distinct within a row
+        (p if label else q)[own] += 1
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
     ratio -= np.log(y.sum() + 1) - np.log((1 - y).sum() + 1) - (np.log((p + 1).sum()) - np.log((q + 1).sum()))
     active = (p + q >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO)
     number = np.full(width, -1)
     number[active] = np.arange(active.sum())
-    keep = active[flat]
-    cols, rows = number[flat[keep]], rows[keep]
+    kept = [number[own[active[own]]] for own in x]
+    cols = np.concatenate(kept)
+    rows = np.repeat(np.arange(len(kept)), [len(v) for v in kept])
     scale = ratio[active]
     m = len(scale)
     w, b = np.zeros(m), 0.0
