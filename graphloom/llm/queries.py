@@ -24,6 +24,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "n_features", "log_weight", "key", "selected")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import kneser_ney
+
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.fit(docs.where(~kneser_ney.held_out()))
+    scored = kneser_ney.scores(docs, model)
+    return scored.select("doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.toxicity import classify
 
@@ -65,6 +74,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_toxicity": op6_toxicity,
     "op7_exact_topk": op7_exact_topk,
     "op8_packing": op8_packing,
