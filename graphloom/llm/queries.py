@@ -71,6 +71,19 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import pii
+
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *(count(k) for k in pii.KINDS),
+        F.sha2(pii.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.digest(F.concat("base", F.array_sort("added"))).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
@@ -79,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_topk": op7_exact_topk,
     "op8_packing": op8_packing,
     "op9_media": op9_media,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
