@@ -19,6 +19,7 @@ A stretch ends, and its pieces are forgotten, once it holds
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -112,3 +113,110 @@ def encode_piece(piece: Column, ranks: Column) -> Column:
 def decode_ids(ids: Column, tokens: Column) -> Column:
     """binary: the tokens of ``ids``, concatenated."""
     return _let(tokens, lambda table: F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.element_at(table, i + 1))))
+
+
+class _Dictionary:
+    """Encoded pieces of a stretch as flat arrays, indexed by piece number."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids, self.id_at = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def add(self, ids: pa.ListArray, raw: pa.BinaryArray) -> None:
+        data, bounds = flat_text(raw)
+        sizes = np.diff(np.asarray(ids.offsets))
+        self.pending.append((np.asarray(ids.flatten()).astype("<u4"), sizes, data, np.diff(bounds)))
+
+    def settle(self) -> None:
+        if self.pending:
+            ids, sizes, data, lengths = zip(*self.pending)
+            self.pending = []
+            self.ids, self.raw = np.concatenate([self.ids, *ids]), np.concatenate([self.raw, *data])
+            self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(np.concatenate(sizes))])
+            self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(np.concatenate(lengths))])
+
+    @staticmethod
+    def gather(flat: np.ndarray, at: np.ndarray, refs: np.ndarray) -> np.ndarray:
+        sizes = at[refs + 1] - at[refs]
+        return flat[np.repeat(at[refs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+_PIECES = "kind int, doc_id long, piece string, refs binary"
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, decoded binary) for every row of ``docs``.
+
+    ``pattern`` splits a text into pieces that are encoded separately; text
+    between matches, if any, is dropped as the pattern says.  There are no
+    special tokens.  A null or empty text has no ids and decodes to empty
+    bytes.  Pieces of any length are folded whole.
+    """
+    splitter = regex.compile(pattern)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.string()), ("refs", pa.binary())])
+        for batch in batches:
+            _, bounds = flat_text(batch.column(1))
+            for lo, hi in slices(bounds, CHUNK_BYTES):
+                if len(known) >= MAX_PIECES:
+                    known = {}
+                    yield pa.RecordBatch.from_pylist([{"kind": 2}], schema=schema)
+                before, refs = len(known), []
+                number = known.setdefault
+                for text in batch.column(1)[lo:hi].to_pylist():
+                    refs.append(np.array([number(p, len(known)) for p in splitter.findall(text)] if text else [], dtype="<i4").tobytes())
+                if len(known) > before:
+                    fresh = [p.encode().decode("latin-1") for p in list(known)[before:]]
+                    for k in range(0, len(fresh), 20_000):
+                        part = fresh[k : k + 20_000]
+                        n = len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(part, pa.string()), pa.nulls(n, pa.binary())], schema=schema)
+                n = hi - lo
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0)[lo:hi], pa.nulls(n, pa.string()), pa.array(refs, pa.binary())], schema=schema)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = _Dictionary()
+        for batch in batches:
+            kind = np.asarray(batch.column(0))
+            cuts = np.flatnonzero(np.diff(kind)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(kind)]):
+                if hi == lo:
+                    continue
+                own = batch.slice(lo, hi - lo)
+                if kind[lo] == 2:
+                    book.clear()
+                elif kind[lo] == 0:
+                    book.add(own.column(3), own.column(4))
+                else:
+                    book.settle()
+                    for at in range(0, own.num_rows, 256):
+                        refs = [np.frombuffer(r, "<i4").astype(np.int64) for r in own.column(2)[at : at + 256].to_pylist()]
+                        ids = [book.gather(book.ids, book.id_at, r) for r in refs]
+                        raw = [book.gather(book.raw, book.raw_at, r).tobytes() for r in refs]
+                        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([own.column(1)[at : at + 256], flat, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    pieces = source.mapInArrow(split, _PIECES).withColumn("ids", encode_piece(F.col("piece"), rank_literal(ranks)))
+    decoded = pieces.select("kind", "doc_id", "refs", "ids", decode_ids(F.col("ids"), token_literal(ranks)).alias("raw"))
+    return decoded.mapInArrow(join, "doc_id long, ids array<int>, decoded binary").withColumnRenamed("doc_id", id_col)
+
+
+def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256); ids as little-endian words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            flat, at = np.asarray(ids.flatten()).astype("<u4"), np.asarray(ids.offsets) - ids.offsets[0].as_py()
+            hashes = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])]
+            plain = [hashlib.sha256(x or b"").hexdigest() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(hashes), pa.array(plain)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

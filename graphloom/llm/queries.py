@@ -24,6 +24,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "n_features", "log_weight", "key", "selected")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm import byte_bpe
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(encoded)
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import kneser_ney
 
@@ -87,6 +97,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_toxicity": op6_toxicity,
     "op7_exact_topk": op7_exact_topk,
