@@ -14,22 +14,18 @@ travel with the model's header.
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_text import flat_text, lower_ascii, mix64, slices, span_hashes, words
-from graphloom.llm.shared import checkpoint_dir, cut_lineage
+from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, read_arrays, write_arrays
+from graphloom.llm.shared import cut_lineage
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 FLUSH_TOKENS = 3_000_000
@@ -108,83 +104,6 @@ def _bigram_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix64(u * np.uint64(0x9E3779B97F4A7C15) + w) >> np.uint64(16)
 
 
-def _by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(parts, kind="stable")
-    used, firsts = np.unique(parts[order], return_index=True)
-    for p, idx in zip(used, np.split(order, firsts[1:])):
-        yield int(p), idx
-
-
-class HashArray:
-    """48-bit keys: offsets by the upper 16 bits, the lower 32 bits sorted."""
-
-    @staticmethod
-    def layout(keys: np.ndarray) -> list[np.ndarray]:
-        offsets = np.searchsorted(keys >> np.uint64(32), np.arange(65537, dtype=np.uint64)).astype("<u8")
-        return [offsets, (keys & np.uint64(0xFFFFFFFF)).astype("<u4")]
-
-    def __init__(self, offsets: np.ndarray, low: np.ndarray) -> None:
-        self.offsets, self.low = offsets, low
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 if absent."""
-        top = (keys >> np.uint64(32)).astype(np.int64)
-        want = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        lo, end = self.offsets[top].astype(np.int64), self.offsets[top + 1].astype(np.int64)
-        hi = end.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.low[mid] < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-        ok = lo < end
-        ok[ok] = self.low[lo[ok]] == want[ok]
-        return np.where(ok, lo, -1)
-
-
-def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
-    """One file: count and byte lengths, then the arrays; renamed when whole,
-    so that a task that is run again or twice leaves the same file."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-    head = np.array([len(arrays), *(x.nbytes for x in arrays)], "<u8").tobytes()
-    spare = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(spare) as out:
-        out.write(head)
-        for x in arrays:
-            out.write(np.ascontiguousarray(x).tobytes())
-    fs.move(spare, f"{path}/{name}")
-
-
-_mapped: dict[tuple[str, str], list[np.ndarray]] = {}
-_local: dict[str, str] = {}
-
-
-def _read(folder: str, name: str, dtypes: list[str]) -> list[np.ndarray]:
-    """Memory-map a model file; from a remote store it is fetched once."""
-    if (folder, name) not in _mapped:
-        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-        place = f"{path}/{name}"
-        if not isinstance(fs, pyarrow.fs.LocalFileSystem):
-            if folder not in _local:
-                import atexit
-
-                _local[folder] = tempfile.mkdtemp(prefix="kneser-ney-")
-                atexit.register(shutil.rmtree, _local[folder], True)
-            pyarrow.fs.copy_files(place, f"{_local[folder]}/{name}", source_filesystem=fs)
-            place = f"{_local[folder]}/{name}"
-        raw = np.memmap(place, np.uint8, "r")
-        n = int(raw[:8].view("<u8")[0])
-        sizes, at, out = raw[8 : 8 + 8 * n].view("<u8").astype(int), 8 + 8 * n, []
-        for size, dtype in zip(sizes, dtypes):
-            out.append(raw[at : at + size].view(dtype) if at % np.dtype(dtype).itemsize == 0 else np.ndarray(size // np.dtype(dtype).itemsize, dtype, raw, at))
-            at += size
-        _mapped[folder, name] = out
-    return _mapped[folder, name]
-
-
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from the numbers of items seen once to four times; a
     class that is empty falls back to one absolute discount."""
@@ -243,10 +162,7 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> M
     """
     spark = texts.sparkSession
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = checkpoint_dir(spark)
-    folder = (base if "://" in base else f"file://{os.path.abspath(base.removeprefix('file:'))}").rstrip("/") + f"/kneser-ney-{uuid.uuid4().hex}"
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-    fs.create_dir(path)
+    folder = new_folder(spark, "kneser-ney")
     texts = texts.select(F.col(text_col).cast("string").alias("t"))
     heavy = heavy_contexts(texts, parts)
 
@@ -254,7 +170,7 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> M
         def flush(us: list, ws: list) -> Iterator[pa.RecordBatch]:
             u = np.concatenate(us)
             u, w, c = _tally(u, np.concatenate(ws), np.ones(len(u), np.int64))
-            for p, idx in _by_part(_deal(u, w, parts, heavy)):
+            for p, idx in by_part(_deal(u, w, parts, heavy)):
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_pack(u[idx], w[idx], c[idx])], pa.binary())], names=["part", "packed"])
 
         us, ws, n = [], [], 0
@@ -276,12 +192,12 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> M
         order = np.argsort(key)
         many = np.minimum(c, 255).astype(np.uint8)[order]
         over = np.flatnonzero(many == 255)
-        _write(folder, f"pairs-{part}", [*HashArray.layout(key[order]), many, over.astype("<u4"), c[order][over].astype("<u8")])
+        write_arrays(folder, f"pairs-{part}", [*HashArray.layout(key[order]), many, over.astype("<u4"), c[order][over].astype("<u8")])
         new = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
         stats = np.stack([np.add.reduceat(x.astype(np.int64), new) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
         uu = u[new]
         hot = np.isin(uu, heavy)
-        _write(folder, f"contexts-{part}", [*HashArray.layout(uu[~hot]), stats[~hot].astype("<f4").ravel()])
+        write_arrays(folder, f"contexts-{part}", [*HashArray.layout(uu[~hot]), stats[~hot].astype("<f4").ravel()])
         rows: list[tuple] = [(0, -1, k, int((c == k).sum()), 0, 0, 0, None) for k in (1, 2, 3, 4)]
         rows += [(1, -1, int(x.view(np.int64)), *map(int, s), None) for x, s in zip(uu[hot], stats[hot])]
         by_word = np.argsort(w, kind="stable")
@@ -289,7 +205,7 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> M
         new = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
         ww, preds, total = w[new], np.diff(np.append(new, len(w))), np.add.reduceat(c, new)
         # a total can pass 32 bits only beyond four billion tokens in one part
-        for p, idx in _by_part((mix64(ww + np.uint64(9)) % np.uint64(parts)).astype(np.int64)):
+        for p, idx in by_part((mix64(ww + np.uint64(9)) % np.uint64(parts)).astype(np.int64)):
             rows.append((2, p, 0, 0, 0, 0, 0, _pack(ww[idx], preds[idx], total[idx])))
         return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
@@ -306,7 +222,7 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> M
         keys, preds, total = keys[order], preds[order], total[order]
         new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         keys, preds, total = keys[new], np.add.reduceat(preds, new), np.add.reduceat(total, new)
-        _write(folder, f"words-{part}", [*HashArray.layout(keys), preds.astype("<u4"), total.astype("<u8")])
+        write_arrays(folder, f"words-{part}", [*HashArray.layout(keys), preds.astype("<u4"), total.astype("<u8")])
         return pa.table({"words": [len(keys)], "tokens": [int(total.sum())], "pairs": [int(preds.sum())], **{f"n{k}": [int((preds == k).sum())] for k in (1, 2, 3, 4)}, "many": [int((preds >= 3).sum())]})
 
     told = cut_lineage(merged.where("kind = 2").select("part", "packed").groupBy("part").applyInArrow(unigrams, "words long, tokens long, pairs long, n1 long, n2 long, n3 long, n4 long, many long"))
@@ -328,10 +244,10 @@ def _off(model_discounts: tuple[float, float, float], n: np.ndarray) -> np.ndarr
 def score_tokens(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(count, log10 probability) of tokens after their contexts."""
     count, preds = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-    for p, idx in _by_part((mix64(w + np.uint64(9)) % np.uint64(model.parts)).astype(np.int64)) if model.tokens else ():
-        if not _exists(model, f"words-{p}"):
+    for p, idx in by_part((mix64(w + np.uint64(9)) % np.uint64(model.parts)).astype(np.int64)) if model.tokens else ():
+        if not exists(model.folder, f"words-{p}"):
             continue
-        off, low, n, total = _read(model.folder, f"words-{p}", ["<u8", "<u4", "<u4", "<u8"])
+        off, low, n, total = read_arrays(model.folder, f"words-{p}", ["<u8", "<u4", "<u4", "<u8"])
         at = HashArray(off, low).find(w[idx])
         ok = at >= 0
         preds[idx[ok]], count[idx[ok]] = n[at[ok]], total[at[ok]]
@@ -344,10 +260,10 @@ def score_tokens(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
         at = np.minimum(np.searchsorted(model.heavy, u), len(model.heavy) - 1)
         ok = model.heavy[at] == u
         stats[ok] = model.heavy_stats[at[ok]]
-    for p, idx in _by_part(_deal(u, w, model.parts, model.heavy)) if model.tokens else ():
-        if not _exists(model, f"pairs-{p}"):
+    for p, idx in by_part(_deal(u, w, model.parts, model.heavy)) if model.tokens else ():
+        if not exists(model.folder, f"pairs-{p}"):
             continue
-        off, low, many, over, counts = _read(model.folder, f"pairs-{p}", ["<u8", "<u4", "u1", "<u4", "<u8"])
+        off, low, many, over, counts = read_arrays(model.folder, f"pairs-{p}", ["<u8", "<u4", "u1", "<u4", "<u8"])
         at = HashArray(off, low).find(_bigram_key(u[idx], w[idx]))
         ok = np.flatnonzero(at >= 0)
         own = many[at[ok]].astype(np.int64)
@@ -355,7 +271,7 @@ def score_tokens(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
         own[big] = counts[np.searchsorted(over, at[ok][big].astype(np.uint32))]
         seen[idx[ok]] = own
         cold = idx[stats[idx, 0] == 0]
-        off, low, flat = _read(model.folder, f"contexts-{p}", ["<u8", "<u4", "<f4"])
+        off, low, flat = read_arrays(model.folder, f"contexts-{p}", ["<u8", "<u4", "<f4"])
         at = HashArray(off, low).find(u[cold])
         ok = at >= 0
         stats[cold[ok]] = flat.reshape(-1, 4)[at[ok]]
@@ -367,13 +283,6 @@ def score_tokens(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     return count, np.log10(prob)
 
 
-def _exists(model: Model, name: str) -> bool:
-    if (model.folder, name) in _mapped:
-        return True
-    fs, path = pyarrow.fs.FileSystem.from_uri(model.folder)
-    return fs.get_file_info(f"{path}/{name}").type == pyarrow.fs.FileType.File
-
-
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every whole text.
 
