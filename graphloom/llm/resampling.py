@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.arrow_text import flat_text, lower_ascii, mix64, slices, span_hashes
 from graphloom.llm.shared import cut_lineage
@@ -92,16 +93,25 @@ class RatioModel:
     share: float
 
 
-def fit(target: DataFrame, raw: DataFrame, share: float, text_col: str = "text", smoothing: float = 1.0, buckets: int = BUCKETS) -> RatioModel:
-    """Count both generative models.  Without target texts all ratios are 0."""
-    t, r = ngram_counts(target, text_col, buckets) + smoothing, ngram_counts(raw, text_col, buckets) + smoothing
-    if t.sum() == smoothing * buckets:
-        return RatioModel(np.zeros(buckets), share)
-    return RatioModel(np.log(t / t.sum()) - np.log(r / r.sum()), share)
+def fit(target: DataFrame, raw: DataFrame, share: float, text_col: str = "text", prior: float = 500.0, buckets: int = BUCKETS) -> RatioModel:
+    """Count both generative models.
 
+    The target model is drawn towards the raw one by ``prior`` pseudo-counts
+    a bucket, so that a small target sample says nothing about n-grams it
+    hardly saw.  Without target texts all ratios are 0.
+    """
+    t, r = ngram_counts(target, text_col, buckets), ngram_counts(raw, text_col, buckets) + 1.0
+    p_raw = r / r.sum()
+    p_target = (t + prior * buckets * p_raw) / (t.sum() + prior * buckets)
+    return RatioModel(np.log(p_target) - np.log(p_raw), share)
+
+
+def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """(id, n_features, log_weight) for every row; no features: weight 0.
 
-def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_features, log_weight) for every row; no features: weight 0."""
+    With ``whole_rows`` all columns of ``docs`` stay and ``_log_weight`` is
+    added to them.
+    """
     ratio = model.log_ratio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +123,15 @@ def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text
                 grams, rows = hashed_ngrams(part, at, len(ratio))
                 counts[lo:hi] = np.bincount(rows, minlength=hi - lo)
                 sums[lo:hi] = np.bincount(rows, weights=ratio[grams], minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums)], names=[id_col, "n_features", "log_weight"])
-
+            if whole_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(sums)], names=[f"c{k}" for k in range(batch.num_columns - 1)])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums)], names=[id_col, "n_features", "log_weight"])
+
+    if whole_rows:
+        carried = docs.select(F.lit(0).alias("_0"), F.col(text_col).cast("string").alias("_1"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
+        schema = T.StructType([*carried.schema.fields[2:], T.StructField(f"c{len(docs.columns)}", T.DoubleType())])
+        return carried.mapInArrow(run, schema).toDF(*docs.columns, "_log_weight")
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return source.mapInArrow(run, f"{id_col} long, n_features long, log_weight double")
 
@@ -176,6 +193,16 @@ def resample(weighted: DataFrame, k: int | None, share: float, id_col: str = "do
     return above.unionByName(at_level.select(above.columns)).drop("order")
 
 
+def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> RatioModel:
+    """The model of ``docs`` with at most ``target_rows`` texts labelled
+    ``quality = 1`` (smallest hashes of the id) as target."""
+    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("q"))
+    good, rows = known.agg(F.count_if(F.col("q") == 1), F.count(F.lit(1))).first()
+    picked = known.where("q = 1").select("label_id").distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(target_rows)
+    target = docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("label_id"), "left_semi")
+    return fit(target, docs, good / rows if rows else 1.0, text_col)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS, seed: int = 42) -> DataFrame:
     """(id, n_features, log_weight, key, selected) for every row of ``docs``.
 
@@ -185,10 +212,22 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     document has weight 0 and is selected.  Null and empty texts have no
     features and weight 0.  Repeated rows are sampled each on its own.
     """
-    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("q"))
-    good, rows = known.agg(F.count_if(F.col("q") == 1), F.count(F.lit(1))).first()
-    picked = known.where("q = 1").select("label_id").distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(target_rows)
-    target = docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("label_id"), "left_semi")
-    share = good / rows if rows else 1.0
-    model = fit(target, docs, share, text_col)
-    return resample(log_weights(docs, model, id_col, text_col), None, share, id_col, seed)
+    model = fit_on_labels(docs, labels, id_col, text_col, target_rows)
+    return resample(log_weights(docs, model, id_col, text_col), None, model.share, id_col, seed)
+
+
+def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` selects, with all their columns.
+
+    The key of the k-th document is found on keys alone; then texts are
+    weighed once more as they pass, so they are never shuffled.  Rows level
+    with the k-th key all stay.
+    """
+    model = fit_on_labels(docs, labels, id_col, text_col, target_rows)
+    order = lambda weight: sortable(F.col(weight) + gumbel(F.col(id_col), seed))
+    keys = cut_lineage(log_weights(docs, model, id_col, text_col).select("log_weight", order("log_weight").alias("order")))
+    n, likely = keys.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= F.lit(float(np.log(0.5 / max(model.share, 1e-12)))))).first()
+    if likely in (0, n):
+        return docs if likely else docs.limit(0)
+    value, _ = kth_largest(keys, "order", likely)
+    return log_weights(docs, model, id_col, text_col, True).where(order("_log_weight") >= F.lit(value)).drop("_log_weight")

@@ -7,6 +7,13 @@ bits, which keeps chance meetings rare up to billions of fingerprints.
 Fingerprints are joined on (triple, value) and verified by Hamming
 distance.  Only distinct fingerprints take part, so copies never multiply.
 
+Looser similarities need longer fingerprints: ``similar_texts`` folds the
+same shingles to 2,048 bits and cuts them into 102 blocks of 20 bits.
+Pairs that differ in fewer bits than there are blocks share one for
+certain; at the limit for a similarity of 0.8 (about 300 bits) 98.5 % do,
+and more the closer they are.  These fingerprints stay in memory-mapped
+files of the shared folder, only block values and row keys are shuffled.
+
 Within one shared value the operator emits a spanning forest of the links
 (at most one link per fingerprint), never all pairs.  A value shared by
 more than ``HOT`` fingerprints is cut into blocks of ``HOT``; each pair of
@@ -15,7 +22,7 @@ blocks is verified as a task of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -26,6 +33,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_text import flat_text, mix64, slices
 from graphloom.llm.components import components
+from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, read_arrays, write_arrays
 from graphloom.llm.shared import cut_lineage
 
 HOT = 4096
@@ -98,6 +106,11 @@ def block_masks(bits: int = 64, distance: int = 4, shared: int = 3) -> list[int]
     return [sum(chosen) for chosen in combinations(blocks, shared)]
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints given as rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def spanning_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Index pairs of a spanning forest of the close pairs in ``prints``."""
     left, found = np.arange(len(prints)), []
@@ -105,7 +118,7 @@ def spanning_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[x]) <= distance
+            near = _apart(prints[left], prints[x]) <= distance
             if near.any():
                 hit = left[near]
                 found += [(x, int(y)) for y in hit]
@@ -125,7 +138,7 @@ def cross_links(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int,
             here, there, left = (a, b, cols) if side == 0 else (b, a, rows)
             if not len(left):
                 continue
-            near = np.bitwise_count(there[left] ^ here[x]) <= distance
+            near = _apart(there[left], here[x]) <= distance
             if near.any():
                 hit = left[near]
                 found += [(x, int(y)) if side == 0 else (int(y), x) for y in hit]
@@ -156,72 +169,80 @@ def _pairs_table(pairs: list[np.ndarray], hot: list[tuple[int, int, bytes]]) ->
     )
 
 
-def links(prints: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
-    """``prints(fp long)``, distinct -> (a, b): links that connect exactly the
-    fingerprints which a chain of pairs at ``distance`` or fewer bits connects.
+def _links(nodes: DataFrame, values_of: Callable, prints_of: Callable, distance: int, parts: int | None) -> DataFrame:
+    """(a, b): links that connect exactly the nodes which chains of verified
+    pairs connect, where a pair is tried if it shares a value.
+
+    ``values_of(batch)`` gives the node keys (int64) and their values (nodes x
+    values, uint64), ``prints_of(keys)`` the fingerprints as rows of words.
     """
-    spark = prints.sparkSession
+    spark = nodes.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    masks = np.array(block_masks(distance=distance), dtype=np.uint64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Deal (value, fp) to parts; one packed row per part and batch."""
+        """Deal (value, key) to parts; one packed row per part and batch."""
         for batch in batches:
-            fps = np.asarray(batch.column(0)).view(np.uint64)
-            for lo in range(0, len(fps), 1 << 16):
-                own = fps[lo : lo + (1 << 16)]
-                with np.errstate(over="ignore"):
-                    values = mix64(((own[:, None] & masks) ^ mix64(masks + np.uint64(1))).ravel())
+            for lo in range(0, batch.num_rows, 1 << 13):
+                keys, values = values_of(batch.slice(lo, 1 << 13))
+                rows, values = np.repeat(keys, values.shape[1]), values.ravel()
                 part = ((values >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                values, rows = values[order], np.repeat(own, len(masks))[order]
-                used = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(used.astype(np.int32)),
-                        pa.array([np.stack([values[cuts[p] : cuts[p + 1]], rows[cuts[p] : cuts[p + 1]]]).tobytes() for p in used], pa.binary()),
-                    ],
-                    names=["part", "packed"],
-                )
+                for p, idx in by_part(part):
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.stack([values[idx], rows[idx].view(np.uint64)]).tobytes()], pa.binary())], names=["part", "packed"])
 
     def meet(table: pa.Table) -> pa.Table:
         both = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in table.column("packed")], axis=1)
         order = np.lexsort((both[1], both[0]))
-        values, fps = both[0][order], both[1][order]
+        values, keys = both[0][order], both[1][order].view(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
         sizes = np.diff(np.append(starts, len(values)))
+        pairs: list[np.ndarray] = []
         two = starts[sizes == 2]
-        near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
-        pairs = [np.stack([fps[near], fps[near + 1]], axis=1).view(np.int64)]
+        for lo in range(0, len(two), 1 << 13):
+            at = two[lo : lo + (1 << 13)]
+            near = at[_apart(prints_of(keys[at]), prints_of(keys[at + 1])) <= distance]
+            pairs.append(np.stack([keys[near], keys[near + 1]], axis=1))
         hot: list[tuple[int, int, bytes]] = []
         for s, m in zip(starts[sizes > 2], sizes[sizes > 2]):
-            group = fps[s : s + m]
+            group = keys[s : s + m]
             for k in range(0, m, HOT):
                 own = group[k : k + HOT]
-                got = spanning_links(own, distance)
+                got = spanning_links(prints_of(own), distance)
                 if got:
-                    pairs.append(own[np.array(got)].view(np.int64))
+                    pairs.append(own[np.array(got)])
                 if m > HOT:
                     hot.append((int(values[s].view(np.int64)), k // HOT, own.tobytes()))
-        return _pairs_table(pairs, hot)
+        flat = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        return _pairs_table([flat], hot)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1)):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                got = cross_links(a, b, distance)
+                a, b = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+                got = cross_links(prints_of(a), prints_of(b), distance)
                 if got:
                     at = np.array(got)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at[:, 0]].view(np.int64)), pa.array(b[at[:, 1]].view(np.int64))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at[:, 0]]), pa.array(b[at[:, 1]])], names=["a", "b"])
 
-    met = cut_lineage(prints.select("fp").mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(meet, _LINK))
+    met = cut_lineage(nodes.mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(meet, _LINK))
     blocks = met.where("block >= 0").select("value", "block", "members")
     later = blocks.select("value", F.col("block").alias("next"), F.col("members").alias("others"))
     crossed = blocks.join(later, "value").where("block < next").select("members", "others").mapInArrow(verify, "a long, b long")
     return met.where("block < 0").select("a", "b").unionByName(crossed)
 
 
+def links(prints: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
+    """``prints(fp long)``, distinct -> (a, b) connecting all fingerprints that
+    chains of pairs at ``distance`` or fewer bits connect."""
+    masks = np.array(block_masks(distance=distance), dtype=np.uint64)
+
+    def values_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.asarray(batch.column(0))
+        with np.errstate(over="ignore"):
+            return keys, mix64((keys.view(np.uint64)[:, None] & masks) ^ mix64(masks + np.uint64(1)))
+
+    return _links(prints.select("fp"), values_of, lambda keys: keys.view(np.uint64)[:, None], distance, parts)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
@@ -240,3 +261,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut_lineage(classed.join(lowest, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+LONG_WORDS = 32
+BLOCK_BITS = 20
+BLOCKS = LONG_WORDS * 64 // BLOCK_BITS
+
+
+def long_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id, fp binary): fingerprints of ``LONG_WORDS`` words of 64 bits.
+
+    Each distinct shingle counts once; its further hashes are mixed from
+    its first.  A text without words has an empty fingerprint.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = flat_text(batch.column(1))
+            whole = data.tobytes()
+            out: list[bytes] = []
+            for lo, hi in slices(bounds):
+                each = [np.unique(np.array(shingle_hashes(whole[bounds[i] : bounds[i + 1]], width), np.uint64)) for i in range(lo, hi)]
+                flat, counts = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+                long = np.empty((hi - lo, LONG_WORDS), np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(LONG_WORDS):
+                        long[:, k] = fold_bits(mix64(flat + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)), counts)
+                out += [row.tobytes() if n else b"" for row, n in zip(long, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "fp"])
+
+    source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    return source.mapInArrow(run, f"{id_col} long, fp binary")
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits expected at a Jaccard similarity of two equally long
+    texts, plus one and a half standard deviations."""
+    bits = LONG_WORDS * 64
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
+    return int(bits * p + 1.5 * np.sqrt(bits * p * (1 - p)))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, group, first_id) of every row: groups of texts linked by chains of
+    pairs whose estimated shingle similarity is ``similarity`` or more.
+
+    ``first_id`` is the smallest id of the group.  Texts without words are
+    one group, equal texts always share one; null ids are as in
+    ``near_duplicates``.
+    """
+    spark = docs.sparkSession
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder, limit = new_folder(spark, "simhash"), most_bits(similarity)
+    marked = long_prints(docs, id_col, text_col, width).withColumn("node", F.shiftrightunsigned(F.xxhash64("fp"), 16))
+    marked = cut_lineage(marked.select(id_col, "node", "fp"))
+    nodes = marked.groupBy("node").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"))
+    nodes = cut_lineage(nodes)
+    filled = nodes.where(F.octet_length("fp") > 0).select("node", "fp")
+
+    def store(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        keys = np.asarray(table.column("node").combine_chunks()).view(np.uint64)
+        order = np.argsort(keys)
+        raw = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, LONG_WORDS)
+        write_arrays(folder, f"prints-{part}", [*HashArray.layout(keys[order]), raw[order].ravel()])
+        return pa.table({"part": pa.array([part], pa.int32())})
+
+    filled.withColumn("part", F.pmod("node", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(store, "part int").count()
+
+    def prints_of(keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(keys), LONG_WORDS), np.uint64)
+        for p, idx in by_part(keys % parts):
+            if exists(folder, f"prints-{p}"):
+                offsets, low, flat = read_arrays(folder, f"prints-{p}", ["<u8", "<u4", "<u8"])
+                out[idx] = flat.reshape(-1, LONG_WORDS)[HashArray(offsets, low).find(keys[idx].view(np.uint64))]
+        return out
+
+    powers = np.uint64(1) << np.arange(BLOCK_BITS, dtype=np.uint64)
+
+    def values_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, LONG_WORDS * 8)
+        values = np.empty((len(raw), BLOCKS), np.uint64)
+        for lo in range(0, len(raw), 512):
+            bits = np.unpackbits(raw[lo : lo + 512], axis=1)[:, : BLOCKS * BLOCK_BITS]
+            values[lo : lo + 512] = bits.reshape(-1, BLOCKS, BLOCK_BITS) @ powers
+        with np.errstate(over="ignore"):
+            return np.asarray(batch.column(0)), mix64(values + (np.arange(BLOCKS, dtype=np.uint64) << np.uint64(40)))
+
+    rooted = components(_links(filled, values_of, prints_of, limit, None)).withColumnRenamed("root", "group")
+    classed = nodes.select("node", "first_id").join(rooted, "node", "left").select("node", "first_id", F.coalesce("group", "node").alias("group"))
+    lowest = classed.groupBy("group").agg(F.min("first_id").alias("low"))
+    named = cut_lineage(classed.join(lowest, "group").select("node", "group", F.col("low").alias("first_id")))
+    return marked.select(id_col, "node").join(named, "node").select(id_col, "group", "first_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of
+    ``similar_texts`` the row with the smallest id stays (a null id last, then
+    by a hash of id and text), once if the row itself repeats."""
+    keyed = docs.withColumn("_row_key", F.xxhash64(id_col, text_col))
+    grouped = similar_texts(keyed, "_row_key", text_col, width, similarity).select("_row_key", "group").distinct()
+    named = keyed.select("_row_key", F.col(id_col).alias("_id")).join(grouped, "_row_key")
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row_key")))
+    kept = cut_lineage(named.groupBy("group").agg(first.alias("first")).select(F.col("first._row_key").alias("_row_key")))
+    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(docs.columns)

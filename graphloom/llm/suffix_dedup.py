@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.arrow_text import flat_text, mix64, slices, span_hashes
 from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, read_arrays, write_arrays
@@ -409,12 +410,14 @@ def _removed(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int,
     return np.cumsum(delta[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, parts: int | None = None, keep_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, parts: int | None = None, whole_rows: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with
+    ``whole_rows`` instead the rows of ``docs``, their text cut to what is kept.
 
     A null text is empty.  Rows with a null id take no part and lose nothing;
-    rows that repeat an id do not remove each other.  ``kept_text`` decodes
-    the kept bytes; a character cut in two at a removed span is dropped.
+    rows that repeat an id do not remove each other.  Kept bytes become text
+    again without the parts of characters cut in two at a removed span; a
+    null text stays null.
     Windows need ``length`` bytes, at least 24.
     """
     if length < GRAM + 8:
@@ -422,6 +425,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     parts = parts or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = new_folder(spark, "suffix-dedup")
+    text_at = docs.columns.index(text_col)
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     _find_shared(source, length, folder, parts)
     _find_cover(source, length, folder, parts)
@@ -444,11 +448,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
                 whole, kept = part[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))[at].tolist()
                 left = [whole[a:b] for a, b in zip(kept, kept[1:])]
+                if whole_rows:
+                    null = batch.column(1)[lo:hi].is_null().to_pylist()
+                    texts = pa.array([None if gap else x.decode("utf-8", "ignore") for x, gap in zip(left, null)], pa.string())
+                    yield pa.RecordBatch.from_arrays([texts if k == text_at else c[lo:hi] for k, c in enumerate(batch.columns[2:])], names=[f"c{k}" for k in range(batch.num_columns - 2)])
+                    continue
                 columns = [batch.column(0)[lo:hi], *(pa.array(x.astype(np.int64)) for x in (np.diff(at), total(gone), total(start))), pa.array([hashlib.sha256(x).hexdigest() for x in left])]
-                if keep_text:
-                    columns.append(pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
-    schema = "c0 long, c1 long, c2 long, c3 long, c4 string" + ", c5 string" * keep_text
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
-    return source.mapInArrow(finish, schema).toDF(*names)
+    if whole_rows:
+        carried = docs.select(F.col(id_col).cast("long").alias("_0"), F.col(text_col).cast("string").alias("_1"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
+        schema = T.StructType([T.StructField(f.name, T.StringType() if k == text_at else f.dataType) for k, f in enumerate(carried.schema.fields[2:])])
+        return carried.mapInArrow(finish, schema).toDF(*docs.columns)
+    return source.mapInArrow(finish, "c0 long, c1 long, c2 long, c3 long, c4 string").toDF(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
