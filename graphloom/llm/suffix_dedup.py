@@ -37,6 +37,7 @@ from graphloom.llm.arrow_text import flat_text, mix64, slices, span_hashes
 from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, read_arrays, write_arrays
 
 GRAM = 16
+HEAD = 7
 PASS_BYTES = 2 << 20
 FLUSH_BYTES = 12 << 20
 NO_DOC = np.iinfo(np.int64).max
@@ -125,7 +126,8 @@ def _lookup(folder: str, prefix: str, keys: np.ndarray, part: np.ndarray, dtypes
 
 def shared_items(data: np.ndarray, bounds: np.ndarray, length: int, folder: str, parts: int) -> tuple[Segments, np.ndarray, np.ndarray]:
     """Segments with a shared name, heavy ones window by window, with the
-    48-bit content key and the part of each."""
+    48-bit content key and the 48-bit route of each: equal windows stand in
+    segments of one route."""
     seg = winnow(data, bounds, length)
     flag = np.zeros(len(seg.name), np.uint8)
     for idx, at, (flags,) in _lookup(folder, "shared", seg.name, _part_of(seg.name, parts), ["u1"]):
@@ -138,73 +140,69 @@ def shared_items(data: np.ndarray, bounds: np.ndarray, length: int, folder: str,
             route = np.concatenate([route, mix64(ends[0] * np.uint64(3) + ends[1]) ^ heavy.name])
     items = _join(light, heavy)
     content = span_hashes(data, items.start, items.end)
-    return items, (content >> np.uint64(16)), _part_of(route, parts)
+    return items, content >> np.uint64(16), route & np.uint64((1 << 48) - 1)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, place) of all suffixes by their first ``depth`` symbols or more,
-    ties by position; symbols are 0..256.  Prefix doubling from packed sevens."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, place, heads): all suffixes by their first ``depth`` symbols or
+    more, ties in any order, and the first ``HEAD`` symbols of each row packed
+    into a number.  Symbols are 0..256; prefix doubling from the heads."""
     n = len(text)
     if n >= 1 << 31:
         raise ValueError("a part holds 2 GiB of segments; use more parts")
-    padded = np.zeros(n + 7, np.int64)
+    padded = np.zeros(n + HEAD, np.int64)
     padded[:n] = text
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = (key << 9) | padded[k : k + n]
-    have = 7
+    heads = np.zeros(n, np.int64)
+    for k in range(HEAD):
+        heads = (heads << 9) | padded[k : k + n]
+    key, have = heads, HEAD
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
         if have >= depth:
             break
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
         after = np.zeros(n, np.int64)
         after[: max(n - have, 0)] = rank[have:] + 1
         key = rank * (n + 1) + after
         have *= 2
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
-    return order.astype(np.int32), place
+    return order.astype(np.int32), place, heads[order]
 
 
-def bounded_boundaries(text: np.ndarray, order: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+def bounded_boundaries(text: np.ndarray, order: np.ndarray, place: np.ndarray, heads: np.ndarray, length: int) -> np.ndarray:
     """True at each row of the suffix order whose common prefix with the row
     before is shorter than ``length``; symbol 0 separates texts.
 
-    Intervals of rows are extended backwards by every symbol that the
-    transform shows in them, breadth first.  An interval found at level l
-    whose right boundary is still open sets it: the prefix there has length
-    l.  Only such intervals are extended further.  No string reaches over a
-    separator.
+    The search starts at the intervals of equal heads.  Intervals of rows
+    are extended backwards by every symbol that the transform shows in them,
+    breadth first.  An interval found at a level whose right boundary is
+    still open sets it: that is the common prefix there.  Only such
+    intervals are extended further, and none by a separator.
     """
     n = len(text)
     before = text[order - 1]
     back = place[order - 1]
-    bound = np.zeros(n + 1, bool)
-    bound[[0, n]] = True
-    lb, rb = np.zeros(1, np.int64), np.full(1, n)
-    for level in range(length):
+    bound = np.ones(n + 1, bool)
+    bound[1:n] = heads[1:] != heads[:-1]
+    edges = np.flatnonzero(bound)
+    lb, rb = edges[:-1], edges[1:]
+    for _ in range(HEAD, length):
         sizes = rb - lb
         rows = np.repeat(lb - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        own = np.repeat(np.arange(len(lb)), sizes)
         symbol = before[rows]
-        if level:
-            keep = symbol > 0
-            rows, own, symbol = rows[keep], own[keep], symbol[keep]
+        keep = symbol > 0
+        rows, key = rows[keep], (np.repeat(np.arange(len(lb)), sizes)[keep] * 257) + symbol[keep]
         if not len(rows):
             break
-        key = own * 257 + symbol
-        by = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(key[by]) != 0)))
-        target = back[rows][by]
+        by = np.argsort(key)
+        key = key[by]
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        target = back[rows[by]]
         left, right = np.minimum.reduceat(target, cut), np.maximum.reduceat(target, cut) + 1
         fresh = ~bound[right]
-        # the last child of an interval ends at a boundary that is known, yet
-        # at the first level every symbol's interval has to be followed
-        if level == 0:
-            fresh[:] = True
         bound[right] = True
         lb, rb = left[fresh], right[fresh]
     return bound[:n]
@@ -217,8 +215,8 @@ def covered_windows(items: list[bytes], docs: np.ndarray, length: int) -> list[n
     raw = np.frombuffer(b"".join(x + b"\0" for x in items), np.uint8)
     text = raw.astype(np.int16) + np.int16(1)
     text[at[1:] - 1] = 0
-    order, place = suffix_order(text, length + 6)
-    bound = bounded_boundaries(text, order, place, length)
+    order, place, heads = suffix_order(text, length + 6)
+    bound = bounded_boundaries(text, order, place, heads, length)
     own = np.searchsorted(at, order, side="right") - 1
     offset = order - at[own]
     whole = offset + length <= sizes[own]
@@ -325,40 +323,40 @@ def _find_shared(source: DataFrame, length: int, folder: str, parts: int) -> Non
     source.mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(merge, "part int, packed binary").count()
 
 
+def _smallest(route: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each distinct (route, key) the item with the smallest document, by route."""
+    order = np.lexsort((doc, key, route))
+    new = np.ones(len(order), bool)
+    k, r = key[order], route[order]
+    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    return order[new]
+
+
 def _find_cover(source: DataFrame, length: int, folder: str, parts: int) -> None:
     """Pass 2: for each distinct segment its first document and which of its
     windows a still smaller document holds in another segment."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(keys: list, docs: list, routes: list, texts: list) -> Iterator[pa.RecordBatch]:
-            key, doc, part = np.concatenate(keys), np.concatenate(docs), np.concatenate(routes)
+            key, doc, route = np.concatenate(keys), np.concatenate(docs), np.concatenate(routes)
             text = [x for y in texts for x in y]
-            order = np.lexsort((doc, key, part))
-            new = np.ones(len(order), bool)
-            k, p = key[order], part[order]
-            new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-            first = order[new]
+            first = _smallest(route, key, doc)
 
             def pack(i: np.ndarray) -> bytes:
                 own = first[i]
                 body = [text[j] for j in own.tolist()]
-                return _blob(_planes(key[own]), doc[own], np.array([len(b) for b in body], "<u4"), np.frombuffer(b"".join(body), np.uint8))
+                return _blob(_planes(route[own]), key[own], doc[own], np.array([len(b) for b in body], "<u4"), np.frombuffer(b"".join(body), np.uint8))
 
-            yield from _send(part[first], pack)
+            yield from _send(_part_of(route[first], parts), pack)
 
         keys, docs, routes, texts, held = [], [], [], [], 0
         for ids, data, bounds in _text_slices(batches):
-            items, key, part = shared_items(data, bounds, length, folder, parts)
-            # one of each distinct segment of the slice, with its smallest document
-            order = np.lexsort((ids[items.row], key, part))
-            k, p = key[order], part[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-            own = order[new]
+            items, key, route = shared_items(data, bounds, length, folder, parts)
+            own = _smallest(route, key, ids[items.row])
             whole = data.tobytes()
             keys.append(key[own])
             docs.append(ids[items.row[own]])
-            routes.append(part[own])
+            routes.append(route[own])
             texts.append([whole[a:b] for a, b in zip(items.start[own].tolist(), items.end[own].tolist())])
             held += sum(map(len, texts[-1]))
             if held >= FLUSH_BYTES:
@@ -369,21 +367,26 @@ def _find_cover(source: DataFrame, length: int, folder: str, parts: int) -> None
 
     def merge(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        keys, docs, bodies = [], [], []
+        routes, keys, docs, bodies = [], [], [], []
         for x in table.column("packed"):
-            planes, doc, sizes, raw = _unblob(x.as_py(), ["u1", "<i8", "<u4", "u1"])
-            keys.append(_from_planes(planes))
+            planes, key, doc, sizes, raw = _unblob(x.as_py(), ["u1", "<u8", "<i8", "<u4", "u1"])
+            routes.append(_from_planes(planes))
+            keys.append(key)
             docs.append(doc)
             whole, cuts = raw.tobytes(), np.concatenate(([0], np.cumsum(sizes.astype(np.int64)))).tolist()
             bodies += [whole[a:b] for a, b in zip(cuts, cuts[1:])]
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((doc, key))
-        first = order[np.concatenate(([True], np.diff(key[order]) != 0))]
-        key, doc = key[first], doc[first]
-        covered = covered_windows([bodies[j] for j in first.tolist()], doc, length)
-        sizes = np.array([len(c) for c in covered])
-        some = np.flatnonzero(sizes)
-        flat = np.concatenate([covered[i] for i in some]).astype("<u4") if len(some) else np.zeros(0, "<u4")
+        route, key, doc = np.concatenate(routes), np.concatenate(keys), np.concatenate(docs)
+        first = _smallest(route, key, doc)
+        first = first[np.argsort(key[first], kind="stable")]
+        route, key, doc = route[first], key[first], doc[first]
+        # a route with a single segment is one interval a window, of one document
+        _, group, variants = np.unique(route, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(variants[group] > 1)
+        sizes, flat = np.zeros(len(key), np.int64), np.zeros(0, "<u4")
+        if len(mixed):
+            covered = covered_windows([bodies[j] for j in first[mixed].tolist()], doc[mixed], length)
+            sizes[mixed] = [len(c) for c in covered]
+            flat = np.concatenate(covered).astype("<u4")
         write_arrays(folder, f"cover-{part}", [*HashArray.layout(key), doc.astype("<i8"), np.cumsum(np.append(0, sizes)).astype("<u8"), flat])
         return pa.table({"part": pa.array([part], pa.int32()), "packed": pa.array([b""], pa.binary())})
 
@@ -392,9 +395,9 @@ def _find_cover(source: DataFrame, length: int, folder: str, parts: int) -> None
 
 def _removed(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int, folder: str, parts: int) -> np.ndarray:
     """Which bytes of a slice go."""
-    items, key, part = shared_items(data, bounds, length, folder, parts)
+    items, key, route = shared_items(data, bounds, length, folder, parts)
     delta = np.zeros(len(data) + 1, np.int32)
-    for idx, at, (first, cuts, windows) in _lookup(folder, "cover", key, part, ["<i8", "<u8", "<u4"]):
+    for idx, at, (first, cuts, windows) in _lookup(folder, "cover", key, _part_of(route, parts), ["<i8", "<u8", "<u4"]):
         own = ids[items.row[idx]]
         late = idx[first[at] < own]
         np.add.at(delta, items.start[late], 1)
