@@ -1,11 +1,765 @@
-"""Registry of the engine's queries with their oracle SQL."""
+"""Registry of the engine's queries with their oracle SQL.
+
+A query takes ``(spark, folder)`` and applies operators to whole tables of
+the folder; its oracle is written in plain SQL from the definition of the
+result.  Values are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import scalar
+from graphloom.functions.scalar import rounded
+from graphloom.functions.session import cut_lineage, table
+from graphloom.operators import blocks, evaluate, graph, linalg, models, samplers, splits, walks
+from graphloom.sources import fixtures
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "link_auc_nation"
+
+EDGES = """edges AS (
+  SELECT CAST(c.c_nationkey AS BIGINT) AS src, CAST(s.s_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS w
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2)"""
+GROUPS = "groups AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS grp FROM nation)"
+PARTS = """parts AS (
+  SELECT a.l_partkey AS src, b.l_partkey AS dst, CAST(count(*) AS DOUBLE) AS w
+  FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b
+  ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2)"""
+BIPARTITE = "bip AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2)"
+EVENTS = """walks AS (
+  SELECT user_id AS walk_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
+         dense_rank() OVER (ORDER BY event_type) - 1 AS node FROM events)"""
+TRANS = "trans AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM edges)"
+PSBM = """lam AS (SELECT a.grp AS src, b.grp AS dst, sum(w) AS w FROM edges JOIN groups a ON a.id = src JOIN groups b ON b.id = dst GROUP BY 1, 2),
+psbm AS (SELECT src, dst, w / greatest(sum(w) OVER (PARTITION BY src), 1.0) AS w FROM lam)"""
+INDEG = "indeg AS (SELECT dst AS id, sum(w) AS d FROM edges GROUP BY 1)"
+CDF = """cdf AS (SELECT src, dst, sum(w) OVER r - w AS lo, sum(w) OVER r AS hi, sum(w) OVER (PARTITION BY src) AS tot FROM edges
+  WINDOW r AS (PARTITION BY src ORDER BY dst ROWS UNBOUNDED PRECEDING))"""
+
+
+def u(*parts: str) -> str:
+    """The portable uniform draw in SQL; parts are SQL expressions."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE))"
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6) + 0.0"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _w(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", rounded(F.col("w")).alias("w"))
+
+
+def _nation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return cut_lineage(fixtures.nation_edges(spark, d)), fixtures.nation_groups(spark, d)
+
+
+# ---------------------------------------------------------------- graphs
+
+query("edges_nation", f"WITH {EDGES} SELECT src, dst, w FROM edges")(fixtures.nation_edges)
+query("edges_supplier_part", f"WITH {BIPARTITE} SELECT * FROM bip")(fixtures.supplier_part_edges)
+query("edges_part_copurchase", f"WITH {PARTS} SELECT * FROM parts")(fixtures.part_pairs)
+
+
+@query("reindex_nodes", f"""WITH {BIPARTITE}, ids AS (SELECT src AS id FROM bip UNION SELECT dst FROM bip)
+SELECT id, row_number() OVER (ORDER BY id) - 1 AS code FROM ids""")
+def _reindex(spark: SparkSession, d: str) -> DataFrame:
+    return graph.dense_codes(graph.nodes_of(fixtures.supplier_part_edges(spark, d)), "id")
+
+
+@query("reindexed_edges", f"""WITH {BIPARTITE}, ids AS (SELECT src AS id FROM bip UNION SELECT dst FROM bip),
+c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS code FROM ids)
+SELECT a.code AS src, b.code AS dst, w FROM bip JOIN c a ON a.id = src JOIN c b ON b.id = dst""")
+def _reindexed(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reindexed(fixtures.supplier_part_edges(spark, d))[0]
+
+
+@query("symmetrize", f"WITH {EDGES} SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges) GROUP BY 1, 2")
+def _symmetrize(spark: SparkSession, d: str) -> DataFrame:
+    return graph.symmetrised(fixtures.nation_edges(spark, d))
+
+
+query("upper_triangle", f"WITH {EDGES} SELECT src, dst, w FROM edges WHERE src < dst")(lambda s, d: graph.upper_triangle(fixtures.nation_edges(s, d)))
+query("no_self_loops", f"WITH {EDGES} SELECT src, dst, w FROM edges WHERE src <> dst")(lambda s, d: graph.without_loops(fixtures.nation_edges(s, d)))
+
+
+@query("directed_mix", f"""WITH {EDGES}, o AS (SELECT src AS id, sum(w) AS o FROM edges GROUP BY 1), i AS (SELECT dst AS id, sum(w) AS i FROM edges GROUP BY 1),
+eta AS (SELECT coalesce(o.id, i.id) AS id, CASE WHEN coalesce(o, 0) = 0 THEN 1.0 WHEN coalesce(i, 0) = 0 THEN 0.0
+  ELSE o * CAST(0.3 AS DOUBLE) / (i * CAST(0.7 AS DOUBLE) + o * CAST(0.3 AS DOUBLE)) END AS eta FROM o FULL JOIN i ON o.id = i.id)
+SELECT src, dst, {r6('sum(w)')} AS w FROM (
+  SELECT src, dst, w * (1 - eta) AS w FROM edges JOIN eta ON eta.id = src UNION ALL
+  SELECT dst, src, w * eta FROM edges JOIN eta ON eta.id = dst) GROUP BY 1, 2""")
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    return _w(graph.directed_mix(fixtures.nation_edges(spark, d), 0.3))
+
+
+@query("weak_reciprocal", f"WITH {EDGES} SELECT src, dst, {r6('sum(w)')} AS w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w * CAST(0.01 AS DOUBLE) FROM edges) GROUP BY 1, 2")
+def _weak(spark: SparkSession, d: str) -> DataFrame:
+    return _w(graph.weak_reciprocal(fixtures.nation_edges(spark, d)))
+
+
+@query("degree_in_out", f"""WITH {BIPARTITE} SELECT id, sum(o) AS out_w, sum(i) AS in_w FROM (
+  SELECT src AS id, w AS o, CAST(0 AS DOUBLE) AS i FROM bip UNION ALL SELECT dst, CAST(0 AS DOUBLE), w FROM bip) GROUP BY 1""")
+def _degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(fixtures.supplier_part_edges(spark, d))
+
+
+@query("mean_degree", f"WITH {EDGES} SELECT {r6('sum(w) / (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges))')} AS mean_degree FROM edges")
+def _mean_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.mean_degree(fixtures.nation_edges(spark, d)).select(rounded(F.col("mean_degree")).alias("mean_degree"))
+
+
+query("transition_matrix", f"WITH {EDGES}, {TRANS} SELECT src, dst, {r6('w')} AS w FROM trans")(lambda s, d: _w(graph.transition(fixtures.nation_edges(s, d))))
+
+
+@query("norm_adjacency", f"""WITH {EDGES}, dg AS (SELECT src AS id, greatest(sum(w), 1e-12) AS d FROM edges GROUP BY 1)
+SELECT src, dst, {r6('w * sqrt(1 / a.d) * sqrt(1 / b.d)')} AS w FROM edges JOIN dg a ON a.id = src JOIN dg b ON b.id = dst""")
+def _norm(spark: SparkSession, d: str) -> DataFrame:
+    return _w(graph.normalised_adjacency(fixtures.nation_edges(spark, d)))
+
+
+@query("fairwalk_weights", f"WITH {EDGES}, {GROUPS} SELECT src, dst, {r6('1.0 / count(*) OVER (PARTITION BY src, grp)')} AS w FROM edges JOIN groups ON id = dst")
+def _fair(spark: SparkSession, d: str) -> DataFrame:
+    return _w(graph.fairwalk_weights(fixtures.nation_edges(spark, d), fixtures.nation_groups(spark, d)))
+
+
+@query("fairwalk_degree_classes", f"""WITH {BIPARTITE}, b2 AS (SELECT src, dst, w FROM bip UNION ALL SELECT dst, src, w FROM bip),
+c AS (SELECT src AS id, count(*) AS grp FROM b2 GROUP BY 1) SELECT src, dst, {r6('1.0 / count(*) OVER (PARTITION BY src, grp)')} AS w FROM b2 JOIN c ON id = dst""")
+def _fair_degree(spark: SparkSession, d: str) -> DataFrame:
+    return _w(graph.fairwalk_weights(graph.symmetrised(fixtures.supplier_part_edges(spark, d))))
+
+
+@query("line_graph_pq", f"""WITH {EDGES} SELECT a.src AS prev, a.dst AS cur, b.dst AS nxt,
+{r6('b.w * CASE WHEN b.dst = a.src THEN 1.0 / 0.5 WHEN c.src IS NOT NULL THEN 1.0 ELSE 1.0 / 2.0 END')} AS w
+FROM edges a JOIN edges b ON a.dst = b.src LEFT JOIN edges c ON c.src = a.src AND c.dst = b.dst
+UNION ALL SELECT src, src, dst, w FROM edges""")
+def _line(spark: SparkSession, d: str) -> DataFrame:
+    return graph.line_graph(fixtures.nation_edges(spark, d), 0.5, 2.0).select("prev", "cur", "nxt", rounded(F.col("w")).alias("w"))
+
+
+query("membership_matrix", f"WITH {GROUPS} SELECT DISTINCT id AS src, grp AS dst, CAST(1 AS DOUBLE) AS w FROM groups")(lambda s, d: graph.membership_matrix(fixtures.nation_groups(s, d)))
+
+
+def _sparse_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts bought together and close in number: a graph of many components."""
+    return fixtures.part_pairs(spark, d).where("dst - src <= 3")
+
+
+COMPONENTS = f"""{PARTS}, near AS (SELECT src, dst, w FROM parts WHERE dst - src <= 3),
+both_ways AS (SELECT src AS a, dst AS b FROM near UNION SELECT dst, src FROM near),
+reach(id, label) AS (SELECT a, a FROM both_ways UNION SELECT b, label FROM reach JOIN both_ways ON a = id),
+comp AS (SELECT id, min(label) AS label FROM reach GROUP BY 1)"""
+
+
+query("components", f"WITH RECURSIVE {COMPONENTS} SELECT id, label FROM comp")(lambda s, d: graph.components(_sparse_parts(s, d)))
+
+
+@query("largest_component", f"""WITH RECURSIVE {COMPONENTS},
+best AS (SELECT label FROM comp GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1)
+SELECT src, dst, w FROM near JOIN comp ON id = src WHERE label = (SELECT label FROM best)""")
+def _largest(spark: SparkSession, d: str) -> DataFrame:
+    return graph.largest_component(_sparse_parts(spark, d))
+
+
+query("connectivity", f"WITH RECURSIVE {COMPONENTS} SELECT count(*) AS n_nodes, count(DISTINCT label) AS n_components, count(DISTINCT label) = 1 AS connected FROM comp")(
+    lambda s, d: graph.connectivity(_sparse_parts(s, d))
+)
+
+
+def _tree_weight_sql() -> str:
+    # an edge is in the forest iff its ends are not joined by strictly smaller edges
+    return f"""WITH RECURSIVE {EDGES}, und AS (
+  SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(w) AS w FROM edges WHERE src <> dst GROUP BY 1, 2),
+k AS (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS k FROM und),
+step AS (SELECT a AS x, b AS y, k FROM k UNION ALL SELECT b, a, k FROM k),
+reach(k, goal, id) AS (SELECT k, b, a FROM k UNION SELECT r.k, r.goal, s.y FROM reach r JOIN step s ON s.x = r.id AND s.k < r.k)
+SELECT a AS src, b AS dst, w FROM k WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.k = k.k AND r.id = r.goal)"""
+
+
+query("spanning_tree", _tree_weight_sql())(lambda s, d: graph.spanning_tree(fixtures.nation_edges(s, d)))
+
+
+@query("two_block_graph", f"""WITH n AS (SELECT CAST(range AS BIGINT) AS i FROM range(60)), p AS (
+SELECT a.i AS src, b.i AS dst FROM n a JOIN n b ON a.i < b.i), k AS (SELECT src, dst FROM p WHERE {u("'blocks'", 'src', 'dst', "'7'")} <
+CASE WHEN floor(2 * src / 60) = floor(2 * dst / 60) THEN CAST(0.28 AS DOUBLE) ELSE CAST(0.12 AS DOUBLE) END)
+SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM k UNION ALL SELECT dst, src, CAST(1 AS DOUBLE) FROM k""")
+def _two_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return graph.two_block_graph(spark, 60, 0.28, 0.12, 7)
+
+
+query("block_shuffled_graph")(lambda s, d: graph.block_shuffled(fixtures.nation_edges(s, d), fixtures.nation_groups(s, d)))
+query("value_counts", f"WITH {EVENTS} SELECT node, count(*) AS n FROM walks GROUP BY 1")(lambda s, d: fixtures.event_walks(s, d).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- walks
+
+query("cdf_table", f"WITH {EDGES}, {CDF} SELECT src, dst, {r6('hi / tot')} AS cum FROM cdf")(lambda s, d: walks.cdf_table(fixtures.nation_edges(s, d)).select("src", "dst", rounded(F.col("cum")).alias("cum")))
+
+STARTS = "s0 AS (SELECT id * 2 + k AS walk_id, id AS start, id AS node FROM groups, (SELECT CAST(range AS BIGINT) AS k FROM range(2)))"
+
+
+def _walk_sql(length: int, node: str) -> str:
+    ctes = [EDGES, GROUPS, CDF, STARTS]
+    for t in range(1, length):
+        draw = u("'walk'", "walk_id", f"'{t}'", "'42'")
+        ctes.append(f"s{t} AS MATERIALIZED (SELECT walk_id, start, {node.format(t=t)} AS node FROM (SELECT walk_id, start, node, {draw} AS u FROM s{t - 1}) p JOIN cdf c ON c.src = p.node AND u * tot >= lo AND u * tot < hi)")
+    union = " UNION ALL ".join(f"SELECT walk_id, CAST({t} AS BIGINT) AS step, node FROM s{t}" for t in range(length))
+    return f"WITH {', '.join(ctes)} {union}"
+
+
+def _starts(spark: SparkSession, d: str) -> DataFrame:
+    return walks.start_walks(fixtures.nation_groups(spark, d).select("id"), 2)
+
+
+query("walk_first_order", _walk_sql(8, "c.dst"))(lambda s, d: walks.walk(fixtures.nation_edges(s, d), _starts(s, d), 8, 42))
+RESTART = u("'restart'", "walk_id", "'{t}'", "'42'")
+query("walk_restart", _walk_sql(6, f"CASE WHEN {RESTART} <= 0.3 THEN start ELSE c.dst END"))(lambda s, d: walks.walk(fixtures.nation_edges(s, d), _starts(s, d), 6, 42, 0.3))
+TELEPORT = u("'teleport'", "walk_id", "'{t}'", "'42'")
+query("walk_teleport", _walk_sql(6, f"CASE WHEN {RESTART} <= 0.3 THEN CAST(floor({TELEPORT} * 25) AS BIGINT) ELSE c.dst END"))(
+    lambda s, d: walks.walk(fixtures.nation_edges(s, d), _starts(s, d), 6, 42, 0.3, 25)
+)
+
+
+def _biased_sql(length: int, p: float, q: float) -> str:
+    ctes = [EDGES, GROUPS, CDF, "s0 AS (SELECT id * 2 + k AS walk_id, id AS prev, id AS cur FROM groups, (SELECT CAST(range AS BIGINT) AS k FROM range(2)))"]
+    ctes.append(f"""second AS (SELECT prev, cur, nxt, sum(w) OVER r - w AS lo, sum(w) OVER r AS hi, sum(w) OVER (PARTITION BY prev, cur) AS tot FROM (
+  SELECT a.src AS prev, a.dst AS cur, b.dst AS nxt, b.w * CASE WHEN b.dst = a.src THEN {1 / p} WHEN c.src IS NOT NULL THEN 1.0 ELSE {1 / q} END AS w
+  FROM edges a JOIN edges b ON a.dst = b.src LEFT JOIN edges c ON c.src = a.src AND c.dst = b.dst)
+  WINDOW r AS (PARTITION BY prev, cur ORDER BY nxt ROWS UNBOUNDED PRECEDING))""")
+    for t in range(1, length):
+        source = "SELECT src AS prev, src AS cur, dst AS nxt, lo, hi, tot FROM cdf" if t == 1 else "SELECT * FROM second"
+        ctes.append(f"s{t} AS MATERIALIZED (SELECT walk_id, s.cur AS prev, c.nxt AS cur FROM (SELECT *, {u(chr(39) + 'walk' + chr(39), 'walk_id', chr(39) + str(t) + chr(39), chr(39) + '42' + chr(39))} AS u FROM s{t - 1}) s JOIN ({source}) c ON c.prev = s.prev AND c.cur = s.cur AND u * tot >= lo AND u * tot < hi)")
+    union = " UNION ALL ".join(f"SELECT walk_id, CAST({t} AS BIGINT) AS step, cur AS node FROM s{t}" for t in range(length))
+    return f"WITH {', '.join(ctes)} {union}"
+
+
+query("walk_node2vec", _biased_sql(6, 0.5, 2.0))(lambda s, d: walks.biased_walk(fixtures.nation_edges(s, d), _starts(s, d), 6, 0.5, 2.0, 42))
+
+_WINDOW = "SELECT a.walk_id, a.step, a.node AS center, b.node AS context FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND {cond}"
+query("event_windows_trim", f"WITH {EVENTS}, m AS (SELECT walk_id, max(step) AS last FROM walks GROUP BY 1) {_WINDOW.format(cond='b.step BETWEEN a.step + 1 AND a.step + 3')} JOIN m ON m.walk_id = a.walk_id AND a.step + 3 <= last")(
+    lambda s, d: walks.windows(fixtures.event_walks(s, d), 3, "right", True)
+)
+for _side, _cond in (("right", "b.step BETWEEN a.step + 1 AND a.step + 3"), ("left", "b.step BETWEEN a.step - 3 AND a.step - 1"), ("double", "b.step BETWEEN a.step - 3 AND a.step + 3 AND b.step <> a.step")):
+    query(f"event_windows_{_side}", f"WITH {EVENTS} {_WINDOW.format(cond=_cond)}")(lambda s, d, side=_side: walks.windows(fixtures.event_walks(s, d), 3, side))
+
+PAIRS = f"{EVENTS}, pairs AS (SELECT a.node AS center, b.node AS context, count(*) AS freq FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND b.step BETWEEN a.step + 1 AND a.step + 3 GROUP BY 1, 2)"
+
+
+def _event_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return walks.pair_counts(walks.windows(fixtures.event_walks(spark, d), 3, "right"))
+
+
+query("pair_counts", f"WITH {PAIRS} SELECT * FROM pairs")(_event_pairs)
+query("pair_keys", f"WITH {PAIRS} SELECT CAST((center + context) * (center + context + 1) // 2 + context AS BIGINT) AS key, freq FROM pairs")(lambda s, d: walks.pair_keys(_event_pairs(s, d)))
+query("context_transition", f"WITH {PAIRS} SELECT center AS src, context AS dst, {r6('CAST(freq AS DOUBLE) / sum(freq) OVER (PARTITION BY center)')} AS w FROM pairs")(lambda s, d: _w(walks.context_transition(_event_pairs(s, d))))
+query("center_share", f"WITH {PAIRS} SELECT center, {r6('CAST(sum(freq) AS DOUBLE) / (SELECT sum(freq) FROM pairs)')} AS share FROM pairs GROUP BY 1")(lambda s, d: walks.center_share(_event_pairs(s, d)).select("center", rounded(F.col("share")).alias("share")))
+query("walk_sentences", f"WITH {EVENTS} SELECT walk_id, string_agg(CAST(node AS VARCHAR), ' ' ORDER BY step) AS words FROM walks GROUP BY 1")(
+    lambda s, d: walks.sentences(fixtures.event_walks(s, d)).select("walk_id", F.array_join("words", " ").alias("words"))
+)
+
+
+@query("transition_lookup", f"WITH {PAIRS} SELECT g.a AS src, g.b AS dst, {r6('coalesce(t.w, 0)')} AS w FROM (SELECT DISTINCT x.node AS a, y.node AS b FROM walks x, walks y WHERE x.step = 0 AND y.step = 0) g LEFT JOIN (SELECT center, context, CAST(freq AS DOUBLE) / sum(freq) OVER (PARTITION BY center) AS w FROM pairs) t ON t.center = g.a AND t.context = g.b")
+def _lookup(spark: SparkSession, d: str) -> DataFrame:
+    first = fixtures.event_walks(spark, d).where("step = 0").select("node").distinct()
+    asked = first.select(F.col("node").alias("src")).join(F.broadcast(first.select(F.col("node").alias("dst"))), F.lit(True))
+    return _w(walks.transition_of(walks.context_transition(_event_pairs(spark, d)), asked))
+
+
+@query("batch_pairs", f"""WITH {PAIRS}, c AS (SELECT center, sum(freq) OVER (ORDER BY center) - freq AS lo, sum(freq) OVER (ORDER BY center) AS hi, sum(freq) OVER () AS tot FROM (SELECT center, sum(freq) AS freq FROM pairs GROUP BY 1)),
+x AS (SELECT center, context, sum(freq) OVER r - freq AS lo, sum(freq) OVER r AS hi, sum(freq) OVER (PARTITION BY center) AS tot FROM pairs WINDOW r AS (PARTITION BY center ORDER BY context ROWS UNBOUNDED PRECEDING)),
+i AS (SELECT CAST(range AS BIGINT) AS draw FROM range(1000))
+SELECT draw, c.center, x.context FROM i JOIN c ON {u("'batch-center'", 'draw', "'5'")} * c.tot >= c.lo AND {u("'batch-center'", 'draw', "'5'")} * c.tot < c.hi
+JOIN x ON x.center = c.center AND {u("'batch-context'", 'draw', "'5'")} * x.tot >= x.lo AND {u("'batch-context'", 'draw', "'5'")} * x.tot < x.hi""")
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    return walks.batch_pairs(_event_pairs(spark, d), 1000, 5)
+
+
+@query("pairing_functions", f"""WITH {EDGES} SELECT src, dst, CAST((src + dst) * (src + dst + 1) // 2 + dst AS BIGINT) AS key, src AS back_a, dst AS back_b,
+CAST(least(src, dst) + greatest(src, dst) * 25 AS BIGINT) AS pair, CAST(least(src, dst) AS BIGINT) AS low, CAST(greatest(src, dst) AS BIGINT) AS high FROM edges""")
+def _pairing(spark: SparkSession, d: str) -> DataFrame:
+    e = fixtures.nation_edges(spark, d).withColumn("key", scalar.cantor(F.col("src"), F.col("dst"))).withColumn("pair", scalar.pair_id(F.col("src"), F.col("dst"), 25))
+    a, b = scalar.cantor_inverse(F.col("key"))
+    low, high = scalar.pair_of(F.col("pair"), 25)
+    return e.select("src", "dst", "key", a.alias("back_a"), b.alias("back_b"), "pair", low.alias("low"), high.alias("high"))
+
+
+@query("scalar_functions", f"""WITH {EDGES}, x AS (SELECT src, dst, (w - 100) / 50.0 AS x FROM edges) SELECT src, dst,
+{r6('ln(greatest(x, 1e-12))')} AS safe_log, {r6('1.0 / greatest(x, 1.0)')} AS inverse, {r6('-ln(1 + exp(-x))')} AS log_sigmoid,
+{r6('sign(x) * greatest(abs(x) - 0.5, 0)')} AS soft, {r6('greatest(sign(x) * greatest(abs(x) - 0.5, 0), 0)')} AS soft_positive, CAST(src AS VARCHAR) AS token FROM x""")
+def _scalars(spark: SparkSession, d: str) -> DataFrame:
+    x = fixtures.nation_edges(spark, d).withColumn("x", (F.col("w") - 100) / 50.0)
+    c = F.col("x")
+    return x.select("src", "dst", rounded(scalar.safe_log(c)).alias("safe_log"), rounded(scalar.safe_inverse(c, 1.0)).alias("inverse"), rounded(scalar.log_sigmoid(c)).alias("log_sigmoid"), rounded(scalar.soft_threshold(c, 0.5)).alias("soft"), rounded(scalar.soft_threshold(c, 0.5, True)).alias("soft_positive"), scalar.token(F.col("src")).alias("token"))
+
+
+# ---------------------------------------------------------------- samplers
+
+CENTERS = "centers AS (SELECT CAST(range AS BIGINT) AS draw, CAST(range % 25 AS BIGINT) AS center FROM range(2000))"
+
+
+def _centers(spark: SparkSession) -> DataFrame:
+    return spark.range(2000).select(F.col("id").alias("draw"), (F.col("id") % 25).alias("center"))
+
+
+def _one_row_sql(use: str, options: str) -> str:
+    return f"""o AS (SELECT id, sum(w) OVER (ORDER BY id) - w AS lo, sum(w) OVER (ORDER BY id) AS hi, sum(w) OVER () AS tot FROM ({options}))
+SELECT draw, center, id AS context FROM (SELECT *, {u(f"'{use}'", 'draw', "'3'")} AS u FROM centers) c JOIN o ON u * tot >= lo AND u * tot < hi"""
+
+
+query("noise_config", f"WITH {EDGES}, {CENTERS}, {_one_row_sql('noise-config', 'SELECT dst AS id, sum(w) AS w FROM edges GROUP BY 1')}")(lambda s, d: samplers.configuration_noise(3)(fixtures.nation_edges(s, d), _centers(s)))
+query("noise_uniform", f"WITH {EDGES}, {CENTERS}, {_one_row_sql('noise-uniform', 'SELECT id, CAST(1 AS DOUBLE) AS w FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)')}")(
+    lambda s, d: samplers.uniform_noise(3)(fixtures.nation_edges(s, d), _centers(s))
+)
+
+
+def _powers_sql(name: str, base: str, upto: int) -> str:
+    """CTEs name1..nameT of the powers of a matrix CTE and their sum ``name``."""
+    out = [f"{name}1 AS (SELECT src, dst, w FROM {base})"]
+    out += [f"{name}{t} AS MATERIALIZED (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM {name}{t - 1} a JOIN {base} b ON a.dst = b.src GROUP BY 1, 2)" for t in range(2, upto + 1)]
+    union = " UNION ALL ".join(f"SELECT * FROM {name}{t}" for t in range(1, upto + 1))
+    return ", ".join([*out, f"{name} AS (SELECT src, dst, sum(w) AS w FROM ({union}) GROUP BY 1, 2)"])
+
+
+SHARE = "share AS (SELECT i.id, grp, d / sum(d) OVER (PARTITION BY grp) AS share FROM indeg i JOIN groups g ON g.id = i.id)"
+query("block_context_probability", f"WITH {EDGES}, {GROUPS}, {PSBM}, {INDEG}, {SHARE}, {_powers_sql('pw', 'psbm', 5)} SELECT src AS grp, id AS dst, {r6('w / 5 * share')} AS w FROM pw JOIN share ON share.grp = pw.dst")(
+    lambda s, d: samplers.context_probability(*_nation(s, d), 5).select("grp", "dst", rounded(F.col("w")).alias("w"))
+)
+
+
+@query("noise_block")
+def _noise_block(spark: SparkSession, d: str) -> DataFrame:
+    edges, groups = _nation(spark, d)
+    return samplers.block_noise(groups, 5, True, 3)(edges, _centers(spark))
+
+
+query("joint_centers", f"WITH {EDGES}, centers AS (SELECT CAST(range AS BIGINT) AS draw, NULL AS center FROM range(2000)), x AS ({'SELECT draw, context AS center FROM (WITH ' + _one_row_sql('joint-center', 'SELECT dst AS id, sum(w) AS w FROM edges GROUP BY 1') + ')'}) SELECT * FROM x")(
+    lambda s, d: samplers.joint_centers(fixtures.nation_edges(s, d), 2000, 3)
+)
+
+
+@query("categorical_draw", f"WITH {EDGES}, {CDF}, {CENTERS} SELECT draw, c.center AS src, dst FROM (SELECT *, {u(chr(39) + 'categorical' + chr(39), 'draw', chr(39) + '3' + chr(39))} AS u FROM centers) c JOIN cdf ON cdf.src = c.center AND u * tot >= lo AND u * tot < hi")
+def _categorical(spark: SparkSession, d: str) -> DataFrame:
+    return samplers.categorical(_centers(spark).select("draw", F.col("center").alias("src")), fixtures.nation_edges(spark, d), 3).select("draw", "src", "dst")
+
+
+@query("negative_edges", f"""WITH {PARTS}, n AS (SELECT count(*) AS n FROM (SELECT src AS id FROM parts UNION SELECT dst FROM parts)),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS code FROM (SELECT src AS id FROM parts UNION SELECT dst FROM parts)),
+e AS (SELECT least(a.code, b.code) AS src, greatest(a.code, b.code) AS dst FROM parts JOIN ids a ON a.id = src JOIN ids b ON b.id = dst),
+k AS (SELECT CAST(range AS BIGINT) AS k FROM range(2000)),
+c AS (SELECT k, CAST(floor({u("'neg-a'", 'k', "'9'")} * n) AS BIGINT) AS a, CAST(floor({u("'neg-b'", 'k', "'9'")} * n) AS BIGINT) AS b FROM k, n),
+f AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(k) AS k FROM c WHERE a <> b GROUP BY 1, 2)
+SELECT src, dst FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = f.src AND e.dst = f.dst) ORDER BY k LIMIT 1000""")
+def _negatives(spark: SparkSession, d: str) -> DataFrame:
+    edges, codes = graph.reindexed(fixtures.part_pairs(spark, d))
+    return samplers.negative_edges(edges, codes.select(F.col("code").alias("id")), 1000, 9)
+
+
+VECTORS = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS BIGINT) AS grp FROM embeddings)"
+PAIRS_Y = f"""pr AS (SELECT draw, CAST(floor({u("'pair-a'", 'draw', "'1'")} * n) AS BIGINT) AS a, CAST(floor({u("'pair-b'", 'draw', "'1'")} * n) AS BIGINT) AS b
+  FROM (SELECT CAST(range AS BIGINT) AS draw FROM range(20000)), (SELECT count(*) AS n FROM v)),
+py AS (SELECT draw, a, b, CAST(x.grp = y.grp AS INTEGER) AS y FROM pr JOIN v x ON x.id = a JOIN v y ON y.id = b)"""
+query("community_pairs", f"WITH {VECTORS}, {PAIRS_Y} SELECT * FROM py")(lambda s, d: samplers.community_pairs(fixtures.vectors(s, d).select("id", "grp"), 20000, 1))
+query("sampled_rows", f"WITH {EDGES} SELECT src, dst, w FROM edges ORDER BY {u(chr(39) + 'sample' + chr(39), 'src', 'dst', chr(39) + '4' + chr(39))}, src, dst LIMIT 100")(
+    lambda s, d: samplers.sample_rows(fixtures.nation_edges(s, d), 100, "src", "dst", seed=4)
+)
+
+
+@query("triplets")
+def _triplets(spark: SparkSession, d: str) -> DataFrame:
+    edges, _ = _nation(spark, d)
+    pairs = walks.windows(walks.walk(edges, _starts(spark, d), 6, 42), 2)
+    return samplers.triplets(pairs, edges, samplers.configuration_noise(1)).select("center", "context", "noise")
+
+
+# ---------------------------------------------------------------- matrices and blocks
+
+query("matrix_product", f"WITH {EDGES}, {TRANS} SELECT a.src, b.dst, {r6('sum(a.w * b.w)')} AS w FROM trans a JOIN trans b ON a.dst = b.src GROUP BY 1, 2")(
+    lambda s, d: (lambda p: _w(linalg.matmul(p, p)))(graph.transition(_nation(s, d)[0]))
+)
+query("matrix_power_sum", f"WITH {EDGES}, {TRANS}, {_powers_sql('pw', 'trans', 3)} SELECT src, dst, {r6('w')} AS w FROM pw")(lambda s, d: _w(linalg.power_sum(graph.transition(_nation(s, d)[0]), 3)))
+
+
+def _walk_weights(restart: float, steps: int) -> list[float]:
+    raw = [(1 - restart) ** i for i in range(steps)]
+    return [x / sum(raw) for x in raw]
+
+
+def _weighted_sql(name: str, base: str, weights: list[float], first: int = 0) -> str:
+    terms = " UNION ALL ".join(f"SELECT src, dst, w * CAST({w!r} AS DOUBLE) AS w FROM {name}p{i + 1}" for i, w in enumerate(weights) if i >= first)
+    return f"{_powers_sql(name + 'p', base, len(weights))}, {name} AS (SELECT src, dst, sum(w) AS w FROM ({terms}) GROUP BY 1, 2)"
+
+
+query("walk_sum_restart", f"WITH {EDGES}, {TRANS}, {_weighted_sql('ws', 'trans', _walk_weights(0.2, 4), 1)} SELECT src, dst, {r6('w')} AS w FROM ws")(
+    lambda s, d: _w(linalg.walk_sum(graph.transition(_nation(s, d)[0]), 0.2, 4, 1))
+)
+query("lazy_product", f"WITH {EDGES}, {TRANS}, m AS (SELECT src, sum(w * CAST(dst AS DOUBLE)) AS w FROM trans GROUP BY 1) SELECT trans.src, CAST(0 AS BIGINT) AS dst, {r6('sum(trans.w * m.w)')} AS w FROM trans JOIN m ON m.src = trans.dst GROUP BY 1")(
+    lambda s, d: (lambda p: _w(linalg.chain_sum([[p, p]], graph.nodes_of(p).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.col("id").cast("double").alias("w")))))(graph.transition(_nation(s, d)[0]))
+)
+query("block_matrix", f"WITH {EDGES}, {GROUPS}, {PSBM} SELECT src, dst, w FROM lam")(lambda s, d: blocks.block_matrix(*_nation(s, d)))
+query("block_transition", f"WITH {EDGES}, {GROUPS}, {PSBM} SELECT src, dst, {r6('w')} AS w FROM psbm")(lambda s, d: _w(blocks.block_parameters(*_nation(s, d))[2]))
+query("block_in_weight", f"WITH {EDGES}, {GROUPS}, {PSBM} SELECT dst AS grp, sum(w) AS din FROM lam GROUP BY 1")(lambda s, d: blocks.block_parameters(*_nation(s, d))[1])
+query("pair_codes", f"WITH {GROUPS} SELECT id, dense_rank() OVER (ORDER BY grp, id % 3) - 1 AS code FROM groups")(
+    lambda s, d: (lambda g: blocks.pair_codes(g, g.select("id", (F.col("id") % 3).alias("grp"))))(fixtures.nation_groups(s, d))
+)
+
+
+def _residual_sql(window: int) -> str:
+    """The residual matrix by its definition: blocks are regions, null groups id % 2."""
+    steps = _powers_sql("bs", "psbm", max(window - 1, 1))
+    return f"""WITH {EDGES}, {GROUPS}, {TRANS}, {PSBM}, {INDEG}, nul AS (SELECT id, id % 2 AS grp FROM groups),
+lam0 AS (SELECT a.grp AS src, b.grp AS dst, sum(w) AS w FROM edges JOIN nul a ON a.id = src JOIN nul b ON b.id = dst GROUP BY 1, 2),
+psbm0 AS (SELECT src, dst, w / greatest(sum(w) OVER (PARTITION BY src), 1.0) AS w FROM lam0),
+din AS (SELECT dst AS grp, sum(w) AS din FROM lam GROUP BY 1), din0 AS (SELECT dst AS grp, sum(w) AS din FROM lam0 GROUP BY 1),
+{steps}, {_powers_sql('ns', 'psbm0', window)},
+near AS (SELECT t.src, g.grp AS dst, sum(w) AS w FROM trans t JOIN groups g ON g.id = t.dst GROUP BY 1, 2),
+nb AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM near a JOIN bs b ON a.dst = b.src GROUP BY 1, 2),
+n AS (SELECT g.id, g.grp, nul.grp AS g0, coalesce(d, 0) AS d FROM groups g JOIN nul ON nul.id = g.id LEFT JOIN indeg ON indeg.id = g.id),
+f AS (SELECT i.id AS src, j.id AS dst, p.w AS p, coalesce(nb.w, 0) AS b, din.din, j.d,
+  CASE WHEN coalesce(nb.w, 0) <> 0 THEN ln(greatest(nb.w / greatest(din.din, 1e-32), 1e-12)) ELSE 0 END - coalesce(ln(greatest(ns.w / greatest(din0.din, 1e-32), 1e-12)), 0) AS h
+  FROM n i CROSS JOIN n j LEFT JOIN nb ON nb.src = i.id AND nb.dst = j.grp LEFT JOIN din ON din.grp = j.grp
+  LEFT JOIN ns ON ns.src = i.g0 AND ns.dst = j.g0 LEFT JOIN din0 ON din0.grp = j.g0 LEFT JOIN trans p ON p.src = i.id AND p.dst = j.id),
+r AS (SELECT src, dst, greatest(0, h + CASE WHEN p IS NULL THEN 0 ELSE ln(greatest(p * din + b * d, 1e-12)) - ln(greatest(d, 1e-12)) - ln(greatest(b, 1e-12)) END) AS w FROM f)
+SELECT src, dst, round(w, 5) + 0.0 AS w FROM r WHERE w > 0.00001"""
+
+
+def _residual(spark: SparkSession, d: str) -> DataFrame:
+    edges, groups = _nation(spark, d)
+    m = blocks.residual_matrix(edges, groups, groups.select("id", (F.col("id") % 2).alias("grp")), 3)
+    return m.where("w > 0.00001").select("src", "dst", rounded(F.col("w"), 5).alias("w"))
+
+
+query("residual_matrix", _residual_sql(3))(_residual)
+
+
+@query("residual_terms", _residual_sql(3))
+def _residual_assembled(spark: SparkSession, d: str) -> DataFrame:
+    edges, groups = _nation(spark, d)
+    m = linalg.chain_sum(blocks.residual_terms(edges, groups, groups.select("id", (F.col("id") % 2).alias("grp")), 3))
+    return m.where("w > 0.00001").select("src", "dst", rounded(F.col("w"), 5).alias("w"))
+
+
+EXACT = f"{EDGES}, {GROUPS}, {TRANS}, {_weighted_sql('ex', 'trans', _walk_weights(0.0, 3))}"
+query("log_transition_exact", f"WITH {EXACT} SELECT src, dst, {r6('ln(greatest(w, 1e-6))')} AS w FROM ex")(lambda s, d: _w(blocks.log_transition(_nation(s, d)[0], 3)))
+BLOCKED = f"""{PSBM}, {INDEG}, {SHARE}, near AS (SELECT t.src, g.grp AS dst, sum(w) AS w FROM trans t JOIN groups g ON g.id = t.dst GROUP BY 1, 2),
+{_weighted_sql('lt', 'psbm', _walk_weights(0.0, 3)[1:])}, nb AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM near a JOIN lt b ON a.dst = b.src GROUP BY 1, 2),
+ap AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w * CAST({_walk_weights(0.0, 3)[0]!r} AS DOUBLE) AS w FROM trans UNION ALL SELECT nb.src, share.id, nb.w * share FROM nb JOIN share ON share.grp = nb.dst) GROUP BY 1, 2)"""
+query("log_transition_blocks", f"WITH {EDGES}, {GROUPS}, {TRANS}, {BLOCKED} SELECT src, dst, {r6('ln(greatest(w, 1e-6))')} AS w FROM ap")(lambda s, d: _w(blocks.log_transition_blocks(*_nation(s, d), 3)))
+
+
+@query("approximation_quality", f"WITH {EXACT}, {BLOCKED}, j AS (SELECT ln(greatest(ex.w, 1e-6)) AS a, ln(greatest(ap.w, 1e-6)) AS b FROM ex JOIN ap ON ex.src = ap.src AND ex.dst = ap.dst) SELECT count(*) AS n, {r6('corr(a, b)')} AS pearson FROM j WHERE abs(a) > 1e-8 AND abs(b) > 1e-8")
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    edges, groups = _nation(spark, d)
+    q = blocks.approximation_quality(blocks.log_transition(edges, 3), blocks.log_transition_blocks(edges, groups, 3))
+    return q.select("n", rounded(F.col("pearson")).alias("pearson"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+DOT = "list_sum(list_transform(generate_series(1, len({a})), lambda i: {a}[i] * {b}[i]))"
+
+
+def _dot(a: str, b: str) -> str:
+    return DOT.format(a=a, b=b)
+
+
+def _cos(a: str, b: str) -> str:
+    return f"({_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})))"
+
+
+SOME = "vs AS (SELECT * FROM v WHERE id < 300)"
+
+
+def _few(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the first 300 nodes, the node set of the similarity reports."""
+    return fixtures.vectors(spark, d).where("id < 300")
+
+
+def _y_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return samplers.community_pairs(fixtures.vectors(spark, d).select("id", "grp"), 20000, 1).select("draw", F.col("a").alias("src"), F.col("b").alias("dst"), "y")
+
+
+def _scored(spark: SparkSession, d: str, how: str = "dot") -> DataFrame:
+    return evaluate.edge_scores(_y_pairs(spark, d), fixtures.vectors(spark, d).select("id", "vec"), how)
+
+
+for _how, _expr in (("dot", _dot("x.vec", "z.vec")), ("cos", _cos("x.vec", "z.vec"))):
+    query(f"edge_score_{_how}", f"WITH {VECTORS}, {PAIRS_Y} SELECT draw, a AS src, b AS dst, py.y, {r6(_expr)} AS score FROM py JOIN v x ON x.id = a JOIN v z ON z.id = b")(
+        lambda s, d, how=_how: _scored(s, d, how).withColumn("score", rounded(F.col("score")))
+    )
+
+NEDGES = f"{EDGES}, {INDEG}, outdeg AS (SELECT src AS id, sum(w) AS o FROM edges GROUP BY 1), {VECTORS}"
+_FAMILY = {
+    "dot": _dot("x.vec", "z.vec"),
+    "minus_dot": f"-({_dot('x.vec', 'z.vec')})",
+    "residual": f"{_dot('x.vec', 'z.vec')} + ln(greatest(coalesce(i.d, 0), 1)) + ln(greatest(coalesce(o.o, 0), 1))",
+    "glove": f"{_dot('x.vec', 'z.vec')} + CAST(src AS DOUBLE) / 10 + CAST(dst AS DOUBLE) / 20",
+}
+for _name, _expr in _FAMILY.items():
+
+    def _modelled(spark: SparkSession, d: str, family: str = _name) -> DataFrame:
+        edges, groups = _nation(spark, d)
+        offsets = groups.select("id", (F.col("id") / 10.0).alias("a"), (F.col("id") / 20.0).alias("b"))
+        scored = evaluate.modelled_scores(edges.select("src", "dst"), fixtures.vectors(spark, d), edges, family, offsets)
+        return scored.select("src", "dst", rounded(F.col("score")).alias("score"))
+
+    query(f"modelled_score_{_name}", f"WITH {NEDGES} SELECT src, dst, {r6(_expr)} AS score FROM edges JOIN v x ON x.id = src JOIN v z ON z.id = dst LEFT JOIN indeg i ON i.id = src LEFT JOIN outdeg o ON o.id = dst")(_modelled)
+
+
+def _auc_sql(source: str, by: str = "") -> str:
+    part, cols = (f"PARTITION BY {by}", f"{by}, ") if by else ("", "")
+    return f"""rk AS (SELECT {cols}y, rank() OVER ({part} ORDER BY score) + (count(*) OVER (PARTITION BY {cols}score) - 1) / 2.0 AS r FROM {source})
+SELECT {cols}{r6('(sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0))')} AS auc FROM rk {'GROUP BY ' + by if by else ''}"""
+
+
+SCORED = f"{VECTORS}, {PAIRS_Y}, sc AS (SELECT draw, py.y, {_dot('x.vec', 'z.vec')} AS score FROM py JOIN v x ON x.id = a JOIN v z ON z.id = b)"
+COARSE = f"{SCORED}, co AS (SELECT y, round(score, 1) + 0.0 AS score FROM sc)"
+query("auc", f"WITH {SCORED}, {_auc_sql('sc')}")(lambda s, d: evaluate.auc(_scored(s, d)).select(rounded(F.col("auc")).alias("auc")))
+query("auc_with_ties", f"WITH {COARSE}, {_auc_sql('co')}")(lambda s, d: evaluate.auc(_scored(s, d).withColumn("score", rounded(F.col("score"), 1))).select(rounded(F.col("auc")).alias("auc")))
+query("average_precision", f"""WITH {COARSE}, p AS (SELECT score, sum(y) AS p, count(*) AS n FROM co GROUP BY 1),
+c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS n FROM p) SELECT {r6('sum(p * tp / CAST(n AS DOUBLE)) / sum(p)')} AS average_precision FROM c""")(
+    lambda s, d: evaluate.average_precision(_scored(s, d).withColumn("score", rounded(F.col("score"), 1))).select(rounded(F.col("average_precision")).alias("average_precision"))
+)
+query("community_auc", f"""WITH {VECTORS}, {PAIRS_Y}, m AS (SELECT 'cosine' AS metric, py.y, {_cos('x.vec', 'z.vec')} AS score FROM py JOIN v x ON x.id = a JOIN v z ON z.id = b
+UNION ALL SELECT 'dot', py.y, {_dot('x.vec', 'z.vec')} FROM py JOIN v x ON x.id = a JOIN v z ON z.id = b), {_auc_sql('m', 'metric')}""")(
+    lambda s, d: evaluate.community_auc(fixtures.vectors(s, d), 20000, 1).select("metric", rounded(F.col("auc"), 4).alias("auc"))
+)
+ORACLE_SQL["community_auc"] = ORACLE_SQL["community_auc"].replace(", 6) + 0.0 AS auc", ", 4) + 0.0 AS auc")
+
+LABELS2 = "lab AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS y, CAST((vec_id * 7) % 6 AS BIGINT) AS z FROM embeddings)"
+
+
+def _labels2(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.vectors(spark, d).select("id", F.col("grp").alias("y"), ((F.col("id") * 7) % 6).alias("z"))
+
+
+query("contingency", f"WITH {LABELS2} SELECT y, z, count(*) AS n FROM lab GROUP BY 1, 2")(lambda s, d: evaluate.contingency(_labels2(s, d)))
+query("nmi", f"""WITH {LABELS2}, c AS (SELECT y, z, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY 1, 2),
+m AS (SELECT p, sum(p) OVER (PARTITION BY y) AS a, sum(p) OVER (PARTITION BY z) AS b FROM c) SELECT {r6('2 * sum(p * ln(p / (a * b))) / (-sum(p * ln(a)) - sum(p * ln(b)))')} AS nmi FROM m""")(
+    lambda s, d: evaluate.nmi(_labels2(s, d)).select(rounded(F.col("nmi")).alias("nmi"))
+)
+query("element_similarity", f"""WITH {LABELS2}, c AS (SELECT y, z, count(*) AS n FROM lab GROUP BY 1, 2),
+m AS (SELECT n, sum(n) OVER (PARTITION BY y) AS a, sum(n) OVER (PARTITION BY z) AS b FROM c) SELECT {r6('CAST(sum(n * n * least(1.0 / a, 1.0 / b)) AS DOUBLE) / sum(n)')} AS element_similarity FROM m""")(
+    lambda s, d: evaluate.element_similarity(_labels2(s, d)).select(rounded(F.col("element_similarity")).alias("element_similarity"))
+)
+NEAR = f"""{VECTORS}, {SOME}, sim AS (SELECT a.id, b.id AS other, b.grp AS g2, {_dot('a.vec', 'b.vec')} AS score FROM vs a JOIN vs b ON a.id <> b.id),
+nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM sim)"""
+query("nearest_neighbours", f"WITH {NEAR} SELECT id, other, {r6('score')} AS score, rank FROM nn WHERE rank <= 10")(lambda s, d: evaluate.nearest(_few(s, d), 10).withColumn("score", rounded(F.col("score"))))
+VOTE = f"{NEAR}, vt AS (SELECT id, g2, count(*) AS n FROM nn WHERE rank <= 10 GROUP BY 1, 2), win AS (SELECT id, g2 AS z FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, g2) AS r FROM vt) WHERE r = 1), kl AS (SELECT vs.id, grp AS y, z FROM vs JOIN win ON win.id = vs.id)"
+query("knn_vote", f"WITH {VOTE} SELECT * FROM kl")(lambda s, d: evaluate.knn_vote(_few(s, d)))
+query("knn_macro_f1", f"""WITH {VOTE}, t AS (SELECT y AS c, count(*) AS ny, count(*) FILTER (y = z) AS tp FROM kl GROUP BY 1), p AS (SELECT z AS c, count(*) AS nz FROM kl GROUP BY 1)
+SELECT {r6('avg(2.0 * coalesce(tp, 0) / (coalesce(ny, 0) + coalesce(nz, 0)))')} AS macro_f1 FROM t FULL JOIN p ON t.c = p.c""")(
+    lambda s, d: evaluate.macro_f1(evaluate.knn_vote(_few(s, d))).select(rounded(F.col("macro_f1")).alias("macro_f1"))
+)
+TOP = f"WITH {VECTORS}, {SOME}, tp AS (SELECT a.id AS src, b.id AS dst, {_dot('a.vec', 'b.vec')} AS score FROM vs a JOIN vs b ON a.id < b.id ORDER BY score DESC, src, dst LIMIT 500)"
+query("top_pairs", f"{TOP} SELECT src, dst, {r6('score')} AS score FROM tp")(lambda s, d: evaluate.top_pairs(_few(s, d), 500).withColumn("score", rounded(F.col("score"))))
+query("reconstructed_graph", f"{TOP} SELECT src, dst, CAST(2 AS DOUBLE) AS w FROM tp UNION ALL SELECT dst, src, CAST(2 AS DOUBLE) FROM tp")(lambda s, d: evaluate.reconstructed(_few(s, d), 500))
+PERSONA = f"""{VECTORS}, pers AS (SELECT id % 25 AS id, id AS persona FROM v WHERE id < 75), es AS (SELECT src, dst FROM edges)
+SELECT src, dst, {{agg}} AS score FROM es JOIN pers a ON a.id = src JOIN pers b ON b.id = dst JOIN v x ON x.id = a.persona JOIN v z ON z.id = b.persona GROUP BY 1, 2"""
+for _agg in ("max", "min", "avg"):
+
+    def _persona(spark: SparkSession, d: str, agg: str = _agg) -> DataFrame:
+        v = fixtures.vectors(spark, d)
+        personas = v.where("id < 75").select((F.col("id") % 25).alias("id"), F.col("id").alias("persona"))
+        scored = evaluate.persona_scores(fixtures.nation_edges(spark, d).select("src", "dst"), personas, v, getattr(F, agg)("s"))
+        return scored.select("src", "dst", rounded(F.col("score")).alias("score"))
+
+    _sum = f"{_agg}({_dot('x.vec', 'z.vec')})"
+    query(f"persona_score_{_agg}", f"WITH {EDGES}, {PERSONA.format(agg=r6(_sum))}")(_persona)
+query("score_quantiles", f"WITH {SCORED} SELECT {', '.join(r6(f'quantile_cont(score, {q})') + f' AS q{i}' for i, q in enumerate((0, 0.01, 0.999, 1)))} FROM sc")(
+    lambda s, d: (lambda q: q.select(*(rounded(F.col(c)).alias(c) for c in q.columns)))(evaluate.quantiles(_scored(s, d), "score"))
+)
+query("binned_counts", f"WITH {EDGES}, {INDEG}, x AS (SELECT CAST(floor(w / 4) AS BIGINT) AS bx, CAST(floor(d / 200) AS BIGINT) AS \"by\" FROM edges JOIN indeg ON id = dst) SELECT bx, \"by\", count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) >= 2")(
+    lambda s, d: (lambda e: evaluate.binned(e.join(graph.degrees(e).toDF("dst", "o", "d"), "dst").select((F.col("w") / 4).alias("x"), (F.col("d") / 200).alias("y")), "x", "y", 1.0, 2))(fixtures.nation_edges(s, d))
+)
+query("score_summary")(lambda s, d: evaluate.summary(_scored(s, d).select("draw", "y", "score"), "y", "score"))
+query("mean_and_deviation", f"WITH {SCORED} SELECT y, count(*) AS n, {r6('avg(score)')} AS mean, {r6('stddev_samp(score)')} AS sd FROM sc GROUP BY 1")(
+    lambda s, d: evaluate.summary(_scored(s, d).select("draw", "y", "score"), "y", "score", 2).select("y", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("sd")).alias("sd"))
+)
+
+
+# ---------------------------------------------------------------- splits and link prediction
+
+_NATION_SPLIT = """und AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges WHERE src <> dst),
+k AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS k FROM und), step AS (SELECT src AS x, dst AS y, k FROM k UNION ALL SELECT dst, src, k FROM k),
+reach(k, goal, id) AS (SELECT k, dst, src FROM k UNION SELECT r.k, r.goal, s.y FROM reach r JOIN step s ON s.x = r.id AND s.k < r.k),
+tree AS (SELECT src, dst FROM k WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.k = k.k AND r.id = r.goal)),
+test AS (SELECT src, dst FROM und WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.src = und.src AND t.dst = und.dst)
+  ORDER BY {draw}, src, dst LIMIT (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM und))""".format(draw=u("'split'", "src", "dst", "'1'"))
+
+
+@query("held_out_edges", f"WITH RECURSIVE {EDGES}, {_NATION_SPLIT} SELECT src, dst FROM test")
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    e = graph.without_loops(fixtures.nation_edges(spark, d)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return splits.held_out_edges(e.withColumn("w", F.lit(1.0)), 0.5, 1)
+
+
+@query("link_auc_nation", f"""WITH {EDGES}, sy AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(w) AS w FROM edges WHERE src <> dst GROUP BY 1, 2),
+te AS (SELECT src, dst, w, CASE WHEN {u("'hold'", 'src', 'dst', "'1'")} < 0.5 THEN 1 ELSE 0 END AS held FROM sy),
+dg AS (SELECT id, sum(w) AS d FROM (SELECT src AS id, w FROM te WHERE held = 0 UNION ALL SELECT dst, w FROM te WHERE held = 0) GROUP BY 1),
+med AS (SELECT median(w) AS m FROM te WHERE held = 1),
+sc AS (SELECT CASE WHEN w > m THEN 1 ELSE 0 END AS y, ln(greatest(coalesce(a.d, 0), 1)) + ln(greatest(coalesce(b.d, 0), 1)) AS score FROM te CROSS JOIN med LEFT JOIN dg a ON a.id = src LEFT JOIN dg b ON b.id = dst WHERE held = 1),
+sr AS (SELECT y, round(score, 9) AS score FROM sc), {_auc_sql('sr')}""")
+def _link_auc(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the nation pairs are held out; the configuration model of the
+    rest scores them; heavy pairs are the positives."""
+    pairs = graph.summed(graph.without_loops(fixtures.nation_edges(spark, d)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w"))
+    held = cut_lineage(pairs.withColumn("held", scalar.u01("hold", F.col("src"), F.col("dst"), 1) < 0.5))
+    train, test = held.where("not held"), held.where("held")
+    ends = graph.degrees(train).select("id", (F.col("out_w") + F.col("in_w")).alias("d"))
+    middle = test.agg(F.median("w").alias("m"))
+    full = test.join(F.broadcast(middle)).join(ends.toDF("src", "da"), "src", "left").join(ends.toDF("dst", "db"), "dst", "left")
+    score = scalar.safe_log(F.coalesce("da", F.lit(0.0)), 1.0) + scalar.safe_log(F.coalesce("db", F.lit(0.0)), 1.0)
+    return evaluate.auc(full.select((F.col("w") > F.col("m")).cast("int").alias("y"), F.round(score, 9).alias("score"))).select(rounded(F.col("auc")).alias("auc"))
+
+
+@query("train_test_split")
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.labelled(splits.split(graph.symmetrised(_sparse_connected(spark, d)), 0.3, 1))
+
+
+def _sparse_connected(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(graph.largest_component(fixtures.part_pairs(spark, d).where("dst - src <= 20")))
+
+
+@query("result_columns_join", """WITH a AS (SELECT n_nationkey AS nation, n_regionkey AS region, n_name AS name FROM nation), b AS (SELECT r_regionkey AS region, r_name AS region_name FROM region)
+SELECT a.region, nation, name, region_name FROM a JOIN b ON a.region = b.region""")
+def _natural_join(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.plans.tables import natural_join
+
+    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"))
+    return natural_join(a, table(spark, d, "region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("region_name")))
+
+
+@query("label_map", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 3 THEN 'north' END AS side FROM nation")
+def _label_map(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.plans.tables import mapped
+
+    return table(spark, d, "nation").select("n_nationkey", mapped(F.col("n_regionkey"), {0: "south", 3: "north"}).alias("side"))
+
+
+@query("file_parameters", "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS dim, 'x' AS model FROM nation")
+def _parameters(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.sources.files import file_parameters
+
+    path = F.concat(F.lit("/data/net=dblp_cite_model=x_dim="), F.col("n_nationkey").cast("string"), F.lit(".npz"))
+    return table(spark, d, "nation").select("n_nationkey", file_parameters(path).alias("p")).select("n_nationkey", F.col("p")["dim"].alias("dim"), F.col("p")["model"].alias("model"))
+
+
+@query("parameter_grid", "SELECT m.m AS model, d.d AS dim, w.w AS window_length FROM (VALUES ('a'), ('b')) m(m), (VALUES (8), (16)) d(d), (VALUES (5), (10)) w(w)")
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.plans.tables import grid
+
+    return grid(spark, model=["a", "b"], dim=[8, 16], window_length=[5, 10])
+
+
+# ---------------------------------------------------------------- spectral and trained models
+
+
+@query("power_iteration", f"""WITH {EDGES}, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), und AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM edges UNION ALL SELECT dst, src, w FROM edges) GROUP BY 1, 2),
+x0 AS (SELECT id, CAST(1 AS DOUBLE) AS x FROM ids), x1 AS (SELECT src AS id, sum(w * x) AS x FROM und JOIN x0 ON id = dst GROUP BY 1), n1 AS (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM x1) AS x FROM x1),
+x2 AS (SELECT src AS id, sum(w * x) AS x FROM und JOIN n1 ON id = dst GROUP BY 1), n2 AS (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM x2) AS x FROM x2) SELECT id, {r6('x')} AS x FROM n2""")
+def _power(spark: SparkSession, d: str) -> DataFrame:
+    a = cut_lineage(graph.symmetrised(fixtures.nation_edges(spark, d)))
+    x = graph.nodes_of(a).select("id", F.array(F.lit(1.0)).alias("vec"))
+    for _ in range(2):
+        x = linalg.times_thin(a, x, 1)
+        length = float(linalg.gram(x, 1)[0, 0]) ** 0.5
+        x = x.select("id", F.transform("vec", lambda v: v / length).alias("vec"))
+    return x.select("id", rounded(F.col("vec")[0]).alias("x"))
+
+
+@query("singular_values")
+def _singular(spark: SparkSession, d: str) -> DataFrame:
+    _, s, _ = linalg.svd(_nation(spark, d)[0], 5)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "rank int, value double")
+
+
+query("netmf_matrix", f"""WITH {EDGES}, {TRANS}, {_weighted_sql('ws', 'trans', _walk_weights(0.0, 3))}, dg AS (SELECT src AS id, greatest(sum(w), 1) AS d FROM edges GROUP BY 1)
+SELECT src, dst, round(x, 5) + 0.0 AS w FROM (SELECT src, dst, ln(greatest(w * (SELECT sum(w) FROM edges) / d, 1)) AS x FROM ws JOIN dg ON id = dst) WHERE x > 0.00001""")(
+    lambda s, d: models.netmf_matrix(_nation(s, d)[0], 3).where("w > 0.00001").select("src", "dst", rounded(F.col("w"), 5).alias("w"))
+)
+
+
+@query("graph_convolution", f"""WITH {EDGES}, {VECTORS}, al AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM edges UNION ALL SELECT id, id, CAST(1 AS DOUBLE) FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)) GROUP BY 1, 2),
+dg AS (SELECT src AS id, sum(w) AS d FROM al GROUP BY 1)
+SELECT src AS id, {r6('sum(w / sqrt(a.d) / sqrt(b.d) * vec[1])')} AS x0, {r6('sum(w / sqrt(a.d) / sqrt(b.d) * vec[2])')} AS x1 FROM al JOIN dg a ON a.id = src JOIN dg b ON b.id = dst JOIN v ON v.id = dst GROUP BY 1""")
+def _convolution(spark: SparkSession, d: str) -> DataFrame:
+    x = fixtures.vectors(spark, d).select("id", F.slice("vec", 1, 2).alias("vec"))
+    out = models.propagate(_nation(spark, d)[0], x, 2)
+    return out.select("id", rounded(F.col("vec")[0]).alias("x0"), rounded(F.col("vec")[1]).alias("x1"))
+
+
+@query("principal_components")
+def _pca(spark: SparkSession, d: str) -> DataFrame:
+    return linalg.pca(fixtures.vectors(spark, d), 2)
+
+
+@query("spherical_clusters")
+def _kmeans(spark: SparkSession, d: str) -> DataFrame:
+    return linalg.spherical_kmeans(fixtures.vectors(spark, d), 10)
+
+
+def _model(name: str, **options: object) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        edges, groups = _nation(spark, d)
+        return models.registry(groups)[name](edges, 8)
+
+    return run
+
+
+for _name in ("residual", "residual-groups", "leigenmap", "netmf", "lndeg", "gcn", "gat", "graphsage"):
+    query(f"embedding_{_name.replace('-', '_')}")(_model(_name))
+
+
+def _short(kind: str) -> Query:
+    """Walk-based models with short walks, so that the check stays small."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        edges, groups = _nation(spark, d)
+        made = {
+            "deepwalk": models.word_vectors(2, 10, 3),
+            "node2vec": models.word_vectors(1, 6, 3, 0.5, 2.0),
+            "fairwalk": models.word_vectors(2, 10, 3, fair=True),
+            "glove": models.glove(2, 10, 3),
+            "residual_sgd": models.skip_gram(2, 10, 3),
+            "residual_sgd_joint": models.skip_gram(2, 10, 3, joint=True),
+            "residual_sgd_groups": models.skip_gram(2, 10, 3, noise=samplers.block_noise(groups)),
+        }
+        return made[kind](edges, 8)
+
+    return run
+
+
+for _name in ("deepwalk", "node2vec", "fairwalk", "glove", "residual_sgd", "residual_sgd_joint", "residual_sgd_groups"):
+    query(f"embedding_{_name}")(_short(_name))
+
+
+@query("glove_bias")
+def _bias(spark: SparkSession, d: str) -> DataFrame:
+    edges, _ = _nation(spark, d)
+    return models.bias_fit(edges, fixtures.vectors(spark, d).select("id", "vec"))
+
+
+@query("streamed_pair_counts", f"WITH {PAIRS} SELECT * FROM pairs")
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.streaming.pairs import stream_pair_counts
+
+    return stream_pair_counts(spark, fixtures.event_walks(spark, d), 3)
