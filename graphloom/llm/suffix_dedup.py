@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.arrow_text import flat_text, mix64, slices, span_hashes
+from graphloom.llm.arrow_text import flat_text, mix64, slices
 from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, read_arrays, write_arrays
 
 GRAM = 16
 HEAD = 7
-PASS_BYTES = 2 << 20
+#: Flags of shared names: one content everywhere, several, or too many for one task.
+SAME, MIXED, HEAVY = 1, 2, 3
+PASS_BYTES = 3 << 20
 FLUSH_BYTES = 12 << 20
 NO_DOC = np.iinfo(np.int64).max
 
@@ -46,68 +48,78 @@ NO_DOC = np.iinfo(np.int64).max
 @dataclass(frozen=True)
 class Segments:
     """Runs of windows with one name: the first window's start and the end of
-    the last window's bytes, in the slice; the row and the name of each."""
+    the last window's bytes, in the slice; the row, the name and a 48-bit
+    key of the content of each."""
 
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
     name: np.ndarray
+    key: np.ndarray
+
+    def take(self, keep: np.ndarray) -> Segments:
+        return Segments(*(getattr(self, k)[keep] for k in ("start", "end", "row", "name", "key")))
+
+    def join(self, other: Segments) -> Segments:
+        return Segments(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("start", "end", "row", "name", "key")))
 
 
 def _load8(data: np.ndarray, n: int, at: int) -> np.ndarray:
     return np.ndarray((n,), "<u8", data, offset=at, strides=(1,))
 
 
-def winnow(data: np.ndarray, bounds: np.ndarray, length: int) -> Segments:
-    """Segments of all windows of ``length`` bytes inside the rows."""
+def _content(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Key of spans from the running sum of their grams' hashes: overlapping
+    grams fix each other's order."""
+    with np.errstate(over="ignore"):
+        return mix64(run[end - GRAM + 1] - run[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
+
+
+def winnow(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[Segments, np.ndarray]:
+    """Segments of all windows of ``length`` bytes inside the rows, and the
+    running sum of gram hashes."""
     n = len(data) - length + 1
-    none = np.zeros(0, np.int64)
+    none, nil = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n <= 0:
-        return Segments(none, none, none, none.astype(np.uint64))
+        return Segments(none, none, none, nil, nil), nil
     data = np.ascontiguousarray(data)
     with np.errstate(over="ignore"):
         grams = len(data) - GRAM + 1
-        low = mix64(_load8(data, grams, 0) * np.uint64(0x9E3779B97F4A7C15) + (_load8(data, grams, 8) ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        low = _load8(data, grams, 0) * np.uint64(0x9E3779B97F4A7C15)
+        low += _load8(data, grams, 8) * np.uint64(0xC2B2AE3D27D4EB4F)
+        low ^= low >> np.uint64(32)
+        low *= np.uint64(0xD6E8FEB86659FD93)
+        low ^= low >> np.uint64(29)
+        run = np.zeros(grams + 1, np.uint64)
+        np.cumsum(low, out=run[1:])
     width, have = length - GRAM + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if width > have:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    ok = np.zeros(n + 1, np.int32)
-    whole = np.diff(bounds) >= length
-    np.add.at(ok, bounds[:-1][whole], 1)
-    np.add.at(ok, bounds[1:][whole] - length + 1, -1)
-    ok = np.cumsum(ok[:n]) > 0
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return Segments(none, none, none, none.astype(np.uint64))
-    names = low[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (names[1:] != names[:-1]) | (at[1:] != at[:-1] + 1)
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    # windows that would cross into the next row start no run and end the run before
+    edges = bounds[1:-1]
+    for back in range(length):
+        at = edges - back
+        new[at[(at >= 0) & (at < n)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    start = at[first]
-    row = np.searchsorted(bounds, start, side="right") - 1
-    edge = np.searchsorted(bounds, at[last], side="right") - 1
-    if (row != edge).any():  # windows of neighbouring rows touch only when rows are exactly ``length`` apart
-        raise AssertionError("a run of windows crosses rows")
-    return Segments(start, at[last] + length, row, names[first] >> np.uint64(16))
-
-
-def _windows(seg: Segments, pick: np.ndarray, length: int) -> Segments:
-    """The chosen segments as single windows."""
-    sizes = seg.end[pick] - seg.start[pick] - length + 1
-    start = np.repeat(seg.start[pick] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return Segments(start, start + length, np.repeat(seg.row[pick], sizes), np.repeat(seg.name[pick], sizes))
+    last = np.append(first[1:], n) - 1
+    row = np.searchsorted(bounds, first, side="right") - 1
+    inside = first + length <= bounds[row + 1]
+    first, last, row = first[inside], last[inside], row[inside]
+    end = last + length
+    return Segments(first, end, row, low[first] >> np.uint64(16), _content(run, first, end)), run
 
 
-def _join(a: Segments, b: Segments) -> Segments:
-    return Segments(*(np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("start", "end", "row", "name")))
-
-
-def _pick(seg: Segments, keep: np.ndarray) -> Segments:
-    return Segments(seg.start[keep], seg.end[keep], seg.row[keep], seg.name[keep])
+def _windows(seg: Segments, run: np.ndarray, length: int) -> Segments:
+    """Segments as single windows."""
+    sizes = seg.end - seg.start - length + 1
+    start = np.repeat(seg.start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return Segments(start, start + length, np.repeat(seg.row, sizes), np.repeat(seg.name, sizes), _content(run, start, start + length))
 
 
 def _part_of(route: np.ndarray, parts: int) -> np.ndarray:
@@ -125,22 +137,22 @@ def _lookup(folder: str, prefix: str, keys: np.ndarray, part: np.ndarray, dtypes
 
 
 def shared_items(data: np.ndarray, bounds: np.ndarray, length: int, folder: str, parts: int) -> tuple[Segments, np.ndarray, np.ndarray]:
-    """Segments with a shared name, heavy ones window by window, with the
-    48-bit content key and the 48-bit route of each: equal windows stand in
-    segments of one route."""
-    seg = winnow(data, bounds, length)
+    """Segments with a shared name, heavy ones window by window; the 48-bit
+    route of each, one for all segments that can hold an equal window; and
+    whether its route has different segments."""
+    seg, run = winnow(data, bounds, length)
     flag = np.zeros(len(seg.name), np.uint8)
     for idx, at, (flags,) in _lookup(folder, "shared", seg.name, _part_of(seg.name, parts), ["u1"]):
         flag[idx] = flags[at]
-    light, heavy = _pick(seg, flag == 1), _windows(seg, flag == 2, length)
-    route = light.name
-    if len(heavy.start):
-        ends = np.stack([span_hashes(data, heavy.start, heavy.start + GRAM), span_hashes(data, heavy.end - GRAM, heavy.end)])
+    light = (flag == SAME) | (flag == MIXED)
+    items, route, mixed = seg.take(light), seg.name[light], flag[light] == MIXED
+    if (flag == HEAVY).any():
+        heavy = _windows(seg.take(flag == HEAVY), run, length)
         with np.errstate(over="ignore"):
-            route = np.concatenate([route, mix64(ends[0] * np.uint64(3) + ends[1]) ^ heavy.name])
-    items = _join(light, heavy)
-    content = span_hashes(data, items.start, items.end)
-    return items, content >> np.uint64(16), route & np.uint64((1 << 48) - 1)
+            ends = mix64((run[heavy.start + 1] - run[heavy.start]) * np.uint64(3) + run[heavy.end - GRAM + 1] - run[heavy.end - GRAM])
+        items, route = items.join(heavy), np.concatenate([route, (ends ^ heavy.name) & np.uint64((1 << 48) - 1)])
+        mixed = np.concatenate([mixed, np.ones(len(heavy.start), bool)])
+    return items, route, mixed
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,45 +291,50 @@ def _send(part: np.ndarray, pack: object) -> Iterator[pa.RecordBatch]:
 
 
 def _find_shared(source: DataFrame, length: int, folder: str, parts: int) -> None:
-    """Pass 1: write the names of two documents or more, flagged if heavy."""
+    """Pass 1: write the names of two documents or more with their flags."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(names: list, rows: list) -> Iterator[pa.RecordBatch]:
-            name, row = np.concatenate(names), np.concatenate(rows)
-            order = np.lexsort((row, name))
-            name, row = name[order], row[order]
-            new = np.ones(len(name), bool)
-            new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
-            name = name[new]
+        def flush(names: list, rows: list, keys: list) -> Iterator[pa.RecordBatch]:
+            name, row, key = np.concatenate(names), np.concatenate(rows), np.concatenate(keys)
+            order = np.argsort(name)
+            name, row, key = name[order], row[order], key[order]
             first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-            docs = np.diff(np.append(first, len(name))).astype("<u4")
-            name = name[first]
-            yield from _send(_part_of(name, parts), lambda i: _blob(_planes(name[i]), docs[i]))
+            sizes = np.diff(np.append(first, len(name)))
+            docs = np.where((np.minimum.reduceat(row, first) == np.maximum.reduceat(row, first)), 1, sizes).astype("<u4")
+            low, high = np.minimum.reduceat(key, first), np.maximum.reduceat(key, first)
+            name, print_, same = name[first], low.astype("<u4"), low == high
+            yield from _send(_part_of(name, parts), lambda i: _blob(_planes(name[i]), docs[i], np.ascontiguousarray(print_[i]), np.packbits(same[i])))
 
-        names, rows, held, base = [], [], 0, 0
+        names, rows, keys, held, base = [], [], [], 0, 0
         for ids, data, bounds in _text_slices(batches):
-            seg = winnow(data, bounds, length)
+            seg, _ = winnow(data, bounds, length)
             names.append(seg.name)
             rows.append(seg.row + base)
+            keys.append(seg.key)
             base += len(ids)
             held += len(data)
             if held >= FLUSH_BYTES:
-                yield from flush(names, rows)
-                names, rows, held = [], [], 0
+                yield from flush(names, rows, keys)
+                names, rows, keys, held = [], [], [], 0
         if sum(map(len, names)):
-            yield from flush(names, rows)
+            yield from flush(names, rows, keys)
 
     def merge(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        got = [_unblob(x.as_py(), ["u1", "<u4"]) for x in table.column("packed")]
-        name, docs = np.concatenate([_from_planes(a) for a, _ in got]), np.concatenate([b for _, b in got]).astype(np.int64)
-        order = np.argsort(name, kind="stable")
-        name, docs = name[order], docs[order]
+        got = []
+        for x in table.column("packed"):
+            planes, docs, print_, same = _unblob(x.as_py(), ["u1", "<u4", "<u4", "u1"])
+            got.append((_from_planes(planes), docs.astype(np.int64), print_, np.unpackbits(same)[: len(docs)]))
+        name, docs, print_, same = (np.concatenate(c) for c in zip(*got))
+        order = np.argsort(name)
+        name, docs, print_, same = name[order], docs[order], print_[order], same[order]
         first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         docs = np.add.reduceat(docs, first)
+        one = (np.minimum.reduceat(print_, first) == np.maximum.reduceat(print_, first)) & (np.minimum.reduceat(same, first) == 1)
         limit = max(256, docs.sum() // 64)
+        flag = np.where(one, SAME, np.where(docs > limit, HEAVY, MIXED)).astype("u1")
         keep = docs > 1
-        write_arrays(folder, f"shared-{part}", [*HashArray.layout(name[first][keep]), np.where(docs[keep] > limit, 2, 1).astype("u1")])
+        write_arrays(folder, f"shared-{part}", [*HashArray.layout(name[first][keep]), flag[keep]])
         return pa.table({"part": pa.array([part], pa.int32()), "packed": pa.array([b""], pa.binary())})
 
     source.mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(merge, "part int, packed binary").count()
@@ -332,9 +349,14 @@ def _smallest(route: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray
     return order[new]
 
 
-def _find_cover(source: DataFrame, length: int, folder: str, parts: int) -> None:
+def _find_cover(source: DataFrame, length: int, folder: str, parts: int, all_bytes: bool = False) -> bool:
     """Pass 2: for each distinct segment its first document and which of its
-    windows a still smaller document holds in another segment."""
+    windows a still smaller document holds in another segment.
+
+    Bytes travel only for routes with several segments.  Pass 1 tells those
+    by 32-bit prints; False says that a print was mistaken, and the pass has
+    to be run again with ``all_bytes``.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(keys: list, docs: list, routes: list, texts: list) -> Iterator[pa.RecordBatch]:
@@ -351,14 +373,17 @@ def _find_cover(source: DataFrame, length: int, folder: str, parts: int) -> None
 
         keys, docs, routes, texts, held = [], [], [], [], 0
         for ids, data, bounds in _text_slices(batches):
-            items, key, route = shared_items(data, bounds, length, folder, parts)
-            own = _smallest(route, key, ids[items.row])
+            items, route, mixed = shared_items(data, bounds, length, folder, parts)
+            own = _smallest(route, items.key, ids[items.row])
             whole = data.tobytes()
-            keys.append(key[own])
+            keys.append(items.key[own])
             docs.append(ids[items.row[own]])
             routes.append(route[own])
-            texts.append([whole[a:b] for a, b in zip(items.start[own].tolist(), items.end[own].tolist())])
-            held += sum(map(len, texts[-1]))
+            sent = mixed[own] | all_bytes
+            body = np.full(len(own), b"", object)
+            body[sent] = [whole[a:b] for a, b in zip(items.start[own[sent]].tolist(), items.end[own[sent]].tolist())]
+            texts.append(body.tolist())
+            held += sum(map(len, texts[-1])) + 24 * len(own)
             if held >= FLUSH_BYTES:
                 yield from flush(keys, docs, routes, texts)
                 keys, docs, routes, texts, held = [], [], [], [], 0
@@ -367,37 +392,42 @@ def _find_cover(source: DataFrame, length: int, folder: str, parts: int) -> None
 
     def merge(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        routes, keys, docs, bodies = [], [], [], []
+        got, raws, base = [], [], 0
         for x in table.column("packed"):
             planes, key, doc, sizes, raw = _unblob(x.as_py(), ["u1", "<u8", "<i8", "<u4", "u1"])
-            routes.append(_from_planes(planes))
-            keys.append(key)
-            docs.append(doc)
-            whole, cuts = raw.tobytes(), np.concatenate(([0], np.cumsum(sizes.astype(np.int64)))).tolist()
-            bodies += [whole[a:b] for a, b in zip(cuts, cuts[1:])]
-        route, key, doc = np.concatenate(routes), np.concatenate(keys), np.concatenate(docs)
+            ends = base + np.cumsum(sizes.astype(np.int64))
+            got.append((_from_planes(planes), key, doc, ends - sizes, ends))
+            raws.append(raw)
+            base += len(raw)
+        route, key, doc, a, b = (np.concatenate(c) for c in zip(*got))
         first = _smallest(route, key, doc)
-        first = first[np.argsort(key[first], kind="stable")]
-        route, key, doc = route[first], key[first], doc[first]
+        first = first[np.argsort(key[first])]
+        route, key, doc, a, b = route[first], key[first], doc[first], a[first], b[first]
         # a route with a single segment is one interval a window, of one document
-        _, group, variants = np.unique(route, return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(variants[group] > 1)
+        by = np.argsort(route)
+        several = np.zeros(len(route), bool)
+        twin = route[by][1:] == route[by][:-1]
+        several[by[1:][twin]] = several[by[:-1][twin]] = True
+        mixed = np.flatnonzero(several)
         sizes, flat = np.zeros(len(key), np.int64), np.zeros(0, "<u4")
-        if len(mixed):
-            covered = covered_windows([bodies[j] for j in first[mixed].tolist()], doc[mixed], length)
+        mistaken = int((a[mixed] == b[mixed]).sum())
+        if len(mixed) and not mistaken:
+            whole = b"".join(r.tobytes() for r in raws)
+            covered = covered_windows([whole[x:y] for x, y in zip(a[mixed].tolist(), b[mixed].tolist())], doc[mixed], length)
             sizes[mixed] = [len(c) for c in covered]
             flat = np.concatenate(covered).astype("<u4")
         write_arrays(folder, f"cover-{part}", [*HashArray.layout(key), doc.astype("<i8"), np.cumsum(np.append(0, sizes)).astype("<u8"), flat])
-        return pa.table({"part": pa.array([part], pa.int32()), "packed": pa.array([b""], pa.binary())})
+        return pa.table({"part": pa.array([part], pa.int32()), "mistaken": pa.array([mistaken], pa.int64())})
 
-    source.mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(merge, "part int, packed binary").count()
+    done = source.mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(merge, "part int, mistaken long")
+    return not done.agg(F.sum("mistaken")).first()[0]
 
 
 def _removed(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int, folder: str, parts: int) -> np.ndarray:
     """Which bytes of a slice go."""
-    items, key, route = shared_items(data, bounds, length, folder, parts)
+    items, route, _ = shared_items(data, bounds, length, folder, parts)
     delta = np.zeros(len(data) + 1, np.int32)
-    for idx, at, (first, cuts, windows) in _lookup(folder, "cover", key, _part_of(route, parts), ["<i8", "<u8", "<u4"]):
+    for idx, at, (first, cuts, windows) in _lookup(folder, "cover", items.key, _part_of(route, parts), ["<i8", "<u8", "<u4"]):
         own = ids[items.row[idx]]
         late = idx[first[at] < own]
         np.add.at(delta, items.start[late], 1)
@@ -431,7 +461,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_at = docs.columns.index(text_col)
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     _find_shared(source, length, folder, parts)
-    _find_cover(source, length, folder, parts)
+    if not _find_cover(source, length, folder, parts):
+        _find_cover(source, length, folder, parts, all_bytes=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
