@@ -93,17 +93,19 @@ class RatioModel:
     share: float
 
 
-def fit(target: DataFrame, raw: DataFrame, share: float, text_col: str = "text", prior: float = 500.0, buckets: int = BUCKETS) -> RatioModel:
+def fit(target: DataFrame, raw: DataFrame, share: float, text_col: str = "text", prior: float = 200.0, buckets: int = BUCKETS) -> RatioModel:
     """Count both generative models.
 
-    The target model is drawn towards the raw one by ``prior`` pseudo-counts
-    a bucket, so that a small target sample says nothing about n-grams it
-    hardly saw.  Without target texts all ratios are 0.
+    Both get ``prior`` pseudo-counts a bucket at the size of the target, so
+    that a target sample says nothing about n-grams it would hardly show.
+    Without target texts all ratios are 0.
     """
-    t, r = ngram_counts(target, text_col, buckets), ngram_counts(raw, text_col, buckets) + 1.0
-    p_raw = r / r.sum()
-    p_target = (t + prior * buckets * p_raw) / (t.sum() + prior * buckets)
-    return RatioModel(np.log(p_target) - np.log(p_raw), share)
+    t, r = ngram_counts(target, text_col, buckets), ngram_counts(raw, text_col, buckets)
+    if not t.sum():
+        return RatioModel(np.zeros(buckets), share)
+    # the occurrence being weighed is itself in the raw counts: it is left out of them
+    expected = t.sum() * np.maximum(r - 1, 0) / max(r.sum() - 1, 1)
+    return RatioModel(np.log(t + prior) - np.log(expected + prior), share)
 
 
 def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
