@@ -40,10 +40,19 @@ def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class HashArray:
-    """48-bit keys: offsets by the upper 16 bits, the lower 32 bits sorted."""
+    """48-bit keys in order.
+
+    Many keys are stored as offsets by the upper 16 bits and the sorted lower
+    32 bits; few as they are, without offsets, for the offsets would outweigh
+    them.
+    """
+
+    FEW = 1 << 17
 
     @staticmethod
     def layout(keys: np.ndarray) -> list[np.ndarray]:
+        if len(keys) < HashArray.FEW:
+            return [np.zeros(0, "<u8"), keys.astype("<u8")]
         offsets = np.searchsorted(keys >> np.uint64(32), np.arange(65537, dtype=np.uint64)).astype("<u8")
         return [offsets, (keys & np.uint64(0xFFFFFFFF)).astype("<u4")]
 
@@ -52,6 +61,12 @@ class HashArray:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, -1 if absent."""
+        if not len(self.offsets):
+            whole = self.low.view("<u8")
+            if not len(whole):
+                return np.full(len(keys), -1)
+            at = np.minimum(np.searchsorted(whole, keys), len(whole) - 1)
+            return np.where(whole[at] == keys, at, -1)
         top = (keys >> np.uint64(32)).astype(np.int64)
         want = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         lo, end = self.offsets[top].astype(np.int64), self.offsets[top + 1].astype(np.int64)
