@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +33,8 @@ from graphloom.llm.arrow_text import flat_text, slices
 
 MAX_PIECES = 600_000
 CHUNK_BYTES = 4 << 20
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
+SPREAD = 7919
 NONE = 2**31 - 1
 
 
@@ -45,15 +45,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one literal: an array of small maps, dealt by CRC-32.
+    """The rank map as one literal: from two neighbouring ids to the id of
+    both together, which is its rank.
 
-    Bytes are written as the characters of the same numbers.
+    It is an array of small maps, dealt by ``_bucket``; a map is an array of
+    keys ``first * 2**20 + second`` and one of ids, led by ``NONE`` for a key
+    that is not there.
     """
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    maps: list[dict] = [{"k": [], "v": [NONE]} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        text = token.decode("latin-1")
-        maps[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+        for cut in range(1, len(token)):
+            first, second = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if first is not None and second is not None:
+                own = maps[(first * SPREAD + second) % BUCKETS]
+                own["k"].append(first << 20 | second)
+                own["v"].append(rank)
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<struct<k:array<bigint>,v:array<int>>>")
 
 
 def token_literal(ranks: dict[bytes, int]) -> Column:
@@ -69,34 +76,32 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def encode_piece(piece: Column, ranks: Column) -> Column:
-    """array<int>: ids of one piece given as byte characters.
+def encode_piece(start: Column, ranks: Column) -> Column:
+    """array<int>: ids of one piece, given as the ids of its bytes.
 
-    A piece that is a token is that token.  Otherwise the fold holds the
-    parts and the rank of each neighbouring pair; a step merges the pair
-    of lowest rank, the leftmost of equals, and looks up the two pairs it
-    changes.  Without a mergeable pair a step changes nothing.
+    The fold holds the ids so far and the rank of each neighbouring pair; a
+    step merges the pair of lowest rank, the leftmost of equals, and looks
+    up the two pairs it changes.  Without a mergeable pair a step changes
+    nothing.  A single id stays as it is.
     """
 
     def fold(table: Column) -> Column:
-        def rank(text: Column) -> Column:
-            bucket = F.element_at(table, (F.crc32(text.cast("binary")) % BUCKETS + 1).cast("int"))
-            return F.coalesce(F.try_element_at(bucket, text), F.lit(NONE))
+        def rank(first: Column, second: Column) -> Column:
+            own = F.element_at(table, ((first.cast("bigint") * SPREAD + second) % BUCKETS + 1).cast("int"))
+            return _let(own, lambda m: F.element_at(m["v"], (F.array_position(m["k"], F.shiftleft(first.cast("bigint"), 20) + second) + 1).cast("int")))
 
-        parts = F.split(piece, "")
-        pair_ranks = F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: rank(F.substring(piece, i, F.lit(2))))
-        start = F.struct(parts.alias("p"), pair_ranks.alias("r"))
+        n = F.size(start)
+        state = F.struct(start.alias("p"), F.zip_with(F.slice(start, 1, n - 1), F.slice(start, 2, n - 1), rank).alias("r"))
+        none = F.slice(F.array(F.lit(0)), 2, 1)
 
         def merge(acc: Column, low: Column) -> Column:
             def at(k: Column) -> Column:
                 p, r = acc["p"], acc["r"]
-                n = F.size(p)
-                joined = F.concat(F.element_at(p, k), F.element_at(p, k + 1))
-                before = F.when(k > 1, F.array(rank(F.concat(F.element_at(p, F.greatest(k - 1, F.lit(1))), joined)))).otherwise(F.array().cast("array<int>"))
-                after = F.when(k + 1 < n, F.array(rank(F.concat(joined, F.element_at(p, F.least(k + 2, n)))))).otherwise(F.array().cast("array<int>"))
+                before = F.when(k > 1, F.array(rank(F.element_at(p, F.greatest(k - 1, F.lit(1))), low))).otherwise(none)
+                after = F.when(k < F.size(r), F.array(rank(low, F.element_at(p, F.least(k + 2, F.size(p)))))).otherwise(none)
                 return F.struct(
-                    F.concat(F.slice(p, 1, k - 1), F.array(joined), F.slice(p, k + 2, n)).alias("p"),
-                    F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), before, after, F.slice(r, k + 2, n)).alias("r"),
+                    F.concat(F.slice(p, 1, k - 1), F.array(low), F.slice(p, k + 2, F.size(p))).alias("p"),
+                    F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), before, after, F.slice(r, k + 2, F.size(p))).alias("r"),
                 )
 
             return _let(F.array_position(acc["r"], low).cast("int"), at)
@@ -104,10 +109,9 @@ def encode_piece(piece: Column, ranks: Column) -> Column:
         def step(acc: Column, _: Column) -> Column:
             return _let(F.coalesce(F.array_min(acc["r"]), F.lit(NONE)), lambda low: F.when(low == NONE, acc).otherwise(merge(acc, low)))
 
-        folded = F.aggregate(F.sequence(F.lit(2), F.length(piece)), start, step, lambda acc: F.transform(acc["p"], rank))
-        return _let(rank(piece), lambda whole: F.when((whole != NONE) | (F.length(piece) < 2), F.array(whole)).otherwise(folded))
+        return F.aggregate(F.slice(start, 2, n), state, step, lambda acc: acc["p"])
 
-    return _let(ranks, fold)
+    return F.when(F.size(start) < 2, start).otherwise(_let(ranks, fold))
 
 
 def decode_ids(ids: Column, tokens: Column) -> Column:
@@ -145,7 +149,7 @@ class _Dictionary:
         return flat[np.repeat(at[refs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
-_PIECES = "kind int, doc_id long, piece string, refs binary"
+_PIECES = "kind int, doc_id long, piece array<int>, refs binary"
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,10 +161,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     bytes.  Pieces of any length are folded whole.
     """
     splitter = regex.compile(pattern)
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.string()), ("refs", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.list_(pa.int32())), ("refs", pa.binary())])
         for batch in batches:
             _, bounds = flat_text(batch.column(1))
             for lo, hi in slices(bounds, CHUNK_BYTES):
@@ -172,13 +177,14 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
                 for text in batch.column(1)[lo:hi].to_pylist():
                     refs.append(np.array([number(p, len(known)) for p in splitter.findall(text)] if text else [], dtype="<i4").tobytes())
                 if len(known) > before:
-                    fresh = [p.encode().decode("latin-1") for p in list(known)[before:]]
+                    fresh = [p.encode() for p in list(known)[before:]]
                     for k in range(0, len(fresh), 20_000):
-                        part = fresh[k : k + 20_000]
-                        n = len(part)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(part, pa.string()), pa.nulls(n, pa.binary())], schema=schema)
+                        part = [(ranks[x],) if x in ranks else single[np.frombuffer(x, np.uint8)] for x in fresh[k : k + 20_000]]
+                        n, cuts = len(part), np.cumsum([0, *map(len, part)])
+                        ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(part).astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), ids, pa.nulls(n, pa.binary())], schema=schema)
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0)[lo:hi], pa.nulls(n, pa.string()), pa.array(refs, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0)[lo:hi], pa.nulls(n, pa.list_(pa.int32())), pa.array(refs, pa.binary())], schema=schema)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _Dictionary()
