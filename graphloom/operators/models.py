@@ -2,8 +2,7 @@
 
 Spectral models run as distributed sketches.  Models trained by stochastic
 gradients count their pairs in Spark and train in one Arrow task over the
-counted table, as the reference implementations train in one process; the
-graph operators around them stay distributed.
+counted table; the graph operators around them stay distributed.
 """
 
 from __future__ import annotations
