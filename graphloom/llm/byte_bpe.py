@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,8 +35,9 @@ from graphloom.llm.arrow_text import flat_text, slices
 MAX_PIECES = 600_000
 CHUNK_BYTES = 4 << 20
 BUCKETS = 1 << 16
-SPREAD = 7919
-NONE = 2**31 - 1
+#: Ids are written as characters from here on; the last one says "no such pair".
+FIRST = 0x10000
+NONE, MARK = chr(0x10FFFF), "|"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,23 +46,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def sign(token_id: int) -> str:
+    """The character that stands for an id in the fold's byte arrays."""
+    return chr(FIRST + token_id)
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The rank map as one literal: from two neighbouring ids to the id of
     both together, which is its rank.
 
-    It is an array of small maps, dealt by ``_bucket``; a map is an array of
-    keys ``first * 2**20 + second`` and one of ids, led by ``NONE`` for a key
-    that is not there.
+    It is an array of small maps, dealt by a hash of the pair.  A map is a
+    string of entries, a mark and the characters of first, second and both;
+    its first entry stands for every pair that is not there.
     """
-    maps: list[dict] = [{"k": [], "v": [NONE]} for _ in range(BUCKETS)]
+    maps = [MARK + NONE * 3] * BUCKETS
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             first, second = ranks.get(token[:cut]), ranks.get(token[cut:])
             if first is not None and second is not None:
-                own = maps[(first * SPREAD + second) % BUCKETS]
-                own["k"].append(first << 20 | second)
-                own["v"].append(rank)
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<struct<k:array<bigint>,v:array<int>>>")
+                pair = sign(first) + sign(second)
+                maps[zlib.crc32(pair.encode()) % BUCKETS] += MARK + pair + sign(rank)
+    return F.split(F.lit(" ".join(maps)), " ")
 
 
 def token_literal(ranks: dict[bytes, int]) -> Column:
@@ -76,8 +82,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _locate(part: Column, whole: Column) -> Column:
+    return F.call_function("locate", part, whole)
+
+
 def encode_piece(start: Column, ranks: Column) -> Column:
-    """array<int>: ids of one piece, given as the ids of its bytes.
+    """array<int>: ids of one piece, given as the array of the ids of its
+    bytes, written as a string of one character an id.
 
     The fold holds the ids so far and the rank of each neighbouring pair; a
     step merges the pair of lowest rank, the leftmost of equals, and looks
@@ -86,32 +97,35 @@ def encode_piece(start: Column, ranks: Column) -> Column:
     """
 
     def fold(table: Column) -> Column:
-        def rank(first: Column, second: Column) -> Column:
-            own = F.element_at(table, ((first.cast("bigint") * SPREAD + second) % BUCKETS + 1).cast("int"))
-            return _let(own, lambda m: F.element_at(m["v"], (F.array_position(m["k"], F.shiftleft(first.cast("bigint"), 20) + second) + 1).cast("int")))
+        def rank(pair: Column) -> Column:
+            own = F.element_at(table, (F.crc32(pair.cast("binary")) % BUCKETS + 1).cast("int"))
+            return _let(own, lambda m: F.substring(m, F.greatest(_locate(F.concat(F.lit(MARK), pair), m), F.lit(1)) + 3, F.lit(1)))
 
-        n = F.size(start)
-        state = F.struct(start.alias("p"), F.zip_with(F.slice(start, 1, n - 1), F.slice(start, 2, n - 1), rank).alias("r"))
-        none = F.slice(F.array(F.lit(0)), 2, 1)
+        n = F.length(start)
+        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(start, i, F.lit(2))))
+        state = F.struct(start.alias("p"), F.array_join(pairs, "").alias("r"))
 
         def merge(acc: Column, low: Column) -> Column:
             def at(k: Column) -> Column:
                 p, r = acc["p"], acc["r"]
-                before = F.when(k > 1, F.array(rank(F.element_at(p, F.greatest(k - 1, F.lit(1))), low))).otherwise(none)
-                after = F.when(k < F.size(r), F.array(rank(low, F.element_at(p, F.least(k + 2, F.size(p)))))).otherwise(none)
+                before = F.when(k > 1, rank(F.concat(F.substring(p, k - 1, F.lit(1)), low))).otherwise(F.lit(""))
+                after = F.when(k < F.length(r), rank(F.concat(low, F.substring(p, k + 2, F.lit(1))))).otherwise(F.lit(""))
                 return F.struct(
-                    F.concat(F.slice(p, 1, k - 1), F.array(low), F.slice(p, k + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), before, after, F.slice(r, k + 2, F.size(p))).alias("r"),
+                    F.overlay(p, low, k, F.lit(2)).alias("p"),
+                    F.concat(F.substring(r, F.lit(1), k - 2), before, after, F.substring(r, k + 2, n)).alias("r"),
                 )
 
-            return _let(F.array_position(acc["r"], low).cast("int"), at)
+            return _let(_locate(low, acc["r"]), at)
 
         def step(acc: Column, _: Column) -> Column:
-            return _let(F.coalesce(F.array_min(acc["r"]), F.lit(NONE)), lambda low: F.when(low == NONE, acc).otherwise(merge(acc, low)))
+            done = F.struct(acc["p"].alias("p"), F.lit("").alias("r"))
+            least = lambda low: F.when(low == NONE, done).otherwise(merge(acc, low))
+            return F.when(acc["r"] == "", acc).otherwise(_let(F.array_min(F.split(acc["r"], "")), least))
 
-        return F.aggregate(F.slice(start, 2, n), state, step, lambda acc: acc["p"])
+        return F.aggregate(F.sequence(F.lit(2), n), state, step, lambda acc: acc["p"])
 
-    return F.when(F.size(start) < 2, start).otherwise(_let(ranks, fold))
+    whole = F.when(F.length(start) < 2, start).otherwise(_let(ranks, fold))
+    return F.transform(F.split(whole, ""), lambda c: F.ascii(c) - FIRST)
 
 
 def decode_ids(ids: Column, tokens: Column) -> Column:
@@ -149,7 +163,7 @@ class _Dictionary:
         return flat[np.repeat(at[refs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
-_PIECES = "kind int, doc_id long, piece array<int>, refs binary"
+_PIECES = "kind int, doc_id long, piece string, refs binary"
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,11 +175,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     bytes.  Pieces of any length are folded whole.
     """
     splitter = regex.compile(pattern)
-    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    single = [sign(ranks[bytes([b])]) for b in range(256)]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.list_(pa.int32())), ("refs", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.string()), ("refs", pa.binary())])
         for batch in batches:
             _, bounds = flat_text(batch.column(1))
             for lo, hi in slices(bounds, CHUNK_BYTES):
@@ -179,12 +193,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
                 if len(known) > before:
                     fresh = [p.encode() for p in list(known)[before:]]
                     for k in range(0, len(fresh), 20_000):
-                        part = [(ranks[x],) if x in ranks else single[np.frombuffer(x, np.uint8)] for x in fresh[k : k + 20_000]]
-                        n, cuts = len(part), np.cumsum([0, *map(len, part)])
-                        ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(part).astype(np.int32)))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), ids, pa.nulls(n, pa.binary())], schema=schema)
+                        part = [sign(ranks[x]) if x in ranks else "".join([single[c] for c in x]) for x in fresh[k : k + 20_000]]
+                        n = len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(part, pa.string()), pa.nulls(n, pa.binary())], schema=schema)
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0)[lo:hi], pa.nulls(n, pa.list_(pa.int32())), pa.array(refs, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0)[lo:hi], pa.nulls(n, pa.string()), pa.array(refs, pa.binary())], schema=schema)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _Dictionary()
