@@ -19,7 +19,6 @@ A stretch ends, and its pieces are forgotten, once it holds
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_text import flat_text, slices
 
-MAX_PIECES = 600_000
-CHUNK_BYTES = 4 << 20
+MAX_PIECES = 500_000
+CHUNK_BYTES = 2 << 20
 BUCKETS = 1 << 16
 #: Ids are written as characters from here on; the last one says "no such pair".
 FIRST = 0x10000
@@ -56,10 +55,11 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     both together, which is its rank.
 
     It is an array of small maps, dealt by a hash of the pair.  A map is a
-    string of entries, a mark and the characters of first, second and both;
-    its first entry stands for every pair that is not there.
+    string of entries, a mark and the characters of first, second and both.
+    What follows the mark and a pair is its rank; where a pair is not there,
+    the whole string is left, which starts with ``NONE``.
     """
-    maps = [MARK + NONE * 3] * BUCKETS
+    maps = [NONE] * BUCKETS
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             first, second = ranks.get(token[:cut]), ranks.get(token[cut:])
@@ -99,7 +99,7 @@ def encode_piece(start: Column, ranks: Column) -> Column:
     def fold(table: Column) -> Column:
         def rank(pair: Column) -> Column:
             own = F.element_at(table, (F.crc32(pair.cast("binary")) % BUCKETS + 1).cast("int"))
-            return _let(own, lambda m: F.substring(m, F.greatest(_locate(F.concat(F.lit(MARK), pair), m), F.lit(1)) + 3, F.lit(1)))
+            return F.substring(F.call_function("substring_index", own, F.concat(F.lit(MARK), pair), F.lit(-1)), 1, 1)
 
         n = F.length(start)
         pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(start, i, F.lit(2))))
@@ -166,8 +166,9 @@ class _Dictionary:
 _PIECES = "kind int, doc_id long, piece string, refs binary"
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded binary) for every row of ``docs``.
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
+    """(id, ids array<int>, decoded binary) for every row of ``docs``; with
+    ``packed`` the ids are binary, little-endian words of 32 bits.
 
     ``pattern`` splits a text into pieces that are encoded separately; text
     between matches, if any, is dropped as the pattern says.  There are no
@@ -218,24 +219,20 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
                         refs = [np.frombuffer(r, "<i4").astype(np.int64) for r in own.column(2)[at : at + 256].to_pylist()]
                         ids = [book.gather(book.ids, book.id_at, r) for r in refs]
                         raw = [book.gather(book.raw, book.raw_at, r).tobytes() for r in refs]
-                        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                        if packed:
+                            flat = pa.array([x.tobytes() for x in ids], pa.binary())
+                        else:
+                            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                         yield pa.RecordBatch.from_arrays([own.column(1)[at : at + 256], flat, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = source.mapInArrow(split, _PIECES).withColumn("ids", encode_piece(F.col("piece"), rank_literal(ranks)))
     decoded = pieces.select("kind", "doc_id", "refs", "ids", decode_ids(F.col("ids"), token_literal(ranks)).alias("raw"))
-    return decoded.mapInArrow(join, "doc_id long, ids array<int>, decoded binary").withColumnRenamed("doc_id", id_col)
+    kind = "binary" if packed else "array<int>"
+    return decoded.mapInArrow(join, f"doc_id long, ids {kind}, decoded binary").withColumnRenamed("doc_id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256); ids as little-endian words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            flat, at = np.asarray(ids.flatten()).astype("<u4"), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-            hashes = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])]
-            plain = [hashlib.sha256(x or b"").hexdigest() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(hashes), pa.array(plain)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """(id, n_tokens, ids_sha256, decoded_sha256) of packed ids."""
+    size = (F.octet_length("ids") / 4).cast("long")
+    return encoded.select(id_col, size.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -36,7 +36,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import byte_bpe
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, packed=True)
     return byte_bpe.digests(encoded)
 
 
