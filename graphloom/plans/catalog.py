@@ -583,6 +583,29 @@ for _agg in ("max", "min", "avg"):
 
     _sum = f"{_agg}({_dot('x.vec', 'z.vec')})"
     query(f"persona_score_{_agg}", f"WITH {EDGES}, {PERSONA.format(agg=r6(_sum))}")(_persona)
+
+# The same reports over every vector.  The queries above keep the node sets that their SQL states.
+
+EVERY = "vs AS (SELECT * FROM v)"
+NEAR_ALL, VOTE_ALL, TOP_ALL = (x.replace(SOME, EVERY) for x in (NEAR, VOTE, TOP))
+query("nearest_neighbours_all", f"WITH {NEAR_ALL} SELECT id, other, {r6('score')} AS score, rank FROM nn WHERE rank <= 10")(
+    lambda s, d: evaluate.nearest(fixtures.vectors(s, d), 10).withColumn("score", rounded(F.col("score")))
+)
+query("knn_vote_all", f"WITH {VOTE_ALL} SELECT * FROM kl")(lambda s, d: evaluate.knn_vote(fixtures.vectors(s, d)))
+query("knn_macro_f1_all", ORACLE_SQL["knn_macro_f1"].replace(SOME, EVERY))(
+    lambda s, d: evaluate.macro_f1(evaluate.knn_vote(fixtures.vectors(s, d))).select(rounded(F.col("macro_f1")).alias("macro_f1"))
+)
+query("top_pairs_all", f"{TOP_ALL} SELECT src, dst, {r6('score')} AS score FROM tp")(lambda s, d: evaluate.top_pairs(fixtures.vectors(s, d), 500).withColumn("score", rounded(F.col("score"))))
+query("reconstructed_graph_all", ORACLE_SQL["reconstructed_graph"].replace(SOME, EVERY))(lambda s, d: evaluate.reconstructed(fixtures.vectors(s, d), 500))
+for _agg in ("max", "min", "avg"):
+
+    def _persona_all(spark: SparkSession, d: str, agg: str = _agg) -> DataFrame:
+        v = fixtures.vectors(spark, d)
+        personas = v.select((F.col("id") % 25).alias("id"), F.col("id").alias("persona"))
+        scored = evaluate.persona_scores(fixtures.nation_edges(spark, d).select("src", "dst"), personas, v, getattr(F, agg)("s"))
+        return scored.select("src", "dst", rounded(F.col("score")).alias("score"))
+
+    query(f"persona_score_{_agg}_all", ORACLE_SQL[f"persona_score_{_agg}"].replace(" WHERE id < 75", ""))(_persona_all)
 query("score_quantiles", f"WITH {SCORED} SELECT {', '.join(r6(f'quantile_cont(score, {q})') + f' AS q{i}' for i, q in enumerate((0, 0.01, 0.999, 1)))} FROM sc")(
     lambda s, d: (lambda q: q.select(*(rounded(F.col(c)).alias(c) for c in q.columns)))(evaluate.quantiles(_scored(s, d), "score"))
 )
