@@ -7,12 +7,12 @@ bits, which keeps chance meetings rare up to billions of fingerprints.
 Fingerprints are joined on (triple, value) and verified by Hamming
 distance.  Only distinct fingerprints take part, so copies never multiply.
 
-Looser similarities need longer fingerprints: ``similar_texts`` folds the
-same shingles to 2,048 bits and cuts them into 102 blocks of 20 bits.
-Pairs that differ in fewer bits than there are blocks share one for
-certain; at the limit for a similarity of 0.8 (about 300 bits) 98.5 % do,
-and more the closer they are.  These fingerprints stay in memory-mapped
-files of the shared folder, only block values and row keys are shuffled.
+Looser similarities are met exactly by ``similar_texts``: two shingle sets
+of Jaccard similarity t share one of the first n - ceil(t n) + 1 shingles of
+either in any common order, here rare ones first (counted on a sample, which
+bears on the cost only).  Pairs that share one are verified on the whole
+sets.  Sets stay in memory-mapped files of the shared folder, only prefix
+shingles and row keys are shuffled.
 
 Within one shared value the operator emits a spanning forest of the links
 (at most one link per fingerprint), never all pairs.  A value shared by
@@ -28,12 +28,13 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_text import flat_text, mix64, slices
 from graphloom.llm.components import components
-from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, read_arrays, write_arrays
+from graphloom.llm.hash_store import by_part, new_folder, read_arrays, write_arrays
 from graphloom.llm.shared import cut_lineage
 
 HOT = 4096
@@ -111,42 +112,44 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def spanning_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the close pairs in ``prints``."""
-    left, found = np.arange(len(prints)), []
+def spanning_links(count: int, near: Callable) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the close pairs among ``count``;
+    ``near(rows, x)`` tells which rows are close to x."""
+    left, found = np.arange(count), []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = _apart(prints[left], prints[x]) <= distance
-            if near.any():
-                hit = left[near]
+            close = near(left, x)
+            if close.any():
+                hit = left[close]
                 found += [(x, int(y)) for y in hit]
                 queue += hit.tolist()
-                left = left[~near]
+                left = left[~close]
     return found
 
 
-def cross_links(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the close pairs between two blocks."""
-    rows, cols = np.arange(len(a)), np.arange(len(b))
+def cross_links(n: int, m: int, near_a: Callable, near_b: Callable) -> list[tuple[int, int]]:
+    """A spanning forest of the close pairs between two blocks of ``n`` and
+    ``m``: ``near_a`` takes rows of the first and one of the second."""
+    rows, cols = np.arange(n), np.arange(m)
     found: list[tuple[int, int]] = []
     while len(rows) and len(cols):
         queue, rows = [(0, int(rows[0]))], rows[1:]
         while queue:
             side, x = queue.pop()
-            here, there, left = (a, b, cols) if side == 0 else (b, a, rows)
+            near, left = (near_b, cols) if side == 0 else (near_a, rows)
             if not len(left):
                 continue
-            near = _apart(there[left], here[x]) <= distance
-            if near.any():
-                hit = left[near]
+            close = near(left, x)
+            if close.any():
+                hit = left[close]
                 found += [(x, int(y)) if side == 0 else (int(y), x) for y in hit]
                 queue += [(1 - side, int(y)) for y in hit]
                 if side == 0:
-                    cols = cols[~near]
+                    cols = cols[~close]
                 else:
-                    rows = rows[~near]
+                    rows = rows[~close]
     return found
 
 
@@ -169,12 +172,13 @@ def _pairs_table(pairs: list[np.ndarray], hot: list[tuple[int, int, bytes]]) ->
     )
 
 
-def _links(nodes: DataFrame, values_of: Callable, prints_of: Callable, distance: int, parts: int | None) -> DataFrame:
+def _links(nodes: DataFrame, values_of: Callable, near_of: Callable, pairs_close: Callable, parts: int | None) -> DataFrame:
     """(a, b): links that connect exactly the nodes which chains of verified
     pairs connect, where a pair is tried if it shares a value.
 
-    ``values_of(batch)`` gives the node keys (int64) and their values (nodes x
-    values, uint64), ``prints_of(keys)`` the fingerprints as rows of words.
+    ``values_of(batch)`` gives node keys (int64) and values (uint64), row by
+    row; ``near_of(a, b)`` gives ``near(rows of a, one of b)`` for two arrays
+    of keys, ``pairs_close(a, b)`` compares them one by one.
     """
     spark = nodes.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -183,8 +187,7 @@ def _links(nodes: DataFrame, values_of: Callable, prints_of: Callable, distance:
         """Deal (value, key) to parts; one packed row per part and batch."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 1 << 13):
-                keys, values = values_of(batch.slice(lo, 1 << 13))
-                rows, values = np.repeat(keys, values.shape[1]), values.ravel()
+                rows, values = values_of(batch.slice(lo, 1 << 13))
                 part = ((values >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 for p, idx in by_part(part):
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.stack([values[idx], rows[idx].view(np.uint64)]).tobytes()], pa.binary())], names=["part", "packed"])
@@ -197,16 +200,21 @@ def _links(nodes: DataFrame, values_of: Callable, prints_of: Callable, distance:
         sizes = np.diff(np.append(starts, len(values)))
         pairs: list[np.ndarray] = []
         two = starts[sizes == 2]
-        for lo in range(0, len(two), 1 << 13):
-            at = two[lo : lo + (1 << 13)]
-            near = at[_apart(prints_of(keys[at]), prints_of(keys[at + 1])) <= distance]
-            pairs.append(np.stack([keys[near], keys[near + 1]], axis=1))
+        tried = np.unique(np.stack([keys[two], keys[two + 1]], axis=1), axis=0)
+        for lo in range(0, len(tried), 1 << 13):
+            at = tried[lo : lo + (1 << 13)]
+            pairs.append(at[pairs_close(at[:, 0], at[:, 1])])
         hot: list[tuple[int, int, bytes]] = []
+        seen: set[bytes] = set()
         for s, m in zip(starts[sizes > 2], sizes[sizes > 2]):
             group = keys[s : s + m]
+            same = group.tobytes()
+            if same in seen:
+                continue
+            seen.add(same)
             for k in range(0, m, HOT):
                 own = group[k : k + HOT]
-                got = spanning_links(prints_of(own), distance)
+                got = spanning_links(len(own), near_of(own, own))
                 if got:
                     pairs.append(own[np.array(got)])
                 if m > HOT:
@@ -218,7 +226,7 @@ def _links(nodes: DataFrame, values_of: Callable, prints_of: Callable, distance:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1)):
                 a, b = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                got = cross_links(prints_of(a), prints_of(b), distance)
+                got = cross_links(len(a), len(b), near_of(a, b), near_of(b, a))
                 if got:
                     at = np.array(got)
                     yield pa.RecordBatch.from_arrays([pa.array(a[at[:, 0]]), pa.array(b[at[:, 1]])], names=["a", "b"])
@@ -238,9 +246,12 @@ def links(prints: DataFrame, distance: int = 4, parts: int | None = None) -> Dat
     def values_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         keys = np.asarray(batch.column(0))
         with np.errstate(over="ignore"):
-            return keys, mix64((keys.view(np.uint64)[:, None] & masks) ^ mix64(masks + np.uint64(1)))
+            return np.repeat(keys, len(masks)), mix64((keys.view(np.uint64)[:, None] & masks) ^ mix64(masks + np.uint64(1))).ravel()
+
+    def near_of(a: np.ndarray, b: np.ndarray) -> Callable:
+        return lambda rows, x: _apart(a[rows, None], b[x]) <= distance
 
-    return _links(prints.select("fp"), values_of, lambda keys: keys.view(np.uint64)[:, None], distance, parts)
+    return _links(prints.select("fp"), values_of, near_of, lambda a, b: _apart(a[:, None], b[:, None]) <= distance, parts)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -263,48 +274,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-LONG_WORDS = 32
-BLOCK_BITS = 20
-BLOCKS = LONG_WORDS * 64 // BLOCK_BITS
+SKETCH_WORDS = 32
+SAMPLE_TEXTS = 10_000
+COMMON = 1 << 18
 
 
-def long_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, fp binary): fingerprints of ``LONG_WORDS`` words of 64 bits.
+def sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles over ``SKETCH_WORDS * 64`` cells: two
+    sketches never differ in more bits than their sets in shingles."""
+    bits = SKETCH_WORDS * 64
+    out = np.zeros((len(starts) - 1, SKETCH_WORDS), np.uint64)
+    for lo in range(0, len(out), 512):
+        n = min(512, len(out) - lo)
+        own = flat[starts[lo] : starts[lo + n]]
+        row = np.repeat(np.arange(n), np.diff(starts[lo : lo + n + 1]))
+        odd = np.bincount(row * bits + (own & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
+        out[lo : lo + n] = np.packbits(odd.reshape(n, bits).astype(bool), axis=1, bitorder="little").view(np.uint64)
+    return out
 
-    Each distinct shingle counts once; its further hashes are mixed from
-    its first.  A text without words has an empty fingerprint.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = flat_text(batch.column(1))
-            whole = data.tobytes()
-            out: list[bytes] = []
-            for lo, hi in slices(bounds):
-                each = [np.unique(np.array(shingle_hashes(whole[bounds[i] : bounds[i + 1]], width), np.uint64)) for i in range(lo, hi)]
-                flat, counts = np.concatenate(each), np.array([len(x) for x in each], np.int64)
-                long = np.empty((hi - lo, LONG_WORDS), np.uint64)
-                with np.errstate(over="ignore"):
-                    for k in range(LONG_WORDS):
-                        long[:, k] = fold_bits(mix64(flat + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)), counts)
-                out += [row.tobytes() if n else b"" for row, n in zip(long, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "fp"])
+class ShingleSets:
+    """Sorted shingle sets in files; a key is file and row, 20 bits of row."""
 
-    source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return source.mapInArrow(run, f"{id_col} long, fp binary")
+    def __init__(self, folder: str, similarity: float) -> None:
+        self.folder, self.similarity = folder, similarity
+
+    def _file(self, number: int) -> list[np.ndarray]:
+        return [np.asarray(x) for x in read_arrays(self.folder, f"sets-{number}", ["<i8", "<u8", "<u8"])]
+
+    def sets(self, keys: np.ndarray) -> list[np.ndarray]:
+        out: list = [None] * len(keys)
+        for f, idx in by_part(keys >> 20):
+            starts, flat, _ = self._file(f)
+            for i in idx:
+                row = int(keys[i]) & 0xFFFFF
+                out[i] = flat[starts[row] : starts[row + 1]]
+        return out
+
+    def heads(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and sketches."""
+        sizes, prints = np.zeros(len(keys), np.int64), np.zeros((len(keys), SKETCH_WORDS), np.uint64)
+        for f, idx in by_part(keys >> 20):
+            starts, _, sketch = self._file(f)
+            row = keys[idx] & 0xFFFFF
+            sizes[idx] = starts[row + 1] - starts[row]
+            prints[idx] = sketch.reshape(-1, SKETCH_WORDS)[row]
+        return sizes, prints
+
+    def limit(self, total: np.ndarray) -> np.ndarray:
+        """Most shingles in which two sets of ``total`` together may differ."""
+        return total * (1 - self.similarity) / (1 + self.similarity) + 1e-9
+
+    def _verified(self, one: int, others: np.ndarray) -> np.ndarray:
+        mine, out = self.sets(np.array([one]))[0], np.zeros(len(others), bool)
+        for lo in range(0, len(others), 256):
+            each = self.sets(others[lo : lo + 256])
+            sizes = np.array([len(x) for x in each])
+            flat = np.concatenate(each)
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            out[lo : lo + 256] = len(mine) + sizes - 2 * both <= self.limit(len(mine) + sizes)
+        return out
 
+    def near_of(self, a: np.ndarray, b: np.ndarray) -> Callable:
+        (size_a, print_a), (size_b, print_b) = self.heads(a), self.heads(b)
 
-def most_bits(similarity: float) -> int:
-    """Differing bits expected at a Jaccard similarity of two equally long
-    texts, plus one and a half standard deviations."""
-    bits = LONG_WORDS * 64
-    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
-    return int(bits * p + 1.5 * np.sqrt(bits * p * (1 - p)))
+        def near(rows: np.ndarray, x: int) -> np.ndarray:
+            apart = np.maximum(_apart(print_a[rows], print_b[x]), np.abs(size_a[rows] - size_b[x]))
+            out = apart <= self.limit(size_a[rows] + size_b[x])
+            if out.any():
+                out[out] = self._verified(int(b[x]), a[rows[out]])
+            return out
+
+        return near
+
+    def pairs_close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (size_a, print_a), (size_b, print_b) = self.heads(a), self.heads(b)
+        out = np.maximum(_apart(print_a, print_b), np.abs(size_a - size_b)) <= self.limit(size_a + size_b)
+        for i in np.flatnonzero(out):
+            out[i] = self._verified(int(a[i]), b[i : i + 1])[0]
+        return out
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, group, first_id) of every row: groups of texts linked by chains of
-    pairs whose estimated shingle similarity is ``similarity`` or more.
+    pairs whose shingle sets have a Jaccard similarity of ``similarity`` or
+    more.  All such pairs are found, and no other ones are linked.
 
     ``first_id`` is the smallest id of the group.  Texts without words are
     one group, equal texts always share one; null ids are as in
@@ -312,46 +367,66 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folder, limit = new_folder(spark, "simhash"), most_bits(similarity)
-    marked = long_prints(docs, id_col, text_col, width).withColumn("node", F.shiftrightunsigned(F.xxhash64("fp"), 16))
-    marked = cut_lineage(marked.select(id_col, "node", "fp"))
-    nodes = marked.groupBy("node").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"))
-    nodes = cut_lineage(nodes)
-    filled = nodes.where(F.octet_length("fp") > 0).select("node", "fp")
-
-    def store(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        keys = np.asarray(table.column("node").combine_chunks()).view(np.uint64)
-        order = np.argsort(keys)
-        raw = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, LONG_WORDS)
-        write_arrays(folder, f"prints-{part}", [*HashArray.layout(keys[order]), raw[order].ravel()])
-        return pa.table({"part": pa.array([part], pa.int32())})
-
-    filled.withColumn("part", F.pmod("node", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(store, "part int").count()
-
-    def prints_of(keys: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(keys), LONG_WORDS), np.uint64)
-        for p, idx in by_part(keys % parts):
-            if exists(folder, f"prints-{p}"):
-                offsets, low, flat = read_arrays(folder, f"prints-{p}", ["<u8", "<u4", "<u8"])
-                out[idx] = flat.reshape(-1, LONG_WORDS)[HashArray(offsets, low).find(keys[idx].view(np.uint64))]
-        return out
+    folder = new_folder(spark, "shingles")
+    kept = ShingleSets(folder, similarity)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().taskAttemptId() << 20
+        for batch in batches:
+            data, bounds = flat_text(batch.column(1))
+            whole = data.tobytes()
+            nodes, places = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
+            for lo, hi in slices(bounds):
+                each = [np.unique(np.array(shingle_hashes(whole[bounds[i] : bounds[i + 1]], width), np.uint64)) for i in range(lo, hi)]
+                sizes = np.array([len(x) for x in each], np.int64)
+                starts, flat = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(each)
+                write_arrays(folder, f"sets-{number}", [starts.astype("<i8"), flat, sketches(flat, starts).ravel()])
+                nodes[lo:hi] = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in each], np.uint64).view(np.int64)
+                places[lo:hi] = np.where(sizes > 0, (number << 20) + np.arange(hi - lo), -1)
+                number += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(places)], names=[id_col, "node", "place"])
 
-    powers = np.uint64(1) << np.arange(BLOCK_BITS, dtype=np.uint64)
+    source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    marked = cut_lineage(source.mapInArrow(store, f"{id_col} long, node long, place long"))
+    nodes = cut_lineage(marked.groupBy("node").agg(F.min(id_col).alias("first_id"), F.min("place").alias("place")))
+    filled = nodes.where("place >= 0").select("place")
+    share = int(min(1.0, SAMPLE_TEXTS / max(filled.count(), 1)) * (1 << 20))
 
-    def values_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, LONG_WORDS * 8)
-        values = np.empty((len(raw), BLOCKS), np.uint64)
-        for lo in range(0, len(raw), 512):
-            bits = np.unpackbits(raw[lo : lo + 512], axis=1)[:, : BLOCKS * BLOCK_BITS]
-            values[lo : lo + 512] = bits.reshape(-1, BLOCKS, BLOCK_BITS) @ powers
-        with np.errstate(over="ignore"):
-            return np.asarray(batch.column(0)), mix64(values + (np.arange(BLOCKS, dtype=np.uint64) << np.uint64(40)))
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in kept.sets(np.asarray(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["h"])
+
+    sample = filled.where(F.pmod(F.xxhash64("place"), F.lit(1 << 20)) < share).mapInArrow(shingles, "h long")
+    rows = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    common = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    common, times = common[order], np.array([r.n for r in rows], np.int64)[order]
 
-    rooted = components(_links(filled, values_of, prints_of, limit, None)).withColumnRenamed("root", "group")
-    classed = nodes.select("node", "first_id").join(rooted, "node", "left").select("node", "first_id", F.coalesce("group", "node").alias("group"))
-    lowest = classed.groupBy("group").agg(F.min("first_id").alias("low"))
-    named = cut_lineage(classed.join(lowest, "group").select("node", "group", F.col("low").alias("first_id")))
+    def values_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.asarray(batch.column(0))
+        out_keys, out_values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for lo in range(0, len(keys), 1024):
+            each = kept.sets(keys[lo : lo + 1024])
+            sizes = np.array([len(x) for x in each])
+            flat, row = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
+            often = np.zeros(len(flat), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                often = np.where(common[at] == flat, times[at], 0)
+            by = np.lexsort((flat, often, row))
+            rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+            take = rank < first[row]
+            out_keys.append(keys[lo : lo + 1024][row[take]])
+            out_values.append(flat[by][take])
+        return np.concatenate(out_keys), np.concatenate(out_values)
+
+    placed = filled.repartitionByRange(parts, "place").sortWithinPartitions("place")
+    rooted = components(_links(placed, values_of, kept.near_of, kept.pairs_close, None)).toDF("place", "root")
+    classed = nodes.join(rooted, "place", "left").select("node", "first_id", F.coalesce("root", "place").alias("root"))
+    lowest = classed.groupBy("root").agg(F.min("first_id").alias("low"), F.min("node").alias("group"))
+    named = cut_lineage(classed.join(lowest, "root").select("node", "group", F.col("low").alias("first_id")))
     return marked.select(id_col, "node").join(named, "node").select(id_col, "group", "first_id")
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -81,6 +82,43 @@ def test_similar_texts_and_one_of_each(docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 8])
+def test_similar_texts_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(8)
+    texts = []
+    for n in (5, 9, 30, 60, 104, 200, 400):
+        for _ in range(6):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(words))
+            for changes in (1, 1, 2, 3, 4, 5, 8):
+                for at in rng.sample(range(n), min(n, changes)):
+                    words[at] = f"x{rng.randrange(10**6)}"
+                texts.append(" ".join(words))
+    line = " ".join(f"c{k}" for k in range(30))
+    texts += [f"{line} e{k}" for k in range(40)] + [f"{line} " + " ".join(f"f{rng.randrange(10**6)}" for _ in range(40)) for k in range(40)]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            near += 0.7 < both / (len(sets[a]) + len(sets[b]) - both) < 0.9
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert near > 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.first_id for r in simhash.similar_texts(df).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+
+
 @pytest.mark.parametrize("heavy", [False, True])
 def test_suffix_dedup_brute_force(docs, rows, monkeypatch, heavy):
     if heavy:
