@@ -50,3 +50,33 @@ def test_personas_of_every_vector(spark, vectors):
     for agg, of in (("max", np.max), ("min", np.min), ("avg", np.mean)):
         for r in run(spark, f"persona_score_{agg}_all"):
             assert abs(r.score - of(scores[np.ix_(at[r.src], at[r.dst])])) < 2e-6
+
+
+def test_components_of_every_co_purchase(spark):
+    edges = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect()
+    orders = {}
+    for r in edges:
+        orders.setdefault(r.l_orderkey, set()).add(r.l_partkey)
+    pairs = {(a, b) for parts in orders.values() for a in parts for b in parts if a < b}
+    assert sum(b - a > 20 for a, b in pairs) > len(pairs) / 2
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    label = {x: find(x) for x in root}
+    assert {r.id: r.label for r in run(spark, "components_all")} == label
+    got = run(spark, "connectivity_all")[0]
+    assert (got.n_nodes, got.n_components) == (len(label), len(set(label.values())))
+    top = min(set(label.values()), key=lambda k: (-sum(v == k for v in label.values()), k))
+    whole = {p for p in pairs if label[p[0]] == top}
+    assert {(r.src, r.dst) for r in run(spark, "largest_component_all")} == whole
+    split = run(spark, "train_test_split")
+    test = {(r.src, r.dst) for r in split if r.edge_type == 1}
+    assert len(test) == int(0.3 * len(whole)) and test <= whole
+    assert not {(r.src, r.dst) for r in split if r.edge_type == -1} & whole
