@@ -1,11 +1,12 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Exact patterns with validators give the base spans.  Generators of high
-recall propose further, overlapping spans; boosted trees over format and
-context features score them, and a threshold calibrated for precision
-decides which are added.  The trees are fitted on counts per feature cell
-of a bounded sample and applied as CASE expressions, so texts never leave
-the JVM.
+recall propose further, overlapping spans, parts of digit runs (each group
+of 16 to 19 digits, each start of 8 to 15 digits after a plus) among them;
+boosted trees over format and context features score them, and a threshold
+calibrated for precision decides which are added where no base span is.
+The trees are fitted on counts per feature cell of all texts and applied as
+CASE expressions, so texts never leave the JVM.
 
 Positions come from splitting a text at the matches of a pattern: pieces
 and matches alternate, and their lengths in code points add up.
@@ -35,7 +36,6 @@ LOOSE_NUMBER = r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 LOOSE_TOKEN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{24,}+"
 GENERATORS = ("contact", "number", "secret")
 
-SAMPLE_ROWS = 20_000
 PRECISION = 0.98
 FEATURES = ("gen", "digits", "size", "gaps", "lead", "dots", "word", "phone_word", "quoted", "shape", "luhn")
 
@@ -95,12 +95,38 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(keep, KINDS))
 
 
+def parts_of(span: Column) -> Column:
+    """The parts of a number's span, from the start of one group of digits to
+    the end of another, that have the digits of a card (16 to 19) or, after
+    a plus, of a phone (8 to 15)."""
+    s = span["text"]
+
+    def cut(g: Column, h: Column, plus: Column) -> Column:
+        first = F.when(plus, F.lit(0).cast("long")).otherwise(g["start"])
+        return F.struct(
+            span["kind"].alias("kind"),
+            (span["start"] + first).alias("start"),
+            (span["start"] + h["end"]).alias("end"),
+            F.substring(s, (first + 1).cast("int"), (h["end"] - first).cast("int")).alias("text"),
+            F.lower(F.right(F.concat(span["before"], F.substring(s, F.lit(1), first.cast("int"))), F.lit(16))).alias("before"),
+        )
+
+    plus = lambda i: (i == 0) & F.startswith(s, F.lit("+"))
+    windows = lambda gs: F.flatten(F.transform(gs, lambda g, i: F.transform(F.slice(gs, i + 1, F.lit(19)), lambda h: cut(g, h, plus(i)))))
+    n = lambda x: F.length(_digits(x["text"]))
+    fits = lambda x: F.when(F.startswith(x["text"], F.lit("+")), (n(x) >= 8) & (n(x) <= 15)).otherwise((n(x) >= 16) & (n(x) <= 19))
+    proper = lambda x: (F.length(x["text"]) < F.length(s)) & fits(x)
+    groups = located(s, "[0-9]+", "", F.lit(True))
+    return F.flatten(F.transform(F.array(groups), lambda gs: F.filter(windows(gs), proper)))
+
+
 def candidates(text: Column) -> Column:
     """Spans proposed by the generators; they may overlap anything."""
     digit = text.rlike("[0-9]")
+    numbers = located(text, LOOSE_NUMBER, "number", digit)
     return F.concat(
         located(text, LOOSE_MAIL, "contact", F.contains(text, F.lit("@"))),
-        located(text, LOOSE_NUMBER, "number", digit),
+        F.flatten(F.transform(numbers, lambda s: F.concat(F.array(s), parts_of(s)))),
         located(text, LOOSE_TOKEN, "secret", digit),
     )
 
@@ -207,35 +233,35 @@ def boost(cells: np.ndarray, pos: np.ndarray, n: np.ndarray, rounds: int = 40, r
     return Boosted(start, trees, thresholds)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Boosted:
-    """Fit on about ``sample_rows`` documents chosen by a hash of their id.
+def fit(docs: DataFrame, text_col: str = "text") -> Boosted:
+    """Fit and calibrate on the candidates of all documents.
 
     Only counts per feature cell reach the driver; their number is bounded
     by the features' ranges.
     """
-    rows = docs.count()
-    rate = int(min(1.0, sample_rows / max(rows, 1)) * (1 << 20))
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < rate)
-    spans = some.select(F.explode(candidates(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("s"))
+    spans = docs.select(F.explode(candidates(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("s"))
     cells = spans.select(*(c.alias(k) for k, c in zip(FEATURES, features(F.col("s")))), weak_label(F.col("s")).alias("y"))
     counted = cells.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).orderBy(*FEATURES).collect()
     x = np.array([[r[k] for k in FEATURES] for r in counted], int).reshape(-1, len(FEATURES))
     return boost(x, np.array([float(r["pos"] or 0) for r in counted]), np.array([float(r["n"]) for r in counted]))
 
 
-def detect(docs: DataFrame, model: Boosted | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, model: Boosted | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``added``, arrays of (kind, start, end, text,
     before) in code points.
 
-    Added spans are the accepted candidates that touch no base span.  A null
+    Added spans are the accepted candidates that touch no base span and lie in
+    no larger accepted one.  A null
     or empty text has none; every row, repeated ones too, keeps its place.
     Other columns pass through.
     """
-    model = model or fit(docs, id_col, text_col)
+    model = model or fit(docs, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.withColumns({"base": base_spans(text), "_proposed": candidates(text)})
     clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return found.withColumn("added", F.filter("_proposed", lambda c: clear(c) & model.accepts(features(c)))).drop("_proposed")
+    inside = lambda c, d: (d["start"] <= c["start"]) & (c["end"] <= d["end"]) & (d["end"] - d["start"] > c["end"] - c["start"])
+    taken = found.withColumn("_taken", F.filter("_proposed", lambda c: clear(c) & model.accepts(features(c))))
+    return taken.withColumn("added", F.filter("_taken", lambda c: ~F.exists("_taken", lambda d: inside(c, d)))).drop("_proposed", "_taken")
 
 
 def digest(spans: Column) -> Column:
@@ -243,13 +269,13 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: Boosted | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: Boosted | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets.
 
     Overlapping spans are replaced as one, under the kind of the first.  A
     null text stays null.  Columns and their order are kept.
     """
-    found = detect(docs, model, id_col, text_col)
+    found = detect(docs, model, text_col)
     text = F.col(text_col).cast("string")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

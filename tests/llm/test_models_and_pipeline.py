@@ -160,6 +160,25 @@ def test_pii_brute_force(spark, docs, rows):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_numbers_side_by_side(spark):
+    rng = random.Random(4)
+
+    def card(good):
+        while True:
+            d = "".join(str(rng.randrange(10)) for _ in range(16))
+            if accept("card", d) == good:
+                return d
+
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    ip = lambda: ".".join(str(rng.randint(100, 255)) for _ in range(4))
+    cases = [(k, f"x {card(True)} {card(True)} y") for k in range(40)]
+    cases += [(100 + k, f"x {phone()} {ip()} y") for k in range(40)]
+    cases += [(200 + k, f"x {card(False)} y") for k in range(40)]
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(cases, "doc_id long, text string")).collect()}
+    assert all(not re.search("[0-9]", t) for i, t in clean.items() if i < 200)
+    assert all(t == dict(cases)[i] for i, t in clean.items() if i >= 200)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "x a@b.co y 1.2.3.4 z"), (2, "🙂 +1 (555) 123-4567")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.redact(df, pii.Boosted(0.0, [], [float("inf")] * 3)).collect()} == {1: "x [email] y [ip] z", 2: "🙂 [phone]"}
