@@ -752,31 +752,10 @@ def _model(name: str, **options: object) -> Query:
     return run
 
 
-for _name in ("residual", "residual-groups", "leigenmap", "netmf", "lndeg", "gcn", "gat", "graphsage"):
+for _name in ("residual", "residual-groups", "leigenmap", "lndeg", "gcn", "gat", "graphsage", "deepwalk", "fairwalk", "glove", "residual-sgd", "residual-sgd-joint", "residual-sgd-groups"):
     query(f"embedding_{_name.replace('-', '_')}")(_model(_name))
-
-
-def _short(kind: str) -> Query:
-    """Walk-based models with short walks, so that the check stays small."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        edges, groups = _nation(spark, d)
-        made = {
-            "deepwalk": models.word_vectors(2, 10, 3),
-            "node2vec": models.word_vectors(1, 6, 3, 0.5, 2.0),
-            "fairwalk": models.word_vectors(2, 10, 3, fair=True),
-            "glove": models.glove(2, 10, 3),
-            "residual_sgd": models.skip_gram(2, 10, 3),
-            "residual_sgd_joint": models.skip_gram(2, 10, 3, joint=True),
-            "residual_sgd_groups": models.skip_gram(2, 10, 3, noise=samplers.block_noise(groups)),
-        }
-        return made[kind](edges, 8)
-
-    return run
-
-
-for _name in ("deepwalk", "node2vec", "fairwalk", "glove", "residual_sgd", "residual_sgd_joint", "residual_sgd_groups"):
-    query(f"embedding_{_name}")(_short(_name))
+query("embedding_netmf")(_model("netmf-spectral"))
+query("embedding_node2vec")(_model("node2vec-pq"))
 
 
 @query("glove_bias")

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from graphloom.operators import models
 from graphloom.plans import catalog
+from graphloom.sources import fixtures
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -80,3 +82,16 @@ def test_components_of_every_co_purchase(spark):
     test = {(r.src, r.dst) for r in split if r.edge_type == 1}
     assert len(test) == int(0.3 * len(whole)) and test <= whole
     assert not {(r.src, r.dst) for r in split if r.edge_type == -1} & whole
+
+
+@pytest.mark.parametrize("query, name", [("deepwalk", "deepwalk"), ("node2vec", "node2vec-pq"), ("fairwalk", "fairwalk"), ("glove", "glove"), ("residual_sgd", "residual-sgd"), ("residual_sgd_joint", "residual-sgd-joint"), ("residual_sgd_groups", "residual-sgd-groups"), ("netmf", "netmf-spectral")])
+def test_models_with_whole_walks(spark, monkeypatch, query, name):
+    edges = fixtures.nation_edges(spark, FOLDER)
+    asked = []
+    monkeypatch.setattr(models, "registry", lambda groups=None: {name: lambda e, dim: asked.append(dim) or e})
+    assert catalog.QUERIES[f"embedding_{query}"](spark, FOLDER).columns == edges.columns and asked == [8]
+
+
+def test_netmf_at_window_ten_runs(spark):
+    rows = run(spark, "embedding_netmf")
+    assert len({r.id for r in rows}) == 25 and all(np.isfinite(r.vec).all() and len(r.vec) == 8 for r in rows)
