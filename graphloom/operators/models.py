@@ -242,7 +242,9 @@ def propagate(edges: DataFrame, features: DataFrame, dim: int, loops: bool = Tru
 
 def graph_network(kind: str = "gcn", hidden: int = 32, epochs: int = 200, rate: float = 0.01, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
     """Two message-passing layers trained to give back the node features (gcn,
-    gat: mean squared error) or to tell edges from noise (sage).
+    gat: mean squared error) or to tell edges from noise (sage).  ``gat``
+    weighs edges by a fixed softmax over feature similarity; no attention is
+    trained.
 
     Neighbourhoods and features are prepared in Spark; one Arrow task trains.
     """
