@@ -7,7 +7,7 @@ import pytest
 
 from graphloom.plans import catalog
 
-from conftest import DATA, TABLES
+from tables import DATA, TABLES
 
 FOLDER = f"{DATA}/sf0.001"
 
