@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from graphloom.llm import packing, pii, resampling, toxicity
 
-from conftest import prose
+from texts import prose
 
 
 @pytest.fixture(scope="module")
