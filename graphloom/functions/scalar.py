@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 
 def u01(*key: Column | str | int) -> Column:
-    """A uniform draw in [0, 1) from the MD5 of the key parts joined by |.
+    """A uniform draw in [0, 1), in steps of 2**-52, from the MD5 of the key
+    parts joined by |.
 
     Give every use its own first part, else draws of two uses agree.
     """
     parts = [F.lit(str(k)) if isinstance(k, int | str) else k.cast("string") for k in key]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def rounded(x: Column, digits: int = 6) -> Column:

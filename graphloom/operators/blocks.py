@@ -62,27 +62,11 @@ def residual_matrix(edges: DataFrame, groups: DataFrame, null_groups: DataFrame,
     Positive values stay.  ``unreachable='exclude'`` leaves out pairs whose
     B entry is zero instead of counting it as one.
 
-    The pair table joins on blocks; its size is N x N for a dense result,
-    which only small graphs should ask for: ``residual_terms`` keeps the
-    factors apart.
+    The result is the product of ``residual_terms``; it has N x N entries if
+    dense, which only small graphs should ask for.
     """
-    parts = residual_parts(edges, groups, null_groups, window)
-    nodes = parts["nodes"]
-    left = nodes.select(F.col("id").alias("src"), F.col("g0").alias("g0i"))
-    right = nodes.select(F.col("id").alias("dst"), F.col("grp").alias("gj"), F.col("g0").alias("g0j"), "d")
-    # every (node, block pair) meets the nodes of that block pair: an equi join on (g, g0)
-    combos = right.select("gj", "g0j").distinct()
-    base = left.join(F.broadcast(combos), F.lit(True)).join(parts["null"].toDF("g0i", "g0j", "ln0"), ["g0i", "g0j"], "left")
-    base = base.join(parts["node_block"].toDF("src", "gj", "b"), ["src", "gj"], "left").join(parts["din"].toDF("gj", "din"), "gj", "left")
-    reach = F.coalesce("b", F.lit(0.0))
-    lb = F.when(reach != 0, safe_log(F.col("b") / F.greatest("din", F.lit(1e-32)))).otherwise(0.0)
-    h = base.select("src", "gj", "g0j", reach.alias("b"), "din", (lb - F.coalesce("ln0", F.lit(0.0))).alias("h"))
-    if unreachable == "exclude":
-        h = h.where("b <> 0")
-    pairs = h.join(right, ["gj", "g0j"]).join(parts["transition"].toDF("src", "dst", "p"), ["src", "dst"], "left")
-    gain = safe_log(F.col("p") * F.col("din") + F.col("b") * F.col("d")) - safe_log(F.col("d")) - safe_log(F.col("b"))
-    value = F.greatest(F.lit(0.0), F.col("h") + F.when(F.col("p").isNotNull(), gain).otherwise(0.0))
-    return pairs.select("src", "dst", value.alias("w")).where("w > 0")
+    terms = residual_terms(edges, groups, null_groups, window, unreachable)
+    return linalg.chain_sum(terms).where("w > 1e-12")  # what differs from zero by rounding only goes
 
 
 def residual_parts(edges: DataFrame, groups: DataFrame, null_groups: DataFrame, window: int) -> dict[str, DataFrame]:
@@ -99,27 +83,41 @@ def residual_parts(edges: DataFrame, groups: DataFrame, null_groups: DataFrame,
     return {"transition": p, "din": din, "node_block": cut_lineage(node_block.where("w <> 0")), "null": cut_lineage(null), "nodes": cut_lineage(nodes)}
 
 
-def residual_terms(edges: DataFrame, groups: DataFrame, null_groups: DataFrame, window: int) -> list[list[DataFrame]]:
-    """The same matrix as a sum of products: (node x block pair) times (block
-    pair x node) plus a sparse correction on the edges, for ``linalg.svd``."""
+def residual_terms(edges: DataFrame, groups: DataFrame, null_groups: DataFrame, window: int, unreachable: str = "one") -> list[list[DataFrame]]:
+    """The same matrix as a sum of products, for ``linalg.svd``.
+
+    A pair that no walk reaches has max(0, -ln N0) of its null groups: null
+    group of the source times null group x block pair times block pair of the
+    target.  Added to it are, for the block pairs a node reaches, what they
+    differ from that, and a sparse correction on the edges.  No table has a
+    row for each node and block; null groups meet block pairs only.
+    """
     parts = residual_parts(edges, groups, null_groups, window)
-    combos = dense_codes(parts["nodes"].select(F.concat_ws("|", "grp", "g0").alias("pair")), "pair")
-    nodes = cut_lineage(parts["nodes"].withColumn("pair", F.concat_ws("|", "grp", "g0")).join(combos, "pair"))
-    blocks = nodes.select("code", F.col("grp").alias("gj"), F.col("g0").alias("g0j")).distinct()
-    left = nodes.select(F.col("id").alias("src"), F.col("g0").alias("g0i"))
-    base = left.join(F.broadcast(blocks), F.lit(True)).join(parts["null"].toDF("g0i", "g0j", "ln0"), ["g0i", "g0j"], "left")
-    base = base.join(parts["node_block"].toDF("src", "gj", "b"), ["src", "gj"], "left").join(parts["din"].toDF("gj", "din"), "gj", "left")
-    lb = F.when(F.coalesce("b", F.lit(0.0)) != 0, safe_log(F.col("b") / F.greatest("din", F.lit(1e-32)))).otherwise(0.0)
-    h = cut_lineage(base.select("src", "code", F.coalesce("b", F.lit(0.0)).alias("b"), "din", (lb - F.coalesce("ln0", F.lit(0.0))).alias("h")))
-    spread = h.where("h > 0").select("src", F.col("code").alias("dst"), F.col("h").alias("w"))
-    member = nodes.select(F.col("code").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    pairs = parts["nodes"].select(F.struct("grp", "g0").alias("pair"))
+    codes = cut_lineage(dense_codes(pairs, "pair").select(F.col("pair.grp").alias("gj"), F.col("pair.g0").alias("g0j"), "code").join(parts["din"].toDF("gj", "din"), "gj", "left"))
+    nodes = cut_lineage(parts["nodes"].join(codes.select(F.col("gj").alias("grp"), F.col("g0j").alias("g0"), "code"), ["grp", "g0"]))
+    ln0 = parts["null"].toDF("g0i", "g0j", "ln0")
+    positive = lambda c: F.greatest(F.lit(0.0), c)
+    far = lambda c: -F.coalesce(F.col(c), F.lit(0.0))
+    own = nodes.select("id", F.col("g0").alias("g0i"))
+    reached = parts["node_block"].toDF("id", "gj", "b").join(own, "id").join(codes, "gj").join(ln0, ["g0i", "g0j"], "left")
+    near = safe_log(F.col("b") / F.greatest("din", F.lit(1e-32))) + far("ln0")
+    base = positive(far("ln0")) if unreachable == "one" else F.lit(0.0)
+    reached = cut_lineage(reached.select(F.col("id").alias("src"), "code", "b", near.alias("h"), (positive(near) - base).alias("w")))
+    member = cut_lineage(nodes.select(F.col("code").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")))
+    terms = [[reached.where("w <> 0").select("src", F.col("code").alias("dst"), "w"), member]]
+    if unreachable == "one":
+        start = nodes.select(F.col("id").alias("src"), F.col("g0").alias("dst"), F.lit(1.0).alias("w"))
+        table = ln0.join(codes.select("g0j", "code"), "g0j").select(F.col("g0i").alias("src"), F.col("code").alias("dst"), positive(far("ln0")).alias("w")).where("w > 0")
+        terms.append([cut_lineage(start), cut_lineage(table), member])
     ends = nodes.select(F.col("id").alias("dst"), "code", "d")
-    on_edges = parts["transition"].toDF("src", "dst", "p").join(ends, "dst").join(h, ["src", "code"])
-    gain = safe_log(F.col("p") * F.col("din") + F.col("b") * F.col("d")) - safe_log(F.col("d")) - safe_log(F.col("b"))
-    fix = F.greatest(F.lit(0.0), F.col("h") + gain) - F.greatest(F.lit(0.0), F.col("h"))
-    sparse = cut_lineage(on_edges.select("src", "dst", fix.alias("w")).where("w <> 0"))
+    on_edges = parts["transition"].toDF("src", "dst", "p").join(ends, "dst").join(codes, "code").join(nodes.select(F.col("id").alias("src"), F.col("g0").alias("g0i")), "src")
+    on_edges = on_edges.join(ln0, ["g0i", "g0j"], "left").join(reached.select("src", "code", "b", "h"), ["src", "code"], "left" if unreachable == "one" else "inner")
+    b, h = F.coalesce("b", F.lit(0.0)), F.coalesce(F.col("h"), far("ln0"))
+    gain = safe_log(F.col("p") * F.col("din") + b * F.col("d")) - safe_log(F.col("d")) - safe_log(b)
+    sparse = cut_lineage(on_edges.select("src", "dst", (positive(h + gain) - positive(h)).alias("w")).where("w <> 0"))
     identity = sparse.select(F.col("dst").alias("src"), "dst", F.lit(1.0).alias("w")).distinct()
-    return [[cut_lineage(spread), cut_lineage(member)], [sparse, identity]]
+    return [*terms, [sparse, identity]]
 
 
 def log_transition(edges: DataFrame, window: int, restart: float = 0.0, floor: float = 1e-6) -> DataFrame:

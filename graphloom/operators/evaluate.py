@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.ranking import first_rows, running_sums
 from graphloom.functions.scalar import cosine, dot, kl_term, safe_log, u01, unit
-from graphloom.functions.session import cut_lineage
 from graphloom.operators.graph import degrees
 from graphloom.operators.samplers import community_pairs
 
+#: Distribution function of Poisson(1) at 0, 1, .. in steps of 2**-16.
+POISSON_STEPS = [24109, 48219, 60273, 64292, 65296, 65497, 65531]
+
 PLAIN, REVERSED, BIASED, RESIDUAL, ADAPTIVE = "dot", "minus_dot", "glove", "residual", "offset"
 
 
@@ -62,21 +70,12 @@ def auc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., auc) of ``y`` in {0, 1} and ``score``; ties count half, a NaN or
     null score is 0.5, one class only gives null.
 
-    Scores are first counted per value, so ranks run over distinct values,
-    and are range-partitioned when there is no ``by``.
+    Scores are first counted per value; ranks run over distinct values by
+    partition offsets, so that no task sorts a group.
     """
     clean = F.when(F.col("score").isNull() | F.isnan("score"), 0.5).otherwise(F.col("score"))
     per = scored.select(*by, clean.alias("s"), (F.col("y") > 0).cast("long").alias("y")).groupBy(*by, "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    if by:
-        order = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        below = per.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    else:
-        placed = cut_lineage(per.repartitionByRange("s").withColumn("_p", F.spark_partition_id()))
-        totals = placed.groupBy("_p").agg(F.sum("n").alias("_n"))
-        ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-        offsets = totals.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_o"))
-        local = Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        below = placed.join(F.broadcast(offsets), "_p").withColumn("below", F.col("_o") + F.coalesce(F.sum("n").over(local), F.lit(0)))
+    below = running_sums(per, [F.col("s")], {"upto": "n"}, by).withColumn("below", F.col("upto") - F.col("n"))
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0))
     out = below.groupBy(*by) if by else below.groupBy()
     return out.agg((wins / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
@@ -86,8 +85,7 @@ def average_precision(scored: DataFrame) -> DataFrame:
     """One row: sum over falling distinct scores of precision times the gain
     in recall."""
     per = scored.groupBy("score").agg(F.sum((F.col("y") > 0).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = per.select("p", F.sum("p").over(order).alias("tp"), F.sum("n").over(order).alias("all"))
+    run = running_sums(per, [F.desc("score")], {"tp": "p", "all": "n"})
     return run.agg((F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
 
 
@@ -113,22 +111,80 @@ def element_similarity(labels: DataFrame) -> DataFrame:
     return sized.agg((F.sum(F.col("n") * F.col("n") * F.least(1.0 / F.col("a"), 1.0 / F.col("b"))) / F.sum("n")).alias("element_similarity"))
 
 
-def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, blocks: int = 8) -> DataFrame:
-    """(id, other, score): each query's ``k`` largest inner products, ties to
-    the smaller id.
+#: Vectors of one side of a block: two sides and a strip of scores stay below 100 MB.
+BLOCK_ROWS = 4096
+STRIP = 256
+
+
+def _rows_of(block: pa.Table, side: int) -> tuple[np.ndarray, np.ndarray]:
+    own = block.filter(pc.equal(block.column("side"), side))
+    ids = np.asarray(own.column("id").combine_chunks())
+    order = np.argsort(ids, kind="stable")
+    flat = own.column("vec").combine_chunks()
+    x = np.asarray(flat.flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    return ids[order], x[order]
+
+
+def _strips(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, scores) of strips of a b'; products are added in the order
+    of the components, so that equal vectors score alike wherever they are."""
+    for lo in range(0, len(a), STRIP):
+        part = a[lo : lo + STRIP]
+        scores = np.zeros((len(part), len(b)))
+        for k in range(part.shape[1] if len(part) else 0):
+            scores += part[:, k, None] * b[None, :, k]
+        yield lo, scores
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, half: bool) -> DataFrame:
+    """Rows (id, vec, side) dealt to pairs of blocks (qb, vb) of about
+    ``BLOCK_ROWS`` rows a side; with ``half`` only pairs with qb <= vb."""
+    count = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
+    n, m = count(left), count(right)
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda a, b: F.explode(F.sequence(a, b))
+    first, last = F.lit(0), F.lit(m - 1)
+    a = left.withColumn("qb", deal(n)).withColumn("vb", every(F.col("qb") if half else first, last))
+    b = right.withColumn("vb", deal(m)).withColumn("qb", every(first, F.col("vb") if half else F.lit(n - 1)))
+    side = lambda df, k: df.select("qb", "vb", "id", "vec", F.lit(k).alias("side"))
+    return side(a, 0).unionByName(side(b, 1))
+
 
-    Queries meet all vectors in blocks: both sides are dealt to hash blocks
-    and every pair of blocks is one join key, so no task holds all pairs.
+def _plain(vectors: DataFrame) -> DataFrame:
+    return vectors.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("vec"))
+
+
+def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """(id, other, score, rank): each query's ``k`` largest inner products, ties
+    to the smaller id.  Vectors have one length; null ones take no part.
+
+    Queries meet all vectors in blocks of bounded size, dealt by hash; each
+    pair of blocks is one task's product and passes on ``k`` rows a query.
     """
-    asks = (vectors if queries is None else queries).select("id", F.col("vec").alias("qv"))
-    deal = lambda c: F.pmod(F.hash(c), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = asks.withColumn("qb", deal("id")).withColumn("vb", every)
-    right = vectors.select(F.col("id").alias("other"), "vec").withColumn("vb", deal("other")).withColumn("qb", every)
-    scored = left.join(right, ["qb", "vb"]).where("id <> other").select("id", "qb", "vb", "other", dot(F.col("qv"), F.col("vec")).alias("score"))
-    order = [F.desc("score"), F.col("other")]
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("id", "vb").orderBy(*order))).where(F.col("r") <= k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k).select("id", "other", "score", F.col("rank").cast("int").alias("rank"))
+
+    def meet(block: pa.Table) -> pa.Table:
+        (ids, x), (others, y) = _rows_of(block, 0), _rows_of(block, 1)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        for lo, scores in _strips(x, y) if len(ids) and len(others) else ():
+            own = ids[lo : lo + STRIP]
+            scores[own[:, None] == others[None, :]] = -np.inf
+            if scores.shape[1] > k:  # all that reach the k-th value, so that ties are settled by id
+                cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            else:
+                cut = np.full(len(scores), -np.inf)
+            row, col = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+            order = np.lexsort((others[col], -scores[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[rank < k], col[rank < k]
+            for at, v in zip(out, (own[row], others[col], scores[row, col])):
+                at.append(v)
+        return pa.table([pa.array(np.concatenate(v)) for v in out], names=["id", "other", "score"])
+
+    every = _plain(vectors)
+    met = _block_pairs(every if queries is None else _plain(queries), every, False).groupBy("qb", "vb").applyInArrow(meet, "id long, other long, score double")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return met.withColumn("rank", place).where(F.col("rank") <= k).select("id", "other", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def knn_vote(vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -146,14 +202,29 @@ def macro_f1(labels: DataFrame) -> DataFrame:
     return both.agg(F.avg(2.0 * F.col("tp") / (F.col("ny") + F.col("nz"))).alias("macro_f1"))
 
 
-def top_pairs(vectors: DataFrame, m: int, blocks: int = 8) -> DataFrame:
-    """(src, dst, score): the ``m`` largest inner products with src < dst."""
-    deal = lambda c: F.pmod(F.hash(c), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = vectors.select(F.col("id").alias("src"), F.col("vec").alias("va")).withColumn("ab", deal("src")).withColumn("bb", every)
-    b = vectors.select(F.col("id").alias("dst"), F.col("vec").alias("vb")).withColumn("bb", deal("dst")).withColumn("ab", every)
-    scored = a.join(b, ["ab", "bb"]).where("src < dst").select("src", "dst", dot(F.col("va"), F.col("vb")).alias("score"))
-    return scored.orderBy(F.desc("score"), "src", "dst").limit(m)
+def top_pairs(vectors: DataFrame, m: int) -> DataFrame:
+    """(src, dst, score): the ``m`` largest inner products with src < dst, ties
+    to the smaller pair.  A pair of blocks passes on ``m`` rows at most."""
+
+    def meet(block: pa.Table) -> pa.Table:
+        (ids, x), (others, y) = _rows_of(block, 0), _rows_of(block, 1)
+        same = block.column("qb")[0].as_py() == block.column("vb")[0].as_py()
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for lo, scores in _strips(x, y) if len(ids) and len(others) else ():
+            own = ids[lo : lo + STRIP]
+            ok = own[:, None] < others[None, :] if same else own[:, None] != others[None, :]
+            if len(best[2]) == m:
+                ok &= scores >= best[2][-1]
+            row, col = np.nonzero(ok)
+            a, b, s = own[row], others[col], scores[row, col]
+            a, b, s = (np.concatenate(v) for v in zip(best, (np.minimum(a, b), np.maximum(a, b), s)))
+            top = np.lexsort((b, a, -s))[:m]
+            best = (a[top], b[top], s[top])
+        return pa.table([pa.array(v) for v in best], names=["src", "dst", "score"])
+
+    every = _plain(vectors)
+    met = _block_pairs(every, every, True).groupBy("qb", "vb").applyInArrow(meet, "src long, dst long, score double")
+    return first_rows(met, m, F.desc("score"), F.col("src"), F.col("dst"))
 
 
 def reconstructed(vectors: DataFrame, m: int) -> DataFrame:
@@ -171,15 +242,27 @@ def community_auc(vectors: DataFrame, n: int = 100_000, seed: int = 0) -> DataFr
     return auc(scored.select("y", "s.metric", "s.score"), ("metric",))
 
 
-def summary(df: DataFrame, by: str, value: str, resamples: int = 200, seed: int = 0) -> DataFrame:
+def summary(df: DataFrame, by: str, value: str, resamples: int = 200, seed: int = 0, key: str | None = None) -> DataFrame:
     """(by, n, mean, sd, low, high): mean, sample deviation and a bootstrap 90 %
-    interval of the mean; Poisson weights come from hash draws per row."""
-    key = F.xxhash64(*(F.col(c) for c in df.columns))
-    draws = df.select(by, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"), key.alias("k"))
-    u = u01("bootstrap", F.col("k"), F.col("b"), seed)
-    steps = [0.3678794411714423, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    means = draws.groupBy(by, "b").agg((F.sum(F.col(value) * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("m"))
+    interval of the mean.
+
+    A row counts Poisson(1) times in a resample.  The counts come from the
+    MD5 of the row's ``key`` (a hash of the row by default): eight resamples
+    share one MD5 of 16 bits each, and sums are folded before the shuffle.
+    """
+    own = F.col(key).cast("string") if key else F.xxhash64(*(F.col(c) for c in df.columns)).cast("string")
+    rounds = -(-resamples // 8)
+    draws = df.select(by, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_g"), own.alias("_k"))
+    draws = draws.withColumn("_h", F.md5(F.concat_ws("|", F.lit("bootstrap"), "_k", F.col("_g").cast("string"), F.lit(str(seed)))))
+
+    def times(k: int) -> Column:
+        u = F.conv(F.substring("_h", 4 * k + 1, 4), 16, 10).cast("int")
+        return sum((F.when(u >= s, 1).otherwise(0) for s in POISSON_STEPS[1:]), F.when(u >= POISSON_STEPS[0], 1).otherwise(0))
+
+    draws = draws.select(by, "_v", "_g", *(times(k).alias(f"_w{k}") for k in range(8)))
+    sums = draws.groupBy(by, "_g").agg(*(F.sum(F.col("_v") * F.col(f"_w{k}")).alias(f"_s{k}") for k in range(8)), *(F.sum(f"_w{k}").alias(f"_n{k}") for k in range(8)))
+    mean = lambda k: F.struct((F.col("_g") * 8 + k).alias("b"), (F.col(f"_s{k}") / F.nullif(F.col(f"_n{k}"), F.lit(0))).alias("m"))
+    means = sums.select(by, F.inline(F.array(*map(mean, range(8))))).where(F.col("b") < resamples)
     ends = means.groupBy(by).agg(F.percentile("m", F.lit(0.05)).alias("low"), F.percentile("m", F.lit(0.95)).alias("high"))
     plain = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     return plain.join(ends, by)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.ranking import first_rows, running_sums
 from graphloom.functions.scalar import safe_inverse, u01
 from graphloom.functions.session import cut_lineage
 
@@ -42,13 +43,8 @@ def dense_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
     Values are range-partitioned and numbered by partition offsets, so the
     sort is distributed; only one count per partition meets in one place.
     """
-    values = df.select(key).where(F.col(key).isNotNull()).distinct()
-    placed = cut_lineage(values.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(key))
-    return placed.join(F.broadcast(offsets), "_p").select(key, (F.col("_offset") + local - 1).cast("long").alias(code))
+    values = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return running_sums(values, [F.col(key)], {"_rank": "_one"}).select(key, (F.col("_rank") - 1).alias(code))
 
 
 def reindexed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,8 +105,8 @@ def directed_mix(edges: DataFrame, back: float) -> DataFrame:
 
 def transition(edges: DataFrame, floor: float = 1e-32) -> DataFrame:
     """Rows divided by their sums; a node without out-edges stays without."""
-    total = F.sum("w").over(Window.partitionBy("src"))
-    return edges.withColumn("w", F.col("w") / F.greatest(total, F.lit(floor)))
+    total = edges.groupBy("src").agg(F.sum("w").alias("_tot"))  # partial sums: a hub is summed before it is shuffled
+    return edges.join(total, "src").select("src", "dst", (F.col("w") / F.greatest("_tot", F.lit(floor))).alias("w"))
 
 
 def normalised_adjacency(edges: DataFrame, floor: float = 1e-12) -> DataFrame:
@@ -129,9 +125,9 @@ def fairwalk_weights(edges: DataFrame, groups: DataFrame | None = None) -> DataF
     the input are dropped.  The default group is the out-degree class."""
     if groups is None:
         groups = edges.groupBy("src").agg(F.count(F.lit(1)).alias("grp")).select(F.col("src").alias("id"), "grp")
-    labelled = edges.join(groups.select(F.col("id").alias("dst"), "grp"), "dst", "left")
-    peers = F.count(F.lit(1)).over(Window.partitionBy("src", "grp"))
-    return labelled.select("src", "dst", (1.0 / peers).alias("w"))
+    labelled = edges.join(groups.select(F.col("id").alias("dst"), "grp"), "dst", "left").withColumn("grp", F.struct("grp"))  # null is a group too
+    peers = labelled.groupBy("src", "grp").agg(F.count(F.lit(1)).alias("n"))
+    return labelled.join(peers, ["src", "grp"]).select("src", "dst", (1.0 / F.col("n")).alias("w"))
 
 
 def membership_matrix(groups: DataFrame) -> DataFrame:
@@ -203,46 +199,88 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest of the undirected graph: Boruvka rounds.
 
     The total order (w, smaller id, larger id) makes it unique.  Every round
-    each component picks its lightest way out; picks are merged by the
-    components operator, so a round at least halves the components.
+    each component picks its lightest way out, so that the picks form trees
+    that end in a pair; pointer jumping finds their roots, and a round at
+    least halves the components.
     """
     plain = without_loops(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
     left = cut_lineage(plain.groupBy("src", "dst").agg(F.min("w").alias("w")).select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")))
     tree = None
     while left.take(1):
-        ends = left.select(F.col("a").alias("c"), "w", "src", "dst").unionByName(left.select(F.col("b").alias("c"), "w", "src", "dst"))
-        picks = ends.groupBy("c").agg(F.min(F.struct("w", "src", "dst")).alias("e")).select("e.*").distinct()
-        picks = cut_lineage(picks)
-        tree = picks if tree is None else tree.unionByName(picks)
-        joined = left.join(picks.select("src", "dst"), ["src", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
-        roots = components(joined)
-        left = left.join(roots.toDF("a", "la"), "a", "left").join(roots.toDF("b", "lb"), "b", "left")
-        left = left.select("src", "dst", "w", F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+        ends = left.select(F.col("a").alias("node"), F.struct("w", "src", "dst", F.col("b").alias("parent")).alias("e")).unionByName(left.select(F.col("b").alias("node"), F.struct("w", "src", "dst", F.col("a").alias("parent")).alias("e")))
+        picks = cut_lineage(ends.groupBy("node").agg(F.min("e").alias("e")).select("node", "e.*"))
+        tree = picks.select("src", "dst", "w") if tree is None else tree.unionByName(picks.select("src", "dst", "w"))
+        roots = _jumped(picks.select("node", "parent"))
+        left = left.join(roots.toDF("a", "la"), "a").join(roots.toDF("b", "lb"), "b").select("src", "dst", "w", F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b")
         left = cut_lineage(left)
     empty = plain.limit(0)
-    return (empty if tree is None else tree).select("src", "dst", "w")
+    return (empty if tree is None else tree).select("src", "dst", "w").distinct()
+
+
+def _jumped(parent: DataFrame) -> DataFrame:
+    """(node, root) from picks (node, parent), where every tree of picks ends in
+    two nodes that picked each other; the smaller one is the root."""
+    back = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+    up = parent.join(back, "parent", "left")
+    parent = cut_lineage(up.select("node", F.when((F.col("up") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent")))
+    while True:
+        back = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+        twice = cut_lineage(parent.join(back, "parent").select("node", "parent", "up"))
+        if not twice.where("parent <> up").take(1):
+            return parent.withColumnRenamed("parent", "root")
+        parent = twice.select("node", F.col("up").alias("parent"))
 
 
 def two_block_graph(spark: SparkSession, n: int, p_in: float, p_out: float, seed: int = 0) -> DataFrame:
     """Undirected random graph of two equal blocks, both directions, weight 1.
 
-    Every pair is a hash-Bernoulli draw; rows are generated where the source
-    is, so nothing is collected.
+    The numbers of edges within and between the blocks are binomial; the
+    edges are as many distinct random pairs of the kind, first come by
+    candidate number, so that the work follows the edges, not the pairs.
     """
-    ids = spark.range(n).toDF("src")
-    pairs = ids.withColumn("dst", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where("src < dst")
-    same = F.floor(2 * F.col("src") / n) == F.floor(2 * F.col("dst") / n)
-    kept = pairs.where(u01("blocks", F.col("src"), F.col("dst"), seed) < F.when(same, p_in).otherwise(p_out))
-    return kept.select("src", F.col("dst").cast("long").alias("dst"), F.lit(1.0).alias("w")).transform(lambda e: e.unionByName(swapped(e)))
+    half = n // 2
+    kinds = (("within", half * (half - 1), p_in), ("between", half * half, p_out))
+    out = None
+    for kind, total, p in kinds:
+        want = _binomial(total, p, f"blocks-{kind}", seed)
+        tries = 64 + int(2.5 * _tries(want, total))
+        k = spark.range(tries).withColumnRenamed("id", "k")
+        a = F.floor(u01(f"blocks-{kind}-a", F.col("k"), seed) * 2 * half).cast("long")
+        b = F.floor(u01(f"blocks-{kind}-b", F.col("k"), seed) * 2 * half).cast("long")
+        pairs = k.select("k", F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).where("src <> dst")
+        same = F.floor(F.col("src") / half) == F.floor(F.col("dst") / half)
+        fresh = pairs.where(same if kind == "within" else ~same).groupBy("src", "dst").agg(F.min("k").alias("k"))
+        edges = first_rows(fresh, want, F.col("k")).select("src", "dst", F.lit(1.0).alias("w"))
+        out = edges if out is None else out.unionByName(edges)
+    return out.unionByName(swapped(out))
+
+
+def _tries(want: int, total: int) -> float:
+    """Candidates expected until ``want`` of ``total`` pairs of one kind were
+    drawn; about half of all candidates are of a kind."""
+    import math
+
+    rest = max(total - want, 1)
+    return 2.0 * total * (math.log(total / rest) if rest < total else 0.0) + 8 * math.sqrt(max(want, 1)) + want
+
+
+def _binomial(total: int, p: float, use: str, seed: int) -> int:
+    """A binomial number from a generator seeded by the use and the seed."""
+    import zlib
+
+    import numpy as np
+
+    return int(np.random.default_rng([seed, zlib.crc32(use.encode())]).binomial(total, p))
 
 
 def block_shuffled(edges: DataFrame, groups: DataFrame, seed: int = 0) -> DataFrame:
     """A degree-corrected randomisation: within each pair of groups the edge
-    targets are dealt anew by seeded ranks; repeats and loops collapse, and
-    weights are 1.  Stubs are ranked in salted sub-blocks."""
+    targets are dealt anew by seeded ranks.  The result is binary: repeated
+    edges become one, loops go, and weights are 1, so that degrees are kept up
+    to these.  Stubs are ranked in salted sub-blocks."""
     g = groups.select("id", "grp")
     laid = edges.join(g.toDF("src", "gs"), "src").join(g.toDF("dst", "gd"), "dst")
-    salt = F.pmod(F.hash("src", "dst"), F.lit(64))
+    salt = F.floor(u01("stub-salt", F.col("src"), F.col("dst"), seed) * 64)
     keyed = laid.withColumn("salt", salt)
     block = Window.partitionBy("gs", "gd", "salt")
     a = keyed.withColumn("r", F.row_number().over(block.orderBy(u01("stub-src", F.col("src"), F.col("dst"), seed), "src", "dst"))).select("gs", "gd", "salt", "r", "src")

@@ -39,10 +39,40 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(right, F.col("dst") == F.col("_k")).groupBy("src", "_j").agg(F.sum(F.col("w") * F.col("_w")).alias("w")).select("src", F.col("_j").alias("dst"), "w")
 
 
+#: A square matrix over at most this many ids (8 MB dense) is raised to powers as one array.
+SMALL = 1024
+
+
+def _small_powers(a: DataFrame, weights: Sequence[float]) -> DataFrame | None:
+    """sum_i weights[i] A^(i+1) by dense products, if A has at most ``SMALL``
+    ids; else nothing.  The ids are counted before anything is collected."""
+    ids = a.select(F.explode(F.array("src", "dst")).alias("id")).distinct().limit(SMALL + 1).collect()
+    if not ids or len(ids) > SMALL:
+        return None
+    names = np.array(sorted(r["id"] for r in ids))
+    rows = a.groupBy("src", "dst").agg(F.sum("w").alias("w")).collect()
+    m = np.zeros((len(names), len(names)))
+    held = np.zeros(m.shape, bool)
+    for r in rows:
+        i, j = np.searchsorted(names, [r["src"], r["dst"]])
+        m[i, j], held[i, j] = r["w"], True
+    power, stored, total, seen = m, held, np.zeros(m.shape), np.zeros(m.shape, bool)
+    for k, weight in enumerate(weights):
+        if k:
+            power, stored = power @ m, (stored.astype(float) @ held.astype(float)) > 0
+        if weight is not None:
+            total, seen = total + weight * power, seen | stored
+    i, j = np.nonzero(seen)
+    return a.sparkSession.createDataFrame([(int(names[x]), int(names[y]), float(total[x, y])) for x, y in zip(i, j)], "src long, dst long, w double")
+
+
 def power_sum(a: DataFrame, upto: int) -> DataFrame:
-    """A + A^2 + ... + A^upto; nothing for upto = 0."""
+    """A + A^2 + ... + A^upto; nothing for upto = 0.  Small matrices, such as
+    those over blocks, are multiplied as arrays."""
     if upto <= 0:
         return a.limit(0)
+    if upto > 1 and (small := _small_powers(a, [1.0] * upto)) is not None:
+        return small
     power, terms = a, [a]
     for _ in range(upto - 1):
         power = cut_lineage(matmul(power, a))
@@ -56,6 +86,9 @@ def walk_sum(p: DataFrame, restart: float, steps: int, offset: int = 0, weights:
     if weights is None:
         raw = [(1 - restart) ** i for i in range(steps)]
         weights = [x / sum(raw) for x in raw]
+    used = [float(w) if i >= offset else None for i, w in enumerate(weights[:steps])]
+    if steps > 1 and steps > offset and (small := _small_powers(p, used)) is not None:
+        return small
     power, terms = p, []
     for i in range(steps):
         if i:

@@ -20,7 +20,7 @@ from graphloom.functions.session import cut_lineage
 from graphloom.operators import blocks, linalg
 from graphloom.operators.graph import degrees, fairwalk_weights, nodes_of, normalised_adjacency, summed
 from graphloom.operators.samplers import NodeSampler, configuration_noise, triplets
-from graphloom.operators.walks import biased_walk, pair_counts, start_walks, windows
+from graphloom.operators.walks import biased_walk, offset_windows, pair_counts, start_walks
 
 VECTORS = "id long, vec array<double>"
 
@@ -120,7 +120,7 @@ def log_degree(dim_free: bool = True) -> Callable[[DataFrame, int], DataFrame]:
 
 def _walk_pairs(edges: DataFrame, per_node: int, length: int, window: int, p: float, q: float, seed: int, side: str = "double") -> DataFrame:
     walks = cut_lineage(biased_walk(edges, start_walks(nodes_of(edges), per_node), length, p, q, seed))
-    return windows(walks, window, side)
+    return offset_windows(walks, window, side)
 
 
 def skip_gram(per_node: int = 5, length: int = 40, window: int = 10, p: float = 1.0, q: float = 1.0, noise: NodeSampler | None = None, epochs: int = 20, rate: float = 0.05, joint: bool = False, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
@@ -347,35 +347,42 @@ def out_vectors(edges: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return linalg.times_thin(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), vectors, dim)
 
 
-def bias_fit(pairs: DataFrame, vectors: DataFrame, rounds: int = 1000, every: int = 20, tolerance: float = 1e-2, rate: float = 0.05) -> DataFrame:
-    """(id, a, b): biases of weighted pairs(src, dst, w) under fixed vectors,
-    by ascent on the Poisson log-likelihood of w with mean exp(dot + a + b).
+def bias_fit(edges: DataFrame, vectors: DataFrame, rounds: int = 1000, every: int = 20, tolerance: float = 1e-2, rate: float = 0.001) -> DataFrame:
+    """(id, a, b): additive biases of a graph under fixed vectors.
 
-    One Arrow task over the scored table; stops when a check every ``every``
-    rounds moves by less than ``tolerance`` relatively.
+    With the row and column sums of the weights, each less the inner product
+    of the node's vector with the sum of all vectors, a ascends along
+    row - sum(b) a and b along col - sum(a) b by Adam from zero, until a test
+    every ``every`` rounds finds a mean change below ``tolerance`` of the
+    mean size.  Nodes are the rows of ``vectors``; a node without edges has
+    sums of zero.  Sums are aggregated in Spark; the ascent needs both global
+    sums in each round and runs in one task over 24 bytes a node.
     """
-    from graphloom.operators.evaluate import edge_scores
-
-    scored = edge_scores(pairs.select("src", "dst", "w"), vectors)
+    width = vectors.select(F.size("vec")).first()
+    size = width[0] if width else 0
+    totals = vectors.agg(*(F.sum(F.col("vec")[k]).alias(f"_{k}") for k in range(size))) if size else None
+    deg = degrees(edges).withColumnRenamed("out_w", "r").withColumnRenamed("in_w", "c")
+    shift = sum((F.col("vec")[k] * F.col(f"_{k}") for k in range(1, size)), F.col("vec")[0] * F.col("_0")) if size else F.lit(0.0)
+    base = vectors.join(F.broadcast(totals)) if size else vectors  # one row of sums
+    known = base.select("id", shift.alias("s")).join(deg, "id", "left").select("id", *((F.coalesce(F.col(c), F.lit(0.0)) - F.col("s")).alias(c) for c in "rc"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        s, d, w, x = (np.asarray(table.column(k).combine_chunks()) for k in ("src", "dst", "w", "score"))
-        ids, codes = np.unique(np.concatenate([s, d]), return_inverse=True)
-        i, j = codes.reshape(2, -1)
-        theta, adam, last = np.zeros(2 * len(ids)), linalg.Adam(rate), None
+        ids, row, col = (np.asarray(table.column(k).combine_chunks()) for k in ("id", "r", "c"))
+        a, b = np.zeros(len(ids)), np.zeros(len(ids))
+        up, down = linalg.Adam(rate), linalg.Adam(rate)
         for t in range(rounds):
-            gap = w - np.exp(np.clip(x + theta[i] + theta[len(ids) + j], -30, 30))
-            theta = adam.ascend(theta, np.concatenate([np.bincount(i, gap, len(ids)), np.bincount(j, gap, len(ids))]))
-            if t % every == every - 1:
-                if last is not None and np.linalg.norm(theta - last) < tolerance * max(np.linalg.norm(last), 1e-12):
+            to_a, to_b = up.ascend(a, row - b.sum() * a), down.ascend(b, col - a.sum() * b)
+            if t % every == 0:
+                moved = np.mean(np.abs(a - to_a) + np.abs(b - to_b)) / max(np.mean(np.abs(a) + np.abs(b)), 2e-8)
+                if moved < tolerance:
                     break
-                last = theta.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(theta[: len(ids)]), pa.array(theta[len(ids) :])], names=["id", "a", "b"])
+            a, b = to_a, to_b
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a), pa.array(b)], names=["id", "a", "b"])
 
-    return scored.repartition(1).sortWithinPartitions("src", "dst").mapInArrow(train, "id long, a double, b double")
+    return known.repartition(1).sortWithinPartitions("id").mapInArrow(train, "id long, a double, b double")
 
 
 def uniform_start(nodes: DataFrame, dim: int, seed: int = 0) -> DataFrame:

@@ -6,25 +6,25 @@ context)``; any such callable can stand in for the ones here.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.ranking import first_rows
 from graphloom.functions.scalar import u01
 from graphloom.functions.session import cut_lineage
 from graphloom.operators import blocks
-from graphloom.operators.graph import degrees, nodes_of
-from graphloom.operators.walks import draw
+from graphloom.operators.graph import degrees, dense_codes, nodes_of
+from graphloom.operators.walks import draw, draw_from_one
 
 NodeSampler = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def _one_row(centers: DataFrame, table: DataFrame, use: str, seed: int) -> DataFrame:
     """Draw every context from one distribution ``table(dst, w)``."""
-    options = table.select(F.lit(0).cast("long").alias("src"), "dst", "w")
-    asked = centers.select("draw", "center", F.lit(0).cast("long").alias("src"))
-    return draw(asked, options, u01(use, F.col("draw"), seed)).select("draw", "center", F.col("dst").alias("context"))
+    return draw_from_one(centers.select("draw", "center"), table, u01(use, F.col("draw"), seed)).select("draw", "center", F.col("dst").alias("context"))
 
 
 def configuration_noise(seed: int = 0) -> NodeSampler:
@@ -102,15 +102,21 @@ def neighbours(edges: DataFrame, node: int) -> DataFrame:
 def negative_edges(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(src, dst), src < dst: ``n`` distinct non-edges without loops.
 
-    Candidate k draws both ends from hashes; rounds of growing numbers of
-    candidates run until enough are left, then the first ``n`` by candidate
-    number stay.  ``nodes(id)`` is numbered 0..N-1.
+    Candidate k draws both ends from hashes.  As many candidates as the
+    density makes likely to suffice are drawn at once, twice as many if they
+    did not; the first ``n`` by candidate number stay.  With fewer than ``n``
+    non-edges all of them are returned.  ``nodes(id)`` is numbered 0..N-1.
     """
     spark = edges.sparkSession
     taken = cut_lineage(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     size = nodes.count()
     free = size * (size - 1) // 2 - taken.where("src <> dst").count()
-    n, tries = min(n, max(free, 0)), max(2 * n, 16)
+    if n >= free:  # all that there are
+        ids = spark.range(size)
+        every = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id"), F.lit(size - 1))).alias("dst")).where("src < dst") if size else spark.createDataFrame([], "src long, dst long")
+        return every.join(taken, ["src", "dst"], "left_anti")
+    # each candidate is one of size^2 / 2 pairs; the last of n free ones of ``free`` comes after about this many
+    tries = 64 + int(1.2 * size * size / 2 * math.log(free / (free - n)) + 4 * math.sqrt(n))
     while True:
         k = spark.range(tries).withColumnRenamed("id", "k")
         a = F.floor(u01("neg-a", F.col("k"), seed) * size).cast("long")
@@ -118,10 +124,9 @@ def negative_edges(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) ->
         pairs = k.select("k", F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).where("src < dst")
         first = pairs.groupBy("src", "dst").agg(F.min("k").alias("k")).join(taken, ["src", "dst"], "left_anti")
         first = cut_lineage(first)
-        if first.count() >= n or tries > 64 * size * size + 1024:
-            break
+        if first.count() >= n:
+            return first_rows(first, n, F.col("k")).select("src", "dst")
         tries *= 2
-    return first.orderBy("k").limit(n).select("src", "dst")
 
 
 def community_pairs(groups: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -135,17 +140,32 @@ def community_pairs(groups: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def balanced_pairs(groups: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(draw, a, b, y): for each draw a node a, one other of its group (y = 1)
-    and one of another group (y = 0), from salted ranks inside the groups."""
-    pairs = community_pairs(groups, 8 * n, seed)
-    rank = F.row_number().over(Window.partitionBy("y", "salt").orderBy("draw"))
-    salted = pairs.withColumn("salt", F.pmod(F.hash("draw"), F.lit(16))).withColumn("r", rank)
-    return salted.where(F.col("r") <= -(-n // 16)).select("draw", "a", "b", "y")
+    """(draw, a, b, y): for each draw a uniform node a with a uniform member of
+    its group, itself included (y = 1), and a uniform node with one of
+    another group (y = 0).  Draws of a graph with one group have no y = 0.
+
+    Nodes are numbered by (group, id), so that a group is a range of numbers
+    and every partner is one draw and one look-up.
+    """
+    pairs = groups.where("id is not null and grp is not null").select(F.struct("grp", "id").alias("_node"))
+    codes = dense_codes(pairs, "_node").select(F.col("_node.id").alias("id"), F.col("_node.grp").alias("grp"), "code")
+    ranges = codes.groupBy("grp").agg(F.min("code").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = cut_lineage(codes.join(ranges, "grp"))
+    size = placed.count()
+    draws = groups.sparkSession.range(n).withColumnRenamed("id", "draw").select("draw", F.explode(F.array(F.lit(1), F.lit(0))).alias("y"))
+    u = lambda use: u01(use, F.col("draw"), F.col("y"), seed)
+    own = draws.withColumn("code", F.floor(u("balanced-a") * size).cast("long")).join(placed, "code").withColumnRenamed("id", "a")
+    inside = F.col("first") + F.floor(u("balanced-b") * F.col("n"))
+    rest = F.floor(u("balanced-b") * (size - F.col("n")))
+    outside = F.when(F.col("n") < size, F.when(rest < F.col("first"), rest).otherwise(rest + F.col("n")))
+    asked = own.select("draw", "a", "y", F.when(F.col("y") == 1, inside).otherwise(outside).cast("long").alias("code"))
+    return asked.join(placed.select("code", F.col("id").alias("b")), "code").select("draw", "a", "b", "y")
 
 
 def sample_rows(df: DataFrame, n: int, *key: str, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement: the smallest hash draws of their keys."""
-    return df.orderBy(u01("sample", *(F.col(k) for k in key), seed), *key).limit(n)
+    keyed = df.withColumn("_u", u01("sample", *(F.col(k) for k in key), seed))
+    return first_rows(keyed, n, F.col("_u"), *(F.col(k) for k in key)).select(*df.columns)
 
 
 def permuted(df: DataFrame, *key: str, seed: int = 0) -> DataFrame:
@@ -154,9 +174,10 @@ def permuted(df: DataFrame, *key: str, seed: int = 0) -> DataFrame:
 
 
 def triplets(pairs: DataFrame, edges: DataFrame, noise: NodeSampler, joint: bool = False, seed: int = 0) -> DataFrame:
-    """(draw, center, context, noise[, noise_center]): every pair with a noise
-    context; ``joint`` draws the noise center too."""
-    numbered = pairs.select(F.xxhash64("walk_id", "step", "context", F.lit(seed)).alias("draw"), "center", "context")
+    """(draw, center, context, noise[, noise_center]): every pair of
+    ``offset_windows`` with one noise context; ``joint`` draws the noise
+    center too.  A pair is known by its walk, step and offset."""
+    numbered = pairs.select(F.concat_ws(":", "walk_id", "step", "offset").alias("draw"), "center", "context")
     numbered = cut_lineage(numbered)
     if not joint:
         drawn = noise(edges, numbered.select("draw", "center")).select("draw", F.col("context").alias("noise"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.ranking import first_rows
 from graphloom.functions.scalar import u01
 from graphloom.functions.session import cut_lineage
 from graphloom.operators.graph import dense_codes, nodes_of, spanning_tree, symmetrised, without_loops
@@ -34,7 +35,8 @@ def held_out_edges(edges: DataFrame, fraction: float = 0.5, seed: int = 0) -> Da
     want = int(plain.count() * fraction)
     if free.count() < want:
         raise ValueError("fewer edges outside the spanning forest than asked for")
-    return free.orderBy(u01("split", F.col("src"), F.col("dst"), seed), "src", "dst").limit(want).select("src", "dst")
+    keyed = free.withColumn("_u", u01("split", F.col("src"), F.col("dst"), seed))
+    return first_rows(keyed, want, F.col("_u"), F.col("src"), F.col("dst")).select("src", "dst")
 
 
 def split(edges: DataFrame, fraction: float = 0.5, seed: int = 0) -> Split:

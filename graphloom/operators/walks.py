@@ -1,7 +1,9 @@
 """Random walks, context windows and pair counts.
 
 A step is an exact inverse-CDF draw by join: the draw ``u`` of a walker
-falls into the half-open weight interval of one edge.  The cumulative table
+falls into the half-open weight interval of one edge.  Running weights are
+summed in two levels, within chunks of consecutive node numbers and over the
+chunks of a row, so that no task sorts a hub's edges.  The cumulative table
 is cut into buckets of about ``BUCKET`` edges, and walkers join on (node,
 bucket), so that a hub is spread over many join keys.
 """
@@ -18,14 +20,26 @@ from graphloom.functions.session import cut_lineage
 from graphloom.operators.graph import nodes_of, summed, transition
 
 BUCKET = 64
-CUT_EVERY = 4
+CHUNK_BITS = 12
+CUT_EVERY = 5
 
 
 def cumulative(edges: DataFrame, keys: tuple[str, ...] = ("src",), value: str = "dst") -> DataFrame:
-    """Adds ``lo``, ``hi``, ``tot``: the weight interval of each edge in its row."""
-    ahead = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hi = F.sum("w").over(ahead)
-    return edges.where("w > 0").select(*keys, value, "w", (hi - F.col("w")).alias("lo"), hi.alias("hi"), F.sum("w").over(Window.partitionBy(*keys)).alias("tot"))
+    """Adds ``lo``, ``hi``, ``tot``: the weight interval of each edge in its row.
+
+    Each ``lo`` is the ``hi`` before it and ``tot`` is the last ``hi``, so
+    that the intervals cover a row without a gap whatever weights round to.
+    """
+    plain = edges.where("w > 0").select(*keys, value, "w", F.shiftright(F.col(value), CHUNK_BITS).alias("_c"))
+    local = Window.partitionBy(*keys, "_c").orderBy(value)
+    upto = lambda last: F.sum("w").over(local.rowsBetween(Window.unboundedPreceding, last))
+    inside = plain.select("*", F.coalesce(upto(-1), F.lit(0.0)).alias("_before"), upto(0).alias("_in"))
+    chunks = inside.groupBy(*keys, "_c").agg(F.max("_in").alias("_all"))
+    ahead = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
+    based = chunks.withColumn("_base", F.coalesce(F.sum("_all").over(ahead), F.lit(0.0)))
+    based = based.select(*keys, "_c", "_base", F.max(F.col("_base") + F.col("_all")).over(Window.partitionBy(*keys)).alias("tot"))
+    at = lambda c: F.col("_base") + F.col(c)
+    return inside.join(based, [*keys, "_c"]).select(*keys, value, "w", at("_before").alias("lo"), at("_in").alias("hi"), "tot")
 
 
 def cdf_table(edges: DataFrame) -> DataFrame:
@@ -33,10 +47,11 @@ def cdf_table(edges: DataFrame) -> DataFrame:
     return cumulative(edges).select("src", "dst", (F.col("hi") / F.col("tot")).alias("cum"))
 
 
-def _bucketed(cdf: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _bucketed(edges: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """Each interval once per bucket of its row that it touches."""
-    count = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / BUCKET)
-    sized = cdf.withColumn("buckets", count)
+    cdf = cumulative(edges, keys, value)
+    count = edges.where("w > 0").groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("buckets"))
+    sized = cdf.join(count, list(keys))
     at = lambda c: F.least(F.floor(F.col(c) / F.col("tot") * F.col("buckets")), F.col("buckets") - 1)
     return sized.withColumn("bucket", F.explode(F.sequence(at("lo"), at("hi"))))
 
@@ -47,7 +62,7 @@ def draw(asks: DataFrame, edges: DataFrame, u: Column, keys: tuple[str, ...] = (
     ``u`` is the row's uniform draw.  With ``how='left'`` rows without edges
     keep a null.
     """
-    table = _bucketed(cumulative(edges, keys, value), keys)
+    table = _bucketed(edges, keys, value)
     size = table.groupBy(*keys).agg(F.max("buckets").alias("_b"), F.max("tot").alias("_tot"))
     asked = asks.withColumn("_u", u).join(size, list(keys), "left" if how == "left" else "inner")
     asked = asked.withColumn("_k", F.least(F.floor(F.col("_u") * F.col("_b")), F.col("_b") - 1))
@@ -59,11 +74,39 @@ def draw(asks: DataFrame, edges: DataFrame, u: Column, keys: tuple[str, ...] = (
     return asked.join(right, hit, how).select(*asks.columns, F.col("_value").alias(value))
 
 
+def draw_from_one(asks: DataFrame, options: DataFrame, u: Column) -> DataFrame:
+    """Adds ``dst`` drawn by weight from one distribution ``options(dst, w)``.
+
+    Running weights are summed inside chunks of consecutive nodes and over
+    the chunks; draws join on buckets of the whole range, so that no key
+    stands for all nodes.
+    """
+    chunk = F.shiftright(F.col("dst"), CHUNK_BITS)
+    inside = cut_lineage(options.where("w > 0").select(chunk.alias("src"), "dst", "w"))
+    table = cumulative(inside, ("src",), "dst")
+    chunks = table.groupBy("src").agg(F.max("tot").alias("w")).select(F.lit(0).cast("long").alias("root"), F.col("src").alias("chunk"), "w")
+    # the chunks' own running sum: one row for each 4,096 nodes
+    spans = cumulative(chunks, ("root",), "chunk").select("chunk", F.col("lo").alias("_lo"), F.col("tot").alias("_tot"))
+    total = spans.agg(F.max("_tot").alias("_all"))
+    asked = asks.withColumn("_u", u).join(F.broadcast(total)).withColumn("_x", F.col("_u") * F.col("_all"))
+    full = table.join(spans, table["src"] == spans["chunk"]).select("dst", (F.col("_lo") + F.col("lo")).alias("lo"), (F.col("_lo") + F.col("hi")).alias("hi"), "_tot")
+    count = F.greatest(F.lit(1), F.ceil(F.lit(inside.count() / BUCKET))).cast("long")
+    at = lambda c: F.least(F.floor(F.col(c) / F.col("_tot") * count), count - 1)
+    right = full.withColumn("_bucket", F.explode(F.sequence(at("lo"), at("hi"))))
+    asked = asked.withColumn("_k", F.least(F.floor(F.col("_x") / F.col("_all") * count), count - 1))
+    hit = (F.col("_k") == F.col("_bucket")) & (F.col("_x") >= F.col("lo")) & (F.col("_x") < F.col("hi"))
+    return asked.join(right, hit).select(*asks.columns, "dst")
+
+
 def start_walks(nodes: DataFrame, per_node: int) -> DataFrame:
     """(walk_id, start): walk_id = node * per_node + k."""
     return nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("k")).select((F.col("id") * per_node + F.col("k")).alias("walk_id"), F.col("id").alias("start"))
 
 
+def _as_steps(paths: DataFrame) -> DataFrame:
+    return paths.select("walk_id", F.posexplode("path").alias("step", "node")).select("walk_id", F.col("step").cast("long").alias("step"), "node")
+
+
 def walk(
     edges: DataFrame,
     starts: DataFrame,
@@ -78,26 +121,39 @@ def walk(
     With probability ``restart`` a step goes back to the start, or, with
     ``teleport`` = N, to a uniform node 0..N-1.  A walk ends at a node
     without out-edges, unless ``restart_at_sink`` sends it back.
+
+    The bucketed table is built once; each of its rows carries the size of
+    the row it leads to, so that a step is a single join.  A walker carries
+    its path, so that no step is computed twice.
     """
-    edges = cut_lineage(summed(edges))
-    now = cut_lineage(starts.select("walk_id", "start", F.col("start").alias("node")))
-    steps = [now.select("walk_id", F.lit(0).cast("long").alias("step"), "node")]
+    table = _bucketed(summed(edges), ("src",), "dst")
+    table = cut_lineage(table)
+    size = cut_lineage(table.groupBy("src").agg(F.max("buckets").alias("b"), F.max("tot").alias("tot")))
+    options = table.select(F.col("src").alias("_src"), F.col("bucket").alias("_bucket"), "lo", "hi", "dst")
+    options = cut_lineage(options.join(size.toDF("dst", "_nb", "_ntot"), "dst", "left"))
+    now = starts.select("walk_id", "start").join(size.toDF("start", "home_b", "home_tot"), "start", "left")
+    now = now.select("walk_id", "start", "home_b", "home_tot", F.col("start").alias("node"), F.col("home_b").alias("b"), F.col("home_tot").alias("tot"), F.array("start").alias("path"))
     key = F.col("walk_id")
     for t in range(1, length):
+        asked = now.withColumn("_x", u01("walk", key, t, seed)).withColumn("_k", F.least(F.floor(F.col("_x") * F.col("b")), F.col("b") - 1))
+        hit = (F.col("node") == F.col("_src")) & (F.col("_k") == F.col("_bucket")) & (F.col("_x") * F.col("tot") >= F.col("lo")) & (F.col("_x") * F.col("tot") < F.col("hi"))
+        moved = asked.join(options, hit, "left")
         home = F.col("start") if teleport is None else F.floor(u01("teleport", key, t, seed) * teleport).cast("long")
-        asks = now.select("walk_id", "start", F.col("node").alias("src"))
-        moved = draw(asks, edges, u01("walk", key, t, seed), how="left" if restart_at_sink else "inner")
-        node = F.coalesce("dst", home) if restart_at_sink else F.col("dst")
+        back = F.lit(False)
         if restart:
-            node = F.when(u01("restart", key, t, seed) <= restart, home).otherwise(node)
-        now = moved.select("walk_id", "start", node.alias("node"))
+            back = back | ((u01("restart", key, t, seed) <= restart) & (F.col("dst").isNotNull() | F.lit(restart_at_sink)))
+        if restart_at_sink:
+            back = back | F.col("dst").isNull()
+        moved = moved.withColumn("_back", back)
+        pick = lambda there, here: F.when(F.col("_back"), there).otherwise(here)
+        now = moved.select(
+            "walk_id", "start", "home_b", "home_tot", pick(home, F.col("dst")).alias("node"), pick(F.col("home_b"), F.col("_nb")).alias("b"), pick(F.col("home_tot"), F.col("_ntot")).alias("tot"), "path"
+        ).withColumn("path", F.when(F.col("node").isNotNull(), F.concat("path", F.array("node"))).otherwise(F.col("path")))
+        if teleport is not None and (restart or restart_at_sink):
+            now = now.drop("b", "tot").join(size.toDF("node", "b", "tot"), "node", "left")
         if t % CUT_EVERY == 0:
             now = cut_lineage(now)
-        steps.append(now.select("walk_id", F.lit(t).cast("long").alias("step"), "node"))
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
-    return out
+    return _as_steps(now)
 
 
 def biased_walk(edges: DataFrame, starts: DataFrame, length: int, p: float, q: float, seed: int = 0) -> DataFrame:
@@ -109,8 +165,8 @@ def biased_walk(edges: DataFrame, starts: DataFrame, length: int, p: float, q: f
         return walk(edges, starts, length, seed)
     edges = cut_lineage(summed(edges))
     near = edges.select(F.col("src").alias("prev"), F.col("dst").alias("nxt"), F.lit(True).alias("near"))
-    now = cut_lineage(starts.select("walk_id", F.col("start").alias("prev"), F.col("start").alias("cur")))
-    steps = [now.select("walk_id", F.lit(0).cast("long").alias("step"), F.col("cur").alias("node"))]
+    now = cut_lineage(starts.select("walk_id", F.col("start").alias("prev"), F.col("start").alias("cur"), F.array("start").alias("path")))
+    done = now.limit(0)
     for t in range(1, length):
         if t == 1:
             options = edges.select(F.col("src").alias("prev"), F.col("src").alias("cur"), F.col("dst").alias("nxt"), "w")
@@ -119,29 +175,32 @@ def biased_walk(edges: DataFrame, starts: DataFrame, length: int, p: float, q: f
             ways = seen.join(edges.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), "w"), "cur").join(near, ["prev", "nxt"], "left")
             bias = F.when(F.col("nxt") == F.col("prev"), 1.0 / p).when(F.col("near"), 1.0).otherwise(1.0 / q)
             options = ways.select("prev", "cur", "nxt", (F.col("w") * bias).alias("w"))
-        moved = draw(now, options, u01("walk", F.col("walk_id"), t, seed), ("prev", "cur"), "nxt")
-        now = cut_lineage(moved.select("walk_id", F.col("cur").alias("prev"), F.col("nxt").alias("cur")))
-        steps.append(now.select("walk_id", F.lit(t).cast("long").alias("step"), F.col("cur").alias("node")))
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
-    return out
+        moved = cut_lineage(draw(now, options, u01("walk", F.col("walk_id"), t, seed), ("prev", "cur"), "nxt", "left"))
+        done = done.unionByName(moved.where("nxt is null").drop("nxt"))
+        now = moved.where("nxt is not null").select("walk_id", F.col("cur").alias("prev"), F.col("nxt").alias("cur"), F.concat("path", F.array("nxt")).alias("path"))
+    return _as_steps(done.unionByName(now))
 
 
 def windows(walks: DataFrame, size: int, side: str = "double", trim: bool = False) -> DataFrame:
     """(walk_id, step, center, context) pairs at offsets up to ``size``.
 
     ``side`` is right, left or double; windows are cut at the ends.  ``trim``
-    uses only centers with a whole right window.  One sort per walk: the
-    neighbours come from lead and lag in the same window.
+    uses only centers with a whole right window.
     """
+    return offset_windows(walks, size, side, trim).drop("offset")
+
+
+def offset_windows(walks: DataFrame, size: int, side: str = "double", trim: bool = False) -> DataFrame:
+    """``windows`` with the context's ``offset`` from its center.  One sort per
+    walk: the neighbours come from lead and lag in the same window."""
     order = Window.partitionBy("walk_id").orderBy("step")
     reach = list(range(1, size + 1))
-    take = ([F.lead("node", k).over(order) for k in reach] if side in ("right", "double") else []) + ([F.lag("node", k).over(order) for k in reach] if side in ("left", "double") else [])
+    at = lambda k: F.struct(F.lit(k).alias("offset"), (F.lead("node", k) if k > 0 else F.lag("node", -k)).over(order).alias("context"))
+    take = [at(k) for k in (reach if side in ("right", "double") else [])] + [at(-k) for k in (reach if side in ("left", "double") else [])]
     wide = walks.select("walk_id", "step", F.col("node").alias("center"), F.array(*take).alias("near"), F.lead("node", size).over(order).alias("last"))
     if trim:
         wide = wide.where(F.col("last").isNotNull())
-    return wide.select("walk_id", "step", "center", F.explode("near").alias("context")).where(F.col("context").isNotNull())
+    return wide.select("walk_id", "step", "center", F.inline("near")).where(F.col("context").isNotNull()).select("walk_id", "step", "center", "context", "offset")
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -180,9 +239,9 @@ def sentences(walks: DataFrame) -> DataFrame:
 def batch_pairs(counts: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` draws of a center by its share and a context by the center's row."""
     spark = counts.sparkSession
-    centers = counts.groupBy("center").agg(F.sum("freq").cast("double").alias("w")).select(F.lit(0).cast("long").alias("src"), F.col("center").alias("dst"), "w")
-    ids = spark.range(n).select(F.col("id").alias("draw"), F.lit(0).cast("long").alias("src"))
-    first = draw(ids, centers, u01("batch-center", F.col("draw"), seed)).select("draw", F.col("dst").alias("src"))
+    centers = counts.groupBy("center").agg(F.sum("freq").cast("double").alias("w")).select(F.col("center").alias("dst"), "w")
+    ids = spark.range(n).select(F.col("id").alias("draw"))
+    first = draw_from_one(ids, centers, u01("batch-center", F.col("draw"), seed)).select("draw", F.col("dst").alias("src"))
     rows = counts.select(F.col("center").alias("src"), F.col("context").alias("dst"), F.col("freq").cast("double").alias("w"))
     return draw(first, rows, u01("batch-context", F.col("draw"), seed)).select("draw", F.col("src").alias("center"), F.col("dst").alias("context"))
 

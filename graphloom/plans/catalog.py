@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
+from graphloom.functions.ranking import first_rows
 from graphloom.functions.scalar import rounded
 from graphloom.functions.session import cut_lineage, table
 from graphloom.operators import blocks, evaluate, graph, linalg, models, samplers, splits, walks
@@ -47,7 +49,7 @@ CDF = """cdf AS (SELECT src, dst, sum(w) OVER r - w AS lo, sum(w) OVER r AS hi,
 
 def u(*parts: str) -> str:
     """The portable uniform draw in SQL; parts are SQL expressions."""
-    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE))"
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) / CAST(4503599627370496.0 AS DOUBLE))"
 
 
 def r6(x: str) -> str:
@@ -158,40 +160,32 @@ def _line(spark: SparkSession, d: str) -> DataFrame:
 query("membership_matrix", f"WITH {GROUPS} SELECT DISTINCT id AS src, grp AS dst, CAST(1 AS DOUBLE) AS w FROM groups")(lambda s, d: graph.membership_matrix(fixtures.nation_groups(s, d)))
 
 
-def _sparse_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Parts bought together and close in number: a graph of many components."""
-    return fixtures.part_pairs(spark, d).where("dst - src <= 3")
+def _labels_sql(source: str, rounds: int = 12) -> str:
+    """CTE comp(id, label): the smallest label spreads to the neighbours, for
+    more rounds than these graphs have hops."""
+    ctes = [f"both_ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM {source} UNION SELECT dst, src FROM {source})", "l0 AS MATERIALIZED (SELECT DISTINCT a AS id, a AS label FROM both_ways)"]
+    ctes += [f"l{t} AS MATERIALIZED (SELECT a AS id, least(min(x.label), min(y.label)) AS label FROM both_ways JOIN l{t - 1} x ON x.id = b JOIN l{t - 1} y ON y.id = a GROUP BY 1)" for t in range(1, rounds + 1)]
+    return ", ".join([*ctes, f"comp AS (SELECT id, label FROM l{rounds})"])
 
 
-COMPONENTS = f"""{PARTS}, near AS (SELECT src, dst, w FROM parts WHERE dst - src <= 3),
-both_ways AS (SELECT src AS a, dst AS b FROM near UNION SELECT dst, src FROM near),
-reach(id, label) AS (SELECT a, a FROM both_ways UNION SELECT b, label FROM reach JOIN both_ways ON a = id),
-comp AS (SELECT id, min(label) AS label FROM reach GROUP BY 1)"""
+COMPONENTS = f"{PARTS}, {_labels_sql('parts')}"
 
 
-query("components", f"WITH RECURSIVE {COMPONENTS} SELECT id, label FROM comp")(lambda s, d: graph.components(_sparse_parts(s, d)))
+query("components", f"WITH {COMPONENTS} SELECT id, label FROM comp")(lambda s, d: graph.components(fixtures.part_pairs(s, d)))
 
 
-@query("largest_component", f"""WITH RECURSIVE {COMPONENTS},
+@query("largest_component", f"""WITH {COMPONENTS},
 best AS (SELECT label FROM comp GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1)
-SELECT src, dst, w FROM near JOIN comp ON id = src WHERE label = (SELECT label FROM best)""")
+SELECT src, dst, w FROM parts JOIN comp ON id = src WHERE label = (SELECT label FROM best)""")
 def _largest(spark: SparkSession, d: str) -> DataFrame:
-    return graph.largest_component(_sparse_parts(spark, d))
+    return graph.largest_component(fixtures.part_pairs(spark, d))
 
 
-query("connectivity", f"WITH RECURSIVE {COMPONENTS} SELECT count(*) AS n_nodes, count(DISTINCT label) AS n_components, count(DISTINCT label) = 1 AS connected FROM comp")(
-    lambda s, d: graph.connectivity(_sparse_parts(s, d))
+query("connectivity", f"WITH {COMPONENTS} SELECT count(*) AS n_nodes, count(DISTINCT label) AS n_components, count(DISTINCT label) = 1 AS connected FROM comp")(
+    lambda s, d: graph.connectivity(fixtures.part_pairs(s, d))
 )
 
 
-# The same on every co-purchase, with the giant component and its hubs; the
-# queries above keep the subset that their SQL states.
-
-query("components_all")(lambda s, d: graph.components(fixtures.part_pairs(s, d)))
-query("largest_component_all")(lambda s, d: graph.largest_component(fixtures.part_pairs(s, d)))
-query("connectivity_all")(lambda s, d: graph.connectivity(fixtures.part_pairs(s, d)))
-
-
 def _tree_weight_sql() -> str:
     # an edge is in the forest iff its ends are not joined by strictly smaller edges
     return f"""WITH RECURSIVE {EDGES}, und AS (
@@ -205,15 +199,24 @@ SELECT a AS src, b AS dst, w FROM k WHERE NOT EXISTS (SELECT 1 FROM reach r WHER
 query("spanning_tree", _tree_weight_sql())(lambda s, d: graph.spanning_tree(fixtures.nation_edges(s, d)))
 
 
-@query("two_block_graph", f"""WITH n AS (SELECT CAST(range AS BIGINT) AS i FROM range(60)), p AS (
-SELECT a.i AS src, b.i AS dst FROM n a JOIN n b ON a.i < b.i), k AS (SELECT src, dst FROM p WHERE {u("'blocks'", 'src', 'dst', "'7'")} <
-CASE WHEN floor(2 * src / 60) = floor(2 * dst / 60) THEN CAST(0.28 AS DOUBLE) ELSE CAST(0.12 AS DOUBLE) END)
-SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM k UNION ALL SELECT dst, src, CAST(1 AS DOUBLE) FROM k""")
+_BLOCK_WANT = {kind: graph._binomial(total, p, f"blocks-{kind}", 7) for kind, total, p in (("within", 30 * 29, 0.28), ("between", 30 * 30, 0.12))}
+_BLOCK_SQL = " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT src, dst FROM (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(k) AS k FROM (SELECT k, CAST(floor({u(f"'blocks-{kind}-a'", 'k', "'7'")} * 60) AS BIGINT) AS a,
+CAST(floor({u(f"'blocks-{kind}-b'", 'k', "'7'")} * 60) AS BIGINT) AS b FROM (SELECT CAST(range AS BIGINT) AS k FROM range(20000))) WHERE a <> b AND (a // 30 {op} b // 30) GROUP BY 1, 2) ORDER BY k LIMIT {_BLOCK_WANT[kind]})"""
+    for kind, op in (("within", "="), ("between", "<>"))
+)
+
+
+@query("two_block_graph", f"WITH k AS ({_BLOCK_SQL}) SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM k UNION ALL SELECT dst, src, CAST(1 AS DOUBLE) FROM k")
 def _two_blocks(spark: SparkSession, d: str) -> DataFrame:
     return graph.two_block_graph(spark, 60, 0.28, 0.12, 7)
 
 
-query("block_shuffled_graph")(lambda s, d: graph.block_shuffled(fixtures.nation_edges(s, d), fixtures.nation_groups(s, d)))
+_STUBS = """laid AS (SELECT src, dst, a.grp AS gs, b.grp AS gd, floor({salt} * 64) AS salt FROM edges JOIN groups a ON a.id = src JOIN groups b ON b.id = dst),
+sa AS (SELECT gs, gd, salt, src, row_number() OVER (PARTITION BY gs, gd, salt ORDER BY {a}, src, dst) AS r FROM laid), sb AS (SELECT gs, gd, salt, dst, row_number() OVER (PARTITION BY gs, gd, salt ORDER BY {b}, dst, src) AS r FROM laid)""".format(
+    salt=u("'stub-salt'", "src", "dst", "'0'"), a=u("'stub-src'", "src", "dst", "'0'"), b=u("'stub-dst'", "src", "dst", "'0'")
+)
+query("block_shuffled_graph", f"WITH {EDGES}, {GROUPS}, {_STUBS} SELECT DISTINCT src, dst, CAST(1 AS DOUBLE) AS w FROM sa JOIN sb USING (gs, gd, salt, r) WHERE src <> dst")(lambda s, d: graph.block_shuffled(fixtures.nation_edges(s, d), fixtures.nation_groups(s, d)))
 query("value_counts", f"WITH {EVENTS} SELECT node, count(*) AS n FROM walks GROUP BY 1")(lambda s, d: fixtures.event_walks(s, d).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -230,7 +233,7 @@ def _walk_sql(length: int, node: str) -> str:
         draw = u("'walk'", "walk_id", f"'{t}'", "'42'")
         ctes.append(f"s{t} AS MATERIALIZED (SELECT walk_id, start, {node.format(t=t)} AS node FROM (SELECT walk_id, start, node, {draw} AS u FROM s{t - 1}) p JOIN cdf c ON c.src = p.node AND u * tot >= lo AND u * tot < hi)")
     union = " UNION ALL ".join(f"SELECT walk_id, CAST({t} AS BIGINT) AS step, node FROM s{t}" for t in range(length))
-    return f"WITH {', '.join(ctes)} {union}"
+    return f"WITH {', '.join([*ctes, f'wk AS ({union})'])} SELECT walk_id, step, node FROM wk"
 
 
 def _starts(spark: SparkSession, d: str) -> DataFrame:
@@ -259,6 +262,10 @@ def _biased_sql(length: int, p: float, q: float) -> str:
     return f"WITH {', '.join(ctes)} {union}"
 
 
+ONES = "edges AS (SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM weighted WHERE w > 5)"
+query("walk_node2vec_unweighted", _biased_sql(6, 0.5, 2.0).replace(EDGES, EDGES.replace("edges AS (", "weighted AS (", 1) + ", " + ONES))(
+    lambda s, d: walks.biased_walk(fixtures.nation_edges(s, d).where("w > 5").withColumn("w", F.lit(1.0)), _starts(s, d), 6, 0.5, 2.0, 42)
+)
 query("walk_node2vec", _biased_sql(6, 0.5, 2.0))(lambda s, d: walks.biased_walk(fixtures.nation_edges(s, d), _starts(s, d), 6, 0.5, 2.0, 42))
 
 _WINDOW = "SELECT a.walk_id, a.step, a.node AS center, b.node AS context FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND {cond}"
@@ -352,7 +359,11 @@ query("block_context_probability", f"WITH {EDGES}, {GROUPS}, {PSBM}, {INDEG}, {S
 )
 
 
-@query("noise_block")
+@query("noise_block", f"""WITH {EDGES}, {GROUPS}, {PSBM}, {INDEG}, {CENTERS}, {_powers_sql('pw', 'psbm', 5)},
+bc AS (SELECT src, dst, sum(w) OVER r - w AS lo, sum(w) OVER r AS hi, sum(w) OVER (PARTITION BY src) AS tot FROM (SELECT src, dst, w / 5 AS w FROM pw) WINDOW r AS (PARTITION BY src ORDER BY dst ROWS UNBOUNDED PRECEDING)),
+nc AS (SELECT grp AS src, id, sum(d) OVER r - d AS lo, sum(d) OVER r AS hi, sum(d) OVER (PARTITION BY grp) AS tot FROM indeg JOIN groups USING (id) WINDOW r AS (PARTITION BY grp ORDER BY id ROWS UNBOUNDED PRECEDING)),
+b1 AS (SELECT draw, center, bc.dst AS g, {u("'noise-node'", 'draw', "'3'")} AS u2 FROM (SELECT draw, center, grp, {u("'noise-block'", 'draw', "'3'")} AS u FROM centers JOIN groups ON id = center) c JOIN bc ON bc.src = grp AND u * tot >= lo AND u * tot < hi)
+SELECT draw, center, id AS context FROM b1 JOIN nc ON nc.src = g AND u2 * tot >= lo AND u2 * tot < hi""")
 def _noise_block(spark: SparkSession, d: str) -> DataFrame:
     edges, groups = _nation(spark, d)
     return samplers.block_noise(groups, 5, True, 3)(edges, _centers(spark))
@@ -390,11 +401,55 @@ query("sampled_rows", f"WITH {EDGES} SELECT src, dst, w FROM edges ORDER BY {u(c
 )
 
 
-@query("triplets")
-def _triplets(spark: SparkSession, d: str) -> DataFrame:
+_NOISE = "nz AS (SELECT id, sum(w) OVER (ORDER BY id) - w AS lo, sum(w) OVER (ORDER BY id) AS hi, sum(w) OVER () AS tot FROM (SELECT dst AS id, sum(w) AS w FROM edges GROUP BY 1))"
+TRIPLETS = _walk_sql(6, "c.dst").removesuffix(" SELECT walk_id, step, node FROM wk") + f""", wp AS (SELECT concat_ws(':', a.walk_id, a.step, b.step - a.step) AS draw, a.node AS center, b.node AS context FROM wk a JOIN wk b ON a.walk_id = b.walk_id AND b.step BETWEEN a.step - 2 AND a.step + 2 AND b.step <> a.step),
+{_NOISE}, tr AS (SELECT draw, center, context, id AS noise FROM (SELECT *, {u("'noise-config'", 'draw', "'1'")} AS u FROM wp) x JOIN nz ON u * tot >= lo AND u * tot < hi)"""
+
+
+def _walk_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     edges, _ = _nation(spark, d)
-    pairs = walks.windows(walks.walk(edges, _starts(spark, d), 6, 42), 2)
-    return samplers.triplets(pairs, edges, samplers.configuration_noise(1)).select("center", "context", "noise")
+    return edges, walks.offset_windows(walks.walk(edges, _starts(spark, d), 6, 42), 2)
+
+
+def _triplets(spark: SparkSession, d: str, joint: bool = False) -> DataFrame:
+    edges, pairs = _walk_windows(spark, d)
+    return samplers.triplets(pairs, edges, samplers.configuration_noise(1), joint)
+
+
+query("triplets", f"{TRIPLETS} SELECT center, context, noise FROM tr")(lambda s, d: _triplets(s, d).select("center", "context", "noise"))
+query("triplets_joint", f"""{TRIPLETS} SELECT center, context, noise_center, noise FROM tr JOIN (SELECT draw, id AS noise_center FROM (SELECT draw, {u("'joint-center'", 'draw', "'0'")} AS u FROM wp) x JOIN nz ON u * tot >= lo AND u * tot < hi) USING (draw)""")(
+    lambda s, d: _triplets(s, d, True).select("center", "context", "noise_center", "noise")
+)
+
+
+@query("balanced_pairs", f"""WITH gr AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS grp FROM embeddings), cd AS (SELECT id, grp, row_number() OVER (ORDER BY grp, id) - 1 AS code, count(*) OVER (PARTITION BY grp) AS n, count(*) OVER () AS size FROM gr),
+pl AS (SELECT *, min(code) OVER (PARTITION BY grp) AS first FROM cd), dr AS (SELECT CAST(range AS BIGINT) AS draw, y FROM range(5000), (VALUES (1), (0)) t(y)),
+ow AS (SELECT draw, y, id AS a, n, first, size, floor({u("'balanced-b'", 'draw', 'y', "'2'")} * CASE WHEN y = 1 THEN n ELSE size - n END) AS r FROM dr JOIN pl ON code = CAST(floor({u("'balanced-a'", 'draw', 'y', "'2'")} * (SELECT count(*) FROM gr)) AS BIGINT)),
+bb AS (SELECT draw, y, a, CAST(CASE WHEN y = 1 THEN first + r WHEN n = size THEN NULL WHEN r < first THEN r ELSE r + n END AS BIGINT) AS code FROM ow) SELECT draw, a, pl.id AS b, y FROM bb JOIN pl USING (code)""")
+def _balanced(spark: SparkSession, d: str) -> DataFrame:
+    return samplers.balanced_pairs(fixtures.vectors(spark, d).select("id", "grp"), 5000, 2)
+
+
+@query("sampling_loss", f"""{TRIPLETS}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)
+SELECT round(avg(ln(1 + exp(-list_sum(list_transform(generate_series(1, len(i.vec)), lambda k: i.vec[k] * o.vec[k])))) + ln(1 + exp(list_sum(list_transform(generate_series(1, len(i.vec)), lambda k: i.vec[k] * n.vec[k]))))), 6) + 0.0 AS loss
+FROM tr JOIN v i ON i.id = center JOIN v o ON o.id = context JOIN v n ON n.id = noise""")
+def _loss(spark: SparkSession, d: str) -> DataFrame:
+    v = fixtures.vectors(spark, d).select("id", "vec")
+    return models.sampling_loss(_triplets(spark, d), v, v).select(rounded(F.col("loss")).alias("loss"))
+
+
+query("permuted_edges", f"WITH {EDGES} SELECT src, dst, {r6(u(chr(39) + 'permute' + chr(39), 'src', 'dst', chr(39) + '6' + chr(39)))} AS position FROM edges")(
+    lambda s, d: samplers.permuted(fixtures.nation_edges(s, d), "src", "dst", seed=6).select("src", "dst", rounded(F.col("position")).alias("position"))
+)
+query("uniform_start", f"WITH {GROUPS}, k AS (SELECT CAST(range AS INTEGER) AS k FROM range(4)) SELECT id, k, {r6('(' + u(chr(39) + 'init' + chr(39), 'id', 'k', chr(39) + '0' + chr(39)) + ' - 0.5) / 4')} AS x FROM groups, k")(
+    lambda s, d: models.uniform_start(fixtures.nation_groups(s, d), 4).select("id", F.posexplode("vec").alias("k", "x")).withColumn("x", rounded(F.col("x")))
+)
+query("without_zeros", f"WITH {EDGES} SELECT src, dst, greatest(w - 5, 0) AS w FROM edges WHERE w > 5")(lambda s, d: graph.without_zeros(fixtures.nation_edges(s, d).withColumn("w", F.greatest(F.col("w") - 5, F.lit(0.0)))))
+query("group_sizes", f"WITH {GROUPS} SELECT grp, count(*) AS n FROM groups GROUP BY 1")(lambda s, d: fixtures.nation_groups(s, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
+query("edges_of_some_nodes", f"WITH {EDGES} SELECT src, dst, w FROM edges WHERE src IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")(
+    lambda s, d: fixtures.nation_edges(s, d).join(table(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").cast("long").alias("src")), "src", "left_semi").select("src", "dst", "w")
+)
+query("first_rows", f"WITH {EDGES} SELECT src, dst, w FROM edges ORDER BY w DESC, src, dst LIMIT 50")(lambda s, d: first_rows(fixtures.nation_edges(s, d), 50, F.desc("w"), F.col("src"), F.col("dst")))
 
 
 # ---------------------------------------------------------------- matrices and blocks
@@ -492,14 +547,6 @@ def _cos(a: str, b: str) -> str:
     return f"({_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})))"
 
 
-SOME = "vs AS (SELECT * FROM v WHERE id < 300)"
-
-
-def _few(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of the first 300 nodes, the node set of the similarity reports."""
-    return fixtures.vectors(spark, d).where("id < 300")
-
-
 def _y_pairs(spark: SparkSession, d: str) -> DataFrame:
     return samplers.community_pairs(fixtures.vectors(spark, d).select("id", "grp"), 20000, 1).select("draw", F.col("a").alias("src"), F.col("b").alias("dst"), "y")
 
@@ -567,60 +614,53 @@ query("element_similarity", f"""WITH {LABELS2}, c AS (SELECT y, z, count(*) AS n
 m AS (SELECT n, sum(n) OVER (PARTITION BY y) AS a, sum(n) OVER (PARTITION BY z) AS b FROM c) SELECT {r6('CAST(sum(n * n * least(1.0 / a, 1.0 / b)) AS DOUBLE) / sum(n)')} AS element_similarity FROM m""")(
     lambda s, d: evaluate.element_similarity(_labels2(s, d)).select(rounded(F.col("element_similarity")).alias("element_similarity"))
 )
-NEAR = f"""{VECTORS}, {SOME}, sim AS (SELECT a.id, b.id AS other, b.grp AS g2, {_dot('a.vec', 'b.vec')} AS score FROM vs a JOIN vs b ON a.id <> b.id),
+NEAR = f"""{VECTORS}, sim AS (SELECT a.id, b.id AS other, b.grp AS g2, {_dot('a.vec', 'b.vec')} AS score FROM v a JOIN v b ON a.id <> b.id),
 nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM sim)"""
-query("nearest_neighbours", f"WITH {NEAR} SELECT id, other, {r6('score')} AS score, rank FROM nn WHERE rank <= 10")(lambda s, d: evaluate.nearest(_few(s, d), 10).withColumn("score", rounded(F.col("score"))))
-VOTE = f"{NEAR}, vt AS (SELECT id, g2, count(*) AS n FROM nn WHERE rank <= 10 GROUP BY 1, 2), win AS (SELECT id, g2 AS z FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, g2) AS r FROM vt) WHERE r = 1), kl AS (SELECT vs.id, grp AS y, z FROM vs JOIN win ON win.id = vs.id)"
-query("knn_vote", f"WITH {VOTE} SELECT * FROM kl")(lambda s, d: evaluate.knn_vote(_few(s, d)))
+query("nearest_neighbours", f"WITH {NEAR} SELECT id, other, {r6('score')} AS score, rank FROM nn WHERE rank <= 10")(lambda s, d: evaluate.nearest(fixtures.vectors(s, d), 10).withColumn("score", rounded(F.col("score"))))
+VOTE = f"{NEAR}, vt AS (SELECT id, g2, count(*) AS n FROM nn WHERE rank <= 10 GROUP BY 1, 2), win AS (SELECT id, g2 AS z FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, g2) AS r FROM vt) WHERE r = 1), kl AS (SELECT v.id, grp AS y, z FROM v JOIN win ON win.id = v.id)"
+query("knn_vote", f"WITH {VOTE} SELECT * FROM kl")(lambda s, d: evaluate.knn_vote(fixtures.vectors(s, d)))
 query("knn_macro_f1", f"""WITH {VOTE}, t AS (SELECT y AS c, count(*) AS ny, count(*) FILTER (y = z) AS tp FROM kl GROUP BY 1), p AS (SELECT z AS c, count(*) AS nz FROM kl GROUP BY 1)
 SELECT {r6('avg(2.0 * coalesce(tp, 0) / (coalesce(ny, 0) + coalesce(nz, 0)))')} AS macro_f1 FROM t FULL JOIN p ON t.c = p.c""")(
-    lambda s, d: evaluate.macro_f1(evaluate.knn_vote(_few(s, d))).select(rounded(F.col("macro_f1")).alias("macro_f1"))
+    lambda s, d: evaluate.macro_f1(evaluate.knn_vote(fixtures.vectors(s, d))).select(rounded(F.col("macro_f1")).alias("macro_f1"))
 )
-TOP = f"WITH {VECTORS}, {SOME}, tp AS (SELECT a.id AS src, b.id AS dst, {_dot('a.vec', 'b.vec')} AS score FROM vs a JOIN vs b ON a.id < b.id ORDER BY score DESC, src, dst LIMIT 500)"
-query("top_pairs", f"{TOP} SELECT src, dst, {r6('score')} AS score FROM tp")(lambda s, d: evaluate.top_pairs(_few(s, d), 500).withColumn("score", rounded(F.col("score"))))
-query("reconstructed_graph", f"{TOP} SELECT src, dst, CAST(2 AS DOUBLE) AS w FROM tp UNION ALL SELECT dst, src, CAST(2 AS DOUBLE) FROM tp")(lambda s, d: evaluate.reconstructed(_few(s, d), 500))
-PERSONA = f"""{VECTORS}, pers AS (SELECT id % 25 AS id, id AS persona FROM v WHERE id < 75), es AS (SELECT src, dst FROM edges)
+TOP = f"WITH {VECTORS}, tp AS (SELECT a.id AS src, b.id AS dst, {_dot('a.vec', 'b.vec')} AS score FROM v a JOIN v b ON a.id < b.id ORDER BY score DESC, src, dst LIMIT 500)"
+query("top_pairs", f"{TOP} SELECT src, dst, {r6('score')} AS score FROM tp")(lambda s, d: evaluate.top_pairs(fixtures.vectors(s, d), 500).withColumn("score", rounded(F.col("score"))))
+query("reconstructed_graph", f"{TOP} SELECT src, dst, CAST(2 AS DOUBLE) AS w FROM tp UNION ALL SELECT dst, src, CAST(2 AS DOUBLE) FROM tp")(lambda s, d: evaluate.reconstructed(fixtures.vectors(s, d), 500))
+PERSONA = f"""{VECTORS}, pers AS (SELECT id % 25 AS id, id AS persona FROM v), es AS (SELECT src, dst FROM edges)
 SELECT src, dst, {{agg}} AS score FROM es JOIN pers a ON a.id = src JOIN pers b ON b.id = dst JOIN v x ON x.id = a.persona JOIN v z ON z.id = b.persona GROUP BY 1, 2"""
 for _agg in ("max", "min", "avg"):
 
     def _persona(spark: SparkSession, d: str, agg: str = _agg) -> DataFrame:
         v = fixtures.vectors(spark, d)
-        personas = v.where("id < 75").select((F.col("id") % 25).alias("id"), F.col("id").alias("persona"))
+        personas = v.select((F.col("id") % 25).alias("id"), F.col("id").alias("persona"))
         scored = evaluate.persona_scores(fixtures.nation_edges(spark, d).select("src", "dst"), personas, v, getattr(F, agg)("s"))
         return scored.select("src", "dst", rounded(F.col("score")).alias("score"))
 
     _sum = f"{_agg}({_dot('x.vec', 'z.vec')})"
     query(f"persona_score_{_agg}", f"WITH {EDGES}, {PERSONA.format(agg=r6(_sum))}")(_persona)
 
-# The same reports over every vector.  The queries above keep the node sets that their SQL states.
+#: Names under which the whole-table forms were added first.
+for _name in ("components", "largest_component", "connectivity", "nearest_neighbours", "knn_vote", "knn_macro_f1", "top_pairs", "reconstructed_graph", "persona_score_max", "persona_score_min", "persona_score_avg"):
+    query(f"{_name}_all", ORACLE_SQL[_name])(QUERIES[_name])
 
-EVERY = "vs AS (SELECT * FROM v)"
-NEAR_ALL, VOTE_ALL, TOP_ALL = (x.replace(SOME, EVERY) for x in (NEAR, VOTE, TOP))
-query("nearest_neighbours_all", f"WITH {NEAR_ALL} SELECT id, other, {r6('score')} AS score, rank FROM nn WHERE rank <= 10")(
-    lambda s, d: evaluate.nearest(fixtures.vectors(s, d), 10).withColumn("score", rounded(F.col("score")))
+query("noise_embedding", f"""WITH {NEAR}, {CENTERS}, op AS (SELECT id AS src, other AS dst, exp(score - max(score) OVER (PARTITION BY id)) AS w FROM nn WHERE rank <= 10),
+oc AS (SELECT src, dst, sum(w) OVER r - w AS lo, sum(w) OVER r AS hi, sum(w) OVER (PARTITION BY src) AS tot FROM op WINDOW r AS (PARTITION BY src ORDER BY dst ROWS UNBOUNDED PRECEDING))
+SELECT draw, center, dst AS context FROM (SELECT *, {u("'noise-embedding'", 'draw', "'3'")} AS u FROM centers) c JOIN oc ON oc.src = center AND u * tot >= lo AND u * tot < hi""")(
+    lambda s, d: samplers.embedding_noise(fixtures.vectors(s, d), 10, 3)(fixtures.nation_edges(s, d), _centers(s))
 )
-query("knn_vote_all", f"WITH {VOTE_ALL} SELECT * FROM kl")(lambda s, d: evaluate.knn_vote(fixtures.vectors(s, d)))
-query("knn_macro_f1_all", ORACLE_SQL["knn_macro_f1"].replace(SOME, EVERY))(
-    lambda s, d: evaluate.macro_f1(evaluate.knn_vote(fixtures.vectors(s, d))).select(rounded(F.col("macro_f1")).alias("macro_f1"))
-)
-query("top_pairs_all", f"{TOP_ALL} SELECT src, dst, {r6('score')} AS score FROM tp")(lambda s, d: evaluate.top_pairs(fixtures.vectors(s, d), 500).withColumn("score", rounded(F.col("score"))))
-query("reconstructed_graph_all", ORACLE_SQL["reconstructed_graph"].replace(SOME, EVERY))(lambda s, d: evaluate.reconstructed(fixtures.vectors(s, d), 500))
-for _agg in ("max", "min", "avg"):
-
-    def _persona_all(spark: SparkSession, d: str, agg: str = _agg) -> DataFrame:
-        v = fixtures.vectors(spark, d)
-        personas = v.select((F.col("id") % 25).alias("id"), F.col("id").alias("persona"))
-        scored = evaluate.persona_scores(fixtures.nation_edges(spark, d).select("src", "dst"), personas, v, getattr(F, agg)("s"))
-        return scored.select("src", "dst", rounded(F.col("score")).alias("score"))
-
-    query(f"persona_score_{_agg}_all", ORACLE_SQL[f"persona_score_{_agg}"].replace(" WHERE id < 75", ""))(_persona_all)
 query("score_quantiles", f"WITH {SCORED} SELECT {', '.join(r6(f'quantile_cont(score, {q})') + f' AS q{i}' for i, q in enumerate((0, 0.01, 0.999, 1)))} FROM sc")(
     lambda s, d: (lambda q: q.select(*(rounded(F.col(c)).alias(c) for c in q.columns)))(evaluate.quantiles(_scored(s, d), "score"))
 )
 query("binned_counts", f"WITH {EDGES}, {INDEG}, x AS (SELECT CAST(floor(w / 4) AS BIGINT) AS bx, CAST(floor(d / 200) AS BIGINT) AS \"by\" FROM edges JOIN indeg ON id = dst) SELECT bx, \"by\", count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) >= 2")(
     lambda s, d: (lambda e: evaluate.binned(e.join(graph.degrees(e).toDF("dst", "o", "d"), "dst").select((F.col("w") / 4).alias("x"), (F.col("d") / 200).alias("y")), "x", "y", 1.0, 2))(fixtures.nation_edges(s, d))
 )
-query("score_summary")(lambda s, d: evaluate.summary(_scored(s, d).select("draw", "y", "score"), "y", "score"))
+query("score_summary", f"""WITH {SCORED}, hs AS (SELECT y, score, g, md5(concat_ws('|', 'bootstrap', draw, g, '0')) AS h FROM sc, (SELECT range AS g FROM range(25))),
+us AS (SELECT y, g * 8 + k AS b, score, CAST('0x' || substr(h, CAST(4 * k + 1 AS BIGINT), 4) AS INTEGER) AS u FROM hs, (SELECT range AS k FROM range(8))),
+ws AS (SELECT y, b, score, {' + '.join(f'CAST(u >= {x} AS INTEGER)' for x in evaluate.POISSON_STEPS)} AS w FROM us), ms AS (SELECT y, b, sum(score * w) / sum(w) AS m FROM ws GROUP BY 1, 2),
+en AS (SELECT y, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM ms GROUP BY 1)
+SELECT y, n, {r6('mean')} AS mean, {r6('sd')} AS sd, {r6('low')} AS low, {r6('high')} AS high FROM (SELECT y, count(*) AS n, avg(score) AS mean, stddev_samp(score) AS sd FROM sc GROUP BY 1) JOIN en USING (y)""")(
+    lambda s, d: evaluate.summary(_scored(s, d).select("draw", "y", "score"), "y", "score", key="draw").select("y", "n", *(rounded(F.col(c)).alias(c) for c in ("mean", "sd", "low", "high")))
+)
 query("mean_and_deviation", f"WITH {SCORED} SELECT y, count(*) AS n, {r6('avg(score)')} AS mean, {r6('stddev_samp(score)')} AS sd FROM sc GROUP BY 1")(
     lambda s, d: evaluate.summary(_scored(s, d).select("draw", "y", "score"), "y", "score", 2).select("y", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("sd")).alias("sd"))
 )
@@ -661,7 +701,27 @@ def _link_auc(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.auc(full.select((F.col("w") > F.col("m")).cast("int").alias("y"), F.round(score, 9).alias("score"))).select(rounded(F.col("auc")).alias("auc"))
 
 
-@query("train_test_split")
+def _tree_sql(source: str, rounds: int = 16, jumps: int = 16) -> str:
+    """CTE tree(src, dst): the spanning forest of source(src, dst) by (src, dst),
+    in rounds of picking each component's first way out."""
+    ctes = [f"e0 AS MATERIALIZED (SELECT src, dst, src AS a, dst AS b FROM {source})"]
+    for r in range(rounds):
+        ctes.append(f"p{r} AS MATERIALIZED (SELECT node, src, dst, parent FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY src, dst) AS k FROM (SELECT a AS node, src, dst, b AS parent FROM e{r} UNION ALL SELECT b, src, dst, a FROM e{r})) WHERE k = 1)")
+        ctes.append(f"j{r}_0 AS MATERIALIZED (SELECT x.node, CASE WHEN y.parent = x.node AND x.node < x.parent THEN x.node ELSE x.parent END AS parent FROM p{r} x JOIN p{r} y ON y.node = x.parent)")
+        ctes += [f"j{r}_{k} AS MATERIALIZED (SELECT x.node, y.parent FROM j{r}_{k - 1} x JOIN j{r}_{k - 1} y ON y.node = x.parent)" for k in range(1, 5 if r > 4 else jumps // 2)]
+        last = (5 if r > 4 else jumps // 2) - 1
+        ctes.append(f"e{r + 1} AS MATERIALIZED (SELECT src, dst, x.parent AS a, y.parent AS b FROM e{r} JOIN j{r}_{last} x ON x.node = a JOIN j{r}_{last} y ON y.node = b WHERE x.parent <> y.parent)")
+    return ", ".join([*ctes, "tree AS (" + " UNION ".join(f"SELECT src, dst FROM p{r}" for r in range(rounds)) + ")"])
+
+
+@query("train_test_split", f"""WITH {COMPONENTS}, best AS (SELECT label FROM comp GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1),
+pl AS MATERIALIZED (SELECT src, dst FROM parts JOIN comp ON id = src WHERE label = (SELECT label FROM best)), {_tree_sql('pl')}, wn AS (SELECT CAST(floor(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS want FROM pl),
+te AS (SELECT src, dst FROM pl WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.src = pl.src AND t.dst = pl.dst) ORDER BY {u("'split'", 'src', 'dst', "'1'")}, src, dst LIMIT (SELECT want FROM wn)),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS code FROM (SELECT src AS id FROM pl UNION SELECT dst FROM pl)),
+cd AS (SELECT k, CAST(floor({u("'neg-a'", 'k', "'1'")} * n) AS BIGINT) AS a, CAST(floor({u("'neg-b'", 'k', "'1'")} * n) AS BIGINT) AS b FROM (SELECT unnest(range(0, 20 * want + 1000)) AS k FROM wn), (SELECT count(*) AS n FROM ids)),
+fr AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(k) AS k FROM cd WHERE a <> b GROUP BY 1, 2),
+ne AS (SELECT x.id AS src, y.id AS dst FROM fr JOIN ids x ON x.code = a JOIN ids y ON y.code = b WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.src = x.id AND pl.dst = y.id) ORDER BY k LIMIT (SELECT want FROM wn))
+SELECT src, dst, 1 AS edge_type FROM te UNION ALL SELECT src, dst, -1 FROM ne""")
 def _split(spark: SparkSession, d: str) -> DataFrame:
     return splits.labelled(splits.split(graph.symmetrised(cut_lineage(graph.largest_component(fixtures.part_pairs(spark, d)))), 0.3, 1))
 
@@ -758,10 +818,57 @@ query("embedding_netmf")(_model("netmf-spectral"))
 query("embedding_node2vec")(_model("node2vec-pq"))
 
 
-@query("glove_bias")
+_BIAS_SQL = f"""WITH RECURSIVE {EDGES}, {GROUPS}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id IN (SELECT id FROM groups)),
+sv AS (SELECT x.id, sum(list_sum(list_transform(generate_series(1, len(x.vec)), lambda k: x.vec[k] * z.vec[k]))) AS s FROM v x, v z GROUP BY 1),
+rc AS (SELECT id, coalesce((SELECT sum(w) FROM edges WHERE src = id), 0) - s AS r, coalesce((SELECT sum(w) FROM edges WHERE dst = id), 0) - s AS c FROM sv),
+it(t, id, r, c, a, b, ma, va, mb, vb, done) AS (SELECT CAST(0 AS BIGINT), id, r, c, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false FROM rc UNION ALL
+  SELECT t + 1, id, r, c, CASE WHEN stop THEN a ELSE na END, CASE WHEN stop THEN b ELSE nb END, xa, ya, xb, yb, stop FROM (
+    SELECT *, t % 20 = 0 AND avg(abs(na - a) + abs(nb - b)) OVER () / greatest(avg(abs(a) + abs(b)) OVER (), 2e-8) < 0.01 AS stop FROM (
+      SELECT *, a + 0.001 / (sqrt(ya / (1 - pow(0.999, t + 1))) + 1e-8) * xa / (1 - pow(0.9, t + 1)) AS na, b + 0.001 / (sqrt(yb / (1 - pow(0.999, t + 1))) + 1e-8) * xb / (1 - pow(0.9, t + 1)) AS nb FROM (
+        SELECT *, 0.9 * ma + (1 - 0.9) * ga AS xa, 0.999 * va + (1 - 0.999) * ga * ga AS ya, 0.9 * mb + (1 - 0.9) * gb AS xb, 0.999 * vb + (1 - 0.999) * gb * gb AS yb FROM (
+          SELECT *, r - sum(b) OVER () * a AS ga, c - sum(a) OVER () * b AS gb FROM it WHERE NOT done AND t < 1000)))))
+SELECT id, {r6('a')} AS a, {r6('b')} AS b FROM it WHERE t = (SELECT max(t) FROM it)"""
+
+
+@query("glove_bias", _BIAS_SQL)
 def _bias(spark: SparkSession, d: str) -> DataFrame:
+    edges, groups = _nation(spark, d)
+    v = fixtures.vectors(spark, d).select("id", "vec").join(groups.select("id"), "id", "left_semi")
+    return models.bias_fit(edges, v).select("id", rounded(F.col("a")).alias("a"), rounded(F.col("b")).alias("b"))
+
+
+@query("svd_invariants", f"""WITH {EDGES}, aa AS (SELECT a.dst AS i, b.dst AS j, sum(a.w * b.w) AS w FROM edges a JOIN edges b ON a.src = b.src GROUP BY 1, 2)
+SELECT round((SELECT sum(w * w) FROM edges) / 1000) AS squares, round((SELECT sum(w * w) FROM aa) / 1e9) AS fourths""")
+def _svd_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of the second and fourth powers of all singular values, in thousands and 10**9."""
+    _, s, _ = linalg.svd(_nation(spark, d)[0], 25)
+    return spark.createDataFrame([(float(round((s**2).sum() / 1000)), float(round((s**4).sum() / 1e9)))], "squares double, fourths double")
+
+
+@query("svd_product", f"WITH {EDGES} SELECT src, dst, round(w, 3) + 0.0 AS w FROM edges")
+def _svd_back(spark: SparkSession, d: str) -> DataFrame:
+    """U S V' of the whole decomposition gives the matrix back."""
+    edges, _ = _nation(spark, d)
+    left, s, right = linalg.svd(edges, 25)
+    score = scalar.dot(F.col("u"), F.col("x"))
+    both = linalg.rotated(left, np.diag(s)).toDF("src", "u").join(right.toDF("dst", "x"), F.lit(True))  # 25 x 25 rows
+    return both.join(edges.select("src", "dst"), ["src", "dst"], "left_semi").select("src", "dst", rounded(score, 3).alias("w"))
+
+
+@query("pca_variance", """WITH v AS (SELECT CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), x AS (SELECT k, vec[k] AS x FROM v, (SELECT range AS k FROM range(1, 65)))
+SELECT round(sum(s), 4) + 0.0 AS variance FROM (SELECT k, var_samp(x) AS s FROM x GROUP BY 1)""")
+def _pca_sum(spark: SparkSession, d: str) -> DataFrame:
+    """The variance of all principal components together is that of the vectors."""
+    points = linalg.pca(fixtures.vectors(spark, d), 64).select(F.posexplode("point").alias("k", "x"))
+    return points.groupBy("k").agg(F.var_samp("x").alias("s")).agg(rounded(F.sum("s"), 4).alias("variance"))
+
+
+@query("degree_offsets", f"WITH {EDGES} SELECT id, {r6('ln(greatest(sum(w), 1))')} AS offset FROM (SELECT src AS id, w FROM edges) GROUP BY 1")
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    """The log-degree model: its vectors are zero and these offsets score."""
     edges, _ = _nation(spark, d)
-    return models.bias_fit(edges, fixtures.vectors(spark, d).select("id", "vec"))
+    zero = models.log_degree()(edges, 8).where(F.forall("vec", lambda x: x == 0)).select("id")
+    return graph.degrees(edges).join(zero, "id").where("out_w > 0").select("id", rounded(scalar.safe_log(F.col("out_w"), 1.0)).alias("offset"))
 
 
 @query("streamed_pair_counts", f"WITH {PAIRS} SELECT * FROM pairs")

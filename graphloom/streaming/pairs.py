@@ -6,7 +6,7 @@ emits the pairs it closes, and a streaming aggregate counts them.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,10 +35,9 @@ def closed_pairs(steps: DataFrame, size: int) -> DataFrame:
 
 def stream_pair_counts(spark: SparkSession, walks: DataFrame, size: int, name: str = "pair_counts_stream") -> DataFrame:
     """Write walks to a folder, read them as a stream and count the pairs."""
-    from graphloom.functions.session import cut_lineage
+    from graphloom.functions.session import cut_lineage, shared_folder
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
-    folder = f"{base.rstrip('/')}/{name}-{walks.sparkSession.sparkContext.applicationId}-{abs(hash((size, id(walks))))}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     walks.write.mode("overwrite").parquet(f"{folder}/in")
     steps = spark.readStream.schema(walks.schema).parquet(f"{folder}/in")
     sink = f"{folder}/out"
