@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm.shared import checkpoint_dir
+from graphloom.llm.shared import shared_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder (a URI) below the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
+    base = shared_folder(spark)
     if "://" not in base:
         base = f"file://{os.path.abspath(base.removeprefix('file:'))}"
     folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,6 +33,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+#: Text behind one part: its arrays, and the task that merges them, stay small.
+PART_BYTES = 64 << 20
+
+
+def parts_for(texts: DataFrame, text_col: str, least: int, part_bytes: int = PART_BYTES) -> int:
+    """Parts in proportion to the bytes of a text column, ``least`` at least."""
+    total = texts.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(least, -(-total // part_bytes))
+
+
 def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(parts, kind="stable")
     used, firsts = np.unique(parts[order], return_index=True)
@@ -102,8 +113,13 @@ _local: dict[str, str] = {}
 
 
 def read_arrays(folder: str, name: str, dtypes: list[str]) -> list[np.ndarray]:
-    """Memory-map a model file; from a remote store it is fetched once."""
+    """Memory-map a model file; from a remote store it is fetched once.
+
+    Maps of other folders are given up first: a worker serves one model at a
+    time, and mapped pages count as its memory."""
     if (folder, name) not in _mapped:
+        for other in [k for k in _mapped if k[0] != folder]:
+            del _mapped[other]
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         place = f"{path}/{name}"
         if not isinstance(fs, pyarrow.fs.LocalFileSystem):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.arrow_text import flat_text, mix64, slices
 from graphloom.llm.components import components
 from graphloom.llm.hash_store import by_part, new_folder, read_arrays, write_arrays
-from graphloom.llm.shared import cut_lineage
+from graphloom.llm.shared import cut_lineage, join_classes, spare
 
 HOT = 4096
 
@@ -233,8 +233,12 @@ def _links(nodes: DataFrame, values_of: Callable, near_of: Callable, pairs_close
 
     met = cut_lineage(nodes.mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(meet, _LINK))
     blocks = met.where("block >= 0").select("value", "block", "members")
-    later = blocks.select("value", F.col("block").alias("next"), F.col("members").alias("others"))
-    crossed = blocks.join(later, "value").where("block < next").select("members", "others").mapInArrow(verify, "a long, b long")
+    # pairs of blocks are dealt by their numbers alone; each pair is verified where it lands
+    numbers = blocks.select("value", "block")
+    later = numbers.withColumnRenamed("block", "next")
+    pairs = numbers.join(later, "value").where("block < next")
+    sides = pairs.join(blocks, ["value", "block"]).join(blocks.toDF("value", "next", "others"), ["value", "next"])
+    crossed = sides.repartition("value", "block", "next").select("members", "others").mapInArrow(verify, "a long, b long")
     return met.where("block < 0").select("a", "b").unionByName(crossed)
 
 
@@ -265,13 +269,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component.  Repeated ids are separate rows.  Other columns are ignored.
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    firsts = marked.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    firsts = marked.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("size"))
     firsts = cut_lineage(firsts)
-    rooted = components(links(firsts.select("fp"), distance))
-    classed = firsts.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = cut_lineage(classed.join(lowest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    rooted = components(links(firsts.select("fp"), distance)).withColumnRenamed("node", "fp")
+    linked = cut_lineage(firsts.join(rooted, "fp"))
+    lowest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    found = join_classes(linked, lowest, ["root"], "_n").select("fp", "component_id", "size")
+    alone = firsts.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"), "size")
+    return join_classes(marked, found.unionByName(alone), ["fp"]).select(id_col, "fp", "component_id")
 
 
 SKETCH_WORDS = 32
@@ -375,20 +380,22 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             data, bounds = flat_text(batch.column(1))
             whole = data.tobytes()
-            nodes, places = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
+            nodes, checks, places = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
             for lo, hi in slices(bounds):
                 each = [np.unique(np.array(shingle_hashes(whole[bounds[i] : bounds[i + 1]], width), np.uint64)) for i in range(lo, hi)]
                 sizes = np.array([len(x) for x in each], np.int64)
                 starts, flat = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(each)
                 write_arrays(folder, f"sets-{number}", [starts.astype("<i8"), flat, sketches(flat, starts).ravel()])
                 nodes[lo:hi] = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in each], np.uint64).view(np.int64)
+                checks[lo:hi] = np.array([xxhash.xxh64_intdigest(x.tobytes(), 8) for x in each], np.uint64).view(np.int64)
                 places[lo:hi] = np.where(sizes > 0, (number << 20) + np.arange(hi - lo), -1)
                 number += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(places)], names=[id_col, "node", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(checks), pa.array(places)], names=["id", "node", "check", "place"])
 
-    source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    marked = cut_lineage(source.mapInArrow(store, f"{id_col} long, node long, place long"))
-    nodes = cut_lineage(marked.groupBy("node").agg(F.min(id_col).alias("first_id"), F.min("place").alias("place")))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # texts of one shingle set are one node, known by 128 bits of its hashes
+    marked = cut_lineage(source.mapInArrow(store, "id long, node long, check long, place long"))
+    nodes = cut_lineage(marked.groupBy("node", "check").agg(F.min("id").alias("first_id"), F.min("place").alias("place"), F.count(F.lit(1)).alias("size")))
     filled = nodes.where("place >= 0").select("place")
     share = int(min(1.0, SAMPLE_TEXTS / max(filled.count(), 1)) * (1 << 20))
 
@@ -424,19 +431,25 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     placed = filled.repartitionByRange(parts, "place").sortWithinPartitions("place")
     rooted = components(_links(placed, values_of, kept.near_of, kept.pairs_close, None)).toDF("place", "root")
-    classed = nodes.join(rooted, "place", "left").select("node", "first_id", F.coalesce("root", "place").alias("root"))
-    lowest = classed.groupBy("root").agg(F.min("first_id").alias("low"), F.min("node").alias("group"))
-    named = cut_lineage(classed.join(lowest, "root").select("node", "group", F.col("low").alias("first_id")))
-    return marked.select(id_col, "node").join(named, "node").select(id_col, "group", "first_id")
+    linked = cut_lineage(nodes.join(rooted, "place"))
+    lowest = linked.groupBy("root").agg(F.min("first_id").alias("low"), F.count(F.lit(1)).alias("_n"))
+    found = join_classes(linked, lowest, ["root"], "_n").select("node", "check", F.col("root").alias("group"), F.col("low").alias("first_id"), "size")
+    # the places of texts with words are distinct and not negative, so that they name groups
+    alone = nodes.join(linked.select("node", "check"), ["node", "check"], "left_anti").select("node", "check", F.col("place").alias("group"), "first_id", "size")
+    named = join_classes(marked.select("id", "node", "check"), found.unionByName(alone), ["node", "check"])
+    return named.select(F.col("id").alias(id_col), "group", "first_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of
     ``similar_texts`` the row with the smallest id stays (a null id last, then
-    by a hash of id and text), once if the row itself repeats."""
-    keyed = docs.withColumn("_row_key", F.xxhash64(id_col, text_col))
-    grouped = similar_texts(keyed, "_row_key", text_col, width, similarity).select("_row_key", "group").distinct()
-    named = keyed.select("_row_key", F.col(id_col).alias("_id")).join(grouped, "_row_key")
-    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row_key")))
-    kept = cut_lineage(named.groupBy("group").agg(first.alias("first")).select(F.col("first._row_key").alias("_row_key")))
-    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(docs.columns)
+    by a hash of id and text).  Rows that agree in id and text are one
+    document and stay once, whatever their other columns hold."""
+    own, other = spare(docs.columns, "row_key"), spare(docs.columns, "row_check")
+    keyed = docs.withColumns({own: F.xxhash64(id_col, text_col), other: F.xxhash64(text_col, F.lit(1), id_col)})
+    slim = keyed.select(F.col(own).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    grouped = similar_texts(slim, "key", "text", width, similarity).select("key", "group").distinct()
+    named = slim.select("key", "id").distinct().join(grouped, "key")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key")))
+    kept = cut_lineage(named.groupBy("group").agg(first.alias("first")).select(F.col("first.key").alias(own)))
+    return keyed.join(kept, own, "left_semi").dropDuplicates([own, other]).select(docs.columns)
