@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_text import flat_text, lower_ascii, mix64, slices, span_hashes, words
-from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, read_arrays, write_arrays
+from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, parts_for, read_arrays, write_arrays
 from graphloom.llm.shared import cut_lineage
 
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -71,7 +71,7 @@ def _pack(sorted_keys: np.ndarray, *others: np.ndarray) -> bytes:
         if x.dtype == np.uint64:
             blobs.append(np.ascontiguousarray(x.view(np.uint8).reshape(n, 8)[:, :6].T).tobytes())
         else:
-            blobs.append(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(n, 4).T).tobytes())
+            blobs.append(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(n, 8).T).tobytes())  # high planes are zeros and vanish
     return n.to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(blobs))
 
 
@@ -80,13 +80,13 @@ def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
     raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8), 0, []
     for kind in kinds:
-        width = 4 if kind == "c" else 6
+        width = 8 if kind == "c" else 6
         part = raw[at : at + width * n].reshape(width, n).T
         at += width * n
-        wide = np.zeros((n, 4 if kind == "c" else 8), np.uint8)
+        wide = np.zeros((n, 8), np.uint8)
         wide[:, :width] = part
-        value = wide.view("<u4" if kind == "c" else np.uint64).ravel()
-        out.append(np.cumsum(value, dtype=np.uint64) if kind == "k" else value.astype(np.int64) if kind == "c" else value)
+        value = wide.view("<i8" if kind == "c" else np.uint64).ravel()
+        out.append(np.cumsum(value, dtype=np.uint64) if kind == "k" else value)
     return out
 
 
@@ -161,9 +161,9 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> M
     it, because scoring is lazy.
     """
     spark = texts.sparkSession
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folder = new_folder(spark, "kneser-ney")
     texts = texts.select(F.col(text_col).cast("string").alias("t"))
+    parts = parts or parts_for(texts, "t", max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    folder = new_folder(spark, "kneser-ney")
     heavy = heavy_contexts(texts, parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,19 +192,18 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> M
         order = np.argsort(key)
         many = np.minimum(c, 255).astype(np.uint8)[order]
         over = np.flatnonzero(many == 255)
-        write_arrays(folder, f"pairs-{part}", [*HashArray.layout(key[order]), many, over.astype("<u4"), c[order][over].astype("<u8")])
+        write_arrays(folder, f"pairs-{part}", [*HashArray.layout(key[order]), many, over.astype("<i8"), c[order][over].astype("<i8")])
         new = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
         stats = np.stack([np.add.reduceat(x.astype(np.int64), new) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
         uu = u[new]
         hot = np.isin(uu, heavy)
-        write_arrays(folder, f"contexts-{part}", [*HashArray.layout(uu[~hot]), stats[~hot].astype("<f4").ravel()])
+        write_arrays(folder, f"contexts-{part}", [*HashArray.layout(uu[~hot]), stats[~hot].astype("<i8").ravel()])
         rows: list[tuple] = [(0, -1, k, int((c == k).sum()), 0, 0, 0, None) for k in (1, 2, 3, 4)]
         rows += [(1, -1, int(x.view(np.int64)), *map(int, s), None) for x, s in zip(uu[hot], stats[hot])]
         by_word = np.argsort(w, kind="stable")
         w, c = w[by_word], c[by_word]
         new = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
         ww, preds, total = w[new], np.diff(np.append(new, len(w))), np.add.reduceat(c, new)
-        # a total can pass 32 bits only beyond four billion tokens in one part
         for p, idx in by_part((mix64(ww + np.uint64(9)) % np.uint64(parts)).astype(np.int64)):
             rows.append((2, p, 0, 0, 0, 0, 0, _pack(ww[idx], preds[idx], total[idx])))
         return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
@@ -222,7 +221,7 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> M
         keys, preds, total = keys[order], preds[order], total[order]
         new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         keys, preds, total = keys[new], np.add.reduceat(preds, new), np.add.reduceat(total, new)
-        write_arrays(folder, f"words-{part}", [*HashArray.layout(keys), preds.astype("<u4"), total.astype("<u8")])
+        write_arrays(folder, f"words-{part}", [*HashArray.layout(keys), preds.astype("<i8"), total.astype("<i8")])
         return pa.table({"words": [len(keys)], "tokens": [int(total.sum())], "pairs": [int(preds.sum())], **{f"n{k}": [int((preds == k).sum())] for k in (1, 2, 3, 4)}, "many": [int((preds >= 3).sum())]})
 
     told = cut_lineage(merged.where("kind = 2").select("part", "packed").groupBy("part").applyInArrow(unigrams, "words long, tokens long, pairs long, n1 long, n2 long, n3 long, n4 long, many long"))
@@ -247,7 +246,7 @@ def score_tokens(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     for p, idx in by_part((mix64(w + np.uint64(9)) % np.uint64(model.parts)).astype(np.int64)) if model.tokens else ():
         if not exists(model.folder, f"words-{p}"):
             continue
-        off, low, n, total = read_arrays(model.folder, f"words-{p}", ["<u8", "<u4", "<u4", "<u8"])
+        off, low, n, total = read_arrays(model.folder, f"words-{p}", ["<u8", "<u4", "<i8", "<i8"])
         at = HashArray(off, low).find(w[idx])
         ok = at >= 0
         preds[idx[ok]], count[idx[ok]] = n[at[ok]], total[at[ok]]
@@ -263,15 +262,15 @@ def score_tokens(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     for p, idx in by_part(_deal(u, w, model.parts, model.heavy)) if model.tokens else ():
         if not exists(model.folder, f"pairs-{p}"):
             continue
-        off, low, many, over, counts = read_arrays(model.folder, f"pairs-{p}", ["<u8", "<u4", "u1", "<u4", "<u8"])
+        off, low, many, over, counts = read_arrays(model.folder, f"pairs-{p}", ["<u8", "<u4", "u1", "<i8", "<i8"])
         at = HashArray(off, low).find(_bigram_key(u[idx], w[idx]))
         ok = np.flatnonzero(at >= 0)
         own = many[at[ok]].astype(np.int64)
         big = np.flatnonzero(own == 255)
-        own[big] = counts[np.searchsorted(over, at[ok][big].astype(np.uint32))]
+        own[big] = counts[np.searchsorted(over, at[ok][big])]
         seen[idx[ok]] = own
         cold = idx[stats[idx, 0] == 0]
-        off, low, flat = read_arrays(model.folder, f"contexts-{p}", ["<u8", "<u4", "<f4"])
+        off, low, flat = read_arrays(model.folder, f"contexts-{p}", ["<u8", "<u4", "<i8"])
         at = HashArray(off, low).find(u[cold])
         ok = at >= 0
         stats[cold[ok]] = flat.reshape(-1, 4)[at[ok]]
