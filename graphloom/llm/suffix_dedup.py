@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.arrow_text import flat_text, mix64, slices
-from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, read_arrays, write_arrays
+from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, parts_for, read_arrays, write_arrays
 
 GRAM = 16
 HEAD = 7
@@ -43,6 +43,8 @@ SAME, MIXED, HEAVY = 1, 2, 3
 PASS_BYTES = 3 << 20
 FLUSH_BYTES = 12 << 20
 NO_DOC = np.iinfo(np.int64).max
+#: Text behind one part; its suffix order takes about 60 bytes for each byte of its shared segments.
+SEGMENT_PART_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -126,6 +128,11 @@ def _part_of(route: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(route + np.uint64(11)) % np.uint64(parts)).astype(np.int64)
 
 
+def _route_check(route: np.ndarray) -> np.ndarray:
+    """Bits of a route that are stored with a segment's key: both have to agree."""
+    return (route & np.uint64(0xFFFF)).astype("<u2")
+
+
 def _lookup(folder: str, prefix: str, keys: np.ndarray, part: np.ndarray, dtypes: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """(positions found, index in the part's arrays, arrays) for each part."""
     for p, idx in by_part(part):
@@ -416,7 +423,7 @@ def _find_cover(source: DataFrame, length: int, folder: str, parts: int, all_byt
             covered = covered_windows([whole[x:y] for x, y in zip(a[mixed].tolist(), b[mixed].tolist())], doc[mixed], length)
             sizes[mixed] = [len(c) for c in covered]
             flat = np.concatenate(covered).astype("<u4")
-        write_arrays(folder, f"cover-{part}", [*HashArray.layout(key), doc.astype("<i8"), np.cumsum(np.append(0, sizes)).astype("<u8"), flat])
+        write_arrays(folder, f"cover-{part}", [*HashArray.layout(key), doc.astype("<i8"), np.cumsum(np.append(0, sizes)).astype("<u8"), _route_check(route), flat])
         return pa.table({"part": pa.array([part], pa.int32()), "mistaken": pa.array([mistaken], pa.int64())})
 
     done = source.mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(merge, "part int, mistaken long")
@@ -427,7 +434,9 @@ def _removed(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int,
     """Which bytes of a slice go."""
     items, route, _ = shared_items(data, bounds, length, folder, parts)
     delta = np.zeros(len(data) + 1, np.int32)
-    for idx, at, (first, cuts, windows) in _lookup(folder, "cover", items.key, _part_of(route, parts), ["<i8", "<u8", "<u4"]):
+    for idx, at, (first, cuts, check, windows) in _lookup(folder, "cover", items.key, _part_of(route, parts), ["<i8", "<u8", "<u2", "<u4"]):
+        same = check[at] == _route_check(route[idx])
+        idx, at = idx[same], at[same]
         own = ids[items.row[idx]]
         late = idx[first[at] < own]
         np.add.at(delta, items.start[late], 1)
@@ -456,10 +465,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < GRAM + 8:
         raise ValueError("length must be at least 24 bytes")
     spark = docs.sparkSession
-    parts = parts or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = new_folder(spark, "suffix-dedup")
     text_at = docs.columns.index(text_col)
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    parts = parts or parts_for(source, text_col, max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), SEGMENT_PART_BYTES)
     _find_shared(source, length, folder, parts)
     if not _find_cover(source, length, folder, parts):
         _find_cover(source, length, folder, parts, all_bytes=True)
