@@ -37,6 +37,22 @@ def to_wav(samples: bytes, rate: int = RATE) -> bytes:
     return struct.pack("<4sI4s", b"RIFF", 4 + len(fmt) + len(data), b"WAVE") + fmt + data
 
 
+def to_bmp(samples: bytes) -> bytes:
+    """A 24-bit bitmap of rows of ``ROW`` bytes, 64 pixels, without padding."""
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(samples), 0, 0, 54)
+    return head + struct.pack("<IiiHHIIiiII", 40, ROW // 3, len(samples) // ROW, 1, 24, 0, len(samples), 2835, 2835, 0, 0) + samples
+
+
+def to_au(samples: bytes, rate: int = RATE) -> bytes:
+    """An AU file of 8-bit linear mono PCM."""
+    return struct.pack(">4sIIIII", b".snd", 24, len(samples), 2, rate, 1) + samples
+
+
+def stored_form(payload: bytes) -> bytes:
+    """Payloads take turns by their number of rows: WAVE, bitmap, AU."""
+    return (to_wav, to_bmp, to_au)[len(payload) // ROW % 3](payload)
+
+
 @dataclass(frozen=True)
 class Media:
     """Confirmed media: its type, byte range and where its samples lie."""
@@ -154,6 +170,16 @@ def _jpeg(b: memoryview, at: int) -> Media | None:
     return None
 
 
+def _au(b: memoryview, at: int) -> Media | None:
+    if len(b) - at < 24:
+        return None
+    first, size, coding, rate, channels = struct.unpack_from(">IIIII", b, at + 4)
+    width = {1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 4, 7: 8, 27: 1}.get(coding)
+    if first < 24 or width is None or not rate or not 0 < channels <= 64 or not size or size % (width * channels) or at + first + size > len(b):
+        return None
+    return Media("audio/basic", at, at + first + size, at + first, at + first + size, f"channels={channels},rate={rate},bits={8 * width}")
+
+
 def _gzip(b: memoryview, at: int) -> Media | None:
     if len(b) - at < 18 or b[at + 2] != 8 or b[at + 3] & 0xE0:
         return None
@@ -178,6 +204,7 @@ FORMATS: list[tuple[bytes, Callable[[memoryview, int], Media | None]]] = [
     (b"GIF8", _gif),
     (b"\xff\xd8\xff", _jpeg),
     (b"\x1f\x8b", _gzip),
+    (b".snd", _au),
 ]
 
 _automaton: list = []
@@ -234,13 +261,17 @@ def sniff_column(df: DataFrame, id_col: str, bytes_col: str, declared_col: str |
     return source.mapInArrow(run, f"key long, declared string, kind string, corrected boolean, media {MEDIA}").withColumnRenamed("key", id_col)
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "image/bmp") -> DataFrame:
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "audio/wav") -> DataFrame:
     """Store each whole text as 8-bit samples and describe what is read back.
 
-    (id, n_bytes, declared, kind, media, payload, samples): ``media`` is the
-    stored file, ``payload`` what a reader that only trusts sniffing gets
-    back from it, ``samples`` statistics of the samples.  A null text is
-    empty; its payload is one row of blanks.
+    (id, n_bytes, declared, kind, media, payload, samples, embedded): ``media``
+    is the stored file, in the format that ``stored_form`` gives; ``declared``
+    is the one type that the whole column is said to have and ``kind`` the
+    type that is found; ``payload`` is what a reader that only trusts sniffing
+    gets back; ``samples`` are statistics of it; ``embedded`` counts the
+    media carved out of the payload itself.  A null text is empty; its
+    payload is one row of blanks.  A text of 4 GiB or more, which no format
+    here can hold, raises ``struct.error``; Spark strings end at 2 GiB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +281,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = []
                 for key, text in zip(keys[lo : lo + 256].to_pylist(), texts[lo : lo + 256].to_pylist()):
                     raw = (text or "").encode()
-                    stored = to_wav(pad(raw))
+                    stored = stored_form(pad(raw))
                     found = sniff(stored)
                     if not found or found[0].start or found[0].end != len(stored):
                         raise ValueError(f"stored media of row {key} are not confirmed")
@@ -266,11 +297,12 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             "kind": first.kind,
                             "media": stored,
                             "payload": back,
+                            "embedded": len(sniff(back)),
                             "samples": f"{first.detail},n={len(back)},mean={mean:.6f},peak={int(np.flatnonzero(values)[-1])},distinct={int((values > 0).sum())}",
                         }
                     )
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("declared", pa.string()), ("kind", pa.string()), ("media", pa.binary()), ("payload", pa.binary()), ("samples", pa.string())])
+    arrow = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("declared", pa.string()), ("kind", pa.string()), ("media", pa.binary()), ("payload", pa.binary()), ("samples", pa.string()), ("embedded", pa.int64())])
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "key long, n_bytes long, declared string, kind string, media binary, payload binary, samples string").withColumnRenamed("key", id_col)
+    return source.mapInArrow(run, "key long, n_bytes long, declared string, kind string, media binary, payload binary, samples string, embedded long").withColumnRenamed("key", id_col)

@@ -84,6 +84,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(";", F.concat(F.col("declared"), F.lit("->"), F.col("kind")), "samples").alias("feature"),
+        F.col("embedded").alias("n_embedded"),
     )
 
 
@@ -113,7 +114,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
+_LE4 = "printf('%02X%02X%02X%02X', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, ({0} >> 24) & 255)"
+_BE4 = "printf('%08X', {0})"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+        f AS (SELECT x, min(doc_id) AS first FROM s GROUP BY x HAVING min(doc_id) < max(doc_id)),
+        c AS (SELECT s.doc_id, p, lag(p) OVER (PARTITION BY s.doc_id ORDER BY p) AS before FROM s JOIN f ON f.x = s.x AND first < s.doc_id),
+        i AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM c),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, span),
+        g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM r),
+        k AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed, max(b) AS stop, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op9_media": f"""
+        WITH t AS (SELECT list(c) AS crc FROM (SELECT list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(n) ORDER BY n)),
+        d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n, h || repeat('20', CASE WHEN h = '' THEN 192 ELSE (192 - (len(h) // 2) % 192) % 192 END) AS p FROM d),
+        l AS (SELECT *, CAST(len(p) // 2 AS BIGINT) AS m, list_transform(range(0, len(p) // 2), lambda i: CAST('0x' || substr(p, 2 * i + 1, 2) AS BIGINT)) AS v FROM p),
+        s AS (SELECT *, CASE (m // 192) % 3
+            WHEN 0 THEN '52494646' || {_LE4.format('(m + 36)')} || '57415645666D74201000000001000100401F0000401F00000100080064617461' || {_LE4.format('m')}
+            WHEN 1 THEN '424D' || {_LE4.format('(m + 54)')} || '00000000360000002800000040000000' || {_LE4.format('(m // 192)')} || '0100180000000000' || {_LE4.format('m')} || '130B0000130B00000000000000000000'
+            ELSE '2E736E6400000018' || {_BE4.format('m')} || '0000000200001F4000000001' END || p AS stored,
+            CASE (m // 192) % 3 WHEN 0 THEN 'audio/wav;channels=1,rate=8000,bits=8' WHEN 1 THEN 'image/bmp;width=64,height=' || (m // 192) || ',bits=24' ELSE 'audio/basic;channels=1,rate=8000,bits=8' END AS what FROM l)
+        SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(unhex(p)) AS payload_sha256,
+            CAST(xor(list_reduce(list_prepend(4294967295, v[len(v) - 15:]), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS tail_crc32,
+            CAST(len(stored) // 2 AS BIGINT) AS media_bytes, sha256(unhex(stored)) AS media_sha256,
+            'audio/wav->' || what || ',n=' || m || ',mean=' || printf('%.6f', CAST(list_sum(v) AS DOUBLE) / m) || ',peak=' || list_max(v) || ',distinct=' || len(list_distinct(v)) AS feature,
+            CAST(0 AS BIGINT) AS n_embedded
+        FROM s, t
+    """,
     "op7_exact_topk": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
