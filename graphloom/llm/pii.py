@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import spare
+
 # The possessive forms match what the plain patterns match, without
 # backtracking or recursion on very long texts: a run of the first class
 # is tried from its start only, or from the end of the match before (\G).
@@ -161,6 +163,12 @@ def weak_label(span: Column) -> Column:
     return F.when(span["kind"] == "contact", s.rlike(f"^(?:{EMAIL})$")).when(span["kind"] == "number", number).otherwise(secret).cast("int")
 
 
+def _leaf_value(node: object, row: np.ndarray) -> float:
+    while isinstance(node, tuple):
+        node = node[2] if row[node[0]] <= node[1] else node[3]
+    return node
+
+
 @dataclass(frozen=True)
 class Boosted:
     """Depth-two trees ``(feature, cut, left, right)`` with nested leaves, and
@@ -182,15 +190,20 @@ class Boosted:
             total = total + leaf(tree)
         return total
 
+    def score_row(self, row: np.ndarray) -> float:
+        return self.start + sum(_leaf_value(tree, row) for tree in self.trees)
+
     def accepts(self, values: list[Column]) -> Column:
         limit = F.element_at(F.array(*(F.lit(float(t)) for t in self.thresholds)), values[0])
         return self.score(values) >= limit
 
 
-def boost(cells: np.ndarray, pos: np.ndarray, n: np.ndarray, rounds: int = 40, rate: float = 0.3, depth: int = 2, precision: float = PRECISION) -> Boosted:
+def boost(cells: np.ndarray, pos: np.ndarray, n: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 40, rate: float = 0.3, depth: int = 2, precision: float = PRECISION) -> Boosted:
     """Newton boosting of the logistic loss on cells with ``pos`` of ``n`` rows
     labelled 1.  The threshold of a generator is the lowest score above which
-    the share of label 1 stays at ``precision`` or more; infinite if none."""
+    the share of label 1 stays at ``precision`` or more among the rows
+    ``held`` = (pos, n) of the same cells, which the trees have not seen (the
+    fitted ones where none are given); infinite if there is none."""
     if not len(cells) or n.sum() == 0:
         return Boosted(0.0, [], [math.inf] * len(GENERATORS))
     p0 = min(max(pos.sum() / n.sum(), 1e-3), 1 - 1e-3)
@@ -212,23 +225,20 @@ def boost(cells: np.ndarray, pos: np.ndarray, n: np.ndarray, rounds: int = 40, r
         _, f, cut, left, right = choice
         return (f, cut, grow(left, g, h, level - 1), grow(right, g, h, level - 1))
 
-    def value(node: object, row: np.ndarray) -> float:
-        while isinstance(node, tuple):
-            node = node[2] if row[node[0]] <= node[1] else node[3]
-        return node
-
     trees = []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         tree = grow(np.arange(len(cells)), pos - n * p, n * p * (1 - p), depth)
         trees.append(tree)
-        score += np.array([value(tree, row) for row in cells])
+        score += np.array([_leaf_value(tree, row) for row in cells])
+    seen_pos, seen_n = held if held is not None and held[1].sum() else (pos, n)
     thresholds = []
     for gen in range(1, len(GENERATORS) + 1):
         own = np.flatnonzero(cells[:, 0] == gen)
         own = own[np.argsort(-score[own], kind="stable")]
-        share = np.cumsum(pos[own]) / np.maximum(np.cumsum(n[own]), 1)
-        good = np.flatnonzero(share >= precision)
+        share = np.cumsum(seen_pos[own]) / np.maximum(np.cumsum(seen_n[own]), 1)
+        last = np.append(np.abs(np.diff(score[own])) > 1e-9, True) if len(own) else np.zeros(0, bool)  # cells of one score go together
+        good = np.flatnonzero((share >= precision) & last)
         thresholds.append(float(score[own[good[-1]]]) - 1e-9 if len(good) else math.inf)
     return Boosted(start, trees, thresholds)
 
@@ -236,19 +246,42 @@ def boost(cells: np.ndarray, pos: np.ndarray, n: np.ndarray, rounds: int = 40, r
 def fit(docs: DataFrame, text_col: str = "text") -> Boosted:
     """Fit and calibrate on the candidates of all documents.
 
+    Documents are dealt to two halves by a hash of their text, so that copies
+    stay together: trees grow on one half, thresholds are set on the other.
     Only counts per feature cell reach the driver; their number is bounded
     by the features' ranges.
     """
-    spans = docs.select(F.explode(candidates(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("s"))
-    cells = spans.select(*(c.alias(k) for k, c in zip(FEATURES, features(F.col("s")))), weak_label(F.col("s")).alias("y"))
-    counted = cells.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).orderBy(*FEATURES).collect()
+    x, (pos, n), held = cell_counts(docs, text_col)
+    return boost(x, pos, n, held)
+
+
+def cell_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Feature cells and, for either half, their labelled and all candidates."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    spans = docs.select(F.pmod(F.xxhash64(text), F.lit(2)).alias("half"), F.explode(candidates(text)).alias("s"))
+    cells = spans.select("half", *(c.alias(k) for k, c in zip(FEATURES, features(F.col("s")))), weak_label(F.col("s")).alias("y"))
+    counted = cells.groupBy(*FEATURES).agg(*(F.sum(F.when(F.col("half") == k, c).otherwise(0)).alias(name) for name, k, c in (("p0", 0, F.col("y")), ("n0", 0, F.lit(1)), ("p1", 1, F.col("y")), ("n1", 1, F.lit(1))))).orderBy(*FEATURES).collect()
     x = np.array([[r[k] for k in FEATURES] for r in counted], int).reshape(-1, len(FEATURES))
-    return boost(x, np.array([float(r["pos"] or 0) for r in counted]), np.array([float(r["n"]) for r in counted]))
+    column = lambda name: np.array([float(r[name] or 0) for r in counted])
+    return x, (column("p0"), column("n0")), (column("p1"), column("n1"))
+
+
+def quality(model: Boosted, x: np.ndarray, pos: np.ndarray, n: np.ndarray) -> dict[str, tuple[float, float]]:
+    """(precision, recall) of each generator's accepted candidates on counted
+    cells; precision is 1 where nothing is accepted, recall 1 where nothing is
+    labelled."""
+    out = {}
+    for gen, name in enumerate(GENERATORS, 1):
+        own = x[:, 0] == gen if len(x) else np.zeros(0, bool)
+        taken = np.array([bool(o) and model.score_row(row) >= model.thresholds[gen - 1] for o, row in zip(own, x)], bool)
+        hit, all_, labelled = pos[taken].sum(), n[taken].sum(), pos[own].sum()
+        out[name] = (float(hit / all_) if all_ else 1.0, float(hit / labelled) if labelled else 1.0)
+    return out
 
 
-def detect(docs: DataFrame, model: Boosted | None = None, text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, model: Boosted | None = None, text_col: str = "text", base_col: str = "base", added_col: str = "added") -> DataFrame:
     """``docs`` with ``base`` and ``added``, arrays of (kind, start, end, text,
-    before) in code points.
+    before) in code points; ``ValueError`` if ``docs`` has columns so named.
 
     Added spans are the accepted candidates that touch no base span and lie in
     no larger accepted one.  A null
@@ -257,11 +290,15 @@ def detect(docs: DataFrame, model: Boosted | None = None, text_col: str = "text"
     """
     model = model or fit(docs, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumns({"base": base_spans(text), "_proposed": candidates(text)})
-    clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    if {base_col.lower(), added_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"name other columns than {base_col} and {added_col} for the result")
+    proposed, accepted = spare(docs.columns, "proposed"), spare(docs.columns, "accepted")
+    found = docs.withColumns({base_col: base_spans(text), proposed: candidates(text)})
+    clear = lambda c: ~F.exists(base_col, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     inside = lambda c, d: (d["start"] <= c["start"]) & (c["end"] <= d["end"]) & (d["end"] - d["start"] > c["end"] - c["start"])
-    taken = found.withColumn("_taken", F.filter("_proposed", lambda c: clear(c) & model.accepts(features(c))))
-    return taken.withColumn("added", F.filter("_taken", lambda c: ~F.exists("_taken", lambda d: inside(c, d)))).drop("_proposed", "_taken")
+    taken = found.withColumn(accepted, F.filter(proposed, lambda c: clear(c) & model.accepts(features(c))))
+    added = F.filter(accepted, lambda c: ~F.exists(accepted, lambda d: inside(c, d)))
+    return taken.select(*docs.columns, base_col, added.alias(added_col))
 
 
 def digest(spans: Column) -> Column:
@@ -275,7 +312,8 @@ def redact(docs: DataFrame, model: Boosted | None = None, text_col: str = "text"
     Overlapping spans are replaced as one, under the kind of the first.  A
     null text stays null.  Columns and their order are kept.
     """
-    found = detect(docs, model, text_col)
+    base, added = spare(docs.columns, "base"), spare(docs.columns, "added")
+    found = detect(docs, model, text_col, base, added)
     text = F.col(text_col).cast("string")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -284,7 +322,7 @@ def redact(docs: DataFrame, model: Boosted | None = None, text_col: str = "text"
         word = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], word).alias("out"))
 
-    spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     tail = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
     clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, tail)).otherwise(text)
     return found.withColumn(text_col, clean).select(docs.columns)
