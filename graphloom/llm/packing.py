@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import cut_lineage
 
 CAPACITY = 2048
+#: A plan of this many runs (48 bytes each) is broadcast; a longer one is joined by length.
+MAX_RUNS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -142,16 +144,16 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = No
     return source.mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("key", id_col)
 
 
-def take_slots(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", salts: int = 64) -> DataFrame:
+def take_slots(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces of at most ``capacity``.
 
-    The rank within a length is counted in two levels: over ``salts`` hash
-    groups of a length, then within a group, so no task holds a length.
-    Repeated rows take slots of their own.  No pieces, no slots.
+    The rank within a length is counted in two levels: over the partitions
+    that hold pieces of the length, then within a partition, so that no task
+    holds a length and tasks grow in number with the pieces.  Repeated rows
+    take slots of their own.  No pieces, no slots.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.hash(id_col, "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts)))
-    salted = cut_lineage(salted)
+    salted = cut_lineage(pieces.withColumn("_salt", F.spark_partition_id()))
     groups = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {int(r["length"]): int(r["n"]) for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = plan_runs(histogram, capacity)
@@ -161,8 +163,9 @@ def take_slots(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_i
     local = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("_local", local).join(base, ["length", "_salt"]).withColumn("_rank", F.col("base") + F.col("_local") - 1)
     slot = F.col("_rank") - F.col("lo")
-    # The plan has at most one run a length and class of room: bounded by the capacity, not by the documents.
-    placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).drop(plan["length"])
+    # The plan has a few runs a length and class of room: bounded by the capacity, not by the documents.
+    small = F.broadcast(plan) if len(runs) <= MAX_RUNS else plan
+    placed = ranked.join(small, (ranked["length"] == plan["length"]) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).drop(plan["length"])
     return placed.select(*[c for c in pieces.columns], (F.col("first") + F.floor(slot / F.col("depth"))).cast("long").alias("sequence_id"), (F.col("place") + slot % F.col("depth") * F.col("length")).cast("long").alias("offset"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.arrow_text import flat_text, lower_ascii, mix64, slices, span_hashes
-from graphloom.llm.shared import cut_lineage
+from graphloom.llm.shared import cut_lineage, spare
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
@@ -111,8 +111,8 @@ def fit(target: DataFrame, raw: DataFrame, share: float, text_col: str = "text",
 def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """(id, n_features, log_weight) for every row; no features: weight 0.
 
-    With ``whole_rows`` all columns of ``docs`` stay and ``_log_weight`` is
-    added to them.
+    With ``whole_rows`` all columns of ``docs`` stay and the weight is added
+    to them as the last one, under a name that is free.
     """
     ratio = model.log_ratio
 
@@ -133,7 +133,7 @@ def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text
     if whole_rows:
         carried = docs.select(F.lit(0).alias("_0"), F.col(text_col).cast("string").alias("_1"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
         schema = T.StructType([*carried.schema.fields[2:], T.StructField(f"c{len(docs.columns)}", T.DoubleType())])
-        return carried.mapInArrow(run, schema).toDF(*docs.columns, "_log_weight")
+        return carried.mapInArrow(run, schema).toDF(*docs.columns, spare(docs.columns, "log_weight"))
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return source.mapInArrow(run, f"{id_col} long, n_features long, log_weight double")
 
@@ -201,8 +201,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("q"))
     good, rows = known.agg(F.count_if(F.col("q") == 1), F.count(F.lit(1))).first()
     picked = known.where("q = 1").select("label_id").distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(target_rows)
-    target = docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("label_id"), "left_semi")
-    return fit(target, docs, good / rows if rows else 1.0, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).alias("text"))
+    return fit(texts.join(F.broadcast(picked), "label_id", "left_semi"), texts, good / rows if rows else 1.0, "text")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS, seed: int = 42) -> DataFrame:
@@ -212,7 +212,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ``quality = 1`` (smallest hashes of the id); the raw model and the
     weights cover every text.  Null labels are ignored; with no labels every
     document has weight 0 and is selected.  Null and empty texts have no
-    features and weight 0.  Repeated rows are sampled each on its own.
+    features and weight 0.  The noise of a row hangs on its id: rows with one
+    id share a draw (null ids too), so that repeated rows are taken together
+    unless the k-th key falls among them.
     """
     model = fit_on_labels(docs, labels, id_col, text_col, target_rows)
     return resample(log_weights(docs, model, id_col, text_col), None, model.share, id_col, seed)
@@ -232,4 +234,5 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if likely in (0, n):
         return docs if likely else docs.limit(0)
     value, _ = kth_largest(keys, "order", likely)
-    return log_weights(docs, model, id_col, text_col, True).where(order("_log_weight") >= F.lit(value)).drop("_log_weight")
+    weighed = log_weights(docs, model, id_col, text_col, True)
+    return weighed.where(order(weighed.columns[-1]) >= F.lit(value)).select(docs.columns)

@@ -160,7 +160,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     ones, rows = known.agg(F.count_if(F.col("label") == 1), F.count(F.lit(1))).first()
     picked = [known.where(F.col("label") == v).orderBy(F.xxhash64("label_id"), "label_id").limit(class_rows) for v in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))
-    texts = docs.join(sample, F.col(id_col).cast("long") == F.col("label_id")).select(F.col("label_id").alias("row_id"), F.col(text_col).alias("text"), "label")
-    model = fit(texts, class_rows, ones / rows if rows else 0.0)
+    texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).alias("text")).join(sample, "label_id")
+    model = fit(texts.select(F.col("label_id").alias("row_id"), "text", "label"), class_rows, ones / rows if rows else 0.0)
     scored = scores(docs, model, id_col, text_col)
     return scored.select(id_col, F.coalesce(fold(id_col) == held, F.lit(False)).alias("held_out"), "score")
