@@ -187,6 +187,21 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> Dat
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("id", "other", "score", F.col("rank").cast("int").alias("rank"))
 
 
+def all_scores(vectors: DataFrame) -> DataFrame:
+    """(id, other, score) of every ordered pair, a vector with itself included:
+    as many rows as pairs."""
+
+    def meet(block: pa.Table) -> pa.Table:
+        (ids, x), (others, y) = _rows_of(block, 0), _rows_of(block, 1)
+        parts = [scores.ravel() for _, scores in _strips(x, y)] if len(ids) and len(others) else []
+        score = np.concatenate(parts) if parts else np.zeros(0)
+        n = len(others) if len(score) else 0
+        return pa.table([pa.array(np.repeat(ids, n)), pa.array(np.tile(others, len(ids) if n else 0)), pa.array(score)], names=["id", "other", "score"])
+
+    every = _plain(vectors)
+    return _block_pairs(every, every, False).groupBy("qb", "vb").applyInArrow(meet, "id long, other long, score double")
+
+
 def knn_vote(vectors: DataFrame, k: int = 10) -> DataFrame:
     """(id, y, z): own group and the majority of the k nearest, ties to the smaller group."""
     votes = nearest(vectors, k).join(vectors.select(F.col("id").alias("other"), F.col("grp").alias("z")), "other").groupBy("id", "z").agg(F.count(F.lit(1)).alias("n"))

@@ -342,11 +342,6 @@ def registry(groups: DataFrame | None = None, seed: int = 0) -> dict[str, Callab
     return out
 
 
-def out_vectors(edges: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(id, vec): mean of the in-neighbours' vectors, aligned by node id."""
-    return linalg.times_thin(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), vectors, dim)
-
-
 def bias_fit(edges: DataFrame, vectors: DataFrame, rounds: int = 1000, every: int = 20, tolerance: float = 1e-2, rate: float = 0.001) -> DataFrame:
     """(id, a, b): additive biases of a graph under fixed vectors.
 

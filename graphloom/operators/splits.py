@@ -21,17 +21,22 @@ class Split:
     negative: DataFrame  # (src, dst), src < dst
 
 
-def held_out_edges(edges: DataFrame, fraction: float = 0.5, seed: int = 0) -> DataFrame:
+def held_out_edges(edges: DataFrame, fraction: float = 0.5, seed: int = 0, tree: str = "weight") -> DataFrame:
     """(src, dst), src < dst: ``fraction`` of the edges, none of them in the
     minimum spanning forest, so that no component falls apart.
 
     Raises ``ValueError`` if too few edges lie outside the forest.  This is
     the set-based form of removing edges one by one while the graph stays
-    connected: each removed edge leaves a spanning tree untouched.
+    connected: each removed edge leaves a spanning tree untouched.  ``tree``
+    says which forest is kept: that of the weights, or a ``random`` one, by
+    which any edge on a cycle can be held out.
     """
+    if tree not in ("weight", "random"):
+        raise ValueError(f"unknown tree {tree!r}")
     plain = cut_lineage(without_loops(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.sum("w").alias("w")))
-    tree = cut_lineage(spanning_tree(plain).select("src", "dst"))
-    free = plain.join(tree, ["src", "dst"], "left_anti")
+    weighed = plain if tree == "weight" else plain.withColumn("w", u01("tree", F.col("src"), F.col("dst"), seed))
+    kept = cut_lineage(spanning_tree(weighed).select("src", "dst"))
+    free = plain.join(kept, ["src", "dst"], "left_anti")
     want = int(plain.count() * fraction)
     if free.count() < want:
         raise ValueError("fewer edges outside the spanning forest than asked for")

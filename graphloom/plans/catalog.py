@@ -7,6 +7,7 @@ result.  Values are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalar
 from graphloom.functions.ranking import first_rows
 from graphloom.functions.scalar import rounded
-from graphloom.functions.session import cut_lineage, table
+from graphloom.functions.session import cut_lineage, shared_folder, table
 from graphloom.operators import blocks, evaluate, graph, linalg, models, samplers, splits, walks
-from graphloom.sources import fixtures
+from graphloom.plans import experiments
+from graphloom.sources import files, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -682,6 +684,15 @@ def _held_out(spark: SparkSession, d: str) -> DataFrame:
     return splits.held_out_edges(e.withColumn("w", F.lit(1.0)), 0.5, 1)
 
 
+_RANDOM_SPLIT = _NATION_SPLIT.replace("row_number() OVER (ORDER BY src, dst) AS k FROM und", "row_number() OVER (ORDER BY {}, src, dst) AS k FROM und".format(u("'tree'", "src", "dst", "'1'")))
+
+
+@query("held_out_edges_random_tree", f"WITH RECURSIVE {EDGES}, {_RANDOM_SPLIT} SELECT src, dst FROM test")
+def _held_out_random(spark: SparkSession, d: str) -> DataFrame:
+    e = graph.without_loops(fixtures.nation_edges(spark, d)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return splits.held_out_edges(e.withColumn("w", F.lit(1.0)), 0.5, 1, "random")
+
+
 @query("link_auc_nation", f"""WITH {EDGES}, sy AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(w) AS w FROM edges WHERE src <> dst GROUP BY 1, 2),
 te AS (SELECT src, dst, w, CASE WHEN {u("'hold'", 'src', 'dst', "'1'")} < 0.5 THEN 1 ELSE 0 END AS held FROM sy),
 dg AS (SELECT id, sum(w) AS d FROM (SELECT src AS id, w FROM te WHERE held = 0 UNION ALL SELECT dst, w FROM te WHERE held = 0) GROUP BY 1),
@@ -876,3 +887,89 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.streaming.pairs import stream_pair_counts
 
     return stream_pair_counts(spark, fixtures.event_walks(spark, d), 3)
+
+
+# ---------------------------------------------------------------- files and experiments
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _pairs_back(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        place, edges = _place(spark, f"edges-{kind}"), fixtures.supplier_part_edges(spark, d).select("src", "dst")
+        edges.write.option("sep", "\t" if kind == "tsv" else ",").option("compression", "gzip").csv(place)
+        return (files.read_edge_tsv if kind == "tsv" else files.read_edge_csv)(spark, place)
+
+    return run
+
+
+for _kind in ("csv", "tsv"):
+    query(f"edge_{_kind}_round_trip", f"WITH {BIPARTITE} SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM bip")(_pairs_back(_kind))
+
+
+@query("matrix_round_trip", f"WITH {BIPARTITE} SELECT * FROM bip")
+def _matrix_back(spark: SparkSession, d: str) -> DataFrame:
+    places = [_place(spark, "matrix"), _place(spark, "matrix")]
+    files.write_table(fixtures.supplier_part_edges(spark, d), places[0])
+    files.write_table(files.read_table(spark, places[0]), places[1], "csv")
+    return files.read_table(spark, places[1], "csv")
+
+
+@query("embedding_round_trip", "SELECT vec_id AS id, CAST(label AS BIGINT) AS grp, len(embedding) AS size, 64 AS dim, 'given' AS model FROM embeddings")
+def _embedding_back(spark: SparkSession, d: str) -> DataFrame:
+    place = _place(spark, "embedding")
+    files.write_embedding(fixtures.vectors(spark, d), place, dim=64, model="given")
+    vectors, said = files.read_embedding(spark, place)
+    return vectors.select("id", "grp", F.size("vec").cast("long").alias("size"), F.lit(said["dim"]).alias("dim"), F.lit(said["model"]).alias("model"))
+
+
+@query("benchmark_network_round_trip", f"WITH {EDGES}, {GROUPS} SELECT src, dst, a.grp AS ga, b.grp AS gb, '0.3' AS mu FROM edges JOIN groups a ON a.id = src JOIN groups b ON b.id = dst")
+def _network_back(spark: SparkSession, d: str) -> DataFrame:
+    place = _place(spark, "network")
+    files.write_one_based(fixtures.nation_edges(spark, d), fixtures.nation_groups(spark, d), place, mu=0.3, n=25)
+    edges, groups = files.read_one_based(spark, f"{place}/network"), files.read_one_based(spark, f"{place}/community", "groups")
+    said = files.read_parameters(spark, f"{place}/parameters").select(F.col("parameters")["mu"].alias("mu"))
+    return edges.join(groups.toDF("src", "ga"), "src").join(groups.toDF("dst", "gb"), "dst").join(F.broadcast(said)).select("src", "dst", "ga", "gb", "mu")
+
+
+@query("link_prediction_task", f"""WITH RECURSIVE {EDGES}, {VECTORS}, {_NATION_SPLIT}, ng AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.id < b.id AND a.id < 25 AND b.id < 25 WHERE (a.id + b.id) % 3 = 0),
+sc AS (SELECT 1 AS y, {_cos('x.vec', 'z.vec')} AS score FROM test JOIN v x ON x.id = src JOIN v z ON z.id = dst UNION ALL SELECT 0, {_cos('x.vec', 'z.vec')} FROM ng JOIN v x ON x.id = src JOIN v z ON z.id = dst), {_auc_sql('sc')}""")
+def _task(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out nation pairs, written and read back, against every third pair, by cosine of given vectors."""
+    edges = graph.without_loops(fixtures.nation_edges(spark, d)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("w", F.lit(1.0))
+    ids = fixtures.nation_groups(spark, d).select("id")
+    other = ids.toDF("src").join(ids.toDF("dst"), F.col("src") < F.col("dst")).where("(src + dst) % 3 = 0")  # 25 nations
+    place = _place(spark, "split")
+    files.write_split(splits.Split(edges, splits.held_out_edges(edges, 0.5, 1), other), place)
+    found = experiments.link_prediction(files.read_split(spark, place), fixtures.vectors(spark, d), "cos")
+    return found.select(rounded(F.col("auc")).alias("auc"))
+
+
+@query("community_precision", f"""WITH {VECTORS}, sc AS (SELECT CAST(a.grp = b.grp AS INTEGER) AS y, {_dot('a.vec', 'b.vec')} AS score FROM v a CROSS JOIN v b), p AS (SELECT score, sum(y) AS p, count(*) AS n FROM sc GROUP BY 1),
+c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS n FROM p) SELECT {r6('sum(p * tp / CAST(n AS DOUBLE)) / sum(p)')} AS average_precision FROM c""")
+def _precision(spark: SparkSession, d: str) -> DataFrame:
+    v = fixtures.vectors(spark, d)
+    return experiments.community_precision(v, v.select("id", "grp")).select(rounded(F.col("average_precision")).alias("average_precision"))
+
+
+@query("community_benchmark")
+def _benchmark(spark: SparkSession, d: str) -> DataFrame:
+    edges, groups = _nation(spark, d)
+    named = models.registry(groups)
+    return experiments.community_benchmark([({"graph": "nation"}, edges, groups)], {"leigenmap": named["leigenmap"]}, 8)
+
+
+@query("out_vectors", f"""WITH {EDGES}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)
+SELECT dst AS id, {r6('sum(w * vec[1]) / sum(w)')} AS x0, {r6('sum(w * vec[64]) / sum(w)')} AS x63 FROM edges JOIN v ON v.id = src GROUP BY 1""")
+def _out(spark: SparkSession, d: str) -> DataFrame:
+    v = fixtures.vectors(spark, d)
+    fitted = experiments.Fitted(lambda edges, dim: v.select("id", "vec"), _nation(spark, d)[0])
+    return fitted.transform(64, out=True).select("id", rounded(F.col("vec")[0]).alias("x0"), rounded(F.col("vec")[63]).alias("x63"))
+
+
+@query("reconstruction_against_null")
+def _against_null(spark: SparkSession, d: str) -> DataFrame:
+    edges, groups = _nation(spark, d)
+    return experiments.reconstruction_against_null(graph.without_loops(edges), groups, models.laplacian_eigenmap(), 8, 50)

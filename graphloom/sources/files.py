@@ -1,7 +1,9 @@
-"""Readers and writers of edge lists, embeddings and results."""
+"""Readers and writers of edge lists, matrices, embeddings and results."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,24 @@ def read_one_based(spark: SparkSession, path: str, what: str = "edges") -> DataF
     return df.select((F.col("id") - 1).alias("id"), "grp")
 
 
+def write_one_based(edges: DataFrame, groups: DataFrame, folder: str, **parameters: str | int | float) -> None:
+    """A benchmark network as ``read_one_based`` reads it: edges and groups with
+    node ids from 1, and the generator's parameters as one JSON line."""
+    edges.select(F.col("src") + 1, F.col("dst") + 1).write.mode("overwrite").option("sep", "\t").csv(f"{folder}/network")
+    groups.select(F.col("id") + 1, "grp").write.mode("overwrite").option("sep", "\t").csv(f"{folder}/community")
+    write_parameters(edges.sparkSession, [parameters], f"{folder}/parameters")
+
+
+def write_parameters(spark: SparkSession, rows: list[dict], path: str) -> None:
+    """Parameter sets or results as JSON lines, one object each."""
+    spark.createDataFrame([(json.dumps(r, sort_keys=True),) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """(parameters map<string, string>) of JSON lines."""
+    return spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("parameters"))
+
+
 def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes(id, label, value), edges(src, dst, w)) of a GML file, read whole
     per file; blocks are cut by their brackets."""
@@ -46,6 +66,11 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str = "src bigint, dst bigint, w double") -> DataFrame:
+    """What ``write_table`` wrote: a sparse matrix unless ``schema`` says otherwise."""
+    return spark.read.option("header", True).schema(schema).csv(path) if kind == "csv" else spark.read.schema(schema).parquet(path)
+
+
 def write_embedding(vectors: DataFrame, path: str, **metadata: str | int | float | bool) -> None:
     """Vectors with their parameters as columns."""
     df = vectors
@@ -54,6 +79,15 @@ def write_embedding(vectors: DataFrame, path: str, **metadata: str | int | float
     df.write.mode("overwrite").parquet(path)
 
 
+def read_embedding(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(vectors(id, vec[, grp]), metadata) of a written embedding; the
+    parameters, equal in all rows, are read from one."""
+    df = spark.read.parquet(path)
+    own = [c for c in ("id", "vec", "grp") if c in df.columns]
+    first = df.drop(*own).first()
+    return df.select(own), first.asDict() if first is not None else {}
+
+
 def write_split(parts: Split, folder: str) -> None:
     """The train graph, the held-out edges and the non-edges as three tables."""
     parts.train.write.mode("overwrite").option("sep", "\t").csv(f"{folder}/network")
@@ -61,6 +95,13 @@ def write_split(parts: Split, folder: str) -> None:
     parts.negative.write.mode("overwrite").option("sep", "\t").csv(f"{folder}/negative_edges")
 
 
+def read_split(spark: SparkSession, folder: str) -> Split:
+    """What ``write_split`` wrote."""
+    read = lambda name, schema: spark.read.option("sep", "\t").schema(schema).csv(f"{folder}/{name}")
+    pair = "src bigint, dst bigint"
+    return Split(read("network", f"{pair}, w double"), read("test_edges", pair), read("negative_edges", pair))
+
+
 def append_result(df: DataFrame, path: str) -> None:
     """Add (name, value) rows to a tab-separated result table."""
     df.write.mode("append").option("sep", "\t").csv(path)
