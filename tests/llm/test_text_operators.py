@@ -221,7 +221,7 @@ def test_media_round_trip(docs, rows, nothing):
     got = media.store_texts(docs).collect()
     want = collections.Counter((i, media.pad((t or "").encode())) for i, t in rows)
     assert collections.Counter((r.doc_id, bytes(r.payload)) for r in got) == want
-    assert {r.kind for r in got} == {"audio/wav"} and media.store_texts(nothing).count() == 0
+    assert {r.kind for r in got} <= {"audio/wav", "image/bmp", "audio/basic"} and media.store_texts(nothing).count() == 0
 
 
 def test_sniffing_corrects_and_carves(spark):
