@@ -23,6 +23,8 @@ from graphloom.operators.samplers import NodeSampler, configuration_noise, tripl
 from graphloom.operators.walks import biased_walk, offset_windows, pair_counts, start_walks
 
 VECTORS = "id long, vec array<double>"
+#: Walks that one partition of MLlib's Word2Vec trains on; partitions are averaged.
+WALKS_A_PART = 200_000
 
 
 def _as_rows(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -181,7 +183,9 @@ def word_vectors(per_node: int = 5, length: int = 40, window: int = 10, p: float
 
         graph = fairwalk_weights(edges) if fair else edges
         walks = cut_lineage(biased_walk(graph, start_walks(nodes_of(graph), per_node), length, p, q, seed))
-        model = Word2Vec(vectorSize=dim, minCount=0, windowSize=window, maxIter=1, seed=seed, inputCol="words", outputCol="v").fit(sentences(walks))
+        texts = cut_lineage(sentences(walks))
+        parts = max(1, texts.count() // WALKS_A_PART)
+        model = Word2Vec(vectorSize=dim, minCount=0, windowSize=window, maxIter=1, numPartitions=parts, seed=seed, inputCol="words", outputCol="v").fit(texts)
         return model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("vec"))
 
     return run
@@ -240,19 +244,20 @@ def propagate(edges: DataFrame, features: DataFrame, dim: int, loops: bool = Tru
     return linalg.times_thin(normalised_adjacency(graph), features, dim)
 
 
-def graph_network(kind: str = "gcn", hidden: int = 32, epochs: int = 200, rate: float = 0.01, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
-    """Two message-passing layers trained to give back the node features (gcn,
-    gat: mean squared error) or to tell edges from noise (sage).  ``gat``
-    weighs edges by a fixed softmax over feature similarity; no attention is
-    trained.
+def graph_network(kind: str = "gcn", seed: int = 0, **options: float) -> Callable[[DataFrame, int], DataFrame]:
+    """Graph convolution (gcn), trained attention of eight heads (gat) or
+    sampled neighbourhoods (sage) over default features; see ``networks``.
 
-    Neighbourhoods and features are prepared in Spark; one Arrow task trains.
+    Neighbourhoods, with each node's own loop, and features are prepared in
+    Spark; one Arrow task trains.
     """
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
-        width = dim
-        x = default_features(edges, width, seed)
-        norm = cut_lineage(normalised_adjacency(summed(edges.select("src", "dst", "w").unionByName(nodes_of(edges).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))))))
+        from graphloom.operators import networks
+
+        x = default_features(edges, dim, seed)
+        loops = nodes_of(edges).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+        norm = normalised_adjacency(summed(edges.select("src", "dst", "w").unionByName(loops)))
         rows = norm.select("src", "dst", "w", F.lit(None).cast("array<double>").alias("vec")).unionByName(x.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("w"), "vec"))
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,47 +271,9 @@ def graph_network(kind: str = "gcn", hidden: int = 32, epochs: int = 200, rate:
             ids, feats = ids[order], np.array(node.column("vec").to_pylist())[order]
             i, j = (np.searchsorted(ids, np.asarray(edge.column(k).combine_chunks())) for k in ("src", "dst"))
             w = np.asarray(edge.column("w").combine_chunks())
-            rng = np.random.default_rng(seed)
-            mats = [rng.normal(0, 1 / np.sqrt(width), (width, hidden)), rng.normal(0, 1 / np.sqrt(hidden), (hidden, dim)), rng.normal(0, 1 / np.sqrt(dim), (dim, width))]
-            optim = [linalg.Adam(rate) for _ in mats]
-
-            def spread(h: np.ndarray, rate_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                out = np.zeros_like(h)
-                np.add.at(out, a, rate_[:, None] * h[b])
-                return out
-
-            def share(h: np.ndarray) -> np.ndarray:
-                if kind == "gcn":
-                    return w
-                if kind == "sage":
-                    return 1.0 / np.bincount(i, minlength=len(ids))[i]
-                score = (h[i] * h[j]).sum(1)
-                top = np.full(len(ids), -np.inf)
-                np.maximum.at(top, i, score)
-                e = np.exp(score - top[i])
-                return e / np.bincount(i, weights=e, minlength=len(ids))[i]
-
-            for _ in range(epochs):
-                r = share(feats)
-                x1 = spread(feats, r, i, j)
-                h1 = np.maximum(x1 @ mats[0], 0)
-                x2 = spread(h1, r, i, j)
-                z = x2 @ mats[1]
-                if kind == "sage":
-                    other = rng.integers(0, len(ids), len(i))
-                    gp, gn = 1 - _sigmoid((z[i] * z[j]).sum(1)), -_sigmoid((z[i] * z[other]).sum(1))
-                    dz = np.zeros_like(z)
-                    np.add.at(dz, i, gp[:, None] * z[j] + gn[:, None] * z[other])
-                    np.add.at(dz, j, gp[:, None] * z[i])
-                    np.add.at(dz, other, gn[:, None] * z[i])
-                    dz /= len(i)
-                else:
-                    error = (feats - z @ mats[2]) / len(ids)
-                    mats[2] = optim[2].ascend(mats[2], z.T @ error)
-                    dz = error @ mats[2].T
-                d1 = spread(dz @ mats[1].T, r, j, i) * (h1 > 0)
-                mats[1] = optim[1].ascend(mats[1], x2.T @ dz)
-                mats[0] = optim[0].ascend(mats[0], x1.T @ d1)
+            by = np.lexsort((j, i))
+            i, j, w = i[by], j[by], w[by]
+            z = networks.sampled_neighbours(feats, i, j, dim, seed=seed, **options) if kind == "sage" else networks.reconstruct(kind, feats, i, j, w, dim, seed=seed, **options)
             yield _as_rows(ids, z)
 
         return rows.repartition(1).mapInArrow(train, VECTORS)
@@ -334,7 +301,7 @@ def registry(groups: DataFrame | None = None, seed: int = 0) -> dict[str, Callab
         "residual-sgd-uniform": skip_gram(noise=uniform_noise(seed), seed=seed),
         "gcn": graph_network("gcn", seed=seed),
         "gat": graph_network("gat", seed=seed),
-        "graphsage": graph_network("sage", epochs=50, seed=seed),
+        "graphsage": graph_network("sage", seed=seed),
     }
     if groups is not None:
         out["residual-groups"] = residual_factorisation(groups, seed=seed)
