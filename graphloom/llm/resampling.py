@@ -115,10 +115,11 @@ def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text
     to them as the last one, under a name that is free.
     """
     ratio = model.log_ratio
+    text_at = docs.columns.index(text_col) if whole_rows else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = flat_text(batch.column(1))
+            data, bounds = flat_text(batch.column(text_at))
             counts, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for lo, hi in slices(bounds):
                 part, at = data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
@@ -126,13 +127,13 @@ def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text
                 counts[lo:hi] = np.bincount(rows, minlength=hi - lo)
                 sums[lo:hi] = np.bincount(rows, weights=ratio[grams], minlength=hi - lo)
             if whole_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(sums)], names=[f"c{k}" for k in range(batch.num_columns - 1)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], names=[f"c{k}" for k in range(batch.num_columns + 1)])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums)], names=[id_col, "n_features", "log_weight"])
 
     if whole_rows:
-        carried = docs.select(F.lit(0).alias("_0"), F.col(text_col).cast("string").alias("_1"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
-        schema = T.StructType([*carried.schema.fields[2:], T.StructField(f"c{len(docs.columns)}", T.DoubleType())])
+        carried = docs.select(*((F.col(c).cast("string") if k == text_at else F.col(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)))
+        schema = T.StructType([*carried.schema.fields, T.StructField(f"c{len(docs.columns)}", T.DoubleType())])
         return carried.mapInArrow(run, schema).toDF(*docs.columns, spare(docs.columns, "log_weight"))
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return source.mapInArrow(run, f"{id_col} long, n_features long, log_weight double")

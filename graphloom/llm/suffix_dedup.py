@@ -475,7 +475,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = flat_text(batch.column(1))
+            texts_in = batch.column(1 + text_at if whole_rows else 1)
+            data, bounds = flat_text(texts_in)
             missing = np.asarray(batch.column(0).is_null())
             ids = np.asarray(batch.column(0).fill_null(0)) if batch.num_rows else np.zeros(0, np.int64)
             for lo, hi in slices(bounds, PASS_BYTES):
@@ -492,15 +493,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 whole, kept = part[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))[at].tolist()
                 left = [whole[a:b] for a, b in zip(kept, kept[1:])]
                 if whole_rows:
-                    null = batch.column(1)[lo:hi].is_null().to_pylist()
+                    null = texts_in[lo:hi].is_null().to_pylist()
                     texts = pa.array([None if gap else x.decode("utf-8", "ignore") for x, gap in zip(left, null)], pa.string())
-                    yield pa.RecordBatch.from_arrays([texts if k == text_at else c[lo:hi] for k, c in enumerate(batch.columns[2:])], names=[f"c{k}" for k in range(batch.num_columns - 2)])
+                    yield pa.RecordBatch.from_arrays([texts if k == text_at else c[lo:hi] for k, c in enumerate(batch.columns[1:])], names=[f"c{k}" for k in range(batch.num_columns - 1)])
                     continue
                 columns = [batch.column(0)[lo:hi], *(pa.array(x.astype(np.int64)) for x in (np.diff(at), total(gone), total(start))), pa.array([hashlib.sha256(x).hexdigest() for x in left])]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
     if whole_rows:
-        carried = docs.select(F.col(id_col).cast("long").alias("_0"), F.col(text_col).cast("string").alias("_1"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
-        schema = T.StructType([T.StructField(f.name, T.StringType() if k == text_at else f.dataType) for k, f in enumerate(carried.schema.fields[2:])])
+        carried = docs.select(F.col(id_col).cast("long").alias("_0"), *((F.col(c).cast("string") if k == text_at else F.col(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)))
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in carried.schema.fields[1:]])
         return carried.mapInArrow(finish, schema).toDF(*docs.columns)
     return source.mapInArrow(finish, "c0 long, c1 long, c2 long, c3 long, c4 string").toDF(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
