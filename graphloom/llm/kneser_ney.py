@@ -1,21 +1,28 @@
-"""Interpolated modified Kneser-Ney bigram model.
+"""Interpolated modified Kneser-Ney model of order three (or two).
 
-Counting runs in Spark: tasks count the bigrams of their texts, deal them
+Counting runs in Spark: tasks count the trigrams of their texts, deal them
 to parts as packed sorted arrays and the parts merge them.  Every part
 writes its share of the model to the shared folder as sorted hash arrays;
 scoring workers memory-map the files, so a worker's memory does not follow
 the size of the model.
 
-A word is the upper 48 bits of its 64-bit content hash.  Bigrams are dealt
-by their context, except those of heavy contexts, which are dealt by the
-whole bigram; the statistics of these few contexts are summed in Spark and
+A word is the upper 48 bits of its 64-bit content hash.  Trigrams are dealt
+by their middle word: the trigrams of one part then hold all that follows
+the pair (first, middle), all that precedes the pair (middle, last) and all
+pairs of the middle word.  Middle words with a part's share of all tokens
+(heavy ones, at most ``2 * parts``) are dealt twice instead, by their first
+and by their last pair, and pairs that are as frequent by the whole
+trigram; the sums of these few words and pairs are added up in Spark and
 travel with the model's header.
+
+Two begin marks stand before a text and one end behind it.  The highest
+order uses counts, the lower ones the number of distinct words before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,80 +35,178 @@ from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, par
 from graphloom.llm.shared import cut_lineage
 
 BEGIN, END = np.uint64(1), np.uint64(2)
-FLUSH_TOKENS = 3_000_000
-SCORE_BYTES = 4 << 20
-_LOW = np.uint64((1 << 48) - 1)
+FLUSH_TOKENS = 2_000_000
+SCORE_BYTES = 8 << 20
+PART_BYTES = 32 << 20
+WHOLE, AFTER, BEFORE = 0, 1, 2
 
 
 def token_stream(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token, row) of every token; each row ends with ``END``."""
+    """(token, row, place in the row) of every token; each row ends with ``END``."""
     starts, ends, first = words(data, bounds)
     hashes = span_hashes(lower_ascii(data), starts, ends) >> np.uint64(16)
-    n_rows = len(bounds) - 1
-    counts = np.diff(first)
-    rows = np.repeat(np.arange(n_rows), counts + 1)
-    last = np.cumsum(counts + 1) - 1
+    counts = np.diff(first) + 1
+    rows = np.repeat(np.arange(len(bounds) - 1), counts)
+    last = np.cumsum(counts) - 1
     token = np.empty(len(rows), np.uint64)
     mask = np.ones(len(rows), bool)
     mask[last] = False
     token[mask], token[last] = hashes, END
-    context = np.empty(len(rows), np.uint64)
-    context[1:] = token[:-1]
-    if n_rows:
-        context[last - counts] = BEGIN
-    return context, token, rows
-
-
-def _tally(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (u, w) in order with summed counts."""
-    if not len(u):
-        return u, w, c
-    order = np.lexsort((w, u))
-    u, w, c = u[order], w[order], c[order]
-    new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
-    return u[new], w[new], np.add.reduceat(c, new)
-
-
-def _pack(sorted_keys: np.ndarray, *others: np.ndarray) -> bytes:
-    """Ascending 48-bit keys as differences; further columns as they are."""
-    steps = np.diff(sorted_keys, prepend=np.uint64(0))
-    n = len(sorted_keys)
-    blobs = [np.ascontiguousarray(steps.view(np.uint8).reshape(n, 8)[:, :6].T).tobytes()]
-    for x in others:
-        if x.dtype == np.uint64:
-            blobs.append(np.ascontiguousarray(x.view(np.uint8).reshape(n, 8)[:, :6].T).tobytes())
+    place = np.arange(len(rows)) - np.repeat(last - counts + 1, counts)
+    return token, rows, place
+
+
+def trigrams(token: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Names in order and the indices (first, middle, last) of every token's
+    trigram; with order two the first word is always the begin mark."""
+    names, last = np.unique(np.append(token, BEGIN), return_inverse=True)
+    begin, last = last[-1], last[:-1]
+    before = []
+    for k in (2, 1):
+        x = np.full(len(last), begin)
+        if k < order:
+            x[k:] = np.where(place[k:] >= k, last[:-k], begin)
+        before.append(x)
+    return names, [*before, last]
+
+
+def distinct(columns: list[np.ndarray], counts: np.ndarray | None, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of indices below ``size``, in order, with summed counts."""
+    n = len(columns[0])
+    if not n:
+        return columns, np.zeros(0, np.int64)
+    bits = max(1, int(size - 1).bit_length())
+    if bits * len(columns) < 64:
+        key = columns[0].astype(np.int64)
+        for x in columns[1:]:
+            key = key << bits | x
+        if counts is None:
+            key.sort()
         else:
-            blobs.append(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(n, 8).T).tobytes())  # high planes are zeros and vanish
-    return n.to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(blobs))
+            order = np.argsort(key)
+            key, counts = key[order], counts[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key = key[new]
+        out = [key >> bits * k & (1 << bits) - 1 for k in range(len(columns) - 1, -1, -1)]
+    else:
+        order = np.lexsort(columns[::-1])
+        out = [x[order] for x in columns]
+        new = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in out], axis=0))))
+        out = [x[new] for x in out]
+        counts = None if counts is None else counts[order]
+    return out, np.diff(np.append(new, n)) if counts is None else np.add.reduceat(counts, new)
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(len(x), 8)[:, :width].T).tobytes()
+
+
+def _pack(*columns: tuple[str, np.ndarray]) -> bytes:
+    """Columns of kinds k (48-bit keys in order), i (indices) and c (counts);
+    a column is its length and its bytes, lowest ones first, all compressed."""
+    head = np.array([len(x) for _, x in columns], "<i8").tobytes()
+    blobs = [_planes(np.diff(x.view(np.int64), prepend=0), 6) if kind == "k" else _planes(x, 4 if kind == "i" else 8) for kind, x in columns]
+    return head + zstandard.ZstdCompressor(level=1).compress(b"".join(blobs))
 
 
 def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
-    """``kinds``: k ascending keys, w words, c counts."""
-    n = int.from_bytes(blob[:8], "little")
-    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8), 0, []
-    for kind in kinds:
-        width = 8 if kind == "c" else 6
-        part = raw[at : at + width * n].reshape(width, n).T
-        at += width * n
+    sizes = np.frombuffer(blob[: 8 * len(kinds)], "<i8")
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 * len(kinds) :]), np.uint8), 0, []
+    for kind, n in zip(kinds, sizes):
+        width = {"k": 6, "i": 4, "c": 8}[kind]
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = part
-        value = wide.view("<i8" if kind == "c" else np.uint64).ravel()
-        out.append(np.cumsum(value, dtype=np.uint64) if kind == "k" else value)
+        wide[:, :width] = raw[at : at + width * n].reshape(width, n).T
+        at += width * n
+        value = wide.view("<i8").ravel()
+        out.append(np.cumsum(value).view(np.uint64) if kind == "k" else value)
     return out
 
 
-def _deal(u: np.ndarray, w: np.ndarray, parts: int, heavy: np.ndarray) -> np.ndarray:
+def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        key = u.copy()
-        if len(heavy):
-            hot = np.isin(u, heavy)
-            key[hot] = mix64(u[hot] * np.uint64(31) + w[hot])
-        return (mix64(key + np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+        return mix64(u * np.uint64(0x9E3779B97F4A7C15) + v) >> np.uint64(16)
+
+
+def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(u * np.uint64(0x9E3779B97F4A7C15) + v) * np.uint64(31) + w) >> np.uint64(16)
 
 
-def _bigram_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _spread(key: np.ndarray, parts: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(u * np.uint64(0x9E3779B97F4A7C15) + w) >> np.uint64(16)
+        return (mix64(key + np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+
+
+def _among(x: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Index of ``x`` in the sorted array ``few``, -1 if absent."""
+    if not len(few):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(few, x), len(few) - 1)
+    return np.where(few[at] == x, at, -1)
+
+
+def deal(u: np.ndarray, v: np.ndarray, w: np.ndarray, parts: int, words_: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part for what follows (u, v), part for what precedes (v, w), is v heavy)."""
+    after = _spread(v, parts)
+    before = after.copy()
+    hot = _among(v, words_) >= 0
+    at = np.flatnonzero(hot)
+    if len(at):
+        whole = triple_key(u[at], v[at], w[at])
+        for out, a, b in ((after, u, v), (before, v, w)):
+            key = pair_key(a[at], b[at])
+            out[at] = _spread(np.where(_among(key, pairs) >= 0, whole, key), parts)
+    return after, before, hot
+
+
+def narrow(x: np.ndarray) -> list[np.ndarray]:
+    """Counts as single bytes; those of 255 and more aside."""
+    over = np.flatnonzero(x >= 255)
+    return [np.minimum(x, 255).astype(np.uint8), over.astype("<i8"), x[over].astype("<i8")]
+
+
+def widen(arrays: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    small, over, values = arrays
+    out = small[at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    out[big] = values[np.searchsorted(over, at[big])]
+    return out
+
+
+def narrow_stats(stats: np.ndarray) -> list[np.ndarray]:
+    """Rows of four counts as one byte, a place in the table of the 255 most
+    frequent rows of counts below 16; other rows aside."""
+    code = np.where((stats < 16).all(axis=1), stats @ np.array([4096, 256, 16, 1]), -1)
+    freq = np.bincount(code[code >= 0], minlength=1 << 16)
+    table = np.argsort(-freq, kind="stable")[:255]
+    place = np.full((1 << 16) + 1, 255)
+    place[table] = np.arange(255)
+    byte = place[code]
+    over = np.flatnonzero(byte == 255)
+    return [byte.astype(np.uint8), table.astype("<i8"), over.astype("<i8"), stats[over].astype("<i8").ravel()]
+
+
+def widen_stats(arrays: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    byte, table, over, values = arrays
+    byte = byte[at]
+    code = table[np.minimum(byte, 254)]
+    out = np.stack([code >> 12, code >> 8 & 15, code >> 4 & 15, code & 15], axis=1)
+    big = np.flatnonzero(byte == 255)
+    out[big] = values.reshape(-1, 4)[np.searchsorted(over, at[big])]
+    return out
+
+
+def _stats(counts: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """(sum, ones, twos, threes and more) of the groups that start at ``new``."""
+    if not len(new):
+        return np.zeros((0, 4), np.int64)
+    return np.stack([np.add.reduceat(x.astype(np.int64), new) for x in (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in columns], axis=0))))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -119,120 +224,183 @@ class Model:
 
     folder: str
     parts: int
+    order: int
     tokens: int
     vocabulary: int
     bigrams: int
+    top_discounts: tuple[float, float, float]
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_backoff: float
-    heavy: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    heavy_stats: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))
+    heavy_words: np.ndarray
+    heavy_pairs: np.ndarray
+    word_stats: np.ndarray
+    pair_stats: np.ndarray
+    pair_counts: np.ndarray
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         data, bounds = flat_text(batch.column(0))
         for lo, hi in slices(bounds):
-            u, w, _ = token_stream(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-            yield u, w
+            token, _, place = token_stream(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            yield token, place
 
 
-def heavy_contexts(texts: DataFrame, parts: int) -> np.ndarray:
-    """Contexts with about one part's share of all tokens or more: at most
-    ``4 * parts`` values.  They only decide how bigrams are dealt."""
+def heavy_keys(texts: DataFrame, parts: int, order: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Context words, and keys of pairs of words, with one part's share of all
+    tokens or nearly: at most ``2 * parts`` of each.  They only decide how
+    trigrams are dealt.  A pair whose first or second word is not heavy
+    itself is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, _ in _streams(batches):
-            values, counts = np.unique(u, return_counts=True)
-            big = counts * 8 * parts >= len(u)
-            yield pa.RecordBatch.from_arrays([pa.array(values[big].view(np.int64)), pa.array(counts[big]), pa.array(np.r_[len(u), np.zeros(max(0, big.sum() - 1), np.int64)][: big.sum()])], names=["u", "n", "seen"])
-
-    found = texts.mapInArrow(run, "u long, n long, seen long").groupBy("u").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
-    found = cut_lineage(found)
-    total = found.agg(F.sum("seen")).first()[0] or 0
-    rows = found.where(F.col("n") * (4 * parts) >= F.lit(total)).select("u").collect() if total else []
-    return np.sort(np.array([r["u"] for r in rows], np.int64).view(np.uint64))
-
-
-def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> Model:
+        for token, place in _streams(batches):
+            names, (_, v, w) = trigrams(token, place, order)
+            often = np.bincount(v, minlength=len(names)) * 8 * parts >= len(w)
+            at = np.flatnonzero(often[v])
+            (pv, pw), c = distinct([v[at], w[at]], None, len(names))
+            big = c * 8 * parts >= len(w)
+            kinds = np.r_[np.zeros(1, np.int64), np.ones(often.sum(), np.int64), np.full(big.sum(), 2)]
+            keys = np.concatenate([np.zeros(1, np.uint64), names[often], pair_key(names[pv[big]], names[pw[big]])]).view(np.int64)
+            firsts = np.concatenate([np.zeros(1 + often.sum(), np.uint64), names[pv[big]]]).view(np.int64)
+            counts = np.r_[len(w), np.bincount(v, minlength=len(names))[often], c[big]]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(firsts), pa.array(counts)], names=["kind", "key", "first", "n"])
+
+    found = cut_lineage(texts.mapInArrow(run, "kind long, key long, first long, n long").groupBy("kind", "key", "first").agg(F.sum("n").alias("n")))
+    total = found.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    rows = found.where((F.col("kind") > 0) & (F.col("n") * (8 * parts) >= F.lit(7 * total))).collect() if total else []
+    known = np.sort(np.array([r["key"] for r in rows if r["kind"] == 1], np.int64).view(np.uint64))
+    pairs = [r["key"] for r in rows if r["kind"] == 2 and np.int64(r["first"]).view(np.uint64) in known]
+    return known, np.sort(np.array(pairs, np.int64).view(np.uint64))
+
+
+_MERGED = "kind int, part int, key long, a long, b long, c long, d long, packed binary"
+_MERGED_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), *((x, pa.int64()) for x in "abcd"), ("packed", pa.binary())])
+
+
+def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None, order: int = 3) -> Model:
     """Count ``texts`` and write the model; null and empty texts are one end.
 
     The model's folder stays in the shared folder until the caller removes
     it, because scoring is lazy.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = texts.sparkSession
     texts = texts.select(F.col(text_col).cast("string").alias("t"))
-    parts = parts or parts_for(texts, "t", max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = parts or parts_for(texts, "t", max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), PART_BYTES)
     folder = new_folder(spark, "kneser-ney")
-    heavy = heavy_contexts(texts, parts)
+    heavy, heavy_pairs = heavy_keys(texts, parts, order)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(us: list, ws: list) -> Iterator[pa.RecordBatch]:
-            u = np.concatenate(us)
-            u, w, c = _tally(u, np.concatenate(ws), np.ones(len(u), np.int64))
-            for p, idx in by_part(_deal(u, w, parts, heavy)):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_pack(u[idx], w[idx], c[idx])], pa.binary())], names=["part", "packed"])
-
-        us, ws, n = [], [], 0
-        for u, w in _streams(batches):
-            us.append(u)
-            ws.append(w)
-            n += len(u)
+        def flush(tokens: list, places: list) -> Iterator[pa.RecordBatch]:
+            names, (u, v, w) = trigrams(np.concatenate(tokens), np.concatenate(places), order)
+            (v, u, w), c = distinct([v, u, w], None, len(names))
+            after, before, hot = deal(names[u], names[v], names[w], parts, heavy, heavy_pairs)
+            again = np.flatnonzero(hot)
+            row = np.concatenate([np.arange(len(v)), again])
+            role = np.concatenate([np.where(hot, AFTER, WHOLE), np.full(len(again), BEFORE)])
+            for slot, at in by_part(np.concatenate([after, before[again]]) * 3 + role):
+                idx = row[at]
+                used, local = np.unique(np.concatenate([v[idx], u[idx], w[idx]]), return_inverse=True)
+                a, b, d = np.split(local, 3)
+                packed = _pack(("k", names[used]), ("i", np.diff(a, prepend=0)), ("i", b), ("i", d), ("c", c[idx]))
+                yield pa.RecordBatch.from_arrays([pa.array([slot // 3], pa.int32()), pa.array([slot % 3], pa.int32()), pa.array([packed], pa.binary())], names=["part", "role", "packed"])
+
+        tokens, places, n = [], [], 0
+        for token, place in _streams(batches):
+            tokens.append(token)
+            places.append(place)
+            n += len(token)
             if n >= FLUSH_TOKENS:
-                yield from flush(us, ws)
-                us, ws, n = [], [], 0
-        if us:
-            yield from flush(us, ws)
+                yield from flush(tokens, places)
+                tokens, places, n = [], [], 0
+        if tokens:
+            yield from flush(tokens, places)
 
     def merge(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        got = [_unpack(x.as_py(), "kwc") for x in table.column("packed")]
-        u, w, c = _tally(*(np.concatenate(x) for x in zip(*got)))
-        key = _bigram_key(u, w)
-        order = np.argsort(key)
-        many = np.minimum(c, 255).astype(np.uint8)[order]
-        over = np.flatnonzero(many == 255)
-        write_arrays(folder, f"pairs-{part}", [*HashArray.layout(key[order]), many, over.astype("<i8"), c[order][over].astype("<i8")])
-        new = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-        stats = np.stack([np.add.reduceat(x.astype(np.int64), new) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
-        uu = u[new]
-        hot = np.isin(uu, heavy)
-        write_arrays(folder, f"contexts-{part}", [*HashArray.layout(uu[~hot]), stats[~hot].astype("<i8").ravel()])
-        rows: list[tuple] = [(0, -1, k, int((c == k).sum()), 0, 0, 0, None) for k in (1, 2, 3, 4)]
-        rows += [(1, -1, int(x.view(np.int64)), *map(int, s), None) for x, s in zip(uu[hot], stats[hot])]
-        by_word = np.argsort(w, kind="stable")
-        w, c = w[by_word], c[by_word]
-        new = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-        ww, preds, total = w[new], np.diff(np.append(new, len(w))), np.add.reduceat(c, new)
-        for p, idx in by_part((mix64(ww + np.uint64(9)) % np.uint64(parts)).astype(np.int64)):
-            rows.append((2, p, 0, 0, 0, 0, 0, _pack(ww[idx], preds[idx], total[idx])))
-        return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("packed", pa.binary())])
-    merged = texts.mapInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(merge, "kind int, part int, key long, a long, b long, c long, d long, packed binary")
-    merged = cut_lineage(merged)
-    sums = {(r["kind"], r["key"]): r for r in merged.where("kind < 2").groupBy("kind", "key").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()}
+        roles = table.column("role").to_pylist()
+        got = [_unpack(x.as_py(), "kiiic") for x in table.column("packed")]
+        names = np.unique(np.concatenate([x[0] for x in got]))
+        by_role = []
+        for role in (WHOLE, AFTER, BEFORE):
+            mine = [(np.searchsorted(names, x[0]), x) for r, x in zip(roles, got) if r == role]
+            v, u, w, c = (np.concatenate(x) if mine else np.zeros(0, np.int64) for x in ([at[np.cumsum(x[1])] for at, x in mine], [at[x[2]] for at, x in mine], [at[x[3]] for at, x in mine], [x[4] for _, x in mine]))
+            by_role.append((*distinct([v, u, w], c, len(names)),))
+        del got
+
+        rows: list[tuple] = []
+        (v, u, w), c = ([np.concatenate(x) for x in zip(by_role[WHOLE][0], by_role[AFTER][0])], np.concatenate([by_role[WHOLE][1], by_role[AFTER][1]]))
+        rows += [(0, -1, k, int((c == k).sum()), 0, 0, 0, None) for k in (1, 2, 3, 4)]
+        key = triple_key(names[u], names[v], names[w])
+        by_key = np.argsort(key)
+        write_arrays(folder, f"top-{part}", [*HashArray.layout(key[by_key]), *narrow(c[by_key])])
+        new = _starts(v, u)
+        key, stats = pair_key(names[u[new]], names[v[new]]), _stats(c, new)
+        hot = _among(key, heavy_pairs) >= 0
+        rows += [(1, -1, int(x.view(np.int64)), *map(int, s), None) for x, s in zip(key[hot], stats[hot])]
+        by_key = np.flatnonzero(~hot)
+        by_key = by_key[np.argsort(key[by_key])]
+        write_arrays(folder, f"top-contexts-{part}", [*HashArray.layout(key[by_key]), *narrow_stats(stats[by_key])])
+
+        v, w = (np.concatenate([by_role[r][0][k] for r in (WHOLE, BEFORE)]) for k in (0, 2))
+        c = np.concatenate([by_role[r][1] for r in (WHOLE, BEFORE)])
+        by_role.clear()
+        (pv, pw), total = distinct([v, w], c, len(names))
+        _, n = distinct([v, w], None, len(names))
+        key = pair_key(names[pv], names[pw])
+        hot = _among(key, heavy_pairs) >= 0
+        rows += [(2, -1, int(k.view(np.int64)), int(x), int(f), int(l), 0, None) for k, x, f, l in zip(key[hot], n[hot], names[pv[hot]].view(np.int64), names[pw[hot]].view(np.int64))]
+        preds = np.where(hot, 0, 1)
+        cold = np.flatnonzero(~hot)
+        cn, cv = n[cold], pv[cold]
+        rows += [(3, -1, k, int((cn == k).sum()), 0, 0, 0, None) for k in (1, 2, 3, 4)]
+        by_key = np.argsort(key[cold])
+        write_arrays(folder, f"pairs-{part}", [*HashArray.layout(key[cold][by_key]), *narrow(cn[by_key])])
+        new = _starts(cv)
+        context, stats = names[cv[new]], _stats(cn, new)
+        hot = _among(context, heavy) >= 0
+        rows += [(4, -1, int(x.view(np.int64)), *map(int, s), None) for x, s in zip(context[hot], stats[hot])]
+        write_arrays(folder, f"contexts-{part}", [*HashArray.layout(context[~hot]), *narrow_stats(stats[~hot])])
+
+        (ww,), total = distinct([pw], total, len(names))
+        _, preds = distinct([pw], preds, len(names))
+        ww = names[ww]
+        for p, idx in by_part(_spread(ww, parts)):
+            rows.append((5, p, 0, 0, 0, 0, 0, _pack(("k", ww[idx]), ("c", preds[idx]), ("c", total[idx]))))
+        return pa.Table.from_pylist([dict(zip(_MERGED_SCHEMA.names, r)) for r in rows], schema=_MERGED_SCHEMA)
+
+    merged = cut_lineage(texts.mapInArrow(count, "part int, role int, packed binary").groupBy("part").applyInArrow(merge, _MERGED))
+    sums = merged.where("kind < 5").groupBy("kind", "key").agg(F.sum("a").alias("a"), *(F.when(F.col("kind") == 2, F.max(x)).otherwise(F.sum(x)).alias(x) for x in "bc"), F.sum("d").alias("d")).collect()
+    told = {(r["kind"], r["key"]): [r[x] for x in "abcd"] for r in sums}
+    signed = lambda x: int(x.view(np.int64))
+    gather = lambda kind, keys: np.array([told.get((kind, signed(k)), [0] * 4) for k in keys], np.int64).reshape(-1, 4)
+    pair_stats, word_stats, pair_rows = gather(1, heavy_pairs), gather(4, heavy), gather(2, heavy_pairs)
+    pair_counts = pair_rows[:, 0]
+    times = [told.get((3, k), [0])[0] + int((pair_counts == k).sum()) for k in (1, 2, 3, 4)]
+    seen = pair_counts > 0
+    np.add.at(word_stats, _among(pair_rows[seen, 1].view(np.uint64), heavy), np.stack([pair_counts, pair_counts == 1, pair_counts == 2, pair_counts >= 3], axis=1)[seen])
+    extra, extra_n = np.unique(pair_rows[seen, 2].view(np.uint64), return_counts=True)
 
     def unigrams(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        got = [_unpack(x.as_py(), "kcc") for x in table.column("packed")]
-        keys, preds, total = (np.concatenate(x) for x in zip(*got))
-        order = np.argsort(keys, kind="stable")
-        keys, preds, total = keys[order], preds[order], total[order]
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys, preds, total = keys[new], np.add.reduceat(preds, new), np.add.reduceat(total, new)
-        write_arrays(folder, f"words-{part}", [*HashArray.layout(keys), preds.astype("<i8"), total.astype("<i8")])
-        return pa.table({"words": [len(keys)], "tokens": [int(total.sum())], "pairs": [int(preds.sum())], **{f"n{k}": [int((preds == k).sum())] for k in (1, 2, 3, 4)}, "many": [int((preds >= 3).sum())]})
-
-    told = cut_lineage(merged.where("kind = 2").select("part", "packed").groupBy("part").applyInArrow(unigrams, "words long, tokens long, pairs long, n1 long, n2 long, n3 long, n4 long, many long"))
-    t = told.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in told.columns)).first()
-    pair_d = discounts([sums[0, k]["a"] if (0, k) in sums else 0 for k in (1, 2, 3, 4)])
+        keys, preds, total = (np.concatenate(x) for x in zip(*(_unpack(x.as_py(), "kcc") for x in table.column("packed"))))
+        names, at = np.unique(keys, return_inverse=True)
+        (_,), total = distinct([at], total, len(names))
+        _, preds = distinct([at], preds, len(names))
+        more = _among(names, extra)
+        preds[more >= 0] += extra_n[more[more >= 0]]
+        write_arrays(folder, f"words-{part}", [*HashArray.layout(names), *narrow(preds), *narrow(total)])
+        return pa.table({"words": [len(names)], "tokens": [int(total.sum())], "pairs": [int(preds.sum())], **{f"n{k}": [int((preds == k).sum())] for k in (1, 2, 3, 4)}, "many": [int((preds >= 3).sum())]})
+
+    counted = cut_lineage(merged.where("kind = 5").select("part", "packed").groupBy("part").applyInArrow(unigrams, "words long, tokens long, pairs long, n1 long, n2 long, n3 long, n4 long, many long"))
+    t = counted.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in counted.columns)).first()
     word_d = discounts([t[f"n{k}"] for k in (1, 2, 3, 4)])
     backoff = (word_d[0] * t["n1"] + word_d[1] * t["n2"] + word_d[2] * t["many"]) / t["pairs"] if t["pairs"] else 1.0
-    hot = sorted((np.int64(k).view(np.uint64), r) for (kind, k), r in sums.items() if kind == 1)
     return Model(
-        folder, parts, int(t["tokens"]), int(t["words"]), int(t["pairs"]), pair_d, word_d, backoff,
-        heavy, np.array([[r["a"], r["b"], r["c"], r["d"]] for x in heavy for k, r in hot if k == x], float).reshape(-1, 4),
+        folder, parts, order, int(t["tokens"]), int(t["words"]), int(t["pairs"]), discounts([told.get((0, k), [0])[0] for k in (1, 2, 3, 4)]), discounts(times), word_d, backoff,
+        heavy, heavy_pairs, word_stats, pair_stats, pair_counts,
     )
 
 
@@ -240,46 +408,60 @@ def _off(model_discounts: tuple[float, float, float], n: np.ndarray) -> np.ndarr
     return np.take(np.array([0.0, *model_discounts]), np.minimum(n, 3).astype(np.int64))
 
 
-def score_tokens(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(count, log10 probability) of tokens after their contexts."""
-    count, preds = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-    for p, idx in by_part((mix64(w + np.uint64(9)) % np.uint64(model.parts)).astype(np.int64)) if model.tokens else ():
-        if not exists(model.folder, f"words-{p}"):
-            continue
-        off, low, n, total = read_arrays(model.folder, f"words-{p}", ["<u8", "<u4", "<i8", "<i8"])
-        at = HashArray(off, low).find(w[idx])
-        ok = at >= 0
-        preds[idx[ok]], count[idx[ok]] = n[at[ok]], total[at[ok]]
-    prob = np.full(len(w), model.word_backoff / (model.vocabulary + 1))
-    if model.bigrams:
-        prob += np.maximum(preds - _off(model.word_discounts, preds), 0.0) / model.bigrams
-    stats = np.zeros((len(w), 4))
-    seen = np.zeros(len(w), np.int64)
-    if len(model.heavy):
-        at = np.minimum(np.searchsorted(model.heavy, u), len(model.heavy) - 1)
-        ok = model.heavy[at] == u
-        stats[ok] = model.heavy_stats[at[ok]]
-    for p, idx in by_part(_deal(u, w, model.parts, model.heavy)) if model.tokens else ():
-        if not exists(model.folder, f"pairs-{p}"):
+def _level(model: Model, name: str, part: np.ndarray, key: np.ndarray, context: np.ndarray, header: tuple[np.ndarray, np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """Fill ``counts`` of the keys and return the statistics of their contexts,
+    from the header where it has them."""
+    stats = np.zeros((len(key), 4), np.int64)
+    at = _among(context, header[0])
+    stats[at >= 0] = header[1][at[at >= 0]]
+    for p, idx in by_part(part):
+        if not exists(model.folder, f"{name}-{p}"):
             continue
-        off, low, many, over, counts = read_arrays(model.folder, f"pairs-{p}", ["<u8", "<u4", "u1", "<i8", "<i8"])
-        at = HashArray(off, low).find(_bigram_key(u[idx], w[idx]))
-        ok = np.flatnonzero(at >= 0)
-        own = many[at[ok]].astype(np.int64)
-        big = np.flatnonzero(own == 255)
-        own[big] = counts[np.searchsorted(over, at[ok][big])]
-        seen[idx[ok]] = own
-        cold = idx[stats[idx, 0] == 0]
-        off, low, flat = read_arrays(model.folder, f"contexts-{p}", ["<u8", "<u4", "<i8"])
-        at = HashArray(off, low).find(u[cold])
-        ok = at >= 0
-        stats[cold[ok]] = flat.reshape(-1, 4)[at[ok]]
+        off, low, *rest = read_arrays(model.folder, f"{name}-{p}", ["<u8", "<u4", "u1", "<i8", "<i8"])
+        found = HashArray(off, low).find(key[idx])
+        ok = found >= 0
+        counts[idx[ok]] = widen(rest, found[ok])
+        cold = idx[at[idx] < 0]
+        off, low, *rest = read_arrays(model.folder, f"{name.replace('pairs', 'contexts').replace('top', 'top-contexts')}-{p}", ["<u8", "<u4", "u1", "<i8", "<i8", "<i8"])
+        found = HashArray(off, low).find(context[cold])
+        ok = found >= 0
+        stats[cold[ok]] = widen_stats(rest, found[ok])
+    return stats
+
+
+def _interpolate(prob: np.ndarray, n: np.ndarray, stats: np.ndarray, off: tuple[float, float, float]) -> np.ndarray:
     total = stats[:, 0]
     known = total > 0
-    gamma = stats[:, 1:] @ np.array(model.pair_discounts)
-    top = np.maximum(seen - _off(model.pair_discounts, seen), 0.0)
-    prob[known] = top[known] / total[known] + gamma[known] / total[known] * prob[known]
-    return count, np.log10(prob)
+    out = prob.copy()
+    out[known] = (np.maximum(n - _off(off, n), 0.0)[known] + (stats[known, 1:] @ np.array(off)) * prob[known]) / total[known]
+    return out
+
+
+def score_tokens(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, log10 probability) of tokens after their two words before."""
+    count, preds = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+    prob = np.full(len(w), model.word_backoff / (model.vocabulary + 1))
+    if not model.tokens:
+        return count, np.log10(prob)
+    for p, idx in by_part(_spread(w, model.parts)):
+        if not exists(model.folder, f"words-{p}"):
+            continue
+        off, low, *rest = read_arrays(model.folder, f"words-{p}", ["<u8", "<u4", "u1", "<i8", "<i8", "u1", "<i8", "<i8"])
+        found = HashArray(off, low).find(w[idx])
+        ok = found >= 0
+        preds[idx[ok]], count[idx[ok]] = widen(rest[:3], found[ok]), widen(rest[3:], found[ok])
+    prob += np.maximum(preds - _off(model.word_discounts, preds), 0.0) / model.bigrams
+    after, before, _ = deal(u, v, w, model.parts, model.heavy_words, model.heavy_pairs)
+    if model.order == 3:
+        key = pair_key(v, w)
+        n = np.zeros(len(w), np.int64)
+        stats = _level(model, "pairs", before, key, v, (model.heavy_words, model.word_stats), n)
+        at = _among(key, model.heavy_pairs)
+        n[at >= 0] = model.pair_counts[at[at >= 0]]
+        prob = _interpolate(prob, n, stats, model.pair_discounts)
+    n = np.zeros(len(w), np.int64)
+    stats = _level(model, "top", after, triple_key(u, v, w), pair_key(u, v), (model.heavy_pairs, model.pair_stats), n)
+    return count, np.log10(_interpolate(prob, n, stats, model.top_discounts))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,13 +478,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             data, bounds = flat_text(batch.column(1))
             out = np.zeros((4, batch.num_rows))
             for lo, hi in slices(bounds, SCORE_BYTES):
-                u, w, rows = token_stream(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                uu, ww, _ = _tally(u, w, np.ones(len(u), np.int64))
-                key = _bigram_key(uu, ww)
-                order = np.argsort(key)
-                count, logp = score_tokens(model, uu, ww)
-                at = order[np.searchsorted(key[order], _bigram_key(u, w))]
-                count, logp = count[at], logp[at]
+                token, rows, place = token_stream(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                names, (u, v, w) = trigrams(token, place, model.order)
+                count, logp = score_tokens(model, names[u], names[v], names[w])
                 for k, x in enumerate((None, count > 0, np.log10(count + 1.0) - scale, logp)):
                     out[k, lo:hi] = np.bincount(rows, weights=x, minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(out[3])], names=[id_col, "n_tokens", "n_known", "base_score", "score"])

@@ -266,7 +266,18 @@ def test_hot_classes(spark):
     assert shared.join_classes(rows.limit(0), classes.limit(0), ["k"]).count() == 0
 
 
-def test_large_counts(spark):
-    u = np.array([5, 5, 9], np.uint64)
-    back = kneser_ney._unpack(kneser_ney._pack(u, u[::-1].copy(), np.array([1 << 40, 1, 3], np.int64)), "kwc")
-    assert [x.tolist() for x in back] == [[5, 5, 9], [9, 5, 5], [1 << 40, 1, 3]]
+def test_large_counts():
+    u, c = np.array([5, 5, 9], np.uint64), np.array([1 << 40, 1, 3])
+    back = kneser_ney._unpack(kneser_ney._pack(("k", u), ("i", c[1:]), ("c", c)), "kic")
+    assert [x.tolist() for x in back] == [[5, 5, 9], [1, 3], [1 << 40, 1, 3]]
+    assert kneser_ney.widen(kneser_ney.narrow(c), np.array([2, 0, 1])).tolist() == [3, 1 << 40, 1]
+    stats = np.array([[3, 1, 1, 0], [1 << 40, 2, 300, 4], [16, 0, 0, 1], [3, 1, 1, 0]])
+    assert kneser_ney.widen_stats(kneser_ney.narrow_stats(stats), np.array([3, 1, 2, 0])).tolist() == stats[[3, 1, 2, 0]].tolist()
+
+
+def test_distinct_beyond_64_bits():
+    rng = np.random.default_rng(0)
+    columns, counts = [rng.integers(0, 3, 200) for _ in range(3)], rng.integers(1, 9, 200)
+    for tally in (counts, None):
+        near, far = (kneser_ney.distinct(columns, tally, size) for size in (3, 1 << 40))
+        assert all(np.array_equal(a, b) for a, b in zip((*near[0], near[1]), (*far[0], far[1])))

@@ -177,44 +177,62 @@ def test_bpe_forgets_pieces(docs, rows, monkeypatch):
     assert sorted(bytes(r.decoded) for r in got) == sorted((t or "").encode() for _, t in rows)
 
 
-def test_language_model_brute_force(docs, rows, nothing):
+@pytest.mark.parametrize(("order", "parts", "finer"), [(3, None, 1), (3, 3, 2000), (2, None, 1), (2, 3, 2000)])
+def test_language_model_brute_force(docs, rows, nothing, monkeypatch, order, parts, finer):
+    """A finer share than a part's makes many words and pairs heavy."""
+    heavy_keys = kneser_ney.heavy_keys
+    monkeypatch.setattr(kneser_ney, "heavy_keys", lambda texts, parts, order: heavy_keys(texts, finer * parts, order))
     train = docs.where(~kneser_ney.held_out())
-    model = kneser_ney.fit(train)
+    model = kneser_ney.fit(train, parts=parts, order=order)
+    if finer > 1:
+        assert len(model.heavy_words) > 20 and len(model.heavy_pairs) > 20 and (order == 2 or model.pair_counts.max() > 1)
     got = kneser_ney.scores(docs, model).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    uni, bi = collections.Counter(), collections.Counter()
+    grams = lambda x: list(zip((["<", "<"] + x if order == 3 else ["<"] * len(x)), ["<"] + x, x))
+    uni, tri = collections.Counter(), collections.Counter()
     for i, t in rows:
         if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
             x = tokens(t)
             uni.update(x)
-            bi.update(zip(["<"] + x, x))
+            tri.update(grams(x))
+    bi = collections.Counter((b, c) for _, b, c in tri)
+    pre = collections.Counter(c for _, c in bi)
     n, v = sum(uni.values()), len(uni)
     assert (model.tokens, model.vocabulary, model.bigrams) == (n, v, len(bi))
-    pre = collections.Counter(w for _, w in bi)
-    db = [0, *kneser_ney.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])]
+
+    def level(counts):
+        d = [0, *kneser_ney.discounts([sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)])]
+        total, seen = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            seen[g[:-1]][min(c, 3) - 1] += 1
+
+        def mixed(g, low):
+            if not total[g[:-1]]:
+                return low
+            return (max(counts[g] - d[min(counts[g], 3)], 0) + sum(x * y for x, y in zip(d[1:], seen[g[:-1]])) * low) / total[g[:-1]]
+
+        return mixed
+
+    top, middle = level(tri), level(bi)
     du = [0, *kneser_ney.discounts([sum(c == k for c in pre.values()) for k in (1, 2, 3, 4)])]
-    total, seen = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in bi.items():
-        total[a] += c
-        seen[a][min(c, 3) - 1] += 1
     back = sum(du[min(c, 3)] for c in pre.values()) / len(bi)
 
-    def p(a, w):
-        low = max(pre[w] - du[min(pre[w], 3)], 0) / len(bi) + back / (v + 1)
-        if not total[a]:
-            return low
-        return max(bi[a, w] - db[min(bi[a, w], 3)], 0) / total[a] + sum(x * y for x, y in zip(db[1:], seen[a])) / total[a] * low
+    def p(g):
+        low = max(pre[g[2]] - du[min(pre[g[2]], 3)], 0) / len(bi) + back / (v + 1)
+        return top(g, middle(g[1:], low) if order == 3 else low)
 
     want = collections.Counter()
     for i, t in rows:
         x = tokens(t)
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in x)
-        want[i, len(x), sum(uni[w] > 0 for w in x), round(base, 5), round(sum(math.log10(p(a, w)) for a, w in zip(["<"] + x, x)), 5)] += 1
+        want[i, len(x), sum(uni[w] > 0 for w in x), round(base, 5), round(sum(math.log10(p(g)) for g in grams(x)), 5)] += 1
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
-    assert abs(sum(p("<", w) for w in uni) + p("<", "never seen") - 1) < 1e-9
-    empty = kneser_ney.fit(nothing)
-    assert all(math.isfinite(r.score) for r in kneser_ney.scores(docs, empty).collect())
-    assert kneser_ney.scores(nothing, model).count() == 0
+    assert abs(sum(p(("<", "<", w)) for w in uni) + p(("<", "<", "never seen")) - 1) < 1e-9
+    if parts is None:
+        empty = kneser_ney.fit(nothing, order=order)
+        assert all(math.isfinite(r.score) for r in kneser_ney.scores(docs, empty).collect())
+        assert kneser_ney.scores(nothing, model).count() == 0
 
 
 def test_media_round_trip(docs, rows, nothing):
