@@ -15,6 +15,9 @@ and by their last pair, and pairs that are as frequent by the whole
 trigram; the sums of these few words and pairs are added up in Spark and
 travel with the model's header.
 
+What follows a pair that occurs once (most pairs) is not stored: the pair is
+in the table of pairs, and its statistics are those of one token.
+
 Two begin marks stand before a text and one end behind it.  The highest
 order uses counts, the lower ones the number of distinct words before.
 """
@@ -36,7 +39,7 @@ from graphloom.llm.shared import cut_lineage
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 FLUSH_TOKENS = 2_000_000
-SCORE_BYTES = 8 << 20
+SCORE_BYTES = 2 << 20
 PART_BYTES = 32 << 20
 WHOLE, AFTER, BEFORE = 0, 1, 2
 
@@ -122,6 +125,19 @@ def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _rises(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``x``, in order within each run of ``group``, as differences."""
+    out = np.diff(x, prepend=0)
+    new = _starts(group)
+    out[new] = x[new]
+    return out
+
+
+def _risen(group: np.ndarray, rises: np.ndarray) -> np.ndarray:
+    new, run = _starts(group), np.cumsum(rises)
+    return run - np.repeat(run[new] - rises[new], np.diff(np.append(new, len(run))))
+
+
 def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(u * np.uint64(0x9E3779B97F4A7C15) + v) >> np.uint64(16)
@@ -304,7 +320,7 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None, orde
                 idx = row[at]
                 used, local = np.unique(np.concatenate([v[idx], u[idx], w[idx]]), return_inverse=True)
                 a, b, d = np.split(local, 3)
-                packed = _pack(("k", names[used]), ("i", np.diff(a, prepend=0)), ("i", b), ("i", d), ("c", c[idx]))
+                packed = _pack(("k", names[used]), ("i", np.diff(a, prepend=0)), ("i", _rises(a, b)), ("i", d), ("c", c[idx]))
                 yield pa.RecordBatch.from_arrays([pa.array([slot // 3], pa.int32()), pa.array([slot % 3], pa.int32()), pa.array([packed], pa.binary())], names=["part", "role", "packed"])
 
         tokens, places, n = [], [], 0
@@ -326,7 +342,7 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None, orde
         by_role = []
         for role in (WHOLE, AFTER, BEFORE):
             mine = [(np.searchsorted(names, x[0]), x) for r, x in zip(roles, got) if r == role]
-            v, u, w, c = (np.concatenate(x) if mine else np.zeros(0, np.int64) for x in ([at[np.cumsum(x[1])] for at, x in mine], [at[x[2]] for at, x in mine], [at[x[3]] for at, x in mine], [x[4] for _, x in mine]))
+            v, u, w, c = (np.concatenate(x) if mine else np.zeros(0, np.int64) for x in ([at[np.cumsum(x[1])] for at, x in mine], [at[_risen(np.cumsum(x[1]), x[2])] for at, x in mine], [at[x[3]] for at, x in mine], [x[4] for _, x in mine]))
             by_role.append((*distinct([v, u, w], c, len(names)),))
         del got
 
@@ -340,7 +356,8 @@ def fit(texts: DataFrame, text_col: str = "text", parts: int | None = None, orde
         key, stats = pair_key(names[u[new]], names[v[new]]), _stats(c, new)
         hot = _among(key, heavy_pairs) >= 0
         rows += [(1, -1, int(x.view(np.int64)), *map(int, s), None) for x, s in zip(key[hot], stats[hot])]
-        by_key = np.flatnonzero(~hot)
+        kept = ~hot & ((stats[:, 0] > 1) | (names[u[new]] == BEGIN)) if order == 3 else ~hot
+        by_key = np.flatnonzero(kept)
         by_key = by_key[np.argsort(key[by_key])]
         write_arrays(folder, f"top-contexts-{part}", [*HashArray.layout(key[by_key]), *narrow_stats(stats[by_key])])
 
@@ -408,25 +425,11 @@ def _off(model_discounts: tuple[float, float, float], n: np.ndarray) -> np.ndarr
     return np.take(np.array([0.0, *model_discounts]), np.minimum(n, 3).astype(np.int64))
 
 
-def _level(model: Model, name: str, part: np.ndarray, key: np.ndarray, context: np.ndarray, header: tuple[np.ndarray, np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """Fill ``counts`` of the keys and return the statistics of their contexts,
-    from the header where it has them."""
-    stats = np.zeros((len(key), 4), np.int64)
-    at = _among(context, header[0])
-    stats[at >= 0] = header[1][at[at >= 0]]
-    for p, idx in by_part(part):
-        if not exists(model.folder, f"{name}-{p}"):
-            continue
-        off, low, *rest = read_arrays(model.folder, f"{name}-{p}", ["<u8", "<u4", "u1", "<i8", "<i8"])
-        found = HashArray(off, low).find(key[idx])
-        ok = found >= 0
-        counts[idx[ok]] = widen(rest, found[ok])
-        cold = idx[at[idx] < 0]
-        off, low, *rest = read_arrays(model.folder, f"{name.replace('pairs', 'contexts').replace('top', 'top-contexts')}-{p}", ["<u8", "<u4", "u1", "<i8", "<i8", "<i8"])
-        found = HashArray(off, low).find(context[cold])
-        ok = found >= 0
-        stats[cold[ok]] = widen_stats(rest, found[ok])
-    return stats
+def _found(model: Model, name: str, keys: np.ndarray, *dtypes: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which keys a file has, their places in it, and its further arrays."""
+    off, low, *rest = read_arrays(model.folder, name, ["<u8", "<u4", *dtypes])
+    at = HashArray(off, low).find(keys)
+    return at, rest
 
 
 def _interpolate(prob: np.ndarray, n: np.ndarray, stats: np.ndarray, off: tuple[float, float, float]) -> np.ndarray:
@@ -437,31 +440,54 @@ def _interpolate(prob: np.ndarray, n: np.ndarray, stats: np.ndarray, off: tuple[
     return out
 
 
-def score_tokens(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(count, log10 probability) of tokens after their two words before."""
-    count, preds = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-    prob = np.full(len(w), model.word_backoff / (model.vocabulary + 1))
+_COUNTS, _STATS = ("u1", "<i8", "<i8"), ("u1", "<i8", "<i8", "<i8")
+
+
+def score_tokens(model: Model, names: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, log10 probability) of tokens after their two words before;
+    ``u``, ``v`` and ``w`` are indices of ``names``, in the order of the texts."""
+    count, preds, stats = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), np.zeros((len(names), 4), np.int64)
+    floor = model.word_backoff / (model.vocabulary + 1)
     if not model.tokens:
-        return count, np.log10(prob)
-    for p, idx in by_part(_spread(w, model.parts)):
-        if not exists(model.folder, f"words-{p}"):
-            continue
-        off, low, *rest = read_arrays(model.folder, f"words-{p}", ["<u8", "<u4", "u1", "<i8", "<i8", "u1", "<i8", "<i8"])
-        found = HashArray(off, low).find(w[idx])
-        ok = found >= 0
-        preds[idx[ok]], count[idx[ok]] = widen(rest[:3], found[ok]), widen(rest[3:], found[ok])
-    prob += np.maximum(preds - _off(model.word_discounts, preds), 0.0) / model.bigrams
-    after, before, _ = deal(u, v, w, model.parts, model.heavy_words, model.heavy_pairs)
+        return count[w], np.full(len(w), np.log10(floor))
+    for p, idx in by_part(_spread(names, model.parts)):
+        if exists(model.folder, f"words-{p}"):
+            at, rest = _found(model, f"words-{p}", names[idx], *_COUNTS, *_COUNTS)
+            ok = at >= 0
+            preds[idx[ok]], count[idx[ok]] = widen(rest[:3], at[ok]), widen(rest[3:], at[ok])
+        if exists(model.folder, f"contexts-{p}"):
+            at, rest = _found(model, f"contexts-{p}", names[idx], *_STATS)
+            stats[idx[at >= 0]] = widen_stats(rest, at[at >= 0])
+    prob = (floor + np.maximum(preds - _off(model.word_discounts, preds), 0.0) / model.bigrams)[w]
+    uu, vv, ww = names[u], names[v], names[w]
+    after, before, _ = deal(uu, vv, ww, model.parts, model.heavy_words, model.heavy_pairs)
+    top = np.zeros((len(w), 4), np.int64)
     if model.order == 3:
-        key = pair_key(v, w)
+        at = _among(names, model.heavy_words)
+        stats[at >= 0] = model.word_stats[at[at >= 0]]
+        key = pair_key(vv, ww)
         n = np.zeros(len(w), np.int64)
-        stats = _level(model, "pairs", before, key, v, (model.heavy_words, model.word_stats), n)
+        for p, idx in by_part(before):
+            if exists(model.folder, f"pairs-{p}"):
+                at, rest = _found(model, f"pairs-{p}", key[idx], *_COUNTS)
+                n[idx[at >= 0]] = widen(rest, at[at >= 0])
         at = _among(key, model.heavy_pairs)
         n[at >= 0] = model.pair_counts[at[at >= 0]]
-        prob = _interpolate(prob, n, stats, model.pair_discounts)
+        prob = _interpolate(prob, n, stats[v], model.pair_discounts)
+        once = np.zeros(len(w), bool)
+        once[1:] = (n[:-1] > 0) & (place[1:] > 0)
+        top[once] = (1, 1, 0, 0)
+    key, context = triple_key(uu, vv, ww), pair_key(uu, vv)
     n = np.zeros(len(w), np.int64)
-    stats = _level(model, "top", after, triple_key(u, v, w), pair_key(u, v), (model.heavy_pairs, model.pair_stats), n)
-    return count, np.log10(_interpolate(prob, n, stats, model.top_discounts))
+    for p, idx in by_part(after):
+        if exists(model.folder, f"top-{p}"):
+            at, rest = _found(model, f"top-{p}", key[idx], *_COUNTS)
+            n[idx[at >= 0]] = widen(rest, at[at >= 0])
+            at, rest = _found(model, f"top-contexts-{p}", context[idx], *_STATS)
+            top[idx[at >= 0]] = widen_stats(rest, at[at >= 0])
+    at = _among(context, model.heavy_pairs)
+    top[at >= 0] = model.pair_stats[at[at >= 0]]
+    return count[w], np.log10(_interpolate(prob, n, top, model.top_discounts))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -480,7 +506,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for lo, hi in slices(bounds, SCORE_BYTES):
                 token, rows, place = token_stream(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 names, (u, v, w) = trigrams(token, place, model.order)
-                count, logp = score_tokens(model, names[u], names[v], names[w])
+                count, logp = score_tokens(model, names, u, v, w, place)
                 for k, x in enumerate((None, count > 0, np.log10(count + 1.0) - scale, logp)):
                     out[k, lo:hi] = np.bincount(rows, weights=x, minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(out[3])], names=[id_col, "n_tokens", "n_known", "base_score", "score"])
