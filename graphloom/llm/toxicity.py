@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier over character n-grams whose features are
 scaled by naive Bayes log-count ratios (NB-SVM), with a logistic loss.
 
-The n-grams of a text are its byte strings of ``LENGTHS`` bytes, ASCII
-lower-cased, each counted once.  The fit uses a bounded sample of labelled
-rows; scoring reads every whole text.
+The n-grams of a text are its strings of ``LENGTHS`` characters (code
+points), ASCII lower-cased, each counted once.  The fit uses a bounded sample
+of labelled rows and scales its scores to probabilities on rows that a model
+of the other half has not seen; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_text import _power_table, flat_text, lower_ascii, slices
 
-LENGTHS = (4, 6, 8)
+LENGTHS = (2, 4, 6)
 BITS = 19
 #: Labelled rows used for the fit, at most, of each class.
 CLASS_ROWS = 4000
@@ -26,8 +28,25 @@ MIN_DOCS = 8
 MIN_RATIO = 1.6
 
 
+def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, ASCII lower-cased, and their row boundaries.
+
+    Bytes that are no UTF-8 make some code point too; a row starts one always.
+    """
+    low = lower_ascii(data)
+    lead = (low & 0xC0) != 0x80
+    lead[bounds[:-1][bounds[:-1] < len(low)]] = True
+    starts = np.flatnonzero(lead)
+    size = np.minimum(np.diff(np.append(starts, len(low))), 4)
+    out = low[starts].astype(np.uint32) & np.array([0, 0xFF, 0x1F, 0x0F, 0x07], np.uint32)[size]
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        out[more] = out[more] << np.uint32(6) | low[starts[more] + k] & np.uint32(0x3F)
+    return out, np.searchsorted(starts, bounds)
+
+
 def ngram_ids(data: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """The hashed id of the n-gram at each byte, -1 where none starts."""
+    """The hashed id of the n-gram at each character, -1 where none starts."""
     size = len(data)
     out = np.full(size, -1, np.int64)
     if size < n:
@@ -51,17 +70,14 @@ class Model:
     bias: float
 
 
-def _train(x: list[np.ndarray], y: np.ndarray, share: float, steps: int = 300, ridge: float = 1e-3) -> Model:
-    """Log-count ratios, then logistic regression on the scaled features."""
+def _solve(x: list[np.ndarray], y: np.ndarray, steps: int, ridge: float) -> Model:
+    """Log-count ratios, then logistic regression on the scaled features; both
+    labels weigh the same and have to be there."""
     width = 1 << BITS
-    if not len(y) or y.min() == y.max():
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(width, np.float32), float(np.log(p / (1 - p))))
     p, q = np.zeros(width), np.zeros(width)
     for own, label in zip(x, y):  # ids are distinct within a row
         (p if label else q)[own] += 1
-    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
-    ratio -= np.log(y.sum() + 1) - np.log((1 - y).sum() + 1) - (np.log((p + 1).sum()) - np.log((q + 1).sum()))
+    ratio = np.log(p + 1) - np.log(q + 1) - np.log(y.sum() + 1) + np.log((1 - y).sum() + 1)
     active = (p + q >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO)
     number = np.full(width, -1)
     number[active] = np.arange(active.sum())
@@ -85,8 +101,39 @@ def _train(x: list[np.ndarray], y: np.ndarray, share: float, steps: int = 300, r
         b -= rate * g1 / (np.sqrt(g2) + 1e-8)
     weights = np.zeros(width, np.float32)
     weights[active] = w * scale
+    return Model(weights, float(b))
+
+
+def _scaled(z: np.ndarray, y: np.ndarray, share: float, steps: int = 50) -> tuple[float, float] | None:
+    """(slope, offset) of a logistic fit of ``y`` on the scores ``z``, the
+    labels weighing as their true shares; None where it has no use."""
+    own = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
+    aim = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    both, at = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, np.log(share / (1 - share))])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(both @ at, -30, 30)))
+        curve = (both * (own * p * (1 - p))[:, None]).T @ both + 1e-6 * np.eye(2)
+        at = at - np.clip(np.linalg.solve(curve, both.T @ (own * (p - aim))), -1, 1)
+    return (float(at[0]), float(at[1])) if at[0] > 0 and np.isfinite(at).all() else None
+
+
+def _train(x: list[np.ndarray], y: np.ndarray, share: float, steps: int = 300, ridge: float = 1e-3) -> Model:
+    """The model of all rows, its scores scaled to probabilities by what models
+    of either half give on the other; a hash of the features deals the halves,
+    so that copies stay together."""
     s = min(max(share, 1e-6), 1 - 1e-6)
-    return Model(weights, float(b + np.log(s / (1 - s))))  # the loss is balanced; here the classes' true shares enter
+    prior = float(np.log(s / (1 - s)))
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(1 << BITS, np.float32), prior)
+    model = _solve(x, y, steps, ridge)
+    half, z, found = np.array([zlib.crc32(own.tobytes()) & 1 for own in x]), np.zeros(len(y)), None
+    if all(0 < y[half == k].sum() < (half == k).sum() for k in (0, 1)):
+        for k in (0, 1):
+            other = _solve([own for own, h in zip(x, half) if h != k], y[half != k], steps, ridge)
+            z[half == k] = [other.weights[own].sum() + other.bias for own, h in zip(x, half) if h == k]
+        found = _scaled(z, y, s)
+    slope, offset = found or (1.0, prior)
+    return Model((model.weights * slope).astype(np.float32), model.bias * slope + offset)
 
 
 def fit(labelled: DataFrame, class_rows: int = CLASS_ROWS, share: float | None = None) -> Model:
@@ -107,8 +154,7 @@ def fit(labelled: DataFrame, class_rows: int = CLASS_ROWS, share: float | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = [], []
         for batch in batches:
-            data, bounds = flat_text(batch.column(0))
-            data = lower_ascii(data)
+            data, bounds = characters(*flat_text(batch.column(0)))
             for i in range(batch.num_rows):
                 own, at = data[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]])
                 ids = np.concatenate([ngram_ids(own, at, n) for n in LENGTHS])
@@ -131,7 +177,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             data, bounds = flat_text(batch.column(1))
             z = np.full(batch.num_rows, bias)
             for lo, hi in slices(bounds):
-                part, at = lower_ascii(data[bounds[lo] : bounds[hi]]), bounds[lo : hi + 1] - bounds[lo]
+                part, at = characters(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 seen = []
                 for n in LENGTHS:
                     ids = ngram_ids(part, at, n)

@@ -114,7 +114,7 @@ def test_op6(spark, folder, table_rows, judged_like):
     model = toxicity.fit(known)
 
     def ids(text):
-        data = np.frombuffer((text or "").encode().lower(), np.uint8)
+        data = np.array([ord(c) for c in (text or "").encode().lower().decode()], np.uint32)
         found = [toxicity.ngram_ids(data, np.array([0, len(data)]), k) for k in toxicity.LENGTHS]
         return {int(x) for f in found for x in f if x >= 0}
 
@@ -138,6 +138,27 @@ def test_op6(spark, folder, table_rows, judged_like):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_characters_are_code_points():
+    rows = ["", "aé", "", "漢字 Ä\U0001F600x", "Z"]
+    raw = [r.encode() for r in rows]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    points, at = toxicity.characters(np.frombuffer(b"".join(raw), np.uint8), bounds)
+    assert points.tolist() == [ord(c) for c in "aé漢字 Ä\U0001F600xz"] and at.tolist() == [0, 0, 2, 2, 8, 9]
+    broken = np.array([0x80, 0x41, 0x80, 0x80, 0x80, 0x80, 0x80, 0xC3], np.uint8)
+    assert toxicity.characters(broken, np.array([0, 3, 3, 8]))[1].tolist() == [0, 2, 2, 4]
+
+
+def test_toxicity_scores_are_scaled_on_unseen_rows():
+    rng = np.random.default_rng(4)
+    y = (np.arange(600) % 3 == 0).astype(float)
+    x = [np.unique(rng.integers(0, 50, 12) + (200 if label and rng.random() < 0.7 else 100)).astype(np.int32) for label in y]
+    model = toxicity._train(x, y, 0.05)
+    p = 1 / (1 + np.exp(-np.array([model.weights[v].sum() + model.bias for v in x])))
+    # with the labels' true shares, scores add up to the share of label 1
+    assert abs(0.05 * p[y == 1].mean() + 0.95 * p[y == 0].mean() - 0.05) < 0.02
+    assert p[y == 1].mean() > p[y == 0].mean()
+
+
 @pytest.fixture(scope="module")
 def judged_like(spark):
     rng = random.Random(9)
