@@ -10,6 +10,7 @@ bucket), so that a hub is spread over many join keys.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -156,29 +157,71 @@ def walk(
     return _as_steps(now)
 
 
-def biased_walk(edges: DataFrame, starts: DataFrame, length: int, p: float, q: float, seed: int = 0) -> DataFrame:
-    """Second-order (node2vec) walks; weights exist only for visited pairs.
+def _options(edges: DataFrame, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """First-order proposals: (_src, _at, lo, hi, nxt, nb, ntot) and (node, b, tot).
 
-    For p = q = 1 this is the first-order walk.
+    ``nb`` and ``ntot`` are the size of the row that ``nxt`` leads to.  With
+    weights a row is cut into buckets of its whole weight; without, every
+    edge has a position of its own and is met by equality alone.
+    """
+    if weighted:
+        table = _bucketed(edges, ("src",), "dst").select("src", F.col("bucket").alias("at"), "lo", "hi", "dst", F.col("buckets").alias("b"), "tot")
+    else:
+        places = cumulative(edges.withColumn("w", F.lit(1.0)))
+        table = places.select("src", F.col("lo").cast("long").alias("at"), "lo", "hi", "dst", F.col("tot").cast("long").alias("b"), "tot")
+    table = cut_lineage(table)
+    size = cut_lineage(table.groupBy("src").agg(F.max("b").alias("b"), F.max("tot").alias("tot")))
+    onward = size.toDF("dst", "nb", "ntot")
+    options = table.join(onward, "dst", "left").select(F.col("src").alias("_src"), F.col("at").alias("_at"), "lo", "hi", F.col("dst").alias("nxt"), "nb", "ntot")
+    return cut_lineage(options), size.toDF("node", "b", "tot")
+
+
+def biased_walk(edges: DataFrame, starts: DataFrame, length: int, p: float, q: float, seed: int = 0, weighted: bool = True) -> DataFrame:
+    """Second-order (node2vec) walks by rejection: (walk_id, step, node).
+
+    A step proposes a first-order neighbour, by weight or, not ``weighted``,
+    by its position in the row, and accepts it at bias / largest bias: 1/p for
+    going back, 1 for a neighbour of the node before, 1/q elsewhere.  Only
+    proposals are looked up, so no table of second-order options exists.
+
+    A round draws a few proposals for every walk that is not finished and
+    takes the first one accepted.  Walks do not wait for each other: one that
+    had no luck tries again in the next round with new draws while others
+    move on, so that the rounds are little more than the steps.  A draw hangs
+    on the walk, its step and the number of the try.  A walk ends at a node
+    without out-edges; for p = q = 1 this is the first-order walk.
     """
     if p == q == 1:
-        return walk(edges, starts, length, seed)
-    edges = cut_lineage(summed(edges))
+        return walk(edges if weighted else edges.withColumn("w", F.lit(1.0)), starts, length, seed)
+    edges = cut_lineage(summed(edges).where("w > 0"))
+    options, size = _options(edges, weighted)
     near = edges.select(F.col("src").alias("prev"), F.col("dst").alias("nxt"), F.lit(True).alias("near"))
-    now = cut_lineage(starts.select("walk_id", F.col("start").alias("prev"), F.col("start").alias("cur"), F.array("start").alias("path")))
-    done = now.limit(0)
-    for t in range(1, length):
-        if t == 1:
-            options = edges.select(F.col("src").alias("prev"), F.col("src").alias("cur"), F.col("dst").alias("nxt"), "w")
-        else:
-            seen = now.select("prev", "cur").distinct()
-            ways = seen.join(edges.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), "w"), "cur").join(near, ["prev", "nxt"], "left")
-            bias = F.when(F.col("nxt") == F.col("prev"), 1.0 / p).when(F.col("near"), 1.0).otherwise(1.0 / q)
-            options = ways.select("prev", "cur", "nxt", (F.col("w") * bias).alias("w"))
-        moved = cut_lineage(draw(now, options, u01("walk", F.col("walk_id"), t, seed), ("prev", "cur"), "nxt", "left"))
-        done = done.unionByName(moved.where("nxt is null").drop("nxt"))
-        now = moved.where("nxt is not null").select("walk_id", F.col("cur").alias("prev"), F.col("nxt").alias("cur"), F.concat("path", F.array("nxt")).alias("path"))
-    return _as_steps(done.unionByName(now))
+    biases = (1.0 / p, 1.0, 1.0 / q)
+    top, tries = max(biases), min(64, 2 * math.ceil(max(biases) / min(biases)))
+    now = starts.select("walk_id", F.col("start").alias("prev"), F.col("start").alias("cur")).join(size.withColumnRenamed("node", "cur"), "cur", "left")
+    now = cut_lineage(now.select("walk_id", "prev", "cur", "b", "tot", F.lit(1).cast("long").alias("step"), F.lit(0).cast("long").alias("tried")))
+    out = now.select("walk_id", F.lit(0).cast("long").alias("step"), F.col("cur").alias("node"))
+    key = F.col("walk_id")
+    while True:
+        going = now.where((F.col("step") < length) & F.col("b").isNotNull())
+        if not going.take(1):
+            return out
+        asked = going.withColumn("try", F.explode(F.sequence("tried", F.col("tried") + (tries - 1))))
+        asked = asked.withColumn("_x", u01("walk", key, F.col("step"), F.col("try"), seed)).withColumn("_k", F.least(F.floor(F.col("_x") * F.col("b")), F.col("b") - 1))
+        hit = (F.col("cur") == F.col("_src")) & (F.col("_k") == F.col("_at")) & (F.col("_x") * F.col("tot") >= F.col("lo")) & (F.col("_x") * F.col("tot") < F.col("hi"))
+        met = asked.join(options, hit).join(near, ["prev", "nxt"], "left")
+        bias = F.when((F.col("step") == 1), top).when(F.col("nxt") == F.col("prev"), biases[0]).when(F.col("near"), biases[1]).otherwise(biases[2])
+        taken = F.when(u01("accept", key, F.col("step"), F.col("try"), seed) * top < bias, F.struct("try", "nxt", "nb", "ntot"))
+        state = met.groupBy("walk_id").agg(*(F.first(c).alias(c) for c in ("prev", "cur", "b", "tot", "step", "tried")), F.min(taken).alias("got"))
+        moved = F.col("got").isNotNull()
+        pick = lambda there, here: F.when(moved, F.col(there)).otherwise(F.col(here))
+        now = cut_lineage(
+            state.select(
+                "walk_id", pick("cur", "prev").alias("prev"), pick("got.nxt", "cur").alias("cur"), pick("got.nb", "b").alias("b"), pick("got.ntot", "tot").alias("tot"),
+                (F.col("step") + moved.cast("long")).alias("step"), F.when(moved, 0).otherwise(F.col("tried") + tries).cast("long").alias("tried"),
+            )
+        )
+        out = out.unionByName(now.where("tried = 0").select("walk_id", (F.col("step") - 1).alias("step"), F.col("cur").alias("node")))
 
 
 def windows(walks: DataFrame, size: int, side: str = "double", trim: bool = False) -> DataFrame:

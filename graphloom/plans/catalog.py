@@ -251,24 +251,35 @@ query("walk_teleport", _walk_sql(6, f"CASE WHEN {RESTART} <= 0.3 THEN CAST(floor
 )
 
 
-def _biased_sql(length: int, p: float, q: float) -> str:
-    ctes = [EDGES, GROUPS, CDF, "s0 AS (SELECT id * 2 + k AS walk_id, id AS prev, id AS cur FROM groups, (SELECT CAST(range AS BIGINT) AS k FROM range(2)))"]
-    ctes.append(f"""second AS (SELECT prev, cur, nxt, sum(w) OVER r - w AS lo, sum(w) OVER r AS hi, sum(w) OVER (PARTITION BY prev, cur) AS tot FROM (
-  SELECT a.src AS prev, a.dst AS cur, b.dst AS nxt, b.w * CASE WHEN b.dst = a.src THEN {1 / p} WHEN c.src IS NOT NULL THEN 1.0 ELSE {1 / q} END AS w
-  FROM edges a JOIN edges b ON a.dst = b.src LEFT JOIN edges c ON c.src = a.src AND c.dst = b.dst)
-  WINDOW r AS (PARTITION BY prev, cur ORDER BY nxt ROWS UNBOUNDED PRECEDING))""")
+def _biased_sql(length: int, p: float, q: float, graph: str = EDGES, starts: str | None = None, tries: int = 100) -> str:
+    """Proposals 0..tries-1 of every step at once; the first one accepted counts."""
+    starts = starts or f"{GROUPS}, s0 AS (SELECT id * 2 + k AS walk_id, id AS prev, id AS cur FROM groups, (SELECT CAST(range AS BIGINT) AS k FROM range(2)))"
+    ctes = [graph, CDF, starts, f"tries AS MATERIALIZED (SELECT CAST(range AS BIGINT) AS try FROM range({tries}))", "tots AS MATERIALIZED (SELECT DISTINCT src, tot FROM cdf)", "flat AS MATERIALIZED (SELECT src, dst, lo, tot FROM cdf)", "pairs AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edges)"]
+    top = max(1 / p, 1.0, 1 / q)
     for t in range(1, length):
-        source = "SELECT src AS prev, src AS cur, dst AS nxt, lo, hi, tot FROM cdf" if t == 1 else "SELECT * FROM second"
-        ctes.append(f"s{t} AS MATERIALIZED (SELECT walk_id, s.cur AS prev, c.nxt AS cur FROM (SELECT *, {u(chr(39) + 'walk' + chr(39), 'walk_id', chr(39) + str(t) + chr(39), chr(39) + '42' + chr(39))} AS u FROM s{t - 1}) s JOIN ({source}) c ON c.prev = s.prev AND c.cur = s.cur AND u * tot >= lo AND u * tot < hi)")
+        draw, accept = (u(f"'{use}'", "walk_id", f"'{t}'", "try", "'42'") for use in ("walk", "accept"))
+        bias = str(top) if t == 1 else f"CASE WHEN c.dst = x.prev THEN {1 / p} WHEN near.a IS NOT NULL THEN 1.0 ELSE {1 / q} END"
+        ctes.append(f"""s{t} AS MATERIALIZED (SELECT x.walk_id, any_value(x.cur) AS prev, arg_min(c.dst, x.try) AS cur
+  FROM (SELECT walk_id, prev, cur, try, {draw} * tot AS u, {accept} AS a FROM s{t - 1} JOIN tots ON tots.src = cur, tries) x
+  ASOF JOIN flat c ON c.src = x.cur AND x.u >= c.lo LEFT JOIN pairs near ON near.a = x.prev AND near.b = c.dst
+  WHERE x.a * {top} < {bias} GROUP BY 1)""")
     union = " UNION ALL ".join(f"SELECT walk_id, CAST({t} AS BIGINT) AS step, cur AS node FROM s{t}" for t in range(length))
     return f"WITH {', '.join(ctes)} {union}"
 
 
 ONES = "edges AS (SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM weighted WHERE w > 5)"
-query("walk_node2vec_unweighted", _biased_sql(6, 0.5, 2.0).replace(EDGES, EDGES.replace("edges AS (", "weighted AS (", 1) + ", " + ONES))(
-    lambda s, d: walks.biased_walk(fixtures.nation_edges(s, d).where("w > 5").withColumn("w", F.lit(1.0)), _starts(s, d), 6, 0.5, 2.0, 42)
+BOTH_WAYS = f"{BIPARTITE}, edges AS (SELECT src, dst, w FROM bip UNION ALL SELECT dst, src, w FROM bip)"
+query("walk_node2vec_unweighted", _biased_sql(40, 0.5, 2.0, EDGES.replace("edges AS (", "weighted AS (", 1) + ", " + ONES))(
+    lambda s, d: walks.biased_walk(fixtures.nation_edges(s, d).where("w > 5"), _starts(s, d), 40, 0.5, 2.0, 42, weighted=False)
 )
-query("walk_node2vec", _biased_sql(6, 0.5, 2.0))(lambda s, d: walks.biased_walk(fixtures.nation_edges(s, d), _starts(s, d), 6, 0.5, 2.0, 42))
+query("walk_node2vec", _biased_sql(40, 0.5, 2.0))(lambda s, d: walks.biased_walk(fixtures.nation_edges(s, d), _starts(s, d), 40, 0.5, 2.0, 42))
+
+
+@query("walk_node2vec_supplier_part", _biased_sql(40, 0.5, 2.0, BOTH_WAYS, "s0 AS (SELECT DISTINCT src AS walk_id, src AS prev, src AS cur FROM edges)"))
+def _walk_large(spark: SparkSession, d: str) -> DataFrame:
+    edges = cut_lineage(graph.symmetrised(fixtures.supplier_part_edges(spark, d)))
+    return walks.biased_walk(edges, walks.start_walks(graph.nodes_of(edges), 1), 40, 0.5, 2.0, 42)
+
 
 _WINDOW = "SELECT a.walk_id, a.step, a.node AS center, b.node AS context FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND {cond}"
 query("event_windows_trim", f"WITH {EVENTS}, m AS (SELECT walk_id, max(step) AS last FROM walks GROUP BY 1) {_WINDOW.format(cond='b.step BETWEEN a.step + 1 AND a.step + 3')} JOIN m ON m.walk_id = a.walk_id AND a.step + 3 <= last")(
