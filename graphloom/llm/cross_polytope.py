@@ -233,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     components, and rows with a null id, link with nothing; a null id has a
     null component and is not kept.  A shorter vector counts as filled up
     with zeros.  Repeated rows are linked with each other; rows that share an
-    id have one component.  An empty table gives an empty table.  Different
+    id are rows of their own.  An empty table gives an empty table.  Different
     vectors are told apart by 128 bits of hash.
     """
     if not 0 < threshold < 1:
@@ -260,10 +260,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     pairs = asking.join(kept, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     to_ball, to_node, links = _ball_links(members, balls, pairs, angle, threshold)
 
-    name = lambda side: balls.select(F.col("ball").alias(side), F.col("least").alias(f"low_{side}"))
-    roots = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
-    of_ball = balls.join(roots, balls["least"] == roots["node"], "left").join(to_ball, "ball", "left")
-    of_ball = of_ball.select("ball", F.coalesce("root", "least").alias("component_id"), (F.col("total") - 1 + F.coalesce("n", F.lit(0))).alias("base"))
+    roots = balls.join(components(links).withColumnRenamed("node", "ball"), "ball", "left").select("ball", "total", "least", F.coalesce("root", "ball").alias("root"))
+    lowest = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_balls"))
+    of_ball = join_classes(roots.select("ball", "total", "root"), lowest, ["root"], "n_balls").join(to_ball, "ball", "left")
+    of_ball = of_ball.select("ball", "component_id", (F.col("total") - 1 + F.coalesce("n", F.lit(0))).alias("base"))
     sized = members.groupBy("ball").agg(F.count(F.lit(1)).alias("n_members"))
     found = join_classes(members.select("node", "ball"), of_ball.join(sized, "ball"), ["ball"], "n_members").join(to_node, "node", "left")
     found = found.select("node", "component_id", (F.col("base") + F.coalesce("n", F.lit(0))).alias("n_links"))
