@@ -1,8 +1,9 @@
-"""Node embedding models: a name gives a function ``(edges, dim) -> (id, vec)``.
+"""Node embedding models: a name gives ``(edges, dim) -> (id, vec, out)``.
 
-Spectral models run as distributed sketches.  Models trained by stochastic
-gradients count their pairs in Spark and train in one Arrow task over the
-counted table; the graph operators around them stay distributed.
+``vec`` is a node's vector as a center and ``out`` its vector as a context.
+Spectral models run as distributed sketches.  Skip-gram and GloVe train over
+partitions (``blockwise``); the graph networks train in one Arrow task, and
+the graph operators around them stay distributed.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import safe_log, u01
 from graphloom.functions.session import cut_lineage
-from graphloom.operators import blocks, linalg
+from graphloom.operators import blocks, blockwise, linalg
 from graphloom.operators.graph import degrees, fairwalk_weights, nodes_of, normalised_adjacency, summed
 from graphloom.operators.samplers import NodeSampler, configuration_noise, triplets
 from graphloom.operators.walks import biased_walk, offset_windows, pair_counts, start_walks
@@ -32,32 +33,42 @@ def _as_rows(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["id", "vec"])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def two_factors(left: DataFrame, s: np.ndarray, right: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(id, vec, out): U S^alpha and V S^(1 - alpha), whose products give the matrix back.
 
+    A node without a row, or without a column, has zeros there."""
+    vec, out = linalg.rotated(left, np.diag(s**alpha)), linalg.rotated(right, np.diag(s ** (1 - alpha))).toDF("id", "out")
+    zero = F.array_repeat(F.lit(0.0), len(s))
+    return vec.join(out, "id", "full").select("id", F.coalesce("vec", zero).alias("vec"), F.coalesce("out", zero).alias("out"))
 
-def residual_factorisation(groups: DataFrame | None = None, window: int = 10, block_count: int = 1000, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
-    """Truncated residual matrix, factorised without being assembled: U S^1/2."""
+
+def same_both_ways(vectors: DataFrame) -> DataFrame:
+    """(id, vec, out) of a model whose contexts are its centers."""
+    return vectors.select("id", "vec", F.col("vec").alias("out"))
+
+
+def residual_factorisation(groups: DataFrame | None = None, window: int = 10, block_count: int = 1000, alpha: float = 0.5, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
+    """Truncated residual matrix, factorised without being assembled: U S^alpha and V S^(1 - alpha)."""
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
         edges = cut_lineage(summed(edges))
         own = nodes_of(edges)
         null = groups if groups is not None else own.withColumn("grp", F.lit(0).cast("long"))
         found = blocks.find_blocks(edges, block_count, seed) if window > 1 else own.withColumn("grp", F.col("id"))
-        left, s, _ = linalg.svd(blocks.residual_terms(edges, cut_lineage(found), null, window), dim, seed=seed)
-        return linalg.rotated(left, np.diag(np.sqrt(s)))
+        return two_factors(*linalg.svd(blocks.residual_terms(edges, cut_lineage(found), null, window), dim, seed=seed), alpha)
 
     return run
 
 
 def laplacian_eigenmap(seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
-    """Left singular vectors of the normalised adjacency without the first,
-    divided by the root of the degree."""
+    """Left singular vectors u of the normalised adjacency without the first;
+    centers are u over the root of the degree, contexts u."""
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
         left, _, _ = linalg.svd(cut_lineage(normalised_adjacency(edges)), dim + 1, seed=seed)
         deg = degrees(edges).select("id", F.greatest("out_w", F.lit(1e-12)).alias("d"))
-        return left.join(deg, "id").select("id", F.transform(F.slice("vec", 2, dim), lambda x: x / F.sqrt("d")).alias("vec"))
+        rest = F.slice("vec", 2, dim)
+        return left.join(deg, "id").select("id", F.transform(rest, lambda x: x / F.sqrt("d")).alias("vec"), rest.alias("out"))
 
     return run
 
@@ -73,33 +84,39 @@ def netmf_matrix(edges: DataFrame, window: int) -> DataFrame:
 
 
 def netmf(window: int = 4, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
-    """Factorised NetMF matrix for small windows: U S^1/2."""
+    """Factorised NetMF matrix for small windows: U S^1/2 and V S^1/2."""
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
-        left, s, _ = linalg.svd(cut_lineage(netmf_matrix(edges, window)), dim, seed=seed)
-        return linalg.rotated(left, np.diag(np.sqrt(s)))
+        return two_factors(*linalg.svd(cut_lineage(netmf_matrix(edges, window)), dim, seed=seed))
 
     return run
 
 
-def netmf_spectral(window: int = 10, rank: int = 256, negatives: float = 1.0, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
+def netmf_spectral_matrix(edges: DataFrame, window: int = 10, rank: int = 256, negatives: float = 1.0, seed: int = 0) -> DataFrame:
     """NetMF for large windows from ``rank`` eigenpairs of the normalised
-    adjacency: M = vol / b * X X' with X filtered by the mean of powers
-    1..T-1; entries ln max(M, 1) of pairs with positive values are kept."""
+    adjacency: ln max(M, 1) on its positive entries, the diagonal among them,
+    of M = vol / b * X X' with X filtered by the mean of powers 1..T-1.
+
+    All pairs of nodes are scored, block by block; for small graphs.
+    """
+    from graphloom.operators.evaluate import all_scores
+
+    total = edges.agg(F.sum("w")).first()[0]
+    left, s, right = linalg.svd(cut_lineage(normalised_adjacency(edges, 1.0)), rank, seed=seed)
+    sign = np.sign(np.diag(linalg_cross(left, right, rank)))
+    lam = s * np.where(sign == 0, 1, sign)
+    keep = np.maximum(sum(lam**t for t in range(1, window)) / window, 0.0)
+    deg = degrees(edges).select("id", F.greatest("out_w", F.lit(1.0)).alias("d"))
+    x = linalg.rotated(left, np.diag(np.sqrt(keep))).join(deg, "id").select("id", F.transform("vec", lambda v: v / F.sqrt("d")).alias("vec"))
+    scores = all_scores(cut_lineage(x))
+    return scores.select(F.col("id").alias("src"), F.col("other").alias("dst"), safe_log(F.col("score") * float(total / negatives), 1.0).alias("w")).where("w > 0")
+
+
+def netmf_spectral(window: int = 10, rank: int = 256, negatives: float = 1.0, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
+    """``netmf_spectral_matrix`` factorised: U S^1/2 and V S^1/2."""
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
-        total = edges.agg(F.sum("w")).first()[0]
-        left, s, right = linalg.svd(cut_lineage(normalised_adjacency(edges, 1.0)), rank, seed=seed)
-        sign = np.sign(np.diag(linalg_cross(left, right, rank)))
-        lam = s * np.where(sign == 0, 1, sign)
-        keep = np.maximum(sum(lam**t for t in range(1, window)) / window, 0.0)
-        deg = degrees(edges).select("id", F.greatest("out_w", F.lit(1.0)).alias("d"))
-        x = linalg.rotated(left, np.diag(np.sqrt(keep))).join(deg, "id").select("id", F.transform("vec", lambda v: v / F.sqrt("d")).alias("vec"))
-        from graphloom.operators.evaluate import nearest
-
-        m = nearest(cut_lineage(x), 10**9).select(F.col("id").alias("src"), F.col("other").alias("dst"), safe_log(F.col("score") * float(total / negatives), 1.0).alias("w")).where("w > 0")
-        u, s2, _ = linalg.svd(cut_lineage(m), dim, seed=seed)
-        return linalg.rotated(u, np.diag(np.sqrt(s2)))
+        return two_factors(*linalg.svd(cut_lineage(netmf_spectral_matrix(edges, window, rank, negatives, seed)), dim, seed=seed))
 
     return run
 
@@ -115,7 +132,7 @@ def log_degree(dim_free: bool = True) -> Callable[[DataFrame, int], DataFrame]:
     """Zero vectors; the score comes from offsets ln max(degree, 1) alone."""
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
-        return nodes_of(edges).select("id", F.array_repeat(F.lit(0.0), dim).alias("vec"))
+        return same_both_ways(nodes_of(edges).select("id", F.array_repeat(F.lit(0.0), dim).alias("vec")))
 
     return run
 
@@ -125,55 +142,118 @@ def _walk_pairs(edges: DataFrame, per_node: int, length: int, window: int, p: fl
     return offset_windows(walks, window, side)
 
 
-def skip_gram(per_node: int = 5, length: int = 40, window: int = 10, p: float = 1.0, q: float = 1.0, noise: NodeSampler | None = None, epochs: int = 20, rate: float = 0.05, joint: bool = False, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
-    """Skip-gram with one noise context a pair: maximise ls(o.i) + ls(-n.i).
+def _chance(pairs: DataFrame, window: int, seed: int) -> DataFrame:
+    """Windows shrunk as word2vec does: a center reaches 1..``window`` steps, drawn evenly."""
+    reach = 1 + F.floor(u01("reach", F.col("walk_id"), F.col("step"), seed) * window)
+    return pairs.where(F.abs("offset") <= reach)
+
+
+def _noise_weights(pairs: DataFrame, power: float) -> DataFrame:
+    """(id, weight): what contexts are drawn by: their count to ``power``."""
+    return pairs.groupBy(F.col("context").alias("id")).agg(F.pow(F.sum("freq").cast("double"), F.lit(power)).alias("weight"))
+
 
-    With ``joint`` the noise term has a center of its own.  Triplets are
-    counted in Spark; one Arrow task trains on the counted table with AdaGrad.
+def skip_gram(per_node: int = 5, length: int = 40, window: int = 10, p: float = 1.0, q: float = 1.0, negatives: int = 5, power: float = 0.75, epochs: int = 1, rate: float = 0.05, batch: int = 256, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
+    """Node2Vec: skip-gram with negative sampling over blocks of nodes.
+
+    Every pair of a shrunk window is one positive; negatives are drawn by
+    count^``power`` among the contexts of the block met.  Repeated pairs are
+    one row with a count.
     """
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
-        pairs = _walk_pairs(edges, per_node, length, window, p, q, seed)
-        rows = triplets(pairs, edges, noise or configuration_noise(seed), joint, seed)
-        if not joint:
-            rows = rows.withColumn("noise_center", F.col("center"))
-        counted = rows.groupBy("center", "context", "noise", "noise_center").agg(F.count(F.lit(1)).alias("n"))
+        walks = cut_lineage(biased_walk(edges, start_walks(nodes_of(edges), per_node), length, p, q, seed))
+        counts = cut_lineage(pair_counts(_chance(offset_windows(walks, window), window, seed)))
+        nodes = nodes_of(edges)
+        tables = blockwise.start_tables(nodes, dim, seed, _noise_weights(counts, power), zero_contexts=True)
+        many = blockwise.blocks_for(nodes.count(), counts.count())
+        rows = counts.select(F.col("center").alias("a"), F.col("context").alias("b"), F.lit(1.0).alias("y"), F.col("freq").alias("n"))
+        return blockwise.two_sided(blockwise.train(cut_lineage(tables), rows, many, rate=rate, batch=batch, negatives=negatives, epochs=epochs, seed=seed), dim)
 
-        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches))
-            if not table.num_rows:
-                return
-            cols = [np.asarray(table.column(k).combine_chunks()) for k in ("center", "context", "noise", "noise_center")]
-            weight = np.asarray(table.column("n").combine_chunks()).astype(float)
-            ids, codes = np.unique(np.concatenate(cols), return_inverse=True)
-            c, o, x, xc = codes.reshape(4, -1)
-            rng = np.random.default_rng(seed)
-            a, b = (rng.random((len(ids), dim)) - 0.5) / dim, (rng.random((len(ids), dim)) - 0.5) / dim
-            ga, gb = np.full_like(a, 1e-8), np.full_like(b, 1e-8)
-            for _ in range(epochs):
-                order = rng.permutation(len(c))
-                for lo in range(0, len(c), 8192):
-                    k = order[lo : lo + 8192]
-                    gp = ((1 - _sigmoid((a[c[k]] * b[o[k]]).sum(1))) * weight[k])[:, None]
-                    gn = (-_sigmoid((a[xc[k]] * b[x[k]]).sum(1)) * weight[k])[:, None]
-                    da, db = np.zeros_like(a), np.zeros_like(b)
-                    np.add.at(da, c[k], gp * b[o[k]])
-                    np.add.at(da, xc[k], gn * b[x[k]])
-                    np.add.at(db, o[k], gp * a[c[k]])
-                    np.add.at(db, x[k], gn * a[xc[k]])
-                    ga += da * da
-                    gb += db * db
-                    a += rate * da / np.sqrt(ga)
-                    b += rate * db / np.sqrt(gb)
-            yield _as_rows(ids, a)
-
-        return counted.repartition(1).sortWithinPartitions("center", "context", "noise", "noise_center").mapInArrow(train, VECTORS)
+    return run
+
+
+def contexts_of(vectors: DataFrame, counts: DataFrame, dim: int, negatives: int = 5, power: float = 0.75, rate: float = 0.05, seed: int = 0) -> DataFrame:
+    """(id, vec, out): context vectors by negative sampling against centers that stay as they are."""
+    nodes = vectors.select("id")
+    tables = blockwise.start_tables(nodes, dim, seed, _noise_weights(counts, power), zero_contexts=True).where("side = 1")
+    zero = F.array_repeat(F.lit(0.0), dim)
+    fixed = vectors.select(F.lit(0).alias("side"), "id", F.lit(0.0).alias("weight"), "vec", zero.alias("m"), zero.alias("v"), F.lit(0).cast("long").alias("t"))
+    rows = counts.select(F.col("center").alias("a"), F.col("context").alias("b"), F.lit(1.0).alias("y"), F.col("freq").alias("n"))
+    many = blockwise.blocks_for(nodes.count(), counts.count())
+    return blockwise.two_sided(blockwise.train(cut_lineage(fixed.unionByName(tables)), rows, many, rate=rate, batch=256, negatives=negatives, frozen=True, seed=seed), dim)
+
+
+class TripletBuffers:
+    """Triplets (center, context, noise) of buffers of walks.
+
+    Nodes stand in one fixed random order.  A buffer holds one walk from each
+    node of the next stretch of ``buffer`` nodes and all its window pairs with
+    their noise; after the last node the first one follows.  The set has
+    nodes x walks x length samples, the last buffer is cut there.
+    """
+
+    def __init__(self, edges: DataFrame, noise: NodeSampler, per_node: int = 5, length: int = 40, window: int = 10, p: float = 1.0, q: float = 1.0, side: str = "double", buffer: int = 100_000, joint: bool = False, seed: int = 0) -> None:
+        from graphloom.functions.ranking import running_sums
+
+        self.edges, self.noise, self.joint, self.seed = edges, noise, joint, seed
+        self.length, self.window, self.p, self.q, self.side, self.buffer = length, window, p, q, side, buffer
+        drawn = nodes_of(edges).select("id", u01("node-order", F.col("id"), seed).alias("u"), F.lit(1).cast("long").alias("one"))
+        self.order = cut_lineage(running_sums(drawn, [F.col("u"), F.col("id")], {"place": "one"}).select("id", (F.col("place") - 1).alias("place")))
+        self.nodes = self.order.count()
+        self.samples = self.nodes * per_node * length
+
+    def __len__(self) -> int:
+        return self.samples
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        left, first, number = self.samples, 0, 0
+        while left > 0 and self.nodes:
+            last = min(first + self.buffer, self.nodes)
+            starts = self.order.where((F.col("place") >= first) & (F.col("place") < last)).select(F.col("place").alias("walk_id"), F.col("id").alias("start"))
+            walks = cut_lineage(biased_walk(self.edges, starts, self.length, self.p, self.q, self.seed * 1_000_003 + number))
+            pairs = offset_windows(walks, self.window, self.side)
+            rows = cut_lineage(triplets(pairs, self.edges, self.noise, self.joint, self.seed * 1_000_003 + number))
+            found = rows.count()
+            if not found:
+                return  # no node has a way out
+            if found > left:
+                from graphloom.functions.ranking import first_rows
+
+                rows = cut_lineage(first_rows(rows, left, F.xxhash64("draw"), F.col("draw")))
+            yield rows
+            left, first, number = left - found, last % self.nodes, number + 1
+
+
+def residual_sgd(noise: NodeSampler | None = None, per_node: int = 5, length: int = 40, window: int = 10, p: float = 1.0, q: float = 1.0, batch: int = 256, least: int = 200, rate: float = 0.003, clip: float = 1.0, buffer: int = 100_000, joint: bool = False, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
+    """Skip-gram against a noise model: ls(o.i) + ls(-n.i), by Adam on batches with clipped gradients.
+
+    Samples come from refilled buffers; walks are added until there are
+    ``least`` batches.  A triplet is a row with y = 1 and one with y = 0, each
+    trained in the block pair of its own ends; with ``joint`` the noise has a
+    center of its own.  A batch is ``batch`` triplets, so twice the rows.
+    """
+
+    def run(edges: DataFrame, dim: int) -> DataFrame:
+        edges = cut_lineage(summed(edges))
+        nodes = nodes_of(edges).count()
+        walks = int(np.ceil(per_node * max(1.0, batch * least / max(1, nodes * per_node * length))))
+        samples = TripletBuffers(edges, noise or configuration_noise(seed), walks, length, window, p, q, "double", buffer, joint, seed)
+        state = cut_lineage(blockwise.start_tables(nodes_of(edges), dim, seed))
+        for number, rows in enumerate(samples):
+            center = F.col("noise_center") if joint else F.col("center")
+            good = rows.select(F.col("center").alias("a"), F.col("context").alias("b"), F.lit(1.0).alias("y"), F.lit(1.0).alias("n"))
+            bad = rows.select(center.alias("a"), F.col("noise").alias("b"), F.lit(0.0).alias("y"), F.lit(1.0).alias("n"))
+            many = blockwise.blocks_for(nodes, 2 * rows.count())
+            state = blockwise.train(state, good.unionByName(bad), many, steps="adam", rate=rate, batch=2 * batch, a_sample=2, clip=clip, seed=seed * 1_000_003 + number)
+        return blockwise.two_sided(state, dim)
 
     return run
 
 
 def word_vectors(per_node: int = 5, length: int = 40, window: int = 10, p: float = 1.0, q: float = 1.0, fair: bool = False, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
-    """Node2Vec, DeepWalk (p = q = 1) and Fairwalk on MLlib's Word2Vec."""
+    """DeepWalk (p = q = 1) and Fairwalk: hierarchical softmax by MLlib's Word2Vec,
+    and contexts by negative sampling against its vectors."""
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
         from pyspark.ml.feature import Word2Vec
@@ -186,42 +266,26 @@ def word_vectors(per_node: int = 5, length: int = 40, window: int = 10, p: float
         texts = cut_lineage(sentences(walks))
         parts = max(1, texts.count() // WALKS_A_PART)
         model = Word2Vec(vectorSize=dim, minCount=0, windowSize=window, maxIter=1, numPartitions=parts, seed=seed, inputCol="words", outputCol="v").fit(texts)
-        return model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("vec"))
+        vectors = model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("vec"))
+        counts = cut_lineage(pair_counts(_chance(offset_windows(walks, window), window, seed)))
+        return contexts_of(cut_lineage(vectors), counts, dim, seed=seed)
 
     return run
 
 
 def glove(per_node: int = 5, length: int = 40, window: int = 10, rate: float = 0.05, epochs: int = 25, top: float = 100.0, power: float = 0.75, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
-    """Weighted least squares on log co-occurrence counts with AdaGrad."""
+    """Weighted least squares on log co-occurrence counts with AdaGrad, over
+    blocks of nodes; a node's word vector serves as its context too."""
 
     def run(edges: DataFrame, dim: int) -> DataFrame:
-        counts = pair_counts(_walk_pairs(edges, per_node, length, window, 1.0, 1.0, seed))
-
-        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches))
-            if not table.num_rows:
-                return
-            i, j, n = (np.asarray(table.column(k).combine_chunks()) for k in ("center", "context", "freq"))
-            ids, codes = np.unique(np.concatenate([i, j]), return_inverse=True)
-            i, j = codes.reshape(2, -1)
-            rng = np.random.default_rng(seed)
-            params = [(rng.random((len(ids), dim)) - 0.5) / dim, (rng.random((len(ids), dim)) - 0.5) / dim, np.zeros(len(ids)), np.zeros(len(ids))]
-            hist = [np.ones_like(x) for x in params]
-            target, weight = np.log(n), np.minimum(1.0, (n / top) ** power)
-            for _ in range(epochs):
-                a, b, x, y = params
-                error = weight * ((a[i] * b[j]).sum(1) + x[i] + y[j] - target)
-                grads = [np.zeros_like(v) for v in params]
-                np.add.at(grads[0], i, error[:, None] * b[j])
-                np.add.at(grads[1], j, error[:, None] * a[i])
-                np.add.at(grads[2], i, error)
-                np.add.at(grads[3], j, error)
-                for v, h, g in zip(params, hist, grads):
-                    h += g * g
-                    v -= rate * g / np.sqrt(h)
-            yield _as_rows(ids, params[0])
-
-        return counts.repartition(1).sortWithinPartitions("center", "context").mapInArrow(train, VECTORS)
+        counts = cut_lineage(pair_counts(_walk_pairs(edges, per_node, length, window, 1.0, 1.0, seed)))
+        nodes = nodes_of(edges)
+        weight = F.least(F.lit(1.0), F.pow(F.col("freq") / top, F.lit(power)))
+        rows = counts.select(F.col("center").alias("a"), F.col("context").alias("b"), F.log("freq").alias("y"), weight.alias("n"))
+        many = blockwise.blocks_for(nodes.count(), counts.count())
+        tables = cut_lineage(blockwise.start_tables(nodes, dim, seed, extra=1))
+        state = blockwise.train(tables, rows, many, "squares", rate=rate, epochs=epochs, seed=seed)
+        return same_both_ways(blockwise.two_sided(state, dim))
 
     return run
 
@@ -276,7 +340,7 @@ def graph_network(kind: str = "gcn", seed: int = 0, **options: float) -> Callabl
             z = networks.sampled_neighbours(feats, i, j, dim, seed=seed, **options) if kind == "sage" else networks.reconstruct(kind, feats, i, j, w, dim, seed=seed, **options)
             yield _as_rows(ids, z)
 
-        return rows.repartition(1).mapInArrow(train, VECTORS)
+        return same_both_ways(rows.repartition(1).mapInArrow(train, VECTORS))
 
     return run
 
@@ -287,8 +351,8 @@ def registry(groups: DataFrame | None = None, seed: int = 0) -> dict[str, Callab
 
     out = {
         "deepwalk": word_vectors(seed=seed),
-        "node2vec": word_vectors(p=1.0, q=1.0, seed=seed),
-        "node2vec-pq": word_vectors(p=0.5, q=2.0, seed=seed),
+        "node2vec": skip_gram(seed=seed),
+        "node2vec-pq": skip_gram(p=0.5, q=2.0, seed=seed),
         "fairwalk": word_vectors(fair=True, seed=seed),
         "glove": glove(seed=seed),
         "leigenmap": laplacian_eigenmap(seed),
@@ -296,16 +360,16 @@ def registry(groups: DataFrame | None = None, seed: int = 0) -> dict[str, Callab
         "netmf-spectral": netmf_spectral(seed=seed),
         "lndeg": log_degree(),
         "residual": residual_factorisation(seed=seed),
-        "residual-sgd": skip_gram(noise=configuration_noise(seed), seed=seed),
-        "residual-sgd-joint": skip_gram(noise=configuration_noise(seed), joint=True, seed=seed),
-        "residual-sgd-uniform": skip_gram(noise=uniform_noise(seed), seed=seed),
+        "residual-sgd": residual_sgd(noise=configuration_noise(seed), seed=seed),
+        "residual-sgd-joint": residual_sgd(noise=configuration_noise(seed), joint=True, seed=seed),
+        "residual-sgd-uniform": residual_sgd(noise=uniform_noise(seed), seed=seed),
         "gcn": graph_network("gcn", seed=seed),
         "gat": graph_network("gat", seed=seed),
         "graphsage": graph_network("sage", seed=seed),
     }
     if groups is not None:
         out["residual-groups"] = residual_factorisation(groups, seed=seed)
-        out["residual-sgd-groups"] = skip_gram(noise=block_noise(groups, seed=seed), seed=seed)
+        out["residual-sgd-groups"] = residual_sgd(noise=block_noise(groups, seed=seed), seed=seed)
     return out
 
 

@@ -808,12 +808,11 @@ SELECT src, dst, round(x, 5) + 0.0 AS w FROM (SELECT src, dst, ln(greatest(w * (
 
 
 @query("graph_convolution", f"""WITH {EDGES}, {VECTORS}, al AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM edges UNION ALL SELECT id, id, CAST(1 AS DOUBLE) FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)) GROUP BY 1, 2),
-dg AS (SELECT src AS id, sum(w) AS d FROM al GROUP BY 1)
-SELECT src AS id, {r6('sum(w / sqrt(a.d) / sqrt(b.d) * vec[1])')} AS x0, {r6('sum(w / sqrt(a.d) / sqrt(b.d) * vec[2])')} AS x1 FROM al JOIN dg a ON a.id = src JOIN dg b ON b.id = dst JOIN v ON v.id = dst GROUP BY 1""")
+dg AS (SELECT src AS id, sum(w) AS d FROM al GROUP BY 1), ks AS (SELECT range AS k FROM range(1, 65))
+SELECT src AS id, k - 1 AS k, {r6('sum(w / sqrt(a.d) / sqrt(b.d) * vec[k])')} AS x FROM al JOIN dg a ON a.id = src JOIN dg b ON b.id = dst JOIN v ON v.id = dst, ks GROUP BY 1, 2""")
 def _convolution(spark: SparkSession, d: str) -> DataFrame:
-    x = fixtures.vectors(spark, d).select("id", F.slice("vec", 1, 2).alias("vec"))
-    out = models.propagate(_nation(spark, d)[0], x, 2)
-    return out.select("id", rounded(F.col("vec")[0]).alias("x0"), rounded(F.col("vec")[1]).alias("x1"))
+    out = models.propagate(_nation(spark, d)[0], fixtures.vectors(spark, d).select("id", "vec"), 64)
+    return out.select("id", F.posexplode("vec").alias("k", "x")).select("id", F.col("k").cast("long").alias("k"), rounded(F.col("x")).alias("x"))
 
 
 @query("principal_components")
@@ -867,14 +866,62 @@ def _svd_sums(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(float(round((s**2).sum() / 1000)), float(round((s**4).sum() / 1e9)))], "squares double, fourths double")
 
 
+def _products(pairs: DataFrame, factors: DataFrame, digits: int) -> DataFrame:
+    """The product of a center's and a context's vectors for each pair (src, dst)."""
+    left, right = factors.select(F.col("id").alias("src"), "vec"), factors.select(F.col("id").alias("dst"), "out")
+    return pairs.select("src", "dst").join(left, "src").join(right, "dst").select("src", "dst", rounded(scalar.dot(F.col("vec"), F.col("out")), digits).alias("w"))
+
+
 @query("svd_product", f"WITH {EDGES} SELECT src, dst, round(w, 3) + 0.0 AS w FROM edges")
 def _svd_back(spark: SparkSession, d: str) -> DataFrame:
     """U S V' of the whole decomposition gives the matrix back."""
     edges, _ = _nation(spark, d)
-    left, s, right = linalg.svd(edges, 25)
-    score = scalar.dot(F.col("u"), F.col("x"))
-    both = linalg.rotated(left, np.diag(s)).toDF("src", "u").join(right.toDF("dst", "x"), F.lit(True))  # 25 x 25 rows
-    return both.join(edges.select("src", "dst"), ["src", "dst"], "left_semi").select("src", "dst", rounded(score, 3).alias("w"))
+    return _products(edges, models.two_factors(*linalg.svd(edges, 25), 1.0), 3)
+
+
+@query("residual_factors", f"WITH m AS ({_residual_sql(3)}) SELECT src, dst, round(w, 3) + 0.0 AS w FROM m WHERE w > 0.01")
+def _residual_back(spark: SparkSession, d: str) -> DataFrame:
+    """In-vectors times out-vectors of the factorised residual matrix give it back."""
+    edges, groups = _nation(spark, d)
+    null = groups.select("id", (F.col("id") % 2).alias("grp"))
+    factors = models.two_factors(*linalg.svd(blocks.residual_terms(edges, groups, null, 3), 25), 0.5)
+    stored = blocks.residual_matrix(edges, groups, null, 3).where(F.round("w", 5) > 0.01)
+    return _products(stored, factors, 3)
+
+
+#: Nations by the orders they share: symmetric, without negative eigenvalues.
+SHARED = f"{EDGES}, sq AS (SELECT a.src, b.src AS dst, sum(a.w * b.w) AS w FROM edges a JOIN edges b ON a.dst = b.dst GROUP BY 1, 2), dg AS (SELECT src AS id, sum(w) AS d FROM sq GROUP BY 1)"
+
+
+def _shared(spark: SparkSession, d: str) -> DataFrame:
+    edges = fixtures.nation_edges(spark, d)
+    return cut_lineage(linalg.matmul(edges, linalg.transposed(edges)))
+
+
+query("netmf_factors", f"""WITH {EDGES}, {TRANS}, {_weighted_sql('ws', 'trans', _walk_weights(0.0, 3))}, dg AS (SELECT src AS id, greatest(sum(w), 1) AS d FROM edges GROUP BY 1)
+SELECT src, dst, round(x, 4) + 0.0 AS w FROM (SELECT src, dst, ln(greatest(w * (SELECT sum(w) FROM edges) / d, 1)) AS x FROM ws JOIN dg ON id = dst) WHERE round(x, 6) > 0.001""")(
+    lambda s, d: _products(models.netmf_matrix(_nation(s, d)[0], 3).where(F.round("w", 6) > 0.001), models.netmf(3)(_nation(s, d)[0], 25), 4)
+)
+_SPECTRAL = f"""{SHARED}, nrm AS (SELECT src, dst, w / sqrt(a.d * b.d) AS w FROM sq JOIN dg a ON a.id = src JOIN dg b ON b.id = dst), {_powers_sql('np', 'nrm', 4)},
+mm AS (SELECT src, dst, ln(greatest(w / 5 / sqrt(a.d * b.d) * (SELECT sum(w) FROM sq) / CAST(0.2 AS DOUBLE), 1)) AS w FROM np JOIN dg a ON a.id = src JOIN dg b ON b.id = dst)"""
+query("netmf_spectral_matrix", f"WITH {_SPECTRAL} SELECT src, dst, round(w, 5) + 0.0 AS w FROM mm WHERE round(w, 6) > 0.001")(
+    lambda s, d: models.netmf_spectral_matrix(_shared(s, d), 5, 25, 0.2).where(F.round("w", 6) > 0.001).select("src", "dst", rounded(F.col("w"), 5).alias("w"))
+)
+
+
+@query("netmf_spectral_factors", f"WITH {_SPECTRAL} SELECT src, dst, round(w, 4) + 0.0 AS w FROM mm WHERE round(w, 6) > 0.001")
+def _spectral_back(spark: SparkSession, d: str) -> DataFrame:
+    a = _shared(spark, d)
+    return _products(models.netmf_spectral_matrix(a, 5, 25, 0.2).where(F.round("w", 6) > 0.001), models.netmf_spectral(5, 25, 0.2)(a, 25), 4)
+
+
+@query("eigenmap_factors", f"WITH {SHARED} SELECT src, dst, round((w / sqrt(a.d * b.d) - sqrt(a.d * b.d) / (SELECT sum(w) FROM sq)) / sqrt(a.d) * 1000, 4) + 0.0 AS w FROM sq JOIN dg a ON a.id = src JOIN dg b ON b.id = dst")
+def _eigenmap_back(spark: SparkSession, d: str) -> DataFrame:
+    """Centers times what the normalised adjacency N makes of the contexts: D^-1/2 (N less its first part), in thousandths."""
+    a = _shared(spark, d)
+    factors = cut_lineage(models.laplacian_eigenmap()(a, 24))
+    scaled = linalg.times_thin(graph.normalised_adjacency(a), factors.select("id", F.col("out").alias("vec")), 24).toDF("id", "out")
+    return _products(a, factors.select("id", F.transform("vec", lambda x: x * 1000).alias("vec")).join(scaled, "id"), 4)
 
 
 @query("pca_variance", """WITH v AS (SELECT CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), x AS (SELECT k, vec[k] AS x FROM v, (SELECT range AS k FROM range(1, 65)))
@@ -928,12 +975,13 @@ def _matrix_back(spark: SparkSession, d: str) -> DataFrame:
     return files.read_table(spark, places[1], "csv")
 
 
-@query("embedding_round_trip", "SELECT vec_id AS id, CAST(label AS BIGINT) AS grp, len(embedding) AS size, 64 AS dim, 'given' AS model FROM embeddings")
+@query("embedding_round_trip", f"WITH {VECTORS} SELECT id, grp, k - 1 AS k, vec[k] AS x, 64 AS dim, 'given' AS model FROM v, (SELECT range AS k FROM range(1, 65))")
 def _embedding_back(spark: SparkSession, d: str) -> DataFrame:
     place = _place(spark, "embedding")
     files.write_embedding(fixtures.vectors(spark, d), place, dim=64, model="given")
     vectors, said = files.read_embedding(spark, place)
-    return vectors.select("id", "grp", F.size("vec").cast("long").alias("size"), F.lit(said["dim"]).alias("dim"), F.lit(said["model"]).alias("model"))
+    parts = vectors.select("id", "grp", F.posexplode("vec").alias("k", "x"))
+    return parts.select("id", "grp", F.col("k").cast("long").alias("k"), "x", F.lit(said["dim"]).alias("dim"), F.lit(said["model"]).alias("model"))
 
 
 @query("benchmark_network_round_trip", f"WITH {EDGES}, {GROUPS} SELECT src, dst, a.grp AS ga, b.grp AS gb, '0.3' AS mu FROM edges JOIN groups a ON a.id = src JOIN groups b ON b.id = dst")
@@ -972,12 +1020,14 @@ def _benchmark(spark: SparkSession, d: str) -> DataFrame:
     return experiments.community_benchmark([({"graph": "nation"}, edges, groups)], {"leigenmap": named["leigenmap"]}, 8)
 
 
-@query("out_vectors", f"""WITH {EDGES}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)
-SELECT dst AS id, {r6('sum(w * vec[1]) / sum(w)')} AS x0, {r6('sum(w * vec[64]) / sum(w)')} AS x63 FROM edges JOIN v ON v.id = src GROUP BY 1""")
+@query("out_vectors", f"""WITH {EDGES}, {VECTORS}, x AS (SELECT src AS id, k, sum(w * vec[k]) AS x FROM edges JOIN v ON v.id = dst, (SELECT range AS k FROM range(1, 65)) GROUP BY 1, 2)
+SELECT id, k - 1 AS k, round(vec[k], 6) + 0.0 AS vec, {r6('x')} AS out FROM x JOIN v USING (id)""")
 def _out(spark: SparkSession, d: str) -> DataFrame:
-    v = fixtures.vectors(spark, d)
-    fitted = experiments.Fitted(lambda edges, dim: v.select("id", "vec"), _nation(spark, d)[0])
-    return fitted.transform(64, out=True).select("id", rounded(F.col("vec")[0]).alias("x0"), rounded(F.col("vec")[63]).alias("x63"))
+    """A model of one's own: given vectors on one side, sums over out-edges on the other."""
+    v, edges = fixtures.vectors(spark, d), _nation(spark, d)[0]
+    fitted = experiments.Fitted(lambda e, dim: v.select("id", "vec").join(linalg.times_thin(e, v.select("id", "vec"), dim).toDF("id", "out"), "id"), edges)
+    both = fitted.transform(64).join(fitted.transform(64, out=True).toDF("id", "out"), "id")
+    return both.select("id", F.posexplode(F.arrays_zip("vec", "out")).alias("k", "x")).select("id", F.col("k").cast("long").alias("k"), rounded(F.col("x.vec")).alias("vec"), rounded(F.col("x.out")).alias("out"))
 
 
 @query("reconstruction_against_null")

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.session import cut_lineage
 from graphloom.operators import evaluate
-from graphloom.operators.graph import block_shuffled, transition
-from graphloom.operators.linalg import times_thin
+from graphloom.operators.graph import block_shuffled
 from graphloom.operators.splits import Split
 
 Model = Callable[[DataFrame, int], DataFrame]
@@ -23,31 +22,25 @@ Randomizer = Callable[[DataFrame], DataFrame]
 
 
 class Fitted:
-    """A model on a graph: ``transform(dim)`` computes and keeps the vectors.
+    """A model on a graph: ``transform(dim)`` computes and keeps both tables of vectors.
 
-    A subclass may give ``in_vectors`` and ``out_vectors`` of its own.  Unless
-    it does, a node's out-vector is the mean of the in-vectors of the nodes
-    that lead to it, by weight.
+    A model gives (id, vec, out); one that gives (id, vec) alone has its
+    vectors on both sides.  A subclass may give ``vectors_of`` of its own.
     """
 
     def __init__(self, model: Model, edges: DataFrame) -> None:
         self.model, self.edges, self.dim = model, edges, 0
-        self.vectors: dict[bool, DataFrame] = {}
+        self.vectors: DataFrame | None = None
 
-    def in_vectors(self, dim: int) -> DataFrame:
+    def vectors_of(self, dim: int) -> DataFrame:
         return self.model(self.edges, dim)
 
-    def out_vectors(self, dim: int) -> DataFrame:
-        back = transition(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-        return times_thin(back, self.transform(dim), dim)
-
     def transform(self, dim: int, out: bool = False) -> DataFrame:
         """(id, vec) of the in- or the out-vectors."""
-        if dim != self.dim:
-            self.dim, self.vectors = dim, {}
-        if out not in self.vectors:
-            self.vectors[out] = cut_lineage(self.out_vectors(dim) if out else self.in_vectors(dim))
-        return self.vectors[out]
+        if dim != self.dim or self.vectors is None:
+            self.dim, self.vectors = dim, cut_lineage(self.vectors_of(dim))
+        side = "out" if out and "out" in self.vectors.columns else "vec"
+        return self.vectors.select("id", F.col(side).alias("vec"))
 
 
 def link_prediction(parts: Split, vectors: DataFrame, proximity: str = "dot", personas: DataFrame | None = None, aggregate: Column | None = None) -> DataFrame:
@@ -110,7 +103,7 @@ def reconstruction_against_null(edges: DataFrame, groups: DataFrame, model: Mode
     out = None
     for kind, graph in (("graph", edges), ("random", make(edges))):
         graph = cut_lineage(graph)
-        pairs = evaluate.top_pairs(model(graph, dim), m)
+        pairs = evaluate.top_pairs(model(graph, dim).select("id", "vec"), m)
         own = graph.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(1).alias("hit")).distinct()
         row = pairs.join(own, ["src", "dst"], "left").agg(F.lit(kind).alias("kind"), F.avg(F.coalesce("hit", F.lit(0))).alias("overlap"))
         out = row if out is None else out.unionByName(row)
