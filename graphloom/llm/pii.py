@@ -15,6 +15,7 @@ and matches alternate, and their lengths in code points add up.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,23 +42,58 @@ GENERATORS = ("contact", "number", "secret")
 PRECISION = 0.98
 FEATURES = ("gen", "digits", "size", "gaps", "lead", "dots", "word", "phone_word", "quoted", "shape", "luhn")
 
-_SPAN = "array<struct<kind:string,start:long,end:long,text:string,before:string>>"
+#: Elements that one fold appends to its result; an append copies what is there.
+CHUNK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(xs: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states of a fold over an array before each of its elements.
+
+    Elements are folded in chunks: first over whole chunks, for the state at
+    the start of each, then inside each, so that the work stays in proportion
+    to the elements (an array grown one by one would be copied each time).
+    """
+    nothing = F.slice(F.array(zero), 1, 0)
+
+    def before_each(items: Column, first: Column, onward: Callable[[Column, Column], Column]) -> Column:
+        start = F.struct(first.alias("at"), nothing.alias("out"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(onward(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def over(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / CHUNK).cast("int")
+        chunks = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.slice(F.array(values), 1, 0))
+        firsts = lambda cs: before_each(cs, zero, lambda at, c: F.aggregate(c, at, step))
+        return let(chunks, lambda cs: F.flatten(F.zip_with(cs, firsts(cs), lambda c, first: before_each(c, first, step))))
+
+    return let(xs, over)
 
 
 def located(text: Column, pattern: str, kind: str, gate: Column) -> Column:
-    """Leftmost non-overlapping matches as spans in code points."""
+    """Leftmost non-overlapping matches as spans in code points.
+
+    ``gap`` is what stands between a match and the one before it, ``before``
+    the last of it in lower case, ``matched`` the length of all matches before."""
     found = F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     between = F.when(gate, F.split(text, pattern, -1)).otherwise(F.array(F.lit("")))
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    pairs = let(found, lambda ms: F.zip_with(ms, F.slice(between, F.lit(1), F.size(ms)), lambda m, p: F.struct(m.alias("m"), p.alias("p"), F.length(m).cast("long").alias("lm"), F.length(p).cast("long").alias("lp"))))
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("matched"))
+    onward = lambda at, x: F.struct((at["end"] + x["lp"] + x["lm"]).alias("end"), (at["matched"] + x["lm"]).alias("matched"))
+
+    def span(x: Column, at: Column) -> Column:
+        first = at["end"] + x["lp"]
+        return F.struct(F.lit(kind).alias("kind"), first.alias("start"), (first + x["lm"]).alias("end"), x["m"].alias("text"), F.lower(F.right(x["p"], F.lit(16))).alias("before"), x["p"].alias("gap"), at["matched"].alias("matched"))
+
+    return let(pairs, lambda ps: F.zip_with(ps, scanned(ps, zero, onward), span))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + F.length(x["p"])
-        last = first + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), first.alias("start"), last.alias("end"), x["m"].alias("text"), F.lower(F.right(x["p"], F.lit(16))).alias("before"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def plain(spans: Column) -> Column:
+    """Spans with the fields that results have."""
+    return F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "text", "before"))))
 
 
 def _digits(s: Column) -> Column:
@@ -94,43 +130,78 @@ def base_spans(text: Column) -> Column:
     gates = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": F.contains(text, F.lit("+"))}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     keep = lambda k: F.filter(located(text, patterns[k], k, gates[k]), lambda s: valid(k, s["text"]))
-    return F.concat(*map(keep, KINDS))
+    return F.concat(*(plain(keep(k)) for k in KINDS))
 
 
 def parts_of(span: Column) -> Column:
     """The parts of a number's span, from the start of one group of digits to
     the end of another, that have the digits of a card (16 to 19) or, after
-    a plus, of a phone (8 to 15)."""
+    a plus, of a phone (8 to 15).
+
+    Groups are chosen by running counts of digits, and texts are put together
+    from a group's neighbours, so that a part costs the same wherever it stands.
+    """
     s = span["text"]
 
-    def cut(g: Column, h: Column, plus: Column) -> Column:
+    def part(gs: Column, g: Column, i: Column, h: Column, plus: Column) -> Column:
+        within = F.slice(gs, i + 1, F.lit(19))
+        text = F.array_join(F.transform(F.filter(within, lambda x: x["start"] <= h["start"]), lambda x: F.when(x["start"] == g["start"], F.when(plus, F.concat(x["gap"], x["text"])).otherwise(x["text"])).otherwise(F.concat(x["gap"], x["text"]))), "")
+        near = F.array_join(F.transform(F.slice(gs, F.greatest(i - 15, F.lit(1)), F.least(i, F.lit(16))), lambda x: F.concat(x["gap"], F.right(x["text"], F.lit(16)))), "")
+        before = F.concat(F.when(i <= 16, span["before"]).otherwise(F.lit("")), F.when(plus, F.lit("")).otherwise(F.concat(F.when(i > 0, near).otherwise(F.lit("")), g["gap"])))
         first = F.when(plus, F.lit(0).cast("long")).otherwise(g["start"])
-        return F.struct(
-            span["kind"].alias("kind"),
-            (span["start"] + first).alias("start"),
-            (span["start"] + h["end"]).alias("end"),
-            F.substring(s, (first + 1).cast("int"), (h["end"] - first).cast("int")).alias("text"),
-            F.lower(F.right(F.concat(span["before"], F.substring(s, F.lit(1), first.cast("int"))), F.lit(16))).alias("before"),
-        )
+        return F.struct(span["kind"].alias("kind"), (span["start"] + first).alias("start"), (span["start"] + h["end"]).alias("end"), text.alias("text"), F.lower(F.right(before, F.lit(16))).alias("before"))
 
-    plus = lambda i: (i == 0) & F.startswith(s, F.lit("+"))
-    windows = lambda gs: F.flatten(F.transform(gs, lambda g, i: F.transform(F.slice(gs, i + 1, F.lit(19)), lambda h: cut(g, h, plus(i)))))
-    n = lambda x: F.length(_digits(x["text"]))
-    fits = lambda x: F.when(F.startswith(x["text"], F.lit("+")), (n(x) >= 8) & (n(x) <= 15)).otherwise((n(x) >= 16) & (n(x) <= 19))
-    proper = lambda x: (F.length(x["text"]) < F.length(s)) & fits(x)
-    groups = located(s, "[0-9]+", "", F.lit(True))
-    return F.flatten(F.transform(F.array(groups), lambda gs: F.filter(windows(gs), proper)))
+    def from_group(gs: Column, g: Column, i: Column) -> Column:
+        plus = (i == 0) & F.startswith(s, F.lit("+"))
+        digits = lambda h: h["matched"] + h["end"] - h["start"] - g["matched"]
+        low, high = F.when(plus, 8).otherwise(16), F.when(plus, 15).otherwise(19)
+        whole = lambda h: (h["end"] - F.when(plus, F.lit(0).cast("long")).otherwise(g["start"])) == F.length(s)
+        chosen = F.filter(F.slice(gs, i + 1, F.lit(19)), lambda h: (digits(h) >= low) & (digits(h) <= high) & ~whole(h))
+        return F.transform(chosen, lambda h: part(gs, g, i, h, plus))
+
+    return let(located(s, "[0-9]+", "", F.lit(True)), lambda gs: F.flatten(F.transform(gs, lambda g, i: from_group(gs, g, i))))
 
 
 def candidates(text: Column) -> Column:
     """Spans proposed by the generators; they may overlap anything."""
     digit = text.rlike("[0-9]")
-    numbers = located(text, LOOSE_NUMBER, "number", digit)
+    numbers = plain(located(text, LOOSE_NUMBER, "number", digit))
     return F.concat(
-        located(text, LOOSE_MAIL, "contact", F.contains(text, F.lit("@"))),
+        plain(located(text, LOOSE_MAIL, "contact", F.contains(text, F.lit("@")))),
         F.flatten(F.transform(numbers, lambda s: F.concat(F.array(s), parts_of(s)))),
-        located(text, LOOSE_TOKEN, "secret", digit),
+        plain(located(text, LOOSE_TOKEN, "secret", digit)),
+    )
+
+
+def clear_of(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``, in order of their ends.
+
+    Base spans stand at their starts and spans at their ends; the farthest
+    end of the base spans that start before a span ends tells."""
+    empty = F.struct(*(F.lit("" if c in ("kind", "text", "before") else 0).cast("string" if c in ("kind", "text", "before") else "long").alias(c) for c in ("kind", "start", "end", "text", "before")))
+    events = F.array_sort(
+        F.concat(
+            F.transform(spans, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("what"), c["start"].alias("far"), c.alias("span"))),
+            F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("what"), b["end"].alias("far"), empty.alias("span"))),
+        )
     )
+    farthest = lambda at, e: F.when(e["what"] == 1, F.greatest(at, e["far"])).otherwise(at)
+    seen = let(events, lambda es: F.zip_with(es, scanned(es, F.lit(-1).cast("long"), farthest), lambda e, far: F.struct(e.alias("e"), far.alias("far"))))
+    return F.transform(F.filter(seen, lambda x: (x["e"]["what"] == 0) & (x["far"] <= x["e"]["far"])), lambda x: x["e"]["span"])
+
+
+def outermost(spans: Column) -> Column:
+    """The spans that lie in no longer one.
+
+    Sorted by start, longer first, a span lies in a longer one if one with
+    other bounds before it reaches its end."""
+    ordered = F.array_sort(F.transform(spans, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c.alias("span"))))
+    zero = F.struct(F.lit(-1).cast("long").alias("reach"), F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("back"), F.lit(-1).cast("long").alias("all"))
+    again = lambda at, x: (at["start"] == x["start"]) & (at["back"] == x["back"])
+    reach = lambda at, x: F.when(again(at, x), at["reach"]).otherwise(at["all"])
+    onward = lambda at, x: F.struct(reach(at, x).alias("reach"), x["start"].alias("start"), x["back"].alias("back"), F.greatest(at["all"], -x["back"]).alias("all"))
+    seen = let(ordered, lambda xs: F.zip_with(xs, scanned(xs, zero, onward), lambda x, at: F.struct(x.alias("x"), reach(at, x).alias("reach"))))
+    return F.transform(F.filter(seen, lambda y: y["reach"] < -y["x"]["back"]), lambda y: y["x"]["span"])
 
 
 def features(span: Column) -> list[Column]:
@@ -294,10 +365,8 @@ def detect(docs: DataFrame, model: Boosted | None = None, text_col: str = "text"
         raise ValueError(f"name other columns than {base_col} and {added_col} for the result")
     proposed, accepted = spare(docs.columns, "proposed"), spare(docs.columns, "accepted")
     found = docs.withColumns({base_col: base_spans(text), proposed: candidates(text)})
-    clear = lambda c: ~F.exists(base_col, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    inside = lambda c, d: (d["start"] <= c["start"]) & (c["end"] <= d["end"]) & (d["end"] - d["start"] > c["end"] - c["start"])
-    taken = found.withColumn(accepted, F.filter(proposed, lambda c: clear(c) & model.accepts(features(c))))
-    added = F.filter(accepted, lambda c: ~F.exists(accepted, lambda d: inside(c, d)))
+    taken = found.withColumn(accepted, F.filter(clear_of(F.col(proposed), F.col(base_col)), lambda c: let(F.array(*features(c)), lambda v: model.accepts([v[k] for k in range(len(FEATURES))]))))
+    added = outermost(F.col(accepted))
     return taken.select(*docs.columns, base_col, added.alias(added_col))
 
 
