@@ -292,3 +292,22 @@ def binned(df: DataFrame, x: str, y: str, size: float, least: int = 5) -> DataFr
     """(bx, by, n): counts on a square grid, cells under ``least`` left out."""
     cell = df.groupBy(F.floor(F.col(x) / size).alias("bx"), F.floor(F.col(y) / size).alias("by")).agg(F.count(F.lit(1)).alias("n"))
     return cell.where(F.col("n") >= least)
+
+
+def hex_binned(df: DataFrame, x: str, y: str, size: float, least: int = 1, aspect: float = 1.0) -> DataFrame:
+    """(cx, cy, n): counts on hexagons ``size`` wide, by their centers; fewer than ``least`` are left out.
+
+    Centers form two rectangular lattices, ``size`` by ``size`` x sqrt 3, the
+    second moved by half a step both ways; a point goes to the nearest center
+    of either, the first on a tie.  ``aspect`` is what a unit of y counts in
+    units of x.  Null and non-finite points are left out.
+    """
+    a, b = F.col(x) / size, F.col(y) * aspect / (size * 3**0.5)
+    near = F.struct(F.floor(a + 0.5).alias("i"), F.floor(b + 0.5).alias("j"))
+    moved = F.struct((F.floor(a) + 0.5).alias("i"), (F.floor(b) + 0.5).alias("j"))
+    away = lambda c: (a - c["i"]) * (a - c["i"]) + 3 * (b - c["j"]) * (b - c["j"])
+    first = away(near) <= away(moved)
+    cell = F.struct(*(F.when(first, near[k].cast("double")).otherwise(moved[k]).alias(k) for k in "ij"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    counted = df.where(finite(x) & finite(y)).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return counted.select((F.col("c.i") * size).alias("cx"), (F.col("c.j") * (size * 3**0.5) / aspect).alias("cy"), "n")

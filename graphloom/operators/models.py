@@ -190,7 +190,8 @@ class TripletBuffers:
     Nodes stand in one fixed random order.  A buffer holds one walk from each
     node of the next stretch of ``buffer`` nodes and all its window pairs with
     their noise; after the last node the first one follows.  The set has
-    nodes x walks x length samples, the last buffer is cut there.
+    nodes x walks x length samples, the last buffer is cut there.  Walks have
+    numbers of their own in every buffer, and with them all draws.
     """
 
     def __init__(self, edges: DataFrame, noise: NodeSampler, per_node: int = 5, length: int = 40, window: int = 10, p: float = 1.0, q: float = 1.0, side: str = "double", buffer: int = 100_000, joint: bool = False, seed: int = 0) -> None:
@@ -210,10 +211,9 @@ class TripletBuffers:
         left, first, number = self.samples, 0, 0
         while left > 0 and self.nodes:
             last = min(first + self.buffer, self.nodes)
-            starts = self.order.where((F.col("place") >= first) & (F.col("place") < last)).select(F.col("place").alias("walk_id"), F.col("id").alias("start"))
-            walks = cut_lineage(biased_walk(self.edges, starts, self.length, self.p, self.q, self.seed * 1_000_003 + number))
-            pairs = offset_windows(walks, self.window, self.side)
-            rows = cut_lineage(triplets(pairs, self.edges, self.noise, self.joint, self.seed * 1_000_003 + number))
+            starts = self.order.where((F.col("place") >= first) & (F.col("place") < last)).select((F.col("place") + number * self.nodes).alias("walk_id"), F.col("id").alias("start"))
+            walks = cut_lineage(biased_walk(self.edges, starts, self.length, self.p, self.q, self.seed))
+            rows = cut_lineage(triplets(offset_windows(walks, self.window, self.side), self.edges, self.noise, self.joint, self.seed))
             found = rows.count()
             if not found:
                 return  # no node has a way out

@@ -664,6 +664,18 @@ SELECT draw, center, dst AS context FROM (SELECT *, {u("'noise-embedding'", 'dra
 query("score_quantiles", f"WITH {SCORED} SELECT {', '.join(r6(f'quantile_cont(score, {q})') + f' AS q{i}' for i, q in enumerate((0, 0.01, 0.999, 1)))} FROM sc")(
     lambda s, d: (lambda q: q.select(*(rounded(F.col(c)).alias(c) for c in q.columns)))(evaluate.quantiles(_scored(s, d), "score"))
 )
+def _weights_and_degrees(spark: SparkSession, d: str) -> DataFrame:
+    edges = cut_lineage(fixtures.nation_edges(spark, d))
+    return edges.join(graph.degrees(edges).select(F.col("id").alias("dst"), F.col("in_w").alias("d")), "dst")
+
+
+query("hexagon_counts", f"""WITH {EDGES}, {INDEG}, p AS (SELECT w / 4 AS a, d / 50 / (4 * sqrt(3)) AS b FROM edges JOIN indeg ON id = dst),
+c AS (SELECT a, b, floor(a + 0.5) AS i1, floor(b + 0.5) AS j1, floor(a) + 0.5 AS i2, floor(b) + 0.5 AS j2 FROM p),
+h AS (SELECT CASE WHEN (a - i1) * (a - i1) + 3 * (b - j1) * (b - j1) <= (a - i2) * (a - i2) + 3 * (b - j2) * (b - j2) THEN i1 ELSE i2 END AS i,
+  CASE WHEN (a - i1) * (a - i1) + 3 * (b - j1) * (b - j1) <= (a - i2) * (a - i2) + 3 * (b - j2) * (b - j2) THEN j1 ELSE j2 END AS j FROM c)
+SELECT {r6('i * 4')} AS cx, {r6('j * 4 * sqrt(3) * 50')} AS cy, count(*) AS n FROM h GROUP BY 1, 2""")(
+    lambda s, d: evaluate.hex_binned(_weights_and_degrees(s, d), "w", "d", 4.0, aspect=0.02).select(rounded(F.col("cx")).alias("cx"), rounded(F.col("cy")).alias("cy"), "n")
+)
 query("binned_counts", f"WITH {EDGES}, {INDEG}, x AS (SELECT CAST(floor(w / 4) AS BIGINT) AS bx, CAST(floor(d / 200) AS BIGINT) AS \"by\" FROM edges JOIN indeg ON id = dst) SELECT bx, \"by\", count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) >= 2")(
     lambda s, d: (lambda e: evaluate.binned(e.join(graph.degrees(e).toDF("dst", "o", "d"), "dst").select((F.col("w") / 4).alias("x"), (F.col("d") / 200).alias("y")), "x", "y", 1.0, 2))(fixtures.nation_edges(s, d))
 )
@@ -748,6 +760,17 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     return splits.labelled(splits.split(graph.symmetrised(cut_lineage(graph.largest_component(fixtures.part_pairs(spark, d)))), 0.3, 1))
 
 
+@query("held_out_by_search", f"""WITH {COMPONENTS} SELECT CAST(floor(count(*) * CAST(0.5 AS DOUBLE)) AS BIGINT) AS n_held, CAST(floor(count(*) * CAST(0.5 AS DOUBLE)) AS BIGINT) AS n_edges,
+(SELECT count(*) FROM comp) AS n_nodes, (SELECT count(DISTINCT label) FROM comp) AS n_components FROM parts""")
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    """Half of all co-purchases go, all of them edges; what is left has the nodes and components of the whole."""
+    edges = cut_lineage(fixtures.part_pairs(spark, d))
+    held = cut_lineage(splits.held_out_edges_by_search(edges, 0.5, 2))
+    kept = edges.join(held, ["src", "dst"], "left_anti")
+    own = held.join(edges, ["src", "dst"], "left_semi").distinct().agg(F.count(F.lit(1)).alias("n_edges"))
+    return held.agg(F.count(F.lit(1)).alias("n_held")).join(own).join(graph.connectivity(kept).select("n_nodes", "n_components"))
+
+
 @query("result_columns_join", """WITH a AS (SELECT n_nationkey AS nation, n_regionkey AS region, n_name AS name FROM nation), b AS (SELECT r_regionkey AS region, r_name AS region_name FROM region)
 SELECT a.region, nation, name, region_name FROM a JOIN b ON a.region = b.region""")
 def _natural_join(spark: SparkSession, d: str) -> DataFrame:
@@ -909,10 +932,10 @@ query("netmf_spectral_matrix", f"WITH {_SPECTRAL} SELECT src, dst, round(w, 5) +
 )
 
 
-@query("netmf_spectral_factors", f"WITH {_SPECTRAL} SELECT src, dst, round(w, 4) + 0.0 AS w FROM mm WHERE round(w, 6) > 0.001")
+@query("netmf_spectral_factors", f"WITH {_SPECTRAL} SELECT src, dst, round(w, 3) + 0.0 AS w FROM mm WHERE round(w, 6) > 0.001")
 def _spectral_back(spark: SparkSession, d: str) -> DataFrame:
     a = _shared(spark, d)
-    return _products(models.netmf_spectral_matrix(a, 5, 25, 0.2).where(F.round("w", 6) > 0.001), models.netmf_spectral(5, 25, 0.2)(a, 25), 4)
+    return _products(models.netmf_spectral_matrix(a, 5, 25, 0.2).where(F.round("w", 6) > 0.001), models.netmf_spectral(5, 25, 0.2)(a, 25), 3)
 
 
 @query("eigenmap_factors", f"WITH {SHARED} SELECT src, dst, round((w / sqrt(a.d * b.d) - sqrt(a.d * b.d) / (SELECT sum(w) FROM sq)) / sqrt(a.d) * 1000, 4) + 0.0 AS w FROM sq JOIN dg a ON a.id = src JOIN dg b ON b.id = dst")

@@ -22,7 +22,8 @@ MODELS = {
     "residual": lambda g: models.residual_factorisation(window=3),
     "deepwalk": lambda g: models.word_vectors(length=12, window=5),
     "glove": lambda g: models.glove(length=12, window=5),
-    "residual-sgd": lambda g: models.skip_gram(length=12, window=5, noise=configuration_noise()),
+    "node2vec": lambda g: models.skip_gram(length=12, window=5, epochs=5),
+    "residual-sgd": lambda g: models.residual_sgd(length=12, window=5, noise=configuration_noise()),
     "gcn": lambda g: models.graph_network("gcn"),
     "gat": lambda g: models.graph_network("gat"),
     "sage": lambda g: models.graph_network("sage", epochs=60),
@@ -34,14 +35,16 @@ def test_planted_groups(planted, name):
     edges, groups = planted
     dim = 2 if name == "leigenmap" else 32  # its columns are of one length: later ones outweigh the one that tells the groups
     rows = MODELS[name](groups)(edges, dim).collect()
-    x = np.array([r.vec for r in sorted(rows, key=lambda r: r.id)])
-    ids = np.array(sorted(r.id for r in rows))
-    assert x.shape == (groups.count(), dim) and np.isfinite(x).all()
-    x = x - x.mean(0)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    up = np.triu_indices(len(ids), 1)
-    s, y = (x @ x.T)[up], np.equal.outer(ids // 30, ids // 30)[up]
-    assert (s[y][:, None] > s[~y][None]).mean() > 0.75
+    rows.sort(key=lambda r: r.id)
+    ids = np.array([r.id for r in rows])
+    for side in ("vec", "out"):
+        x = np.array([r[side] for r in rows])
+        assert x.shape == (groups.count(), dim) and np.isfinite(x).all()
+        x = x - x.mean(0)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        up = np.triu_indices(len(ids), 1)
+        s, y = (x @ x.T)[up], np.equal.outer(ids // 30, ids // 30)[up]
+        assert (s[y][:, None] > s[~y][None]).mean() > 0.75
 
 
 def test_log_degree_and_ranks(spark, planted):

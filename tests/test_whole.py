@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators import models
+from graphloom.functions.session import cut_lineage
+from graphloom.operators import blockwise, graph, models, walks
+from graphloom.operators.samplers import configuration_noise
 from graphloom.plans import catalog
-from graphloom.sources import fixtures
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -84,14 +86,70 @@ def test_components_of_every_co_purchase(spark):
     assert not {(r.src, r.dst) for r in split if r.edge_type == -1} & whole
 
 
-@pytest.mark.parametrize("query, name", [("deepwalk", "deepwalk"), ("node2vec", "node2vec-pq"), ("fairwalk", "fairwalk"), ("glove", "glove"), ("residual_sgd", "residual-sgd"), ("residual_sgd_joint", "residual-sgd-joint"), ("residual_sgd_groups", "residual-sgd-groups"), ("netmf", "netmf-spectral")])
-def test_models_with_whole_walks(spark, monkeypatch, query, name):
-    edges = fixtures.nation_edges(spark, FOLDER)
-    asked = []
-    monkeypatch.setattr(models, "registry", lambda groups=None: {name: lambda e, dim: asked.append(dim) or e})
-    assert catalog.QUERIES[f"embedding_{query}"](spark, FOLDER).columns == edges.columns and asked == [8]
-
-
-def test_netmf_at_window_ten_runs(spark):
-    rows = run(spark, "embedding_netmf")
-    assert len({r.id for r in rows}) == 25 and all(np.isfinite(r.vec).all() and len(r.vec) == 8 for r in rows)
+MODELS = ["deepwalk", "node2vec", "fairwalk", "glove", "residual_sgd", "residual_sgd_joint", "residual_sgd_groups", "netmf"]
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_models_with_whole_walks(spark, name):
+    """The registered queries, with walks and windows of their real length."""
+    rows = run(spark, f"embedding_{name}")
+    assert len({r.id for r in rows}) == len(rows) == 25
+    for side in ("vec", "out"):
+        x = np.array([r[side] for r in rows])
+        assert x.shape == (25, 8) and np.isfinite(x).all() and np.abs(x).max() > 0
+
+
+def test_walk_frequencies_follow_the_biases(spark):
+    """Second steps of many walks from one place, against the weights of the line graph."""
+    rows = [(0, 1, 2.0), (0, 2, 1.0), (1, 0, 1.0), (1, 2, 3.0), (1, 3, 2.0), (2, 0, 1.0), (2, 1, 1.0), (3, 1, 1.0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    starts = spark.range(6000).select(F.col("id").alias("walk_id"), F.lit(0).cast("long").alias("start"))
+    for weighted in (True, False):
+        w = {(a, b): c if weighted else 1.0 for a, b, c in rows}
+        steps = walks.biased_walk(edges, starts, 3, 0.5, 2.0, 1, weighted).groupBy("walk_id").agg(F.sort_array(F.collect_list(F.struct("step", "node"))).alias("p")).collect()
+        seen = [tuple(x.node for x in r.p) for r in steps]
+        assert len(seen) == 6000 and all(len(p) == 3 for p in seen)
+        for cur in (1, 2):
+            bias = {d: c * (2.0 if d == 0 else 1.0 if (0, d) in w else 0.5) for (a, d), c in w.items() if a == cur}
+            at = [p[2] for p in seen if p[1] == cur]
+            for d, b in bias.items():
+                share = b / sum(bias.values())
+                assert abs(at.count(d) / len(at) - share) < 4.5 * (share * (1 - share) / len(at)) ** 0.5
+    # a walk ends at a node without a way out
+    dead = spark.createDataFrame([(0, 1, 1.0)], "src long, dst long, w double")
+    assert [(r.step, r.node) for r in walks.biased_walk(dead, starts.limit(1), 9, 0.5, 2.0).orderBy("step").collect()] == [(0, 0), (1, 1)]
+
+
+def test_buffers_cover_the_nodes_in_turn(spark):
+    edges = cut_lineage(graph.symmetrised(graph.two_block_graph(spark, 30, 0.5, 0.2, 3)))
+    samples = models.TripletBuffers(edges, configuration_noise(1), per_node=3, length=6, window=1, buffer=12, seed=4)
+    order = {r.place: r.id for r in samples.order.collect()}
+    assert sorted(order) == list(range(30)) and sorted(order.values()) == sorted(r.id for r in graph.nodes_of(edges).collect())
+    assert len(samples) == 30 * 3 * 6
+    buffers = [b.collect() for b in samples]
+    assert sum(map(len, buffers)) == len(samples)
+    stretches = [range(0, 12), range(12, 24), range(24, 30)] * 9  # wrap around after the last node
+    for rows, places in zip(buffers, stretches):
+        assert {int(r.draw.split(":")[0]) % 30 for r in rows} <= set(places)
+    assert len(buffers) > 3 and {int(r.draw.split(":")[0]) % 30 for b in buffers[:3] for r in b} == set(range(30))
+    assert len({tuple(sorted((r.center, r.context) for r in b)) for b in (buffers[0], buffers[3])}) == 2  # new walks on the second pass
+
+
+def test_training_over_blocks(spark):
+    """Blocks of any number lower the loss; frozen centers stay; GloVe's squares fit."""
+    rng = np.random.default_rng(0)
+    pairs = [(int(a), int(b), 1.0, 1.0) for a, b in rng.integers(0, 20, (400, 2)) if a % 2 == b % 2] + [(int(a), int(b), 0.0, 1.0) for a, b in rng.integers(0, 20, (400, 2)) if a % 2 != b % 2]
+    rows = spark.createDataFrame(pairs, "a long, b long, y double, n double")
+    start = cut_lineage(blockwise.start_tables(spark.range(20), 4, 0))
+
+    def loss(state):
+        v = {r.id: (np.array(r.vec), np.array(r.out)) for r in blockwise.two_sided(state, 4).collect()}
+        return -sum(np.log(blockwise.sigmoid((1 if y else -1) * (v[a][0] @ v[b][1]))) for a, b, y, _ in pairs) / len(pairs)
+
+    for steps, count in (("adagrad", 2), ("adam", 5)):
+        done = blockwise.train(start, rows, count, steps=steps, rate=0.1, batch=32, clip=1.0, epochs=4)
+        assert loss(done) < 0.6 * loss(start) and done.count() == 40
+    still = blockwise.train(start, rows, 3, frozen=True, epochs=1)
+    assert {r.id: r.vec for r in still.where("side = 0").collect()} == {r.id: r.vec for r in start.where("side = 0").collect()}
+    again = [sorted(map(tuple, blockwise.train(start.repartition(k), rows.repartition(k), 3, negatives=2).select("side", "id", F.transform("vec", lambda x: F.round(x, 9))).collect())) for k in (1, 5)]
+    assert again[0] == again[1]  # whatever the partitions
