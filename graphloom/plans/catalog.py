@@ -967,7 +967,7 @@ def _offsets(spark: SparkSession, d: str) -> DataFrame:
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.streaming.pairs import stream_pair_counts
 
-    return stream_pair_counts(spark, fixtures.event_walks(spark, d), 3)
+    return stream_pair_counts(spark, fixtures.event_walks(spark, d, timed=True), 3)
 
 
 # ---------------------------------------------------------------- files and experiments
@@ -1029,6 +1029,43 @@ def _task(spark: SparkSession, d: str) -> DataFrame:
     return found.select(rounded(F.col("auc")).alias("auc"))
 
 
+@query("rules_of_link_prediction", ORACLE_SQL["link_prediction_task"])
+def _ruled(spark: SparkSession, d: str) -> DataFrame:
+    """The same task as files made by rules: graph, split, vectors, score."""
+    from graphloom.plans.rules import Rule, run
+
+    place = _place(spark, "rules")
+    at = {name: f"{place}/{name}" for name in ("graph", "train", "test", "negative", "vectors", "auc")}
+    save = lambda df, path: df.write.mode("overwrite").parquet(path)
+    load = lambda s, path: s.read.parquet(path)
+
+    def graph_of(s: SparkSession, _: list[str], out: list[str]) -> None:
+        plain = graph.without_loops(fixtures.nation_edges(s, d)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        save(plain.withColumn("w", F.lit(1.0)), out[0])
+
+    def split_of(s: SparkSession, given: list[str], out: list[str]) -> None:
+        edges, ids = load(s, given[0]), fixtures.nation_groups(s, d).select("id")
+        test = cut_lineage(splits.held_out_edges(edges, 0.5, 1))
+        other = ids.toDF("src").join(ids.toDF("dst"), F.col("src") < F.col("dst")).where("(src + dst) % 3 = 0")  # 25 nations
+        for df, path in zip((edges.join(test, ["src", "dst"], "left_anti"), test, other), out):
+            save(df, path)
+
+    def score_of(s: SparkSession, given: list[str], out: list[str]) -> None:
+        train, test, negative, vectors = (load(s, path) for path in given)
+        save(experiments.link_prediction(splits.Split(train, test, negative), vectors, "cos"), out[0])
+
+    parts = (at["train"], at["test"], at["negative"])
+    rules = [
+        Rule("score", (*parts, at["vectors"]), (at["auc"],), score_of),
+        Rule("split", (at["graph"],), parts, split_of),
+        Rule("graph", (f"{d}/lineitem.parquet", f"{d}/nation.parquet"), (at["graph"],), graph_of),
+        Rule("vectors", (f"{d}/embeddings.parquet",), (at["vectors"],), lambda s, _, out: save(fixtures.vectors(s, d), out[0])),
+    ]
+    if sorted(run(spark, rules)) != ["graph", "score", "split", "vectors"] or run(spark, rules):
+        raise AssertionError("rules run once, and not again while nothing has changed")
+    return load(spark, at["auc"]).select(rounded(F.col("auc")).alias("auc"))
+
+
 @query("community_precision", f"""WITH {VECTORS}, sc AS (SELECT CAST(a.grp = b.grp AS INTEGER) AS y, {_dot('a.vec', 'b.vec')} AS score FROM v a CROSS JOIN v b), p AS (SELECT score, sum(y) AS p, count(*) AS n FROM sc GROUP BY 1),
 c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS n FROM p) SELECT {r6('sum(p * tp / CAST(n AS DOUBLE)) / sum(p)')} AS average_precision FROM c""")
 def _precision(spark: SparkSession, d: str) -> DataFrame:

@@ -37,12 +37,12 @@ def part_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def event_walks(spark: SparkSession, d: str) -> DataFrame:
-    """(walk_id, step, node): each user's event types in order of time."""
+def event_walks(spark: SparkSession, d: str, timed: bool = False) -> DataFrame:
+    """(walk_id, step, node[, ts]): each user's event types in order of time."""
     events = table(spark, d, "events")
     codes = events.select("event_type").distinct().withColumn("node", F.row_number().over(Window.orderBy("event_type")).cast("long") - 1)
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
-    return events.join(F.broadcast(codes), "event_type").select(F.col("user_id").alias("walk_id"), step.alias("step"), "node")
+    return events.join(F.broadcast(codes), "event_type").select(F.col("user_id").alias("walk_id"), step.alias("step"), "node", *(["ts"] if timed else []))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
