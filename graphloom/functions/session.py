@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,5 +31,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key.
+
+    Keys with a task's share of the rows or more, four a shuffle partition at
+    most, are counted by partial sums and joined by broadcast, so that no key
+    fills a task.  ``rows`` are read twice: give a table that is cheap to read.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, (rows.count() - 1) // (4 * parts))
+    heavy = cut_lineage(counts.where(F.col("_n") > share).select(key).join(keyed, key))
+    if not heavy.take(1):
+        return rows.join(keyed, key)
+    hot = F.broadcast(heavy)
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.ranking import first_rows, running_sums
 from graphloom.functions.scalar import safe_inverse, u01
-from graphloom.functions.session import cut_lineage
+from graphloom.functions.session import cut_lineage, spread_join
 
 EDGE = ("src", "dst", "w")
 
@@ -156,23 +156,29 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, label): weakly connected components, labelled by smallest id.
 
     Rounds of large-star and small-star until nothing changes: logarithmic
-    in practice, linear data a round, lineage cut each round.
+    in practice, linear data a round, lineage cut each round.  A node's
+    smallest neighbour is found by partial sums; nodes with a task's share of
+    the links, few in number, get it by broadcast, so that the root of a giant
+    component is no single key.
     """
     links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     links, before = cut_lineage(links), None
+    parts = 4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def star(pairs: DataFrame) -> DataFrame:
-        low = pairs.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        return pairs.join(low, "x")
+    def star(pairs: DataFrame, share: int) -> DataFrame:
+        low = pairs.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        hubs = F.broadcast(low.where(F.col("n") > share).drop("n"))  # two for each part at most
+        rest = pairs.join(hubs.select("x"), "x", "left_anti").join(low.where(F.col("n") <= share).drop("n"), "x")
+        return pairs.join(hubs, "x").unionByName(rest)
 
     while True:
         state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
         if state == before or not state[0]:
             break
-        before = state
+        before, share = state, max(1, state[0] // parts)
         both = links.toDF("x", "y").unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        large = star(both).where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()
-        down = star(large.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")))
+        large = cut_lineage(star(both, share).where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct())
+        down = star(large.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), share)
         small = down.select(F.col("y").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("x").alias("a"), F.col("m").alias("b")))
         links = cut_lineage(small.where("a <> b").distinct())
     roots = links.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id")
@@ -211,8 +217,8 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
         picks = cut_lineage(ends.groupBy("node").agg(F.min("e").alias("e")).select("node", "e.*"))
         tree = picks.select("src", "dst", "w") if tree is None else tree.unionByName(picks.select("src", "dst", "w"))
         roots = _jumped(picks.select("node", "parent"))
-        left = left.join(roots.toDF("a", "la"), "a").join(roots.toDF("b", "lb"), "b").select("src", "dst", "w", F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b")
-        left = cut_lineage(left)
+        once = cut_lineage(spread_join(left, roots.toDF("a", "la"), "a"))
+        left = cut_lineage(spread_join(once, roots.toDF("b", "lb"), "b").select("src", "dst", "w", F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b"))
     empty = plain.limit(0)
     return (empty if tree is None else tree).select("src", "dst", "w").distinct()
 
