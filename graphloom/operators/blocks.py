@@ -40,14 +40,16 @@ def block_steps(edges: DataFrame, groups: DataFrame, window: int) -> DataFrame:
 def find_blocks(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(id, grp): SCORE: spherical k-means of the right singular vectors.
 
-    With k of N - 1 or more each node is its own block.
+    With k of N - 1 or more each node is its own block.  A node without a
+    vector, such as one that no edge leads to, is in block 0.
     """
     nodes = nodes_of(edges)
     n = nodes.count()
     if k >= n - 1:
         return dense_codes(nodes, "id", "grp")
     _, _, right = linalg.svd(edges, min(k, n - 1), seed=seed)
-    return linalg.spherical_kmeans(right, k, 1 if n / k < 10 else 10, seed)
+    found = linalg.spherical_kmeans(cut_lineage(right), k, 1 if n / k < 10 else 10, seed)
+    return nodes.join(found, "id", "left").select("id", F.coalesce("grp", F.lit(0).cast("long")).alias("grp"))
 
 
 def residual_matrix(edges: DataFrame, groups: DataFrame, null_groups: DataFrame, window: int, unreachable: str = "one") -> DataFrame:

@@ -28,6 +28,41 @@ def as_edges(df: DataFrame, src: str = "src", dst: str = "dst", weight: str | No
     return df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), w.alias("w"))
 
 
+def edges_of(spark: SparkSession, graph: object) -> DataFrame:
+    """An edge table from any of: an edge table, a dense square array, a sparse
+    matrix in coordinates (with ``row``, ``col``, ``data``, or made so by
+    ``tocoo``), a graph object whose ``edges(data=True)`` gives (a, b, attributes),
+    or pairs and triples.  A graph that is not directed gets both directions, a
+    loop once.  ``ValueError`` for anything else.
+    """
+    import numpy as np
+
+    if isinstance(graph, DataFrame):
+        return as_edges(graph)
+    if hasattr(graph, "tocoo"):
+        graph = graph.tocoo()
+    if all(hasattr(graph, c) for c in ("row", "col", "data")):
+        columns = (graph.row, graph.col, graph.data)
+    elif isinstance(graph, np.ndarray):
+        if graph.ndim != 2 or graph.shape[0] != graph.shape[1]:
+            raise ValueError("an array of weights has to be square")
+        at = np.nonzero(graph)
+        columns = (*at, graph[at])
+    elif callable(getattr(graph, "edges", None)):
+        rows = [(a, b, (said or {}).get("weight", 1.0)) for a, b, said in graph.edges(data=True)]
+        if not getattr(graph, "is_directed", lambda: True)():
+            rows += [(b, a, w) for a, b, w in rows if a != b]
+        columns = tuple(zip(*rows)) if rows else ((), (), ())
+    elif isinstance(graph, list | tuple) and all(isinstance(e, list | tuple) and len(e) in (2, 3) for e in graph):
+        columns = tuple(zip(*((e[0], e[1], e[2] if len(e) == 3 else 1.0) for e in graph))) if graph else ((), (), ())
+    else:
+        raise ValueError(f"no graph: {type(graph).__name__}")
+    import pyarrow as pa
+
+    table = pa.table([pa.array(np.asarray(columns[0], np.int64)), pa.array(np.asarray(columns[1], np.int64)), pa.array(np.asarray(columns[2], float))], names=["src", "dst", "w"])
+    return spark.createDataFrame(table)
+
+
 def summed(edges: DataFrame) -> DataFrame:
     """One row an edge: weights of repeated edges add up."""
     return edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))

@@ -43,11 +43,11 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 SMALL = 1024
 
 
-def _small_powers(a: DataFrame, weights: Sequence[float]) -> DataFrame | None:
-    """sum_i weights[i] A^(i+1) by dense products, if A has at most ``SMALL``
+def _small_powers(a: DataFrame, weights: Sequence[float | None], small: int) -> DataFrame | None:
+    """sum_i weights[i] A^(i+1) by dense products, if A has at most ``small``
     ids; else nothing.  The ids are counted before anything is collected."""
-    ids = a.select(F.explode(F.array("src", "dst")).alias("id")).distinct().limit(SMALL + 1).collect()
-    if not ids or len(ids) > SMALL:
+    ids = a.select(F.explode(F.array("src", "dst")).alias("id")).distinct().limit(small + 1).collect()
+    if not ids or len(ids) > small:
         return None
     names = np.array(sorted(r["id"] for r in ids))
     rows = a.groupBy("src", "dst").agg(F.sum("w").alias("w")).collect()
@@ -66,13 +66,13 @@ def _small_powers(a: DataFrame, weights: Sequence[float]) -> DataFrame | None:
     return a.sparkSession.createDataFrame([(int(names[x]), int(names[y]), float(total[x, y])) for x, y in zip(i, j)], "src long, dst long, w double")
 
 
-def power_sum(a: DataFrame, upto: int) -> DataFrame:
-    """A + A^2 + ... + A^upto; nothing for upto = 0.  Small matrices, such as
-    those over blocks, are multiplied as arrays."""
+def power_sum(a: DataFrame, upto: int, small: int = SMALL) -> DataFrame:
+    """A + A^2 + ... + A^upto; nothing for upto = 0.  Matrices of at most
+    ``small`` ids, such as those over blocks, are multiplied as arrays."""
     if upto <= 0:
         return a.limit(0)
-    if upto > 1 and (small := _small_powers(a, [1.0] * upto)) is not None:
-        return small
+    if upto > 1 and (dense := _small_powers(a, [1.0] * upto, small)) is not None:
+        return dense
     power, terms = a, [a]
     for _ in range(upto - 1):
         power = cut_lineage(matmul(power, a))
@@ -80,15 +80,15 @@ def power_sum(a: DataFrame, upto: int) -> DataFrame:
     return plus(*terms)
 
 
-def walk_sum(p: DataFrame, restart: float, steps: int, offset: int = 0, weights: Sequence[float] | None = None) -> DataFrame:
+def walk_sum(p: DataFrame, restart: float, steps: int, offset: int = 0, weights: Sequence[float] | None = None, small: int = SMALL) -> DataFrame:
     """sum_i w_i P^(i+1) for offset <= i < steps; w_i falls as (1-restart)^i,
     normalised over all steps, unless given."""
     if weights is None:
         raw = [(1 - restart) ** i for i in range(steps)]
         weights = [x / sum(raw) for x in raw]
     used = [float(w) if i >= offset else None for i, w in enumerate(weights[:steps])]
-    if steps > 1 and steps > offset and (small := _small_powers(p, used)) is not None:
-        return small
+    if steps > 1 and steps > offset and (dense := _small_powers(p, used, small)) is not None:
+        return dense
     power, terms = p, []
     for i in range(steps):
         if i:
@@ -112,6 +112,22 @@ def chain_sum(terms: Sequence[Sequence[DataFrame]], right: DataFrame | None = No
     return plus(*(chain([*t, right] if right is not None else t) for t in terms))
 
 
+def looked_up(terms: Sequence[Sequence[DataFrame]], asked: DataFrame) -> DataFrame:
+    """``asked(src, dst)`` with ``w``, the entry of a sum of products, 0 where it has none.
+
+    Only the rows asked for are multiplied out, from the left.
+    """
+    rows, pairs, found = asked.select("src").distinct(), asked.select("src", "dst").distinct(), None
+    for factors in terms:
+        x = factors[0].join(rows, "src", "left_semi")
+        for a in factors[1:]:
+            x = matmul(x, a)
+        x = x.join(pairs, ["src", "dst"], "left_semi").select("src", "dst", "w")
+        found = x if found is None else found.unionByName(x)
+    entries = found.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return asked.join(entries, ["src", "dst"], "left").select(*asked.columns, F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
 def transposed_terms(terms: Sequence[Sequence[DataFrame]]) -> list[list[DataFrame]]:
     return [[transposed(a) for a in reversed(t)] for t in terms]
 
@@ -123,13 +139,48 @@ def gaussian(ids: DataFrame, width: int, seed: int = 0) -> DataFrame:
     return ids.select("id", F.transform(k, normal).alias("vec"))
 
 
+#: Up to this many columns a thin matrix is summed column by column; wider ones as arrays.
+COLUMNS = 128
+
+
+def _summed_rows(rows: DataFrame, width: int) -> DataFrame:
+    """(src, w, vec) -> (id, vec): weighted row vectors added up by ``src``.
+
+    Each batch adds up its own rows first, so that a node passes on as many
+    rows as batches it stands in, a hub too.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                src = np.asarray(batch.column(0))
+                x = np.asarray(batch.column(2).flatten()).reshape(-1, width) * np.asarray(batch.column(1))[:, None]
+                order = np.argsort(src, kind="stable")
+                ids, first = np.unique(src[order], return_index=True)
+                yield _vectors(ids, np.add.reduceat(x[order], first, axis=0))
+
+    def total(group: pa.Table) -> pa.Table:
+        x = np.concatenate([np.asarray(c.flatten()) for c in group.column("vec").chunks]).reshape(-1, width)
+        return pa.Table.from_batches([_vectors(np.asarray(group.column("id").slice(0, 1).combine_chunks()), x.sum(axis=0, keepdims=True))])
+
+    return rows.select("src", "w", "vec").mapInArrow(partial, "id long, vec array<double>").groupBy("id").applyInArrow(total, "id long, vec array<double>")
+
+
+def _vectors(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["id", "vec"])
+
+
 def times_thin(a: DataFrame, thin: DataFrame, width: int) -> DataFrame:
     """A times a thin matrix (id, vec): (id, vec) of the non-empty rows.
 
     Entries meet their row vectors by a join; sums are element-wise with
-    partial aggregation of one column a component.
+    partial aggregation, of one column a component or, beyond ``COLUMNS``,
+    of arrays.
     """
     joined = a.join(thin.withColumnRenamed("id", "dst"), "dst")
+    if width > COLUMNS:
+        return _summed_rows(joined, width)
     sums = joined.groupBy("src").agg(*(F.sum(F.col("w") * F.col("vec")[k]).alias(f"_{k}") for k in range(width)))
     return sums.select(F.col("src").alias("id"), F.array(*(F.col(f"_{k}") for k in range(width))).alias("vec"))
 
@@ -195,7 +246,9 @@ def svd(terms: Sequence[Sequence[DataFrame]] | DataFrame, rank: int, oversample:
             for a in reversed(factors):
                 x = times_thin(a, x, width)
             out = x if out is None else out.unionByName(x)
-        if len(side) > 1:
+        if len(side) > 1 and width > COLUMNS:
+            out = _summed_rows(out.select(F.col("id").alias("src"), F.lit(1.0).alias("w"), "vec"), width)
+        elif len(side) > 1:
             out = out.groupBy("id").agg(*(F.sum(F.col("vec")[k]).alias(f"_{k}") for k in range(width))).select("id", F.array(*(F.col(f"_{k}") for k in range(width))).alias("vec"))
         return cut_lineage(out)
 

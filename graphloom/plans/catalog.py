@@ -18,7 +18,7 @@ from graphloom.functions import scalar
 from graphloom.functions.ranking import first_rows
 from graphloom.functions.scalar import rounded
 from graphloom.functions.session import cut_lineage, shared_folder, table
-from graphloom.operators import blocks, evaluate, graph, linalg, models, samplers, splits, walks
+from graphloom.operators import benchmark, blocks, evaluate, graph, linalg, models, samplers, splits, walks
 from graphloom.plans import experiments
 from graphloom.sources import files, fixtures
 
@@ -214,6 +214,28 @@ def _two_blocks(spark: SparkSession, d: str) -> DataFrame:
     return graph.two_block_graph(spark, 60, 0.28, 0.12, 7)
 
 
+def _benchmark_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"))
+
+
+_LOWEST = benchmark.lowest_for(12, 60, 2.5)
+query("benchmark_degrees", f"SELECT CAST(p_partkey AS BIGINT) AS id, CAST(greatest(1, floor(pow({_LOWEST ** -1.5!r} + {u("'degree'", 'CAST(p_partkey AS BIGINT)', "'3'")} * CAST({60 ** -1.5 - _LOWEST ** -1.5!r} AS DOUBLE), CAST({1 / -1.5!r} AS DOUBLE)) + 0.5)) AS BIGINT) AS degree FROM part")(
+    lambda s, d: benchmark.drawn_degrees(_benchmark_nodes(s, d), 12, 60, 2.5, 3)
+)
+
+
+@query("benchmark_graph", "SELECT count(*) AS n_nodes, true AS simple, true AS mixed, true AS sized FROM part")
+def _benchmark_graph(spark: SparkSession, d: str) -> DataFrame:
+    """A graph over all parts: no loop or repeat, 0.3 of the edges between communities of 20 to 60."""
+    edges, groups = benchmark.benchmark_graph(_benchmark_nodes(spark, d), 12, 60, 0.3, (20, 60), 2.5, 1.0, 3)
+    edges, groups = cut_lineage(edges), cut_lineage(groups)
+    laid = edges.join(groups.toDF("src", "ga"), "src").join(groups.toDF("dst", "gb"), "dst")
+    mixing = laid.agg(F.avg((F.col("ga") != F.col("gb")).cast("int")).alias("mu"), F.count(F.lit(1)).alias("n"), F.count_distinct("src", "dst").alias("once"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_nodes"), F.min("n").alias("low"), F.max("n").alias("high"))
+    both = sizes.join(mixing)  # one row each
+    return both.select("n_nodes", ((F.col("once") == F.col("n")) & (F.col("loops") == 0)).alias("simple"), (F.abs(F.col("mu") - 0.3) < 0.05).alias("mixed"), ((F.col("low") >= 20) & (F.col("high") <= 79)).alias("sized"))
+
+
 _STUBS = """laid AS (SELECT src, dst, a.grp AS gs, b.grp AS gd, floor({salt} * 64) AS salt FROM edges JOIN groups a ON a.id = src JOIN groups b ON b.id = dst),
 sa AS (SELECT gs, gd, salt, src, row_number() OVER (PARTITION BY gs, gd, salt ORDER BY {a}, src, dst) AS r FROM laid), sb AS (SELECT gs, gd, salt, dst, row_number() OVER (PARTITION BY gs, gd, salt ORDER BY {b}, dst, src) AS r FROM laid)""".format(
     salt=u("'stub-salt'", "src", "dst", "'0'"), a=u("'stub-src'", "src", "dst", "'0'"), b=u("'stub-dst'", "src", "dst", "'0'")
@@ -532,6 +554,61 @@ def _residual_assembled(spark: SparkSession, d: str) -> DataFrame:
     return m.where("w > 0.00001").select("src", "dst", rounded(F.col("w"), 5).alias("w"))
 
 
+@query("residual_lookup", f"WITH m AS ({_residual_sql(3)}), {EDGES} SELECT edges.src, edges.dst, coalesce(m.w, 0) AS w FROM edges LEFT JOIN m ON m.src = edges.src AND m.dst = edges.dst")
+def _residual_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the decomposed residual matrix at the edges."""
+    edges, groups = _nation(spark, d)
+    terms = blocks.residual_terms(edges, groups, groups.select("id", (F.col("id") % 2).alias("grp")), 3)
+    found = linalg.looked_up(terms, edges.select("src", "dst"))
+    return found.select("src", "dst", rounded(F.when(F.col("w") > 0.00001, F.col("w")).otherwise(0.0), 5).alias("w"))
+
+
+# The same sums on the supplier-part graph, both ways, always as joins; a row is told by its size and moments.
+_MOMENTS = "SELECT src, count(*) AS n, {total} AS total, {squares} AS squares FROM {of} GROUP BY 1"
+
+
+def _moments(m: DataFrame, digits: int) -> DataFrame:
+    return m.groupBy("src").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("w"), digits).alias("total"), rounded(F.sum(F.col("w") * F.col("w")), digits).alias("squares"))
+
+
+def _both_ways(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(graph.symmetrised(fixtures.supplier_part_edges(spark, d)))
+
+
+query("matrix_power_sum_supplier_part", f"WITH {BOTH_WAYS}, {_powers_sql('pw', 'edges', 2)} {_MOMENTS.format(total='round(sum(w), 3) + 0.0', squares='round(sum(w * w), 3) + 0.0', of='pw')}")(
+    lambda s, d: _moments(linalg.power_sum(_both_ways(s, d), 2, small=0), 3)
+)
+query("walk_sum_supplier_part", f"WITH {BOTH_WAYS}, {TRANS}, {_weighted_sql('ws', 'trans', _walk_weights(0.2, 2))} {_MOMENTS.format(total=r6('sum(w)'), squares='round(sum(w * w), 9) + 0.0', of='ws')}")(
+    lambda s, d: linalg.walk_sum(cut_lineage(graph.transition(_both_ways(s, d))), 0.2, 2, small=0).groupBy("src").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("w")).alias("total"), rounded(F.sum(F.col("w") * F.col("w")), 9).alias("squares"))
+)
+
+
+@query("score_blocks", f"WITH {BIPARTITE} SELECT count(*) AS n_nodes, true AS all_once, true AS at_most_40 FROM (SELECT src AS id FROM bip UNION SELECT dst FROM bip)")
+def _score_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """SCORE blocks of the supplier-part graph, fewer than nodes: every node is in one of 40."""
+    found = blocks.find_blocks(_both_ways(spark, d), 40)
+    return found.agg(F.count(F.lit(1)).alias("n_nodes"), (F.count_distinct("id") == F.count(F.lit(1))).alias("all_once"), ((F.count_distinct("grp") <= 40) & (F.min("grp") >= 0)).alias("at_most_40"))
+
+
+def _top_value_sql(source: str, rounds: int = 12) -> str:
+    """The largest singular value: power iteration from ones, by parts and suppliers in turn."""
+    ctes = [f"x0 AS MATERIALIZED (SELECT DISTINCT dst AS id, CAST(1 AS DOUBLE) AS x FROM {source})"]
+    for t in range(1, rounds + 1):
+        ctes.append(f"y{t} AS MATERIALIZED (SELECT src AS id, sum(w * x) AS x FROM {source} JOIN x{t - 1} ON id = dst GROUP BY 1)")
+        ctes.append(f"z{t} AS MATERIALIZED (SELECT dst AS id, sum(w * x) AS x FROM {source} JOIN y{t} ON id = src GROUP BY 1)")
+        ctes.append(f"x{t} AS MATERIALIZED (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM z{t}) AS x FROM z{t})")
+    last = f"SELECT sqrt((SELECT sum(x * x) FROM y{rounds})) AS s"
+    return ", ".join([*ctes, f"top AS ({last})"])
+
+
+@query("svd_supplier_part", f"WITH {BIPARTITE}, {_top_value_sql('bip')} SELECT round(s, 3) + 0.0 AS top, (SELECT count(DISTINCT src) FROM bip) AS n_left, (SELECT count(DISTINCT dst) FROM bip) AS n_right FROM top")
+def _svd_large(spark: SparkSession, d: str) -> DataFrame:
+    """The largest singular value of suppliers by parts, by a sketch so wide that its rows are summed as arrays."""
+    left, s, right = linalg.svd(cut_lineage(fixtures.supplier_part_edges(spark, d)), 5, oversample=130, rounds=2)
+    sides = left.agg(F.count(F.lit(1)).alias("n_left")).join(right.agg(F.count(F.lit(1)).alias("n_right")))  # one row each
+    return sides.select(rounded(F.lit(float(s[0])), 3).alias("top"), "n_left", "n_right")
+
+
 EXACT = f"{EDGES}, {GROUPS}, {TRANS}, {_weighted_sql('ex', 'trans', _walk_weights(0.0, 3))}"
 query("log_transition_exact", f"WITH {EXACT} SELECT src, dst, {r6('ln(greatest(w, 1e-6))')} AS w FROM ex")(lambda s, d: _w(blocks.log_transition(_nation(s, d)[0], 3)))
 BLOCKED = f"""{PSBM}, {INDEG}, {SHARE}, near AS (SELECT t.src, g.grp AS dst, sum(w) AS w FROM trans t JOIN groups g ON g.id = t.dst GROUP BY 1, 2),
@@ -795,11 +872,13 @@ def _parameters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", file_parameters(path).alias("p")).select("n_nationkey", F.col("p")["dim"].alias("dim"), F.col("p")["model"].alias("model"))
 
 
-@query("parameter_grid", "SELECT m.m AS model, d.d AS dim, w.w AS window_length FROM (VALUES ('a'), ('b')) m(m), (VALUES (8), (16)) d(d), (VALUES (5), (10)) w(w)")
+@query("parameter_grid", "SELECT r_name AS model, d.d AS dim, n_nationkey AS network FROM region, (VALUES (8), (16)) d(d), nation")
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.plans.tables import grid
 
-    return grid(spark, model=["a", "b"], dim=[8, 16], window_length=[5, 10])
+    names = [r["r_name"] for r in table(spark, d, "region").select("r_name").collect()]  # 5 regions
+    networks = [r["n_nationkey"] for r in table(spark, d, "nation").select("n_nationkey").collect()]  # 25 nations
+    return grid(spark, model=names, dim=[8, 16], network=networks)
 
 
 # ---------------------------------------------------------------- spectral and trained models
@@ -1029,6 +1108,25 @@ def _task(spark: SparkSession, d: str) -> DataFrame:
     return found.select(rounded(F.col("auc")).alias("auc"))
 
 
+_FAMILY_SCORE = f"""WITH RECURSIVE {EDGES}, {VECTORS}, {_NATION_SPLIT}, ng AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.id < b.id AND a.id < 25 AND b.id < 25 WHERE (a.id + b.id) % 3 = 0),
+deg AS (SELECT id, ln(greatest(sum(o), 1)) AS o, ln(greatest(sum(i), 1)) AS i FROM (SELECT src AS id, w AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, w FROM edges) GROUP BY 1),
+pr AS (SELECT 1 AS y, src, dst FROM test UNION ALL SELECT 0, src, dst FROM ng),
+pl AS (SELECT y, {_dot('x.vec', 'z.vec')} AS score, a.i + b.o AS more FROM pr JOIN v x ON x.id = src JOIN v z ON z.id = dst JOIN deg a ON a.id = src JOIN deg b ON b.id = dst),
+sc AS (SELECT m AS model, y, CASE WHEN m = 'residual' THEN score + more ELSE score END AS score FROM pl, (VALUES ('deepwalk'), ('residual'), ('residual-dotsim')) t(m)), {_auc_sql('sc', 'model')}"""
+
+
+@query("link_prediction_by_model", _FAMILY_SCORE)
+def _by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Given vectors scored as those of a plain and of a residual model, the latter with and without its offsets."""
+    given = cut_lineage(fixtures.nation_edges(spark, d))
+    plain = graph.without_loops(given).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("w", F.lit(1.0))
+    ids = fixtures.nation_groups(spark, d).select("id")
+    other = ids.toDF("src").join(ids.toDF("dst"), F.col("src") < F.col("dst")).where("(src + dst) % 3 = 0")  # 25 nations
+    v = fixtures.vectors(spark, d).select("id", "vec")
+    found = experiments.link_prediction_by_model(splits.Split(plain, splits.held_out_edges(plain, 0.5, 1), other), {"deepwalk": v, "residual": v}, given)
+    return found.select("model", rounded(F.col("auc")).alias("auc"))
+
+
 @query("rules_of_link_prediction", ORACLE_SQL["link_prediction_task"])
 def _ruled(spark: SparkSession, d: str) -> DataFrame:
     """The same task as files made by rules: graph, split, vectors, score."""

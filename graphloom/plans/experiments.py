@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.session import cut_lineage
 from graphloom.operators import evaluate
 from graphloom.operators.graph import block_shuffled
+from graphloom.operators.models import bias_fit
 from graphloom.operators.splits import Split
 
 Model = Callable[[DataFrame, int], DataFrame]
@@ -67,6 +68,30 @@ def link_prediction_grid(parts: Split, models: dict[str, Model], dims: list[int]
     return out
 
 
+#: How a model's pairs are scored beside the inner product, by the start of its name; others by the product alone.
+FAMILIES = {"residual": evaluate.RESIDUAL, "lndeg": evaluate.RESIDUAL, "glove": evaluate.BIASED}
+#: Models that are scored a second time by the product alone.
+ALSO_BY_DOT = ("residual", "glove")
+
+
+def link_prediction_by_model(parts: Split, vectors: dict[str, DataFrame], edges: DataFrame | None = None) -> DataFrame:
+    """(model, auc) for named vectors (id, vec), each in its family's own terms;
+    ``residual`` and ``glove`` have a second row ``<name>-dotsim`` without them.
+
+    Degrees and biases are those of ``edges``, by default the train graph."""
+    graph = cut_lineage(parts.train if edges is None else edges)
+    pairs = cut_lineage(parts.test.select("src", "dst", F.lit(1).alias("y")).unionByName(parts.negative.select("src", "dst", F.lit(0).alias("y"))))
+    out = None
+    for name, own in vectors.items():
+        family = FAMILIES.get(name.split("-")[0], evaluate.PLAIN)
+        wanted = [(name, family)] + [(f"{name}-dotsim", evaluate.PLAIN)] * (name in ALSO_BY_DOT)
+        for said, how in wanted:
+            offsets = bias_fit(graph, own) if how == evaluate.BIASED else None
+            row = evaluate.auc(evaluate.modelled_scores(pairs, own, graph, how, offsets)).select(F.lit(said).alias("model"), "auc")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def community_precision(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """One row (average_precision): all ordered pairs of nodes, a node with
     itself included, ranked by inner product; a hit is a pair within a group.

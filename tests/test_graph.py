@@ -152,3 +152,32 @@ def test_files(spark, tmp_path, triangles, halves):
     files.append_result(spark.createDataFrame([("a", 0.5)], "name string, auc double"), str(tmp_path / "res"))
     files.append_result(spark.createDataFrame([("b", 0.6)], "name string, auc double"), str(tmp_path / "res"))
     assert spark.read.csv(str(tmp_path / "res"), sep="\t").count() == 2
+
+
+def test_any_graph_becomes_an_edge_table(spark):
+    class Coordinates:
+        row, col, data = np.array([0, 1]), np.array([1, 2]), np.array([2.0, 3.0])
+
+    class Rows:
+        def tocoo(self):
+            return Coordinates()
+
+    class Drawn:
+        def __init__(self, directed):
+            self.directed = directed
+
+        def is_directed(self):
+            return self.directed
+
+        def edges(self, data):
+            return [(0, 1, {"weight": 2.0}), (1, 2, {"weight": 3.0}), (2, 2, {})]
+
+    want = {(0, 1, 2.0), (1, 2, 3.0)}
+    rows = lambda g: {tuple(r) for r in graph.edges_of(spark, g).collect()}
+    assert rows(Coordinates()) == rows(Rows()) == rows(np.array([[0, 2.0, 0], [0, 0, 3.0], [0, 0, 0]])) == rows([(0, 1, 2.0), (1, 2, 3.0)]) == want
+    assert rows(spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0)], "src long, dst long, w double")) == want
+    assert rows(Drawn(True)) == want | {(2, 2, 1.0)} and rows(Drawn(False)) == want | {(1, 0, 2.0), (2, 1, 3.0), (2, 2, 1.0)}
+    assert rows([(3, 4)]) == {(3, 4, 1.0)} and rows([]) == set()
+    for wrong in ("net.txt", np.zeros((2, 3)), {1: 2}):
+        with pytest.raises(ValueError):
+            graph.edges_of(spark, wrong)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.session import cut_lineage
-from graphloom.operators import blockwise, graph, models, walks
+from graphloom.operators import blocks, blockwise, graph, linalg, models, walks
 from graphloom.operators.samplers import configuration_noise
 from graphloom.plans import catalog
 
@@ -153,3 +153,34 @@ def test_training_over_blocks(spark):
     assert {r.id: r.vec for r in still.where("side = 0").collect()} == {r.id: r.vec for r in start.where("side = 0").collect()}
     again = [sorted(map(tuple, blockwise.train(start.repartition(k), rows.repartition(k), 3, negatives=2).select("side", "id", F.transform("vec", lambda x: F.round(x, 9))).collect())) for k in (1, 5)]
     assert again[0] == again[1]  # whatever the partitions
+
+
+def test_wide_thin_products(spark):
+    """Sketches wider than a row of columns are summed as arrays, hubs in partial sums."""
+    rng = np.random.default_rng(2)
+    entries = {(int(i), int(j)): float(w) for i, j, w in zip(rng.integers(0, 30, 400), rng.integers(0, 50, 400), rng.random(400))} | {(0, j): 1.0 for j in range(50)}
+    a, thin = np.zeros((30, 50)), rng.standard_normal((50, 150))
+    for (i, j), w in entries.items():
+        a[i, j] = w
+    rows = spark.createDataFrame([(i, j, w) for (i, j), w in entries.items()], "src long, dst long, w double").repartition(5)
+    table_ = spark.createDataFrame([(j, x.tolist()) for j, x in enumerate(thin)], "id long, vec array<double>")
+    got = {r.id: np.array(r.vec) for r in linalg.times_thin(rows, table_, 150).collect()}
+    assert set(got) == {i for i, _ in entries} and all(np.allclose(x, (a @ thin)[i]) for i, x in got.items())
+    left, s, right = linalg.svd([[rows], [linalg.scaled(rows, 0.5)]], 20, oversample=120)
+    assert np.allclose(s, np.linalg.svd(1.5 * a, compute_uv=False)[:20])
+
+
+def test_sums_of_powers_agree(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(int(i), int(j), float(w)) for i, j, w in zip(rng.integers(0, 9, 30), rng.integers(0, 9, 30), rng.random(30))], "src long, dst long, w double").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    rows = cut_lineage(rows)
+    for make in (lambda small: linalg.power_sum(rows, 3, small), lambda small: linalg.walk_sum(rows, 0.2, 4, 1, small=small)):
+        dense, joined = ({(r.src, r.dst): r.w for r in make(small).collect()} for small in (1024, 0))
+        assert dense.keys() == joined.keys() and all(abs(dense[k] - joined[k]) < 1e-9 for k in dense)
+
+
+def test_score_blocks_of_a_planted_graph(spark):
+    edges = cut_lineage(graph.two_block_graph(spark, 60, 0.6, 0.02, 3)).unionByName(spark.createDataFrame([(99, 3, 1.0)], "src long, dst long, w double"))
+    found = {r.id: r.grp for r in blocks.find_blocks(edges, 2).collect()}
+    assert len(found) == 61 and found[99] == 0  # no edge leads to it
+    assert len({found[i] for i in range(30)}) == 1 and {found[i] for i in range(30, 60)} == {1 - found[0]}
