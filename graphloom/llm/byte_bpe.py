@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split by the tokenizer's pattern; every distinct piece of a
-stretch of documents is encoded once by Spark expressions, and the
-documents are put together from the encoded pieces.  The three steps
+stretch of documents is encoded once, and the documents are put together
+from the encoded pieces.  A piece that is a token is that token, as the
+tokenizer's own encoder has it; every other one is folded by Spark
+higher-order functions.  The three steps
 run in one stage without a shuffle:
 
-1. ``mapInArrow`` splits texts and emits each new piece as a row, followed
-   by the documents as lists of piece numbers;
-2. a projection looks a piece up among the whole tokens or folds ranked
-   merges over its bytes with a literal rank map, and concatenates the binary
-   tokens of the ids; bytes are held as a string of one character an id, so
-   that a merge is a string function;
+1. ``mapInArrow`` splits texts and emits each new piece as a row, whole
+   tokens as their id, followed by the documents as lists of piece numbers;
+2. a projection folds ranked merges over the bytes of each other piece with
+   a literal rank map, and concatenates the binary tokens of the ids; bytes
+   are held as a string of one character an id, so that a merge is a string
+   function;
 3. ``mapInArrow`` keeps the encoded pieces of the stretch and assembles
    each document's ids and decoded bytes.
 
@@ -38,7 +40,7 @@ CHUNK_BYTES = 2 << 20
 BUCKETS = 1 << 16
 #: Ids are written as characters from here on; the last one says "no such pair".
 FIRST = 0x10000
-NONE, MARK, END = chr(0x10FFFF), "|", "/"
+NONE, MARK = chr(0x10FFFF), "|"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,18 +73,6 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.split(F.lit(" ".join(maps)), " ")
 
 
-def whole_literal(ranks: dict[bytes, int]) -> Column:
-    """The ids of whole tokens of two bytes or more as one literal, in small maps
-    like those of ``rank_literal``: a mark, the ids of the bytes, an end, the id."""
-    maps = [NONE] * BUCKETS
-    single = {bytes([b]): sign(ranks[bytes([b])]) for b in range(256) if bytes([b]) in ranks}
-    for token, rank in ranks.items():
-        if len(token) > 1 and all(token[k : k + 1] in single for k in range(len(token))):
-            start = "".join(single[token[k : k + 1]] for k in range(len(token)))
-            maps[zlib.crc32(start.encode()) % BUCKETS] += MARK + start + END + sign(rank)
-    return F.split(F.lit(" ".join(maps)), " ")
-
-
 def token_literal(ranks: dict[bytes, int]) -> Column:
     """The bytes of each id as one literal; an unused id is empty."""
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -100,12 +90,11 @@ def _locate(part: Column, whole: Column) -> Column:
     return F.call_function("locate", part, whole)
 
 
-def encode_piece(start: Column, ranks: Column, wholes: Column) -> Column:
+def encode_piece(start: Column, ranks: Column) -> Column:
     """array<int>: ids of one piece, given as the array of the ids of its
     bytes, written as a string of one character an id.
 
-    A piece that is a token is that token, as the tokenizer's own encoder has
-    it; every other one is folded.  The fold holds the ids so far and the rank of each neighbouring pair; a
+    The fold holds the ids so far and the rank of each neighbouring pair; a
     step merges the pair of lowest rank, the leftmost of equals, and looks
     up the two pairs it changes.  Without a mergeable pair a step changes
     nothing.  A single id stays as it is.
@@ -139,12 +128,7 @@ def encode_piece(start: Column, ranks: Column, wholes: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(2), n), state, step, lambda acc: acc["p"])
 
-    def looked_up(table: Column) -> Column:
-        own = F.element_at(table, (F.crc32(start.cast("binary")) % BUCKETS + 1).cast("int"))
-        return F.substring(F.call_function("substring_index", own, F.concat(F.lit(MARK), start, F.lit(END)), F.lit(-1)), 1, 1)
-
-    merged = _let(_let(wholes, looked_up), lambda id_: F.when(id_ != NONE, id_).otherwise(_let(ranks, fold)))
-    whole = F.when(F.length(start) < 2, start).otherwise(merged)
+    whole = F.when(F.length(start) < 2, start).otherwise(_let(ranks, fold))
     return F.transform(F.split(whole, ""), lambda c: F.ascii(c) - FIRST)
 
 
@@ -215,7 +199,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
                 if len(known) > before:
                     fresh = [p.encode() for p in list(known)[before:]]
                     for k in range(0, len(fresh), 20_000):
-                        part = ["".join([single[c] for c in x]) for x in fresh[k : k + 20_000]]
+                        part = [sign(ranks[x]) if x in ranks else "".join([single[c] for c in x]) for x in fresh[k : k + 20_000]]
                         n = len(part)
                         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(part, pa.string()), pa.nulls(n, pa.binary())], schema=schema)
                 n = hi - lo
@@ -247,7 +231,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
                         yield pa.RecordBatch.from_arrays([own.column(1)[at : at + 256], flat, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = source.mapInArrow(split, _PIECES).withColumn("ids", encode_piece(F.col("piece"), rank_literal(ranks), whole_literal(ranks)))
+    pieces = source.mapInArrow(split, _PIECES).withColumn("ids", encode_piece(F.col("piece"), rank_literal(ranks)))
     decoded = pieces.select("kind", "doc_id", "refs", "ids", decode_ids(F.col("ids"), token_literal(ranks)).alias("raw"))
     kind = "binary" if packed else "array<int>"
     return decoded.mapInArrow(join, f"doc_id long, ids {kind}, decoded binary").withColumnRenamed("doc_id", id_col)
