@@ -86,7 +86,8 @@ def joined(stubs: DataFrame, inside: bool, seed: int = 0, rounds: int = 12) -> D
     """(src, dst), src < dst, from ends ``stubs(id, grp, k)``: random partners of
     one community (``inside``) or of different ones, without loops and repeats.
 
-    Ends that found no partner after ``rounds`` rounds are left out.
+    Ends that found no partner after ``rounds`` rounds are left out: few where
+    degrees are small against communities, more where communities are nearly full.
     """
     use, by = ("stub-in", ("grp",)) if inside else ("stub-out", ())
     good, loose = None, cut_lineage(stubs)

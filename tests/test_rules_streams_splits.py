@@ -99,16 +99,16 @@ def test_hexagons_take_the_nearest_center(spark):
 
 def test_benchmark_graph(spark):
     nodes = spark.range(100, 900).select("id")
-    edges, groups = benchmark.benchmark_graph(nodes, 10, 40, 0.25, (20, 50), 2.5, 1.0, 5)
+    edges, groups = benchmark.benchmark_graph(nodes, 8, 20, 0.25, (40, 80), 2.5, 1.0, 5)
     pairs = [(r.src, r.dst) for r in edges.collect()]
     group = {r.id: r.grp for r in groups.collect()}
-    degree = {r.id: r.degree for r in benchmark.drawn_degrees(nodes, 10, 40, 2.5, 5).collect()}
+    degree = {r.id: r.degree for r in benchmark.drawn_degrees(nodes, 8, 20, 2.5, 5).collect()}
     assert set(group) == set(range(100, 900)) and all(a != b for a, b in pairs) and len(set(pairs)) == len(pairs) and {(b, a) for a, b in pairs} == set(pairs)
     sizes = collections.Counter(group.values())
-    assert min(sizes.values()) >= 20 and sorted(sizes.values())[-2] <= 50 and max(sizes.values()) <= 69
+    assert min(sizes.values()) >= 40 and sorted(sizes.values())[-2] <= 80 and max(sizes.values()) <= 119
     got = collections.Counter(a for a, _ in pairs)
     assert all(got[i] <= degree[i] for i in group) and sum(degree.values()) - len(pairs) <= 0.02 * len(pairs)
-    assert abs(sum(degree.values()) / 800 - 10) < 1 and max(degree.values()) <= 40
+    assert abs(sum(degree.values()) / 800 - 8) < 0.8 and max(degree.values()) <= 20
     assert abs(sum(group[a] != group[b] for a, b in pairs) / len(pairs) - 0.25) < 0.04
     with pytest.raises(ValueError):
         benchmark.lowest_for(50, 40, 2.5)
