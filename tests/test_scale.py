@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.operators import linalg
+from graphloom.operators import evaluate, linalg
 from graphloom.plans import catalog
 
 
@@ -29,3 +29,59 @@ def test_products_are_rounded_as_the_matrix_is(spark):
     pairs = spark.createDataFrame([(1, 1)], "src long, dst long")
     assert catalog._products(pairs, factors, 3, 5).first().w == 0.07
     assert catalog._products(pairs, factors, 3).first().w == 0.069
+
+
+def _pairs_in_order(x, y):
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        out += x[:, k, None] * y[None, :, k]
+    return out
+
+
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+
+
+def test_near_ties_are_settled_by_sums_in_order(spark):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(30, 16)), 5, axis=0) + rng.choice([0, 1e-15, 1e-12], size=(150, 1))
+    x[140:] = 0
+    x[120:123] *= 1e20
+    want = _pairs_in_order(x, x)
+    np.fill_diagonal(want, -np.inf)
+    got = {}
+    for r in evaluate.nearest(_vectors(spark, x), 4).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.other, r.score))
+    for i in range(len(x)):
+        best = np.lexsort((np.arange(len(x)), -want[i]))[:4]
+        assert got[i] == [(j, want[i, j]) for j in best]
+    pairs = sorted((-want[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x)))[:40]
+    assert [(-r.score, r.src, r.dst) for r in sorted(evaluate.top_pairs(_vectors(spark, x), 40).collect(), key=lambda r: (-r.score, r.src, r.dst))] == pairs
+
+
+def test_only_few_scores_are_looked_at():
+    rng = np.random.default_rng(2)
+    scores = rng.normal(size=(64, 5003)).astype(np.float32)
+    row, col = evaluate._candidates(scores, 10, 1e-6)
+    assert len(row) < 64 * 200
+    for i in range(64):
+        assert set(np.argsort(-scores[i])[:10]) <= set(col[row == i])
+
+
+def test_personas_meet_in_blocks_not_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BLOCK_ROWS", 16)  # a node's personas lie in several blocks
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 8))
+    node = np.arange(90) % 3 + (np.arange(90) > 80)
+    data = [(i, x[i].tolist()) for i in range(88)] + [(88, None), (89, [1.0] * 7 + [None])]
+    vectors = spark.createDataFrame(data, "id long, vec array<double>")
+    personas = spark.createDataFrame([(int(n), i) for i, n in enumerate(node)] + [(7, 88), (8, 1000)], "id long, persona long")
+    pairs = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (2, 3), (0, 1), (7, 0), (8, 0), (0, 9)], "src long, dst long")
+    for name in ("max", "min", "avg"):
+        want = {(r.src, r.dst): r.score for r in evaluate.persona_scores(pairs.distinct(), personas, vectors, getattr(F, name)("s")).collect()}
+        found = evaluate.persona_scores(pairs, personas, vectors, name)
+        assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+        got = {(r.src, r.dst): r.score for r in found.collect()}
+        assert got.keys() == want.keys() and want[7, 0] is None
+        for key, value in want.items():
+            assert value == got[key] if name != "avg" or value is None else abs(value - got[key]) < 1e-12
