@@ -85,3 +85,23 @@ def test_personas_meet_in_blocks_not_in_rows(spark, monkeypatch):
         assert got.keys() == want.keys() and want[7, 0] is None
         for key, value in want.items():
             assert value == got[key] if name != "avg" or value is None else abs(value - got[key]) < 1e-12
+
+
+def _moments_of(m):
+    rows = m.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.sum(F.col("w") * F.col("w")).alias("squares")).collect()
+    return {r.src: tuple(r)[1:] for r in rows}
+
+
+def test_moments_of_power_sums_without_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "BLOCK_IDS", 8)
+    monkeypatch.setattr(linalg, "CELLS", 40)
+    rng = np.random.default_rng(4)
+    cells = sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (90, 2))} | {(1_000_003, 2), (5, 1_000_003), (-3, 5)})
+    a = spark.createDataFrame([(i, j, float(rng.integers(1, 5)) * (-1) ** (i % 2)) for i, j in cells], "src long, dst long, w double")
+    for upto in (1, 2, 3):
+        got = {r.src: (r.n, r.total, r.squares) for r in linalg.power_sum_moments(a, upto).select("src", "n", "total", "squares").collect()}
+        assert got == _moments_of(linalg.power_sum(a, upto, small=0))
+        want = _moments_of(linalg.walk_sum(a, 0.2, upto, small=0))
+        found = {r.src: (r.n, r.total, r.squares) for r in linalg.walk_sum_moments(a, 0.2, upto).select("src", "n", "total", "squares").collect()}
+        assert found.keys() == want.keys()
+        assert all(np.allclose(found[k], want[k], atol=1e-9) for k in want)
