@@ -3,15 +3,16 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a
 document with a smaller id.  Three passes over the texts share the work:
 
-1. Winnowing: the smallest hash of the 16-byte grams inside a window
+1. Winnowing: the smallest hash of the 20-byte grams inside a window
    names it, so equal windows have equal names.  Names are counted in
    packed sorted arrays; those of two documents or more are *shared*.
 2. Runs of windows with one shared name become segments.  Equal segments
    are folded to the smallest id, the rest meet by name.  There a
-   generalised suffix array and its transform are built, and breadth-first
-   backward extension derives the common prefixes by increasing value,
-   stopping at ``length``: what is left joined are the intervals of equal
-   windows, and each passes on its smallest document id.
+   generalised suffix array and its transform are built for about a
+   megabyte of whole names at a time, and breadth-first backward extension
+   derives the common prefixes by increasing value, stopping at ``length``:
+   what is left joined are the intervals of equal windows, and each passes
+   on its smallest document id.
 3. Each document looks up its segments and drops what they cover.
 
 A name that very many documents share is *heavy*: its windows are keyed
@@ -36,15 +37,18 @@ from pyspark.sql import types as T
 from graphloom.llm.arrow_text import flat_text, mix64, slices
 from graphloom.llm.hash_store import HashArray, by_part, exists, new_folder, parts_for, read_arrays, write_arrays
 
-GRAM = 16
+#: Bytes of a gram, fewer where windows are short; longer grams are shared by fewer unlike windows, but name more segments.
+GRAM = 20
 HEAD = 7
 #: Flags of shared names: one content everywhere, several, or too many for one task.
 SAME, MIXED, HEAVY = 1, 2, 3
-PASS_BYTES = 3 << 20
+PASS_BYTES = 2 << 20
 FLUSH_BYTES = 12 << 20
 NO_DOC = np.iinfo(np.int64).max
-#: Text behind one part; its suffix order takes about 60 bytes for each byte of its shared segments.
+#: Text behind one part.
 SEGMENT_PART_BYTES = 32 << 20
+#: Segments ordered at once; a suffix order takes about 60 bytes for each byte of theirs.
+ORDER_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -70,11 +74,15 @@ def _load8(data: np.ndarray, n: int, at: int) -> np.ndarray:
     return np.ndarray((n,), "<u8", data, offset=at, strides=(1,))
 
 
-def _content(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _gram(length: int) -> int:
+    return min(GRAM, length - 8)
+
+
+def _content(run: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> np.ndarray:
     """Key of spans from the running sum of their grams' hashes: overlapping
     grams fix each other's order."""
     with np.errstate(over="ignore"):
-        return mix64(run[end - GRAM + 1] - run[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
+        return mix64(run[end - gram + 1] - run[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
 
 
 def winnow(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[Segments, np.ndarray]:
@@ -84,17 +92,21 @@ def winnow(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[Segments,
     none, nil = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n <= 0:
         return Segments(none, none, none, nil, nil), nil
-    data = np.ascontiguousarray(data)
+    data, gram = np.ascontiguousarray(data), _gram(length)
     with np.errstate(over="ignore"):
-        grams = len(data) - GRAM + 1
+        grams = len(data) - gram + 1
         low = _load8(data, grams, 0) * np.uint64(0x9E3779B97F4A7C15)
-        low += _load8(data, grams, 8) * np.uint64(0xC2B2AE3D27D4EB4F)
-        low ^= low >> np.uint64(32)
+        spare = _load8(data, grams, 8) * np.uint64(0xC2B2AE3D27D4EB4F)
+        low += spare
+        if gram > 16:
+            low += np.multiply(_load8(data, grams, gram - 8), np.uint64(0x165667B19E3779F9), out=spare)
+        low ^= np.right_shift(low, np.uint64(32), out=spare)
         low *= np.uint64(0xD6E8FEB86659FD93)
-        low ^= low >> np.uint64(29)
+        low ^= np.right_shift(low, np.uint64(29), out=spare)
+        del spare
         run = np.zeros(grams + 1, np.uint64)
         np.cumsum(low, out=run[1:])
-    width, have = length - GRAM + 1, 1
+    width, have = length - gram + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
@@ -114,14 +126,14 @@ def winnow(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[Segments,
     inside = first + length <= bounds[row + 1]
     first, last, row = first[inside], last[inside], row[inside]
     end = last + length
-    return Segments(first, end, row, low[first] >> np.uint64(16), _content(run, first, end)), run
+    return Segments(first, end, row, low[first] >> np.uint64(16), _content(run, first, end, gram)), run
 
 
 def _windows(seg: Segments, run: np.ndarray, length: int) -> Segments:
     """Segments as single windows."""
     sizes = seg.end - seg.start - length + 1
     start = np.repeat(seg.start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return Segments(start, start + length, np.repeat(seg.row, sizes), np.repeat(seg.name, sizes), _content(run, start, start + length))
+    return Segments(start, start + length, np.repeat(seg.row, sizes), np.repeat(seg.name, sizes), _content(run, start, start + length, _gram(length)))
 
 
 def _part_of(route: np.ndarray, parts: int) -> np.ndarray:
@@ -154,9 +166,9 @@ def shared_items(data: np.ndarray, bounds: np.ndarray, length: int, folder: str,
     light = (flag == SAME) | (flag == MIXED)
     items, route, mixed = seg.take(light), seg.name[light], flag[light] == MIXED
     if (flag == HEAVY).any():
-        heavy = _windows(seg.take(flag == HEAVY), run, length)
+        heavy, gram = _windows(seg.take(flag == HEAVY), run, length), _gram(length)
         with np.errstate(over="ignore"):
-            ends = mix64((run[heavy.start + 1] - run[heavy.start]) * np.uint64(3) + run[heavy.end - GRAM + 1] - run[heavy.end - GRAM])
+            ends = mix64((run[heavy.start + 1] - run[heavy.start]) * np.uint64(3) + run[heavy.end - gram + 1] - run[heavy.end - gram])
         items, route = items.join(heavy), np.concatenate([route, (ends ^ heavy.name) & np.uint64((1 << 48) - 1)])
         mixed = np.concatenate([mixed, np.ones(len(heavy.start), bool)])
     return items, route, mixed
@@ -254,7 +266,7 @@ def covered_windows(items: list[bytes], docs: np.ndarray, length: int) -> list[n
 
 def _blob(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _unblob(blob: bytes, dtypes: list[str]) -> list[np.ndarray]:
@@ -267,16 +279,32 @@ def _unblob(blob: bytes, dtypes: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _planes(sorted48: np.ndarray) -> np.ndarray:
+def _planes(values: np.ndarray, width: int) -> np.ndarray:
+    """The lowest ``width`` bytes of 64-bit numbers, one plane a byte."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def _from_planes(planes: np.ndarray, width: int) -> np.ndarray:
+    wide = np.zeros((planes.size // width, 8), np.uint8)
+    wide[:, :width] = planes.reshape(width, -1).T
+    return wide.view(np.uint64).ravel()
+
+
+def _steps(sorted48: np.ndarray) -> np.ndarray:
     """Ascending 48-bit values as byte planes of their differences."""
-    steps = np.diff(sorted48, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T)
+    return _planes(np.diff(sorted48, prepend=np.uint64(0)), 6)
+
+
+def _from_steps(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(_from_planes(planes, 6), dtype=np.uint64)
 
 
-def _from_planes(planes: np.ndarray) -> np.ndarray:
-    wide = np.zeros((planes.size // 6, 8), np.uint8)
-    wide[:, :6] = planes.reshape(6, -1).T
-    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+def _stretches(route: np.ndarray, sizes: np.ndarray, limit: int) -> list[np.ndarray]:
+    """Positions of sorted ``route`` in stretches of whole routes of about
+    ``limit`` bytes; what is above it is the last route of a stretch."""
+    first = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
+    number = (np.cumsum(sizes) - sizes)[first] // limit
+    return np.split(np.arange(len(route)), first[1:][number[1:] != number[:-1]])
 
 
 def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -310,7 +338,7 @@ def _find_shared(source: DataFrame, length: int, folder: str, parts: int) -> Non
             docs = np.where((np.minimum.reduceat(row, first) == np.maximum.reduceat(row, first)), 1, sizes).astype("<u4")
             low, high = np.minimum.reduceat(key, first), np.maximum.reduceat(key, first)
             name, print_, same = name[first], low.astype("<u4"), low == high
-            yield from _send(_part_of(name, parts), lambda i: _blob(_planes(name[i]), docs[i], np.ascontiguousarray(print_[i]), np.packbits(same[i])))
+            yield from _send(_part_of(name, parts), lambda i: _blob(_steps(name[i]), docs[i], np.ascontiguousarray(print_[i]), np.packbits(same[i])))
 
         names, rows, keys, held, base = [], [], [], 0, 0
         for ids, data, bounds in _text_slices(batches):
@@ -331,7 +359,7 @@ def _find_shared(source: DataFrame, length: int, folder: str, parts: int) -> Non
         got = []
         for x in table.column("packed"):
             planes, docs, print_, same = _unblob(x.as_py(), ["u1", "<u4", "<u4", "u1"])
-            got.append((_from_planes(planes), docs.astype(np.int64), print_, np.unpackbits(same)[: len(docs)]))
+            got.append((_from_steps(planes), docs.astype(np.int64), print_, np.unpackbits(same)[: len(docs)]))
         name, docs, print_, same = (np.concatenate(c) for c in zip(*got))
         order = np.argsort(name)
         name, docs, print_, same = name[order], docs[order], print_[order], same[order]
@@ -374,7 +402,8 @@ def _find_cover(source: DataFrame, length: int, folder: str, parts: int, all_byt
             def pack(i: np.ndarray) -> bytes:
                 own = first[i]
                 body = [text[j] for j in own.tolist()]
-                return _blob(_planes(route[own]), key[own], doc[own], np.array([len(b) for b in body], "<u4"), np.frombuffer(b"".join(body), np.uint8))
+                sizes = np.array([len(b) for b in body], np.int64)
+                return _blob(_steps(route[own]), _planes(key[own], 6), _planes(doc[own], 8), _planes(sizes, 4), np.frombuffer(b"".join(body), np.uint8))
 
             yield from _send(_part_of(route[first], parts), pack)
 
@@ -401,9 +430,10 @@ def _find_cover(source: DataFrame, length: int, folder: str, parts: int, all_byt
         part = table.column("part")[0].as_py()
         got, raws, base = [], [], 0
         for x in table.column("packed"):
-            planes, key, doc, sizes, raw = _unblob(x.as_py(), ["u1", "<u8", "<i8", "<u4", "u1"])
-            ends = base + np.cumsum(sizes.astype(np.int64))
-            got.append((_from_planes(planes), key, doc, ends - sizes, ends))
+            steps, keys, docs, sizes, raw = _unblob(x.as_py(), ["u1"] * 5)
+            sizes = _from_planes(sizes, 4).view(np.int64)
+            ends = base + np.cumsum(sizes)
+            got.append((_from_steps(steps), _from_planes(keys, 6), _from_planes(docs, 8).view(np.int64), ends - sizes, ends))
             raws.append(raw)
             base += len(raw)
         route, key, doc, a, b = (np.concatenate(c) for c in zip(*got))
@@ -415,15 +445,17 @@ def _find_cover(source: DataFrame, length: int, folder: str, parts: int, all_byt
         several = np.zeros(len(route), bool)
         twin = route[by][1:] == route[by][:-1]
         several[by[1:][twin]] = several[by[:-1][twin]] = True
-        mixed = np.flatnonzero(several)
+        mixed = by[several[by]]
         sizes, flat = np.zeros(len(key), np.int64), np.zeros(0, "<u4")
         mistaken = int((a[mixed] == b[mixed]).sum())
         if len(mixed) and not mistaken:
             whole = b"".join(r.tobytes() for r in raws)
-            covered = covered_windows([whole[x:y] for x, y in zip(a[mixed].tolist(), b[mixed].tolist())], doc[mixed], length)
-            sizes[mixed] = [len(c) for c in covered]
-            flat = np.concatenate(covered).astype("<u4")
-        write_arrays(folder, f"cover-{part}", [*HashArray.layout(key), doc.astype("<i8"), np.cumsum(np.append(0, sizes)).astype("<u8"), _route_check(route), flat])
+            covered = np.full(len(key), None, object)
+            for own in (mixed[i] for i in _stretches(route[mixed], (b - a)[mixed], ORDER_BYTES)):
+                for k, windows in zip(own, covered_windows([whole[x:y] for x, y in zip(a[own].tolist(), b[own].tolist())], doc[own], length)):
+                    covered[k], sizes[k] = windows.astype("<u4"), len(windows)
+            flat = np.concatenate(covered[several].tolist())
+        write_arrays(folder, f"cover-{part}", [*HashArray.layout(key), doc.astype("<i8"), np.cumsum(np.append(0, sizes)).astype("<u4"), _route_check(route), flat])
         return pa.table({"part": pa.array([part], pa.int32()), "mistaken": pa.array([mistaken], pa.int64())})
 
     done = source.mapInArrow(spread, "part int, packed binary").groupBy("part").applyInArrow(merge, "part int, mistaken long")
@@ -434,7 +466,7 @@ def _removed(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int,
     """Which bytes of a slice go."""
     items, route, _ = shared_items(data, bounds, length, folder, parts)
     delta = np.zeros(len(data) + 1, np.int32)
-    for idx, at, (first, cuts, check, windows) in _lookup(folder, "cover", items.key, _part_of(route, parts), ["<i8", "<u8", "<u2", "<u4"]):
+    for idx, at, (first, cuts, check, windows) in _lookup(folder, "cover", items.key, _part_of(route, parts), ["<i8", "<u4", "<u2", "<u4"]):
         same = check[at] == _route_check(route[idx])
         idx, at = idx[same], at[same]
         own = ids[items.row[idx]]
@@ -462,7 +494,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null text stays null.
     Windows need ``length`` bytes, at least 24.
     """
-    if length < GRAM + 8:
+    if length < 24:
         raise ValueError("length must be at least 24 bytes")
     spark = docs.sparkSession
     folder = new_folder(spark, "suffix-dedup")

@@ -144,6 +144,37 @@ def test_suffix_dedup_brute_force(docs, rows, monkeypatch, heavy):
     assert got == want
 
 
+def test_suffix_dedup_orders_stretches_of_whole_routes(docs, monkeypatch):
+    route, sizes = np.array([1, 1, 2, 3, 3, 3, 4, 9], np.uint64), np.array([60, 60, 50, 90, 90, 90, 50, 50])
+    assert [x.tolist() for x in suffix_dedup._stretches(route, sizes, 150)] == [[0, 1, 2], [3, 4, 5], [6], [7]]
+    whole = sorted(map(str, suffix_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffix_dedup, "ORDER_BYTES", 300)
+    assert sorted(map(str, suffix_dedup.remove_repeats(docs).collect())) == whole
+
+
+def test_suffix_dedup_names_short_matches_apart():
+    """A phrase of 16 bytes is too short for a window and makes no names meet."""
+    rng, phrase = np.random.default_rng(3), b"sixteen bytes in"
+    names = []
+    for _ in range(2):
+        text = b"".join(rng.integers(33, 127, 60).astype(np.uint8).tobytes() + phrase for _ in range(200))
+        seg, _ = suffix_dedup.winnow(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 50)
+        names.append(set(seg.name.tolist()))
+    assert len(names[0]) > 500 and not names[0] & names[1]
+
+
+@pytest.mark.parametrize("length", [24, 27, 28])
+def test_suffix_dedup_short_windows(spark, length):
+    texts = ["the quick brown fox jumps over the lazy dog " * 2, "say that the quick brown fox jumps over it", "x" * 80, "y" + "x" * 40, "a short one"]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length)
+    first = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - length + 1):
+            first.setdefault(t[p : p + length], i)
+    want = {i: len({q for p in range(len(t) - length + 1) if first[t[p : p + length]] < i for q in range(p, p + length)}) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_removed for r in out.collect()} == want
+
+
 def test_suffix_dedup_rows(docs, nothing):
     out = suffix_dedup.remove_repeats(docs, whole_rows=True)
     assert out.columns == docs.columns and out.count() == docs.count()
