@@ -3,6 +3,9 @@
 import itertools
 
 from graphloom.operators import graph
+from graphloom.sources import fixtures
+
+from tables import DATA
 
 
 def _noting(monkeypatch, module, name, sizes):
@@ -42,3 +45,13 @@ def test_components_with_many_hubs(spark):
     got = {r.id: r.label for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert {got[i] for i in range(3)} == {0} and [got[i] for i in range(3, 8)] == list(range(3, 8))
     assert all(label <= min(i, 7) for i, label in got.items())
+
+
+def test_parts_of_orders_follow_the_line_items(spark, monkeypatch):
+    folder = f"{DATA}/sf0.001"
+    want = {tuple(r) for r in fixtures.part_pairs(spark, folder).collect()}
+    monkeypatch.setattr(fixtures, "PART_ROWS", 100)
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    pairs = fixtures.part_pairs(spark, folder)
+    assert pairs.rdd.getNumPartitions() == -(-n // 100)
+    assert {tuple(r) for r in pairs.collect()} == want
