@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.ranking import first_rows
 from graphloom.functions.scalar import u01
-from graphloom.functions.session import cut_lineage
+from graphloom.functions.session import cut_lineage, spread_join
 from graphloom.operators.graph import components, dense_codes, nodes_of, spanning_tree, symmetrised, without_loops
 from graphloom.operators.samplers import negative_edges
 
@@ -44,37 +44,16 @@ def held_out_edges(edges: DataFrame, fraction: float = 0.5, seed: int = 0, tree:
     return first_rows(keyed, want, F.col("_u"), F.col("src"), F.col("dst")).select("src", "dst")
 
 
-def _meeting(pairs: DataFrame, steps: DataFrame, levels: int) -> DataFrame:
-    """The ``pairs(src, dst)`` whose ends some path over ``steps(node, next)``
-    of up to 2 x ``levels`` steps joins: all pairs are searched at once, level
-    by level from both ends, and a pair leaves the search where its ends meet."""
-    ends = lambda side: pairs.select("src", "dst", F.lit(side).alias("side"), F.col("dst" if side else "src").alias("node"))
-    front = cut_lineage(ends(0).unionByName(ends(1)))
-    seen, met = front, None
-    for _ in range(levels):
-        for side in (0, 1):
-            grown = front.where(F.col("side") == side).join(steps, "node").select("src", "dst", "side", F.col("next").alias("node")).distinct()
-            grown = cut_lineage(grown.join(seen, ["src", "dst", "side", "node"], "left_anti"))
-            front = front.where(F.col("side") != side).unionByName(grown)
-            seen = seen.unionByName(grown)
-            other = seen.where(F.col("side") != side).select("src", "dst", "node")
-            now = cut_lineage(grown.join(other, ["src", "dst", "node"], "left_semi").select("src", "dst").distinct())
-            met = now if met is None else met.unionByName(now)
-            front, seen = (t.join(now, ["src", "dst"], "left_anti") for t in (front, seen))
-        front, seen = cut_lineage(front), cut_lineage(seen)
-    return met
-
-
-def held_out_edges_by_search(edges: DataFrame, fraction: float = 0.5, seed: int = 0, levels: int = 1) -> DataFrame:
+def held_out_edges_by_search(edges: DataFrame, fraction: float = 0.5, seed: int = 0) -> DataFrame:
     """(src, dst), src < dst: ``fraction`` of the edges, so that no component falls apart.
 
     A round takes as many random edges as are still wanted, none with an end
     of degree one, and looks for a way between the ends of each over the edges
-    that the round leaves in place: first by a search from both ends, of
-    ``levels`` levels, then, for those that have not met, by components.
-    Edges with a way go, all at once, for none of the ways uses another; the
-    rest go back.  A round that finds none takes edges outside a spanning
-    forest, which can always go.  Raises ``ValueError`` if too few can.
+    that the round leaves in place: all are searched at once, by components,
+    so that no edge carries a front of nodes of its own.  Edges with a way go,
+    all at once, for none of the ways uses another; the rest go back.  A round
+    that finds none takes edges outside a spanning forest, which can always
+    go.  Raises ``ValueError`` if too few can.
     """
     left = cut_lineage(without_loops(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     taken, want, number = left.limit(0), int(left.count() * fraction), 0
@@ -85,11 +64,9 @@ def held_out_edges_by_search(edges: DataFrame, fraction: float = 0.5, seed: int
         drawn = able.withColumn("_u", u01("search-split", F.col("src"), F.col("dst"), number, seed))
         tried = cut_lineage(first_rows(drawn, want, F.col("_u"), F.col("src"), F.col("dst")).select("src", "dst"))
         rest = cut_lineage(left.join(tried, ["src", "dst"], "left_anti"))
-        steps = cut_lineage(rest.toDF("node", "next").unionByName(rest.toDF("next", "node")))
-        met = cut_lineage(_meeting(tried, steps, levels))
-        label = cut_lineage(components(rest.withColumn("w", F.lit(1.0))))
-        far = tried.join(met, ["src", "dst"], "left_anti").join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst")
-        gone = cut_lineage(met.unionByName(far.where("a = b").select("src", "dst")))
+        label = cut_lineage(components(rest))
+        ways = spread_join(cut_lineage(spread_join(tried, label.toDF("src", "a"), "src")), label.toDF("dst", "b"), "dst")
+        gone = cut_lineage(ways.where("a = b").select("src", "dst"))
         found = gone.count()
         if not found:
             forest = spanning_tree(left.withColumn("w", u01("search-tree", F.col("src"), F.col("dst"), seed))).select("src", "dst")

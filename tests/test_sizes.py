@@ -2,7 +2,9 @@
 
 import itertools
 
-from graphloom.operators import graph
+from pyspark.sql import functions as F
+
+from graphloom.operators import graph, splits
 from graphloom.sources import fixtures
 
 from tables import DATA
@@ -55,3 +57,12 @@ def test_parts_of_orders_follow_the_line_items(spark, monkeypatch):
     pairs = fixtures.part_pairs(spark, folder)
     assert pairs.rdd.getNumPartitions() == -(-n // 100)
     assert {tuple(r) for r in pairs.collect()} == want
+
+
+def test_search_writes_no_more_than_the_edges(spark, monkeypatch):
+    sizes = []
+    _noting(monkeypatch, splits, "cut_lineage", sizes)
+    edges = list(itertools.combinations(range(24), 2))
+    held = splits.held_out_edges_by_search(spark.createDataFrame(edges, "src long, dst long").withColumn("w", F.lit(1.0)), 0.5, 3)
+    assert held.distinct().count() == len(edges) // 2
+    assert max(sizes) <= len(edges)
