@@ -2,9 +2,10 @@
 
 import itertools
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, splits
+from graphloom.operators import graph, linalg, splits
 from graphloom.sources import fixtures
 
 from tables import DATA
@@ -66,3 +67,25 @@ def test_search_writes_no_more_than_the_edges(spark, monkeypatch):
     held = splits.held_out_edges_by_search(spark.createDataFrame(edges, "src long, dst long").withColumn("w", F.lit(1.0)), 0.5, 3)
     assert held.distinct().count() == len(edges) // 2
     assert max(sizes) <= len(edges)
+
+
+def test_no_entry_carries_a_vector(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    width = linalg.COLUMNS + 10
+    cells = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (300, 2))} | {(7, b) for b in range(60)} | {(a, 3) for a in range(60)})
+    a = spark.createDataFrame([(i, j, float(i - j + 1)) for i, j in cells], "src long, dst long, w double")
+    x = rng.normal(size=(50, width))
+    thin = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    dense = np.zeros((60, 50))
+    for i, j in cells:
+        if j < 50:
+            dense[i, j] = i - j + 1
+    for numbers, strip in ((1 << 24, 1 << 22), (40 * width, 7 * width)):
+        monkeypatch.setattr(linalg, "THIN", numbers)
+        monkeypatch.setattr(linalg, "CELLS", strip)
+        found = linalg.times_thin(a, thin, width)
+        assert "Join" not in found._jdf.queryExecution().toString()
+        rows = found.collect()
+        assert len({r.id for r in rows}) == len(rows) == len({i for i, j in cells if j < 50})
+        for r in rows:
+            assert np.allclose(r.vec, dense[r.id] @ x, atol=1e-9)
