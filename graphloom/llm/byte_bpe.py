@@ -18,6 +18,8 @@ run in one stage without a shuffle:
 
 A stretch ends, and its pieces are forgotten, once it holds
 ``MAX_PIECES`` pieces, so memory is bounded whatever a partition holds.
+Input that is cut finer than ``TASK_BYTES`` is put together to tasks of that
+size, two a core at least, for what partitions share is folded in each anew.
 """
 
 from __future__ import annotations
@@ -34,13 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_text import flat_text, slices
+from graphloom.llm.hash_store import parts_for
 
-MAX_PIECES = 500_000
+MAX_PIECES = 1_000_000
+#: Text behind one task where the input is cut finer: stretches share pieces, and what they share is folded once.
+TASK_BYTES = 80 << 20
 CHUNK_BYTES = 2 << 20
-BUCKETS = 1 << 16
+HASH_SHIFT = 16
+BUCKETS = 1 << 32 - HASH_SHIFT
 #: Ids are written as characters from here on; the last one says "no such pair".
 FIRST = 0x10000
-NONE, MARK = chr(0x10FFFF), "|"
+NONE, MARK, EDGE = chr(0x10FFFF), "|", "."
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,17 +65,18 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     both together, which is its rank.
 
     It is an array of small maps, dealt by a hash of the pair.  A map is a
-    string of entries, a mark and the characters of first, second and both.
-    What follows the mark and a pair is its rank; where a pair is not there,
-    the whole string is left, which starts with ``NONE``.
+    string of entries, the characters of first and second, a mark, that of
+    both and a mark, so that no two ids stand together but a pair.  What
+    follows a pair is a mark and its rank; where a pair is not there, the
+    whole string is left, which starts with a mark and ``NONE``.
     """
-    maps = [NONE] * BUCKETS
+    maps = [MARK + NONE + MARK] * BUCKETS
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             first, second = ranks.get(token[:cut]), ranks.get(token[cut:])
             if first is not None and second is not None:
                 pair = sign(first) + sign(second)
-                maps[zlib.crc32(pair.encode()) % BUCKETS] += MARK + pair + sign(rank)
+                maps[zlib.crc32(pair.encode()) >> HASH_SHIFT] += pair + MARK + sign(rank) + MARK
     return F.split(F.lit(" ".join(maps)), " ")
 
 
@@ -94,39 +101,35 @@ def encode_piece(start: Column, ranks: Column) -> Column:
     """array<int>: ids of one piece, given as the array of the ids of its
     bytes, written as a string of one character an id.
 
-    The fold holds the ids so far and the rank of each neighbouring pair; a
-    step merges the pair of lowest rank, the leftmost of equals, and looks
-    up the two pairs it changes.  Without a mergeable pair a step changes
-    nothing.  A single id stays as it is.
+    The fold holds the ids so far and the rank of each neighbouring pair,
+    with an edge on either side that is in no pair; a step merges the pair of
+    lowest rank, the leftmost of equals, and looks up the two pairs it
+    changes.  Without a mergeable pair a step changes nothing.  A single id
+    stays as it is.
     """
 
     def fold(table: Column) -> Column:
         def rank(pair: Column) -> Column:
-            own = F.element_at(table, (F.crc32(pair.cast("binary")) % BUCKETS + 1).cast("int"))
-            return F.substring(F.call_function("substring_index", own, F.concat(F.lit(MARK), pair), F.lit(-1)), 1, 1)
+            own = F.get(table, F.shiftright(F.crc32(pair.cast("binary")), HASH_SHIFT).cast("int"))
+            return F.substring(F.call_function("substring_index", own, pair, F.lit(-1)), 2, 1)
 
         n = F.length(start)
         pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(start, i, F.lit(2))))
-        state = F.struct(start.alias("p"), F.array_join(pairs, "").alias("r"))
+        state = F.struct(F.concat(F.lit(EDGE), start, F.lit(EDGE)).alias("p"), F.concat(F.lit(NONE), F.array_join(pairs, ""), F.lit(NONE)).alias("r"))
 
-        def merge(acc: Column, low: Column) -> Column:
-            def at(k: Column) -> Column:
-                p, r = acc["p"], acc["r"]
-                before = F.when(k > 1, rank(F.concat(F.substring(p, k - 1, F.lit(1)), low))).otherwise(F.lit(""))
-                after = F.when(k < F.length(r), rank(F.concat(low, F.substring(p, k + 2, F.lit(1))))).otherwise(F.lit(""))
-                return F.struct(
-                    F.overlay(p, low, k, F.lit(2)).alias("p"),
-                    F.concat(F.substring(r, F.lit(1), k - 2), before, after, F.substring(r, k + 2, n)).alias("r"),
-                )
+        def step(acc: Column, _: Column) -> Column:
+            p, r = acc["p"], acc["r"]
 
-            return _let(_locate(low, acc["r"]), at)
+            def at(k: Column) -> Column:
+                low = F.substring(r, k, F.lit(1))
+                done = F.struct(p.alias("p"), F.lit("").alias("r"))
+                around = lambda q: F.concat(rank(F.substring(q, k - 1, F.lit(2))), rank(F.substring(q, k, F.lit(2))))
+                merged = _let(F.overlay(p, low, k, F.lit(2)), lambda q: F.struct(q.alias("p"), F.overlay(r, around(q), k - 1, F.lit(3)).alias("r")))
+                return F.when(low == NONE, done).otherwise(merged)
 
-        def step(acc: Column, _: Column) -> Column:
-            done = F.struct(acc["p"].alias("p"), F.lit("").alias("r"))
-            least = lambda low: F.when(low == NONE, done).otherwise(merge(acc, low))
-            return F.when(acc["r"] == "", acc).otherwise(_let(F.array_min(F.split(acc["r"], "")), least))
+            return F.when(r == "", acc).otherwise(_let(_locate(F.array_min(F.split(r, "")), r), at))
 
-        return F.aggregate(F.sequence(F.lit(2), n), state, step, lambda acc: acc["p"])
+        return F.aggregate(F.sequence(F.lit(2), n), state, step, lambda acc: F.call_function("replace", acc["p"], F.lit(EDGE), F.lit("")))
 
     whole = F.when(F.length(start) < 2, start).otherwise(_let(ranks, fold))
     return F.transform(F.split(whole, ""), lambda c: F.ascii(c) - FIRST)
@@ -231,6 +234,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
                         yield pa.RecordBatch.from_arrays([own.column(1)[at : at + 256], flat, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = source.coalesce(parts_for(source, "text", max(8, 2 * docs.sparkSession.sparkContext.defaultParallelism), TASK_BYTES))
     pieces = source.mapInArrow(split, _PIECES).withColumn("ids", encode_piece(F.col("piece"), rank_literal(ranks)))
     decoded = pieces.select("kind", "doc_id", "refs", "ids", decode_ids(F.col("ids"), token_literal(ranks)).alias("raw"))
     kind = "binary" if packed else "array<int>"

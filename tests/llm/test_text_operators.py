@@ -208,6 +208,25 @@ def test_bpe_forgets_pieces(docs, rows, monkeypatch):
     assert sorted(bytes(r.decoded) for r in got) == sorted((t or "").encode() for _, t in rows)
 
 
+def test_bpe_shares_pieces_between_fine_partitions(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "TASK_BYTES", 1 << 30)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    cores = spark.sparkContext.defaultParallelism
+    fine = docs.repartition(3 * max(8, 2 * cores))
+    got = byte_bpe.encode_documents(fine, ranks, public_tokenizers.PATTERN)
+    assert got.rdd.getNumPartitions() == max(8, 2 * cores)
+    assert sorted(bytes(r.decoded) for r in got.collect()) == sorted((t or "").encode() for _, t in rows)
+
+
+def test_bpe_edges_of_the_fold(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"aa": 259, b"..": 260, b"aaaa": 261}
+    plain = tiktoken.Encoding("t", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    texts = ["a", "ab", "xabc", "abcx", "aaaaa", "....", ".|.", "bcab", "é", "aabcaab", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in byte_bpe.encode_documents(docs, ranks, r"(?s).+").collect()}
+    assert got == {i: plain.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize(("order", "parts", "finer"), [(3, None, 1), (3, 3, 2000), (2, None, 1), (2, 3, 2000)])
 def test_language_model_brute_force(docs, rows, nothing, monkeypatch, order, parts, finer):
     """A finer share than a part's makes many words and pairs heavy."""
