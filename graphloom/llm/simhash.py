@@ -57,6 +57,11 @@ def shingle_hashes(text: bytes, width: int, lower: bool = True) -> list[int]:
     return [digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[width - 1 :])]
 
 
+def plain_words(text: bytes) -> bytes:
+    """The words of a UTF-8 text in lower case, of all scripts, one space apart."""
+    return " ".join(text.decode("utf-8", "surrogateescape").lower().split()).encode("utf-8", "surrogateescape")
+
+
 def fold_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Majority bits per row; ``counts`` hashes belong to each row in turn."""
     out = np.zeros(len(counts), np.uint64)
@@ -364,7 +369,8 @@ class ShingleSets:
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, group, first_id) of every row: groups of texts linked by chains of
     pairs whose shingle sets have a Jaccard similarity of ``similarity`` or
-    more.  All such pairs are found, and no other ones are linked.
+    more.  All such pairs are found, and no other ones are linked.  Words end at
+    white space and are compared in lower case, both as Unicode has them.
 
     ``first_id`` is the smallest id of the group.  Texts without words are
     one group, equal texts always share one; null ids are as in
@@ -382,7 +388,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             whole = data.tobytes()
             nodes, checks, places = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
             for lo, hi in slices(bounds):
-                each = [np.unique(np.array(shingle_hashes(whole[bounds[i] : bounds[i + 1]], width), np.uint64)) for i in range(lo, hi)]
+                each = [np.unique(np.array(shingle_hashes(plain_words(whole[bounds[i] : bounds[i + 1]]), width, False), np.uint64)) for i in range(lo, hi)]
                 sizes = np.array([len(x) for x in each], np.int64)
                 starts, flat = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(each)
                 write_arrays(folder, f"sets-{number}", [starts.astype("<i8"), flat, sketches(flat, starts).ravel()])

@@ -119,6 +119,16 @@ def test_similar_texts_brute_force(spark, monkeypatch, hot):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+def test_similar_texts_in_other_scripts(spark):
+    words = [f"größe{k} été{k} ñu{k} мир{k}" for k in range(30)]
+    text = " ".join(words)
+    rows = [(0, text), (1, text.upper()), (2, text.replace(" ", "\u00a0")), (3, text.replace(" ", "\u2003").title()), (4, "Ö"), (5, "ö"), (6, "o"), (7, "\u00a0"), (8, "")]
+    got = {r.doc_id: r.first_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lower = [" ".join(t.lower().split()) for _, t in rows]
+    assert got[2] == got[3] == 0 and got[4] == got[5] == 4
+    assert got == {i: lower.index(x) for i, x in enumerate(lower)}
+
+
 @pytest.mark.parametrize("heavy", [False, True])
 def test_suffix_dedup_brute_force(docs, rows, monkeypatch, heavy):
     if heavy:
