@@ -89,3 +89,22 @@ def test_no_entry_carries_a_vector(spark, monkeypatch):
         assert len({r.id for r in rows}) == len(rows) == len({i for i, j in cells if j < 50})
         for r in rows:
             assert np.allclose(r.vec, dense[r.id] @ x, atol=1e-9)
+
+
+def test_moments_of_powers_deal_nothing_out(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    cells = sorted({(int(a), int(b)) for a, b in rng.integers(0, 50, (500, 2))} | {(9, b) for b in range(50)})
+    a = spark.createDataFrame([(i, j, float(i + j)) for i, j in cells] + [(9, 9, 1.0), (None, 3, 1.0)], "src long, dst long, w double")
+    m = np.zeros((50, 50))
+    for i, j in cells:
+        m[i, j] = i + j
+    m[9, 9] += 1
+    held = (m != 0) | np.isin(np.arange(2500).reshape(50, 50), [50 * i + j for i, j in cells])
+    want, stored = m + m @ m, held | (held.astype(float) @ held.astype(float) > 0)
+    for most in (1 << 22, 100):  # the long row comes in stretches
+        monkeypatch.setattr(linalg, "CELLS", most)
+        found = linalg.power_sum_moments(a, 2)
+        plan = found._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        got = {r.src: (r.n, r.total, r.squares) for r in found.collect()}
+        assert got == {i: (stored[i].sum(), want[i].sum(), (want[i] ** 2).sum()) for i in range(50) if held[i].any()}
