@@ -108,3 +108,20 @@ def test_moments_of_powers_deal_nothing_out(spark, monkeypatch):
         assert "Exchange" not in plan and "Join" not in plan
         got = {r.src: (r.n, r.total, r.squares) for r in found.collect()}
         assert got == {i: (stored[i].sum(), want[i].sum(), (want[i] ** 2).sum()) for i in range(50) if held[i].any()}
+
+
+def test_moments_of_walks_divide_rows_as_they_are_read(spark):
+    rng = np.random.default_rng(7)
+    cells = sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (150, 2))})
+    m = np.zeros((30, 30))
+    for i, j in cells:
+        m[i, j] = 1 + (i * j) % 5
+    a = spark.createDataFrame([(i, j, float(m[i, j])) for i, j in cells], "src long, dst long, w double")
+    p = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-32)
+    first, second = 1 / 1.8, 0.8 / 1.8
+    for steps, want in ((1, p), (2, first * p + second * (p @ p))):
+        found = linalg.walk_sum_moments(a, 0.2, steps, shares=True)
+        assert "Exchange" not in found._jdf.queryExecution().toString()
+        got = {r.src: (r.n, r.total, r.squares) for r in found.collect()}
+        assert set(got) == set(np.flatnonzero(m.any(axis=1)))
+        assert all(np.allclose(v, ((want[i] > 0).sum(), want[i].sum(), (want[i] ** 2).sum()), atol=1e-12) for i, v in got.items())
