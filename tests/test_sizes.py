@@ -1,10 +1,12 @@
 """What steps write, deal and hold follows the size of their tables."""
 
 import itertools
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from graphloom.functions import ranking, session
 from graphloom.operators import graph, linalg, splits
 from graphloom.sources import fixtures
 
@@ -125,3 +127,38 @@ def test_moments_of_walks_divide_rows_as_they_are_read(spark):
         got = {r.src: (r.n, r.total, r.squares) for r in found.collect()}
         assert set(got) == set(np.flatnonzero(m.any(axis=1)))
         assert all(np.allclose(v, ((want[i] > 0).sum(), want[i].sum(), (want[i] ** 2).sum()), atol=1e-12) for i, v in got.items())
+
+
+def test_first_rows_are_told_without_writing_them(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "STRETCHES", 8)
+    rows = [((i * 37 % 50) / 10.0 - 2, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "v double, k long")
+    sizes = []
+    _noting(monkeypatch, ranking, "cut_lineage", sizes)
+    for limit in (1, 100_000):
+        monkeypatch.setattr(ranking, "SMALL_LIMIT", limit)
+        for n in (0, 1, 7, 100, 199, 200, 300):
+            told = ranking.among_first(df, n, "v", "k")
+            assert sorted(tuple(r) for r in df.where(told).collect()) == sorted(rows)[:n]
+            assert df.where(~told).count() == max(0, 200 - n)
+    assert max(sizes) < 60
+
+
+def test_kept_tables_are_read_again_and_go(spark):
+    df = spark.createDataFrame([(1, 0.5, None), (2, -0.0, "b")], "a long, b double, c string")
+    kept = session.keep(df)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect())) and kept.schema == df.schema
+    place = kept._kept.removeprefix("file://")
+    assert os.path.isdir(place)
+    session.drop(kept)
+    assert not os.path.exists(place)
+
+
+def test_splits_write_no_row_of_edges_as_it_is(spark, monkeypatch):
+    sizes = []
+    for module in (splits, graph, ranking):
+        _noting(monkeypatch, module, "cut_lineage", sizes)
+    edges = spark.createDataFrame(list(itertools.combinations(range(40), 2)), "src long, dst long").withColumn("w", F.lit(1.0))
+    parts = splits.split(edges, 0.3, 1)
+    assert parts.test.count() == 234
+    assert max(sizes) < 200  # of 780 edges; nodes and trees only
