@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.functions import ranking, session
-from graphloom.operators import graph, linalg, splits
+from graphloom.operators import graph, linalg, splits, walks
 from graphloom.sources import fixtures
 
 from tables import DATA
@@ -162,3 +162,25 @@ def test_splits_write_no_row_of_edges_as_it_is(spark, monkeypatch):
     parts = splits.split(edges, 0.3, 1)
     assert parts.test.count() == 234
     assert max(sizes) < 200  # of 780 edges; nodes and trees only
+
+
+def test_walks_are_not_dealt_out_at_each_step(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    cells = sorted({(int(a), int(b)) for a, b in rng.integers(-1, 20, (120, 2))})
+    edges = spark.createDataFrame([(a, b, float(1 + (a * b) % 3)) for a, b in cells] + [(3, 4, 0.0), (30, 31, 1.0)], "src long, dst long, w double")
+    starts = spark.createDataFrame([(k, k % 21 - 1) for k in range(63)] + [(99, 30), (100, 77)], "walk_id long, start long")
+    writes = []
+    _noting(monkeypatch, walks, "cut_lineage", writes)
+    found = walks.biased_walk(edges, starts, 12, 0.5, 2.0, 3)
+    plan = found._jdf.queryExecution().toString()
+    assert not writes and "Join" not in plan
+    got = {}
+    for r in sorted(found.collect()):
+        got.setdefault(r.walk_id, []).append((r.step, r.node))
+    heads = {a for a, b in cells} | {30}
+    assert got.pop(99) == [(0, 30), (1, 31)] and got.pop(100) == [(0, 77)] and len(got) == 63
+    for k, steps in got.items():
+        nodes = [n for _, n in steps]
+        assert [s for s, _ in steps] == list(range(len(steps))) and nodes[0] == k % 21 - 1
+        assert len(steps) == 12 or nodes[-1] not in heads
+        assert all(pair in set(cells) for pair in zip(nodes, nodes[1:]))
