@@ -4,10 +4,12 @@ import itertools
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import ranking, session
 from graphloom.operators import graph, linalg, splits, walks
+from graphloom.plans import catalog
 from graphloom.sources import fixtures
 
 from tables import DATA
@@ -184,3 +186,17 @@ def test_walks_are_not_dealt_out_at_each_step(spark, monkeypatch):
         assert [s for s, _ in steps] == list(range(len(steps))) and nodes[0] == k % 21 - 1
         assert len(steps) == 12 or nodes[-1] not in heads
         assert all(pair in set(cells) for pair in zip(nodes, nodes[1:]))
+
+
+def test_wide_products_read_edges_that_are_kept_compactly(spark, monkeypatch):
+    seen = []
+
+    def stop(edges, *more, **named):
+        seen.append(edges)
+        raise InterruptedError
+
+    monkeypatch.setattr(linalg, "svd", stop)
+    for name in ("svd_supplier_part", "score_blocks"):
+        with pytest.raises(InterruptedError):
+            catalog.QUERIES[name](spark, f"{DATA}/sf0.001")
+    assert len(seen) == 2 and all(hasattr(edges, "_kept") for edges in seen)
